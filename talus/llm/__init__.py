@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import langid, packing, quality, sharding, simhash
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
     "op2_sharding": sharding,
+    "op7_language_id": langid,
+    "op8_quality_rules": quality,
+    "op10_simhash_near_dedup": simhash,
 }
 
 
