@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
 
 
 def judged(docs: DataFrame, forest: Forest | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, BASE, base_failed, quality, kept) of each row."""
+    """(key, BASE, base_failed, score, kept) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +204,10 @@ def judged(docs: DataFrame, forest: Forest | None, key: str = "doc_id", text: st
                 stats = statistics(texts[s])
                 failed = base_failed(stats)
                 quality = shared.value.score(features(stats)) if shared.value else np.ones(len(failed))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *(pa.array(stats[b].astype(np.int64)) for b in BASE), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= 0.5))], names=[key, *BASE, "base_failed", "quality", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *(pa.array(stats[b].astype(np.int64)) for b in BASE), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= 0.5))], names=[key, *BASE, "base_failed", "score", "kept"])
 
     kind = dict(docs.select(key).dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(judge, f"`{key}` {kind}, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, quality double, kept boolean")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(judge, f"`{key}` {kind}, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
