@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, sharding, simhash
+from . import langid, packing, pii, quality, sharding, simhash
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
     "op2_sharding": sharding,
+    "op4_pii_pseudonyms": pii,
     "op7_language_id": langid,
     "op8_quality_rules": quality,
     "op10_simhash_near_dedup": simhash,
