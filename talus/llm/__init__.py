@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, quality, sharding, simhash
+from . import langid, packing, pii, quality, sharding, simhash, warc
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
     "op2_sharding": sharding,
     "op4_pii_pseudonyms": pii,
+    "op5_warc_archives": warc,
     "op7_language_id": langid,
     "op8_quality_rules": quality,
     "op10_simhash_near_dedup": simhash,
