@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, quality, sharding, simhash, warc
+from . import decontamination, langid, packing, pii, quality, sharding, simhash, warc
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
     "op2_sharding": sharding,
+    "op3_decontamination": decontamination,
     "op4_pii_pseudonyms": pii,
     "op5_warc_archives": warc,
     "op7_language_id": langid,
