@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, pii, quality, sharding, simhash, warc
+from . import decontamination, langid, packing, pii, quality, sharding, simhash, suffix, warc
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
@@ -14,6 +14,7 @@ _QUERIES = {
     "op3_decontamination": decontamination,
     "op4_pii_pseudonyms": pii,
     "op5_warc_archives": warc,
+    "op6_suffix_dedup": suffix,
     "op7_language_id": langid,
     "op8_quality_rules": quality,
     "op10_simhash_near_dedup": simhash,

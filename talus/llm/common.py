@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so its functions can be loaded there."""
+    context = spark.sparkContext
+    if not getattr(context, "_talus_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="talus-package-"), "talus-package.zip")
+        with zipfile.ZipFile(to, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(to))
+        context._talus_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
