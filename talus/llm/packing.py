@@ -13,6 +13,7 @@ columns are read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -26,51 +27,68 @@ from pyspark.sql import functions as F
 from .common import numbered, stored, table
 
 CAPACITY, END = 4096, 1
-_CUT = re.compile("[ \t\n\r]+")
-_MARK = "\x02"
+_ODD = re.compile("[\x1c-\x1f]").search  # white space to str.split(), but not to the pre-tokenizer
+
+
+class _Words(dict):
+    """ids of the pre-tokenizer's words, from the model alone."""
+
+    def __init__(self, tokenize):
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+        rest = (b for b in range(256) if b not in plain)
+        self.letters = ({b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}).__getitem__
+        self.tokenize = tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize("".join(map(self.letters, word.encode())))])
+        return got
 
 
 class CachedTokenizer:
     """ids of whole texts, put together from the ids of their parts between white space.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so the ids are
-    those of the whole text. Known parts are looked up; new ones are encoded together,
-    with a mark between them. The cache is emptied at ``limit`` entries.
+    those of the whole text. A new printable part is cut by the pre-tokenizer's own pattern
+    and its words go to the model alone, without the offsets that a full encoding
+    tracks; any other part is encoded in full. Both caches are emptied at ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.known = limit, {}
-        self.mark = self._ids(_MARK)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if _MARK not in p]
-        if len(self.mark) == 1 and plain:
-            ids = np.array(self._ids(f" {_MARK} ".join(plain)), "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) == len(plain) - 1:
-                for part, own in zip(plain, np.split(ids, ends)):
-                    self.known[part] = own.tobytes() if part is plain[0] else own[1:].tobytes()
-                parts = [p for p in parts if _MARK in p]
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.limit, self.known, self.words = limit, {}, _Words(self.tokenizer.model.tokenize)
+
+    def _full(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        words, normal = self.words, self.tokenizer.normalizer.normalize_str
         for p in parts:
-            self.known[p] = np.array(self._ids(p), "<u4").tobytes()
+            if p.isprintable():
+                self.known[p] = b"".join([words[w] for w in self.cut(p.lower() if p.isascii() else normal(p))])
+            else:
+                self.known[p] = self._full(p)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            parts = _CUT.split(text or "")
-            new = [p for p in dict.fromkeys(parts) if p not in self.known]
-            if len(self.known) + len(new) > self.limit:
+            if text and _ODD(text):
+                yield self._full(text)
+                continue
+            parts = (text or "").split()
+            new = set(parts).difference(self.known)
+            if len(self.known) + len(new) > self.limit or len(self.words) > self.limit:
                 self.known.clear()
-                new = list(dict.fromkeys(parts))
-            if new:
-                self._learn(new)
+                self.words.clear()
+                new = set(parts)
+            self._learn(new)
             yield b"".join(map(self.known.__getitem__, parts))
 
 
