@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, pii, quality, sharding, simhash, suffix, warc
+from . import decontamination, langid, packing, passages, pii, quality, sharding, simhash, suffix, warc
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
@@ -17,6 +17,7 @@ _QUERIES = {
     "op6_suffix_dedup": suffix,
     "op7_language_id": langid,
     "op8_quality_rules": quality,
+    "op9_passage_dedup": passages,
     "op10_simhash_near_dedup": simhash,
 }
 
