@@ -144,6 +144,21 @@ def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text
     return docs.select(*cols, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without the rows that have no language: ``und``, or a score below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = shared.value, {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            for s in sliced(texts):
+                best, score = model.score(texts[s], cache)
+                yield batch.slice(s.start, s.stop - s.start).filter(pa.array((best >= 0) & (score >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(~held_out()))
