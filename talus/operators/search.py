@@ -132,7 +132,12 @@ def facets(trails: DataFrame, f: Filters) -> DataFrame:
         "wilderness": F.filter(F.array("wilderness"), lambda x: x.isNotNull()),
         "activity": F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in use.items()]), lambda x: x.isNotNull()),
     }
-    entries = [F.when(others[d], F.transform(v, lambda x, d=d: F.struct(F.lit(d).alias("dimension"), x.alias("value")))).otherwise(F.array().cast("array<struct<dimension:string,value:string>>")) for d, v in values.items()]
+    none = F.array().cast("array<struct<dimension:string,value:string>>")
+
+    def entry(dimension: str, found: Column) -> Column:
+        return F.when(others[dimension], F.transform(found, lambda x: F.struct(F.lit(dimension).alias("dimension"), x.alias("value")))).otherwise(none)
+
+    entries = [entry(d, v) for d, v in values.items()]
     counted = rows.select(F.explode(F.concat(*entries)).alias("e")).groupBy("e.dimension", "e.value").agg(F.count(F.lit(1)).alias("n"))
     fixed = [(d, label) for d, bands in (("difficulty", DIFFICULTY), ("steepness", STEEPNESS)) for _, label in bands] + [("activity", k) for k in use]
     domain = trails.sparkSession.createDataFrame(fixed, "dimension string, value string")

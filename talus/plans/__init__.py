@@ -1,9 +1,21 @@
 """Queries over the supplied tables, and the same results as SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from talus.sources.views import with_views
+
+from . import ratings
+
+_MODULES = [ratings]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for m in _MODULES for name, sql in m.SQL.items()}
