@@ -15,12 +15,12 @@ MILES_PER_DEGREE = 69.0
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float = EARTH_MI) -> Column:
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2.0))
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    return F.lit(2 * radius) * F.asin(F.when(half > 1.0, 1.0).otherwise(F.sqrt(half)))  # least() would turn NULL into 1
 
 
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str, radius: float = EARTH_MI) -> str:
     """The same as SQL."""
-    return f"{2 * radius!r}::double * asin(least(1.0::double, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))))"
+    return f"{2 * radius!r}::double * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2)))"
 
 
 def cell(degrees: Column, size: float) -> Column:

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,15 +150,19 @@ def merged_legs(names: list[str], miles: list[float], least: float = SHORT_LEG_M
 
 
 def absorb_legs(legs: DataFrame, least: float = SHORT_LEG_MI) -> DataFrame:
-    """merged_legs for each route of leg_runs; sequential by nature, a route at a time."""
+    """merged_legs for each route of leg_runs; sequential by nature, so each route is one row of arrays."""
+    rows = legs.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("leg", "name", F.round("miles", 2).alias("miles")))).alias("v"))
+    rows = rows.select("route_id", "v.name", "v.miles")
+    done = pa.list_(pa.struct([("name", pa.string()), ("miles", pa.float64())]))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("leg")
-        done = merged_legs(rows["name"].tolist(), rows["miles"].round(2).tolist(), least)
-        return pd.DataFrame([(rows["route_id"].iloc[0], i, n, m) for i, (n, m) in enumerate(done)], columns=["route_id", "leg", "name", "miles"])
+    def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"name": n, "miles": m} for n, m in merged_legs(names, miles, least)] for names, miles in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, done)], names=["route_id", "v"])
 
     kind = dict(legs.dtypes)["route_id"]
-    return legs.groupBy("route_id").applyInPandas(one, f"route_id {kind}, leg long, name string, miles double")
+    out = rows.mapInArrow(absorb, f"route_id {kind}, v array<struct<name: string, miles: double>>")
+    return out.select("route_id", F.posexplode("v").alias("leg", "p")).select("route_id", F.col("leg").cast("long").alias("leg"), "p.name", "p.miles")
 
 
 def component_labels(edge: DataFrame, rounds: int = 50) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,7 +92,7 @@ def resampled(points: Column, n: int) -> Column:
 
 
 def simplified(line: np.ndarray, epsilon: float) -> np.ndarray:
-    """Ramer-Douglas-Peucker on an (n, 2) array, with a stack instead of recursion."""
+    """Which of (n, 2) points Ramer-Douglas-Peucker keeps, with a stack instead of recursion."""
     keep = np.zeros(len(line), bool)
     keep[[0, -1]] = True
     stack = [(0, len(line) - 1)]
@@ -105,25 +108,19 @@ def simplified(line: np.ndarray, epsilon: float) -> np.ndarray:
         if off[k] > epsilon**2:
             keep[a + 1 + k] = True
             stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    return line[keep]
+    return keep
 
 
 def simplify_paths(vertices: DataFrame, epsilon: float, path: str = "path_id", seq: str = "seq") -> DataFrame:
-    """The vertices that survive simplification; one path at a time, so one path bounds a task."""
+    """The vertices (path, seq, lng, lat) that survive simplification; each path is one row of arrays."""
+    rows = vertices.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(seq, "lng", "lat"))).alias("v"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        xy = rows[["lng", "lat"]].to_numpy()
-        kept = simplified(xy, epsilon) if len(xy) > 2 else xy
-        marks, at = [], 0
-        for p in kept:
-            while not (xy[at] == p).all():
-                at += 1
-            marks.append(at)
-            at += 1
-        return rows.iloc[marks]
+    @F.pandas_udf("array<int>")
+    def kept(lng: pd.Series, lat: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(simplified(np.column_stack((x, y)), epsilon)) for x, y in zip(lng, lat)])
 
-    return vertices.groupBy(path).applyInPandas(one, vertices.schema)
+    rows = rows.select(path, "v", F.explode(kept(F.col("v.lng"), F.col("v.lat"))).alias("i"))
+    return rows.select(path, F.get("v", "i").alias("p")).select(path, f"p.{seq}", "p.lng", "p.lat")
 
 
 def _attached(chain: list, part: list, near: float) -> list | None:
@@ -154,16 +151,23 @@ def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG) -> l
 
 
 def chain_paths(segments: DataFrame, near: float = JOIN_DEG) -> DataFrame:
-    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat)."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["part", "seq"])
-        parts = [list(zip(g["lng"], g["lat"])) for _, g in rows.groupby("part")]
-        out = [(rows["path_id"].iloc[0], c, i, *p) for c, chain in enumerate(chained(parts, near)) for i, p in enumerate(chain)]
-        return pd.DataFrame(out, columns=["path_id", "chain", "seq", "lng", "lat"])
+    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); each path is one row of arrays."""
+    rows = segments.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
+    rows = rows.select("path_id", "v.part", "v.lng", "v.lat")
+    points = pa.list_(pa.struct([("chain", pa.int64()), ("seq", pa.int64()), ("lng", pa.float64()), ("lat", pa.float64())]))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for part, lng, lat in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                parts: dict = {}
+                for k, *point in zip(part, lng, lat):
+                    parts.setdefault(k, []).append(tuple(point))
+                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(chained(list(parts.values()), near)) for i, (x, y) in enumerate(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, points)], names=["path_id", "v"])
 
     kind = dict(segments.dtypes)["path_id"]
-    return segments.groupBy("path_id").applyInPandas(one, f"path_id {kind}, chain long, seq long, lng double, lat double")
+    return rows.mapInArrow(chain, f"path_id {kind}, v array<struct<chain: long, seq: long, lng: double, lat: double>>").select("path_id", F.explode("v").alias("p")).select("path_id", "p.*")
 
 
 def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", closed_mi: float = 0.031) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talus.sources.views import with_views
 
-from . import ratings
+from . import ratings, spatial
 
-_MODULES = [ratings]
+_MODULES = [ratings, spatial]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

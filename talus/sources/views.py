@@ -27,8 +27,7 @@ VIEWS = {
         SELECT path_id, seq, ix, iy, ix * 1000 + iy AS node, cast(37 as double) + iy * cast(0.01 as double) AS lat, cast(-120 as double) + ix * cast(0.01 as double) AS lng
         FROM (SELECT o_orderkey AS path_id, k AS seq, o_orderkey % 40 + k - cast(floor(cast(k as double) / 2) as bigint) AS ix,
                      cast(floor(cast(o_orderkey as double) / 40) as bigint) % 40 + cast(floor(cast(k as double) / 2) as bigint) AS iy
-              FROM orders CROSS JOIN (SELECT cast(0 as bigint) AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS ks
-              WHERE o_orderkey % 9 = 0) AS v""",
+              FROM orders CROSS JOIN (SELECT cast(0 as bigint) AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS ks) AS v""",
     "trails": f"""
         SELECT o_orderkey AS id, o_orderkey AS ord, name, n_name AS area, length_miles,
                CASE WHEN o_orderkey % 7 <> 0 THEN parts % 6000 END AS gain_ft,
