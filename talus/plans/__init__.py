@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talus.sources.views import with_views
 
-from . import ratings, spatial
+from . import conditions, ratings, spatial
 
-_MODULES = [ratings, spatial]
+_MODULES = [ratings, spatial, conditions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
