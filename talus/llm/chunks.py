@@ -63,7 +63,8 @@ def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) of each bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
+    bucket = bucket.astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for places in np.split(order, cuts) if len(order) else ():
         yield int(bucket[places[0]]), places
@@ -76,7 +77,7 @@ def answered(asked: DataFrame, answer, buckets: int) -> DataFrame:
         rows = rows.sort_values("chunk", ignore_index=True)
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "body": [packed(*a) for a in answer([unpacked(b) for b in rows["body"]])]})
 
-    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(reply, "chunk long, bucket long, body binary")
+    return asked.repartition(4 * buckets, "bucket").groupBy("bucket").applyInPandas(reply, "chunk long, bucket long, body binary")
 
 
 def resumed(chunks: DataFrame, answers: list[DataFrame], do, schema: str) -> DataFrame:

@@ -33,43 +33,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NO_ID, answered, by_bucket, chunked, opened, packed, resumed
-from .common import prefix_hash, shared_dir, span_hash, stored, table
+from .common import prefix_hash, span_hash, stored, table
 
 LENGTH, GRAM = 50, 24
 BUCKET_BYTES = 24 << 20  # of text, for each bucket
 
 
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` bytes (8 to 24), from the unaligned 8-byte words they begin, hold and end with."""
+    words = np.ndarray(len(buf) - 7, "<u8", np.ascontiguousarray(buf), 0, (1,)).copy()
+    n = len(buf) - gram + 1
+    h = words[:n] * _FACTORS[0]
+    h += words[(gram - 8) // 2 : (gram - 8) // 2 + n] * _FACTORS[1]
+    h ^= h >> np.uint64(29)
+    h += words[gram - 8 : gram - 8 + n] * _FACTORS[2]
+    h *= _FACTORS[1]
+    h ^= h >> np.uint64(32)
+    h *= _FACTORS[0]
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Segments:
     """The runs of strings with one minimizer in the texts of a chunk."""
 
+    BLOCK = 1 << 17  # strings at a time, so that arrays stay in the cache
+
     def __init__(self, texts: list[bytes], length: int, gram: int):
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         self.stops = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.length, self.prefix = length, prefix_hash(self.buf)
-        n = len(self.buf)
-        if n < length:
-            self.first = self.last = self.doc = np.zeros(0, np.int64)
-            self.minimizer = np.zeros(0, np.uint64)
-            return
-        at = np.arange(n - gram + 1)
-        hashes = span_hash(self.prefix, at, at + gram)
-        place = _window_min((hashes >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)
-        start = np.arange(len(place))
-        doc = np.searchsorted(self.stops, start, "right")
-        whole = start + length <= self.stops[doc]
-        start, place, doc = start[whole], place[whole].astype(np.int64), doc[whole]
-        new = np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])) if len(start) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        self.first = start[begin]
-        self.last = start[np.append(begin[1:], len(start)) - 1] if len(begin) else self.first  # last string's start
-        self.doc, self.minimizer = doc[begin], hashes[place[begin]]
+        self.length = length
+        strings = max(0, len(self.buf) - length + 1)
+        across = (self.stops[:, None] - np.arange(1, length)).ravel()  # would end in the next text
+        across = across[(across >= 0) & (across < strings)]
+        whole = np.ones(strings, bool)
+        whole[across] = False
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for at in range(0, strings, self.BLOCK):
+            here = whole[at : at + self.BLOCK]
+            hashes = _gram_hashes(self.buf[at : at + len(here) + length - 1], gram)
+            order = hashes & np.uint64(0xFFFFFFFF00000000)
+            order |= np.arange(len(order), dtype=np.uint64)
+            place = _window_min(order, length - gram + 1).astype(np.uint32)
+            turn = np.append(True, place[1:] != place[:-1])
+            turn[1:] |= here[1:] != here[:-1]
+            begin = np.flatnonzero(turn)
+            end = np.append(begin[1:], len(here)) - 1
+            begin, end = begin[here[begin]], end[here[begin]]
+            found.append((begin + at, end + at, hashes[place[begin]]))
+        self.first, self.last, self.minimizer = (np.concatenate(x) for x in zip(*found))  # last: where a run's last string starts
+        self.doc = np.searchsorted(self.stops, self.first, "right")
 
     def keep(self, some: np.ndarray) -> None:
         self.first, self.last, self.doc, self.minimizer = self.first[some], self.last[some], self.doc[some], self.minimizer[some]
 
     def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A run for each distinct segment, the number of each run's segment, the segments' smallest ids."""
-        names = span_hash(self.prefix, self.first, self.last + self.length)
+        names = span_hash(prefix_hash(self.buf), self.first, self.last + self.length)
         _, one, which = np.unique(names, return_index=True, return_inverse=True)
         least = np.full(len(one), NO_ID, np.int64)
         np.minimum.at(least, which, ids[self.doc])
@@ -82,15 +105,12 @@ class Segments:
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbours: prefix and suffix minima of blocks of that width."""
-    blocks = -(-len(x) // width)
-    full = np.full(blocks * width, np.iinfo(np.uint64).max)
-    full[: len(x)] = x
-    full = full.reshape(blocks, width)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - width + 1
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """Minimum of each ``width`` neighbours, from minima over powers of two."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[:n], x[width - have : width - have + n])
 
 
 def suffix_order(x: np.ndarray) -> np.ndarray:
@@ -102,7 +122,7 @@ def suffix_order(x: np.ndarray) -> np.ndarray:
         key = key << 9 | wide[i : i + n]
     rank = np.zeros(n, np.int64)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         if rank[order[-1]] == n - 1:
             return order
@@ -123,15 +143,21 @@ def same_prefix(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
     before = x[order - 1]
     to = np.empty(n, np.int64)  # the LF mapping
-    to[np.argsort(before, kind="stable")] = np.arange(n)
+    to[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(n)
     head = x[order]
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
-    ranks, owner = np.arange(n), np.zeros(n, np.int64)
+    ranks, owner, spot = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for _ in range(length):
         image = to[ranks]
-        by = np.argsort(image)
-        image, owner = image[by], owner[by]
+        if 20 * len(image) < n:
+            by = np.argsort(image)
+            image, owner = image[by], owner[by]
+        else:  # in order without sorting
+            spot[image] = owner + 1
+            image = np.flatnonzero(spot)
+            owner = spot[image] - 1
+            spot[image] = 0
         new = np.append(True, (np.diff(image) != 1) | (np.diff(owner) != 0) | (np.diff(head[image]) != 0))
         begin = np.flatnonzero(new)
         right = image[np.append(begin[1:], len(image)) - 1] + 1
@@ -165,15 +191,16 @@ def _digests(texts: list[bytes]) -> np.ndarray:
 
 def _shared(asks: list[tuple]) -> list[tuple]:
     """For each ask (minimizers, text marks, digests, ids): the shared minimizers, the smallest id of each digest."""
-    names, marks = np.concatenate([a[0] for a in asks]), np.concatenate([a[1] for a in asks])
-    order = np.lexsort((marks, names))
-    names, marks = names[order], marks[order]
-    shared = np.unique(names[1:][(names[1:] == names[:-1]) & (marks[1:] != marks[:-1])])
+    both = np.sort(np.concatenate([a[0].astype(np.uint64) << np.uint64(32) | a[1] for a in asks]))
+    name = (both >> np.uint64(32)).astype(np.uint32)
+    shared = np.unique(name[1:][(name[1:] == name[:-1]) & (both[1:] != both[:-1])])
     digests, ids = np.concatenate([a[2] for a in asks]), np.concatenate([a[3] for a in asks])
     texts, which = np.unique(digests, return_inverse=True)
     least = np.full(len(texts), NO_ID, np.int64)
     np.minimum.at(least, which, ids)
-    return [(np.intersect1d(a[0], shared), a[2], least[np.searchsorted(texts, a[2])]) for a in asks]
+    held = np.append(shared, np.uint32(0))
+    some = [np.unique(a[0]) for a in asks]
+    return [(n[held[np.searchsorted(shared, n)] == n] if len(shared) else n[:0], a[2], least[np.searchsorted(texts, a[2])]) for n, a in zip(some, asks)]
 
 
 def _expanded(length: int):
@@ -202,22 +229,22 @@ def _expanded(length: int):
             part = mixed[at]
             found.update(zip(part, least_ids([names[k] for k in part], low[part], length)))
         out = []
+        width = np.array([len(n) - length + 1 for n in names], np.int64)
+        value = np.repeat(low, width)  # of each string of each distinct segment
+        start = np.cumsum(width) - width
+        for k, v in found.items():
+            value[start[k] : start[k] + len(v)] = v
         for (sizes, ids, _, _), own in zip(asks, places):
-            counts, spans, values = [], [], []
-            for k, one, size in zip(own, ids.tolist(), sizes.tolist()):
-                v = found.get(k)
-                if v is None:
-                    v = low[k : k + 1]
-                    cut = [0]
-                else:
-                    cut = [0, *(np.flatnonzero(np.diff(v)) + 1).tolist()]
-                if len(cut) == 1 and int(v[0]) == one:  # nothing smaller elsewhere
-                    counts.append(0)
-                    continue
-                counts.append(len(cut))
-                spans += np.diff([*cut, size - length + 1]).tolist()
-                values += v[cut].tolist()
-            out.append((np.array(counts, np.uint8), np.array(spans, np.uint8), np.array(values, np.int64)))
+            own = np.array(own, np.int64)
+            size = width[own]
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            got, segment = value[np.repeat(start[own], size) + nth], np.repeat(np.arange(len(own)), size)
+            cut = np.flatnonzero((nth == 0) | np.append(True, got[1:] != got[:-1])) if len(got) else np.zeros(0, np.int64)
+            spans, values, segment = np.diff(np.append(cut, len(got))), got[cut], segment[cut]
+            counts = np.bincount(segment, minlength=len(own))
+            plain = (counts == 1) & (got[np.cumsum(size) - size] == ids) if len(own) else counts == 1  # nothing smaller elsewhere
+            told = ~plain[segment]
+            out.append((np.where(plain, 0, counts).astype(np.uint8), spans[told].astype(np.uint8), values[told]))
         return out
 
     return answer
@@ -237,8 +264,8 @@ def _portions(sizes: list[int], family: list[int], limit: int):
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): kept bytes, and the removed spans as (start, end)."""
-    if not length - 2 <= 203:
-        raise ValueError("segment sizes are sent as bytes: length may be 100 at most")
+    if not (8 <= gram <= 24 and gram <= length <= 100):
+        raise ValueError("gram is 8 to 24 bytes, and length at least that and at most 100, as segment sizes are sent as bytes")
     spark = docs.sparkSession
     chunks = chunked(docs, key, text)
     total, rows = chunks.agg(F.sum("bytes"), F.count(F.lit(1))).first()
@@ -248,6 +275,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
     def bucket_of(h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) % wide).astype(np.int64)
 
+    def named(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(0xFFFFFFFF)) | bucket_of(h).astype(np.uint64) << np.uint64(32)
+
     def ask(frames):
         for frame in frames:
             for chunk, body in zip(frame["chunk"], frame["body"]):
@@ -258,11 +288,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
                 np.minimum.at(least, which, ids)
                 runs = Segments([texts[i] for i in first.tolist()], length, gram)
                 # a minimizer of one text is sent with its mark, one of more texts with two different marks
-                pairs = np.unique(np.stack([runs.minimizer, digests[first][runs.doc] & np.uint64(0xFFFFFFFF)]), axis=1) if len(runs.minimizer) else np.zeros((2, 0), np.uint64)
-                edge = np.append(True, pairs[0][1:] != pairs[0][:-1])
-                edge |= np.append(edge[1:], True)
-                pairs = pairs[:, edge]
-                asked = {b: [pairs[0][p].astype(np.uint32), pairs[1][p].astype(np.uint32)] for b, p in by_bucket(bucket_of(pairs[0]))}
+                name = named(runs.minimizer)
+                order = np.argsort(name)
+                name, mark = name[order], (digests[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[runs.doc[order]]
+                begin = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+                name, low, high = name[begin], *(f.reduceat(mark, begin) if len(begin) else mark for f in (np.minimum, np.maximum))
+                again = low != high
+                name, mark = np.concatenate((name, name[again])), np.concatenate((low, high[again]))
+                asked = {b: [name[p].astype(np.uint32), mark[p]] for b, p in by_bucket(name >> np.uint64(32))}
                 for b, p in by_bucket(bucket_of(digests[first])):
                     asked.setdefault(b, [np.zeros(0, np.uint32)] * 2)
                     asked[b] += [digests[first][p], least[p]]
@@ -279,8 +312,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
         copy = least[order][np.searchsorted(known[order], digests)] < ids
         runs = Segments(texts, length, gram)
         shared = np.concatenate([a[0].astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, a in heard.items()])
-        name = (runs.minimizer & np.uint64(0xFFFFFFFF)) | bucket_of(runs.minimizer).astype(np.uint64) << np.uint64(32)
-        runs.keep(np.isin(name, shared) & ~copy[runs.doc])
+        shared.sort()
+        name = named(runs.minimizer)
+        held = np.append(shared, np.uint64(0))
+        runs.keep((held[np.searchsorted(shared, name)] == name) & (len(shared) > 0) & ~copy[runs.doc])
         return (runs, copy, *runs.distinct(ids), bucket_of(runs.minimizer))
 
     def send(chunk, ids, texts, heard):
