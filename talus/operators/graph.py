@@ -107,7 +107,7 @@ def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_m
                     best[to], came[to] = d + m, node
                     heapq.heappush(heap, (d + m, to))
         if target not in done:
-            return pd.DataFrame({"request_id": [], "miles": [], "path": []})
+            return pd.DataFrame({"request_id": [], "miles": [], "path": pd.Series([], dtype=object)})
         path = [target]
         while path[-1] != source:
             path.append(came[path[-1]])

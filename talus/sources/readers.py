@@ -53,7 +53,7 @@ def forest_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """(osm_id, name, tags, points) of a GeoJSON sequence, a feature a line; lines that don't parse are skipped."""
-    text = spark.read.text(path).select(F.ltrim(F.lit("\x1e"), F.col("value")).alias("value"))
+    text = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit("\x1e")).alias("value"))
     f = text.select(F.from_json("value", "id string, properties map<string, string>, geometry string").alias("f")).filter("f.geometry is not null")
     return f.select(
         F.coalesce("f.id", F.try_element_at("f.properties", F.lit("@id"))).alias("osm_id"),

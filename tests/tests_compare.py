@@ -1,4 +1,4 @@
-"""Runs queries and their SQL side by side: python tests/compare.py [sf_dir] [name ...]"""
+"""Runs queries and their SQL side by side: python tests/tests_compare.py [sf_dir] [name ...]"""
 
 from __future__ import annotations
 
