@@ -9,7 +9,7 @@ Each passage has ``BANDS`` keys of ``ROWS`` MinHash values over its five-word sh
 Jaccard similarity 0.8 a pair meets with probability 1 - (1 - 0.8 ** 2) ** 4 = 98 %, and
 the many passages that share anchors with a copy raise that for a document. Chunks ask the
 buckets which keys occur twice; only passages with such a key go on. Distinct passages
-with a common key are compared by exact Jaccard similarity, and the links' components are
+with a common key are compared by exact Jaccard similarity of 32-bit shingle hashes, and the links' components are
 the clusters. A cluster within one document isn't a repeat across documents and is left
 out. The first passage of a cluster (smallest doc_id, then position) is kept, the
 others are removals.
@@ -71,7 +71,9 @@ def _twice(asks: list[tuple]) -> list[tuple]:
     """For each ask (keys, one of several documents given twice): its keys that occur twice in all."""
     keys = np.sort(np.concatenate([a[0] for a in asks]))
     shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    return [(np.intersect1d(a[0], shared),) for a in asks]
+    held = np.append(shared, np.uint32(0))
+    some = [np.unique(a[0]) for a in asks]
+    return [(k[held[np.searchsorted(shared, k)] == k] if len(shared) else k[:0],) for k in some]
 
 
 def similar(sets: np.ndarray, sizes: np.ndarray, least: float, side: np.ndarray, block: int = 512):
@@ -118,12 +120,12 @@ def linked(distinct: DataFrame, similarity: float = SIMILARITY, key_rows: int =
             return
         frame = pd.concat(rows).sort_values("bucket", ignore_index=True)
         names, one, local = np.unique(frame["name"].to_numpy(), return_index=True, return_inverse=True)
-        sets = np.frombuffer(b"".join(frame["shingles"].iloc[one]), np.uint64).reshape(len(names), -1).copy()
+        sets = np.frombuffer(b"".join(frame["shingles"].iloc[one]), np.uint32).reshape(len(names), -1).astype(np.uint64)
         sets.sort(axis=1)
         again = np.zeros(sets.shape, bool)
         again[:, 1:] = sets[:, 1:] == sets[:, :-1]
         sizes = (~again).sum(axis=1)
-        sets[again] = mixed(np.flatnonzero(again.ravel()).astype(np.uint64) ^ _SEEDS[0])  # equal to nothing else
+        sets[again] = np.flatnonzero(again.ravel()).astype(np.uint64) + np.uint64(1 << 32)  # equal to nothing else
         parent = local_roots(len(names))
         bucket, side = frame["bucket"].to_numpy(), frame["side"].to_numpy()
         side = np.where(side >= 0, side, -1 - np.arange(len(side)))  # all pairs of a whole bucket count
@@ -179,11 +181,14 @@ def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         own = Passages(texts, words)
         shared = np.concatenate([a[0].astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, a in told[0].items()] or [np.zeros(0, np.uint64)])
         name = (own.keys & np.uint64(0xFFFFFFFF)) | bucket_of(own.keys).astype(np.uint64) << np.uint64(32)
-        some = np.flatnonzero(np.isin(name, shared).any(axis=1))
+        shared.sort()
+        held = np.append(shared, np.uint64(0))
+        some = np.flatnonzero((held[np.searchsorted(shared, name)] == name).any(axis=1) & (len(shared) > 0))
         _, first = np.unique(own.name[some], return_index=True)
+        short = (own.shingles >> np.uint64(32)).astype(np.uint32)
         whole = np.zeros(len(some), bool)  # a passage is described once a chunk
         whole[first] = True
-        return pd.DataFrame({"name": own.name[some].view(np.int64), "doc": ids[own.owner[some]], "start": own.start[some], "shingles": [own.shingles[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], "keys": [own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())]})
+        return pd.DataFrame({"name": own.name[some].view(np.int64), "doc": ids[own.owner[some]], "start": own.start[some], "shingles": [short[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], "keys": [own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())]})
 
     found = stored(resumed(chunks, [heard], candidates, "name long, doc long, start long, shingles binary, keys array<long>"))
     distinct = stored(found.filter("shingles is not null").groupBy("name").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
