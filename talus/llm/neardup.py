@@ -133,5 +133,6 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
             break
     else:
         roots = components(_pairs(left, similarity))
-        lost = lost.unionByName(_lost(left.join(roots, left["rid"] == roots["node"]).select(F.col("root").alias("g"), "rid", "id")))
+        gone = _lost(left.join(roots, left["rid"] == roots["node"]).select(F.col("root").alias("g"), "rid", "id"))
+        lost = gone if lost is None else lost.unionByName(gone)
     return rows.join(stored(lost).withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid", "_id").select(*docs.columns)
