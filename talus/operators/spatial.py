@@ -12,17 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import EARTH_MI, cell, cell_reach, haversine
+from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, cell_reach, haversine
 
-CELL = 0.05
+LEAST_CELL = 0.001
 
 
-def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float = CELL, radius: float = EARTH_MI, max_lat: float = 60.0) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI, max_lat: float = 60.0) -> DataFrame:
     """Rows of left (lat, lng, ...) with each row of right within ``miles``, and distance_raw.
 
     Both sides need lat and lng; right's columns other than these must differ from left's.
-    Right is bucketed once; left probes every cell that overlaps its radius.
+    Right is bucketed once; left probes every cell that overlaps its radius. Cells are as
+    wide as the radius unless ``size`` is given: wider ones hold more strangers, narrower
+    ones take more probes.
     """
+    size = size or max(LEAST_CELL, miles / MILES_PER_DEGREE)
     up, over = cell_reach(miles, size, max_lat)
     probes = left.withColumn("_r", F.explode(F.sequence(cell(F.col("lat"), size) - up, cell(F.col("lat"), size) + up))).withColumn("_c", F.explode(F.sequence(cell(F.col("lng"), size) - over, cell(F.col("lng"), size) + over)))
     held = right.withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"})
@@ -31,26 +34,34 @@ def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float = C
     return near.filter(F.col("distance_raw") <= miles).drop("_r", "_c")
 
 
-def near_path(vertices: DataFrame, points: DataFrame, miles: float, stride: int = 1, path: str = "path_id", seq: str = "seq", point: str = "id", size: float = CELL) -> DataFrame:
+def near_path(vertices: DataFrame, points: DataFrame, miles: float, stride: int = 1, path: str = "path_id", seq: str = "seq", point: str = "id", size: float | None = None, limits: tuple[dict[str, float], float | None] | None = None) -> DataFrame:
     """For each path and point within ``miles`` of a sampled vertex, the nearest such vertex.
 
     Vertices are sampled at seq % stride = 0. distance_mi is rounded to three places; the
     first vertex wins ties. One row a pair survives a partial aggregation, so a point near
-    many vertices of a path is not carried on.
+    many vertices of a path is not carried on. With ``limits`` (radii by kind, default) rows
+    beyond their kind's radius are left out early; within_kind() then decides exactly.
     """
     near = radius_join(vertices.filter(F.col(seq) % stride == 0), points, miles, size)
+    if limits is not None:  # what its kind's radius rules out by any rounding needn't be grouped
+        near = near.filter(F.col("distance_raw") <= kind_limit(*limits) + 0.001)
     near = near.withColumn("distance_mi", F.round("distance_raw", 3))
     rest = [c for c in points.columns if c not in (point, "lat", "lng")]
     best = near.groupBy(path, point).agg(F.min(F.struct("distance_mi", seq, *rest, "r_lat", "r_lng")).alias("b"))
     return best.select(path, point, F.col("b.distance_mi").alias("distance_mi"), F.col(f"b.{seq}").alias(seq), *[F.col(f"b.{c}").alias(c) for c in rest], F.col("b.r_lat").alias("lat"), F.col("b.r_lng").alias("lng"))
 
 
-def within_kind(near: DataFrame, limits: dict[str, float], default: float | None) -> DataFrame:
-    """Rows whose rounded distance is within their kind's own radius; kinds without one use default."""
+def kind_limit(limits: dict[str, float], default: float | None) -> Column:
+    """The radius of a row's kind."""
     limit = F.lit(default).cast("double")
     for kind, miles in limits.items():
         limit = F.when(F.col("kind") == kind, miles).otherwise(limit)
-    return near.filter(F.col("distance_mi") <= limit)
+    return limit
+
+
+def within_kind(near: DataFrame, limits: dict[str, float], default: float | None) -> DataFrame:
+    """Rows whose rounded distance is within their kind's own radius; kinds without one use default."""
+    return near.filter(F.col("distance_mi") <= kind_limit(limits, default))
 
 
 def nearest_per(near: DataFrame, keys: list[str], k: int = 1, order: list | None = None) -> DataFrame:

@@ -52,9 +52,9 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["radius_join"] = f"SELECT v.id AS trail_id, p.id, p.kind, round({V_P}, 3) AS distance_mi FROM trails v JOIN pois p ON {V_P} <= 0.5"
 
 
-def _near(spark: SparkSession, sf_dir: str, points: str, name: str, miles: float, stride: int) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, points: str, name: str, miles: float, stride: int, limits: tuple | None = None) -> DataFrame:
     p = load(spark, sf_dir, points).select("id", F.col(name).alias("name"), "kind", "lat", "lng")
-    return spatial.near_path(paths(spark, sf_dir), p, miles, stride)
+    return spatial.near_path(paths(spark, sf_dir), p, miles, stride, limits=limits)
 
 
 def near_sql(points: str, name: str, miles: float, stride: int) -> str:
@@ -75,7 +75,7 @@ SQL["near_path"] = f"WITH {near_sql('pois', 'poi_name', 0.5, 3)} SELECT path_id,
 @query
 def nearest_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest access point of each kind within the kind's own radius."""
-    near = spatial.within_kind(_near(spark, sf_dir, "access_points", "point_name", 1.0, 4), ACCESS_RADII, None)
+    near = spatial.within_kind(_near(spark, sf_dir, "access_points", "point_name", 1.0, 4, (ACCESS_RADII, None)), ACCESS_RADII, None)
     return spatial.nearest_per(near, ["path_id", "kind"]).select("path_id", "kind", "id", "name", "distance_mi")
 
 
@@ -86,7 +86,7 @@ SELECT path_id, kind, id, name, distance_mi FROM (SELECT *, row_number() OVER (P
 @query
 def scenery_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features on each path: their kinds, and the 25 nearest in order."""
-    near = spatial.within_kind(_near(spark, sf_dir, "pois", "poi_name", 0.5, 3), SCENERY_RADII, 0.25)
+    near = spatial.within_kind(_near(spark, sf_dir, "pois", "poi_name", 0.5, 3, (SCENERY_RADII, 0.25)), SCENERY_RADII, 0.25)
     top = spatial.nearest_per(near, ["path_id"], 25)
     tags = near.groupBy("path_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("kind"))).alias("features"), F.count(F.lit(1)).alias("n"))
     first = top.groupBy("path_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("distance_mi", "id"))), lambda x: x["id"].cast("string"))).alias("nearby"))
