@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.geo import EARTH_MI, haversine
+from talus.operators.lineage import cut
 from talus.operators.lines import steps
 from talus.operators.spatial import radius_join
 
@@ -171,12 +172,13 @@ def component_labels(edge: DataFrame, rounds: int = 50) -> DataFrame:
     Halving the distance each round keeps rounds logarithmic; lineage is cut by checkpoint().
     """
     both = edge.select("src", "dst").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).withColumnRenamed("src", "node").checkpoint()
+    label = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).withColumnRenamed("src", "node")
+    label = cut(label)
     for _ in range(rounds):
         near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("label").alias("other"))
         new = label.join(near, label["node"] == near["src"], "left").select("node", F.least("label", F.coalesce("other", "label")).alias("label"))
         up = new.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = new.join(up, "label", "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label")).checkpoint()
+        new = cut(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label")))
         if new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count() == 0:
             return new
         label = new

@@ -7,12 +7,12 @@ only computed for neighbours. A cell that holds many points is split by AQE's sk
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, cell_reach, haversine
+from talus.operators.lineage import cut
 
 LEAST_CELL = 0.001
 
@@ -123,25 +123,19 @@ def merge_points(primary: DataFrame, supplement: DataFrame, miles: float = 0.3,
 
     Rows (id, kind, name, lat, lng, ord) repeat each other when of one kind, within
     ``miles``, and of the same name or one without a name. Against primary this is an anti
-    join. Within supplement acceptance depends on order, so rows linked to each other,
-    directly or through others, are settled together; unlinked rows never leave the plan.
+    join. Within supplement a row is accepted if no accepted earlier row repeats it. Each
+    round accepts the rows that no undecided earlier row repeats and drops their
+    repeats, so rounds are few however many rows there are, and no group meets in one task.
     """
     same = F.col("a_kind").eqNullSafe(F.col("kind")) & (F.col("a_name").isNull() | F.col("name").isNull() | (F.lower("a_name") == F.lower("name")))
-    probe = supplement.select(F.col("id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "lat", "lng")
-    taken = radius_join(probe, primary.select("id", "kind", "name", "lat", "lng"), miles, size).filter(same).select(F.col("a_id").alias("id")).distinct()
-    rest = supplement.join(taken, "id", "left_anti")
-    probe = rest.select(F.col("id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "lat", "lng")
-    links = radius_join(probe, rest.select("id", "ord", "kind", "name", "lat", "lng"), miles, size).filter(same & (F.col("a_ord") > F.col("ord"))).select("a_id", "a_ord", "id", "ord")
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for later, earlier in rows.sort_values(["a_ord", "ord"])[["a_id", "id"]].itertuples(index=False):
-            if earlier not in gone:
-                gone.add(later)
-        return pd.DataFrame({"id": list(gone)}, columns=["id"])
-
-    # links never join different kinds, nor rows a kilometre apart: a coarse cell chain per kind bounds a task
-    grouped = links.join(rest.select(F.col("id"), F.col("kind")), "id")
-    kind = dict(rest.dtypes)["id"]
-    gone = grouped.groupBy("kind").applyInPandas(lambda rows: settle(rows), f"id {kind}")
-    return primary.unionByName(rest.join(gone, "id", "left_anti"), allowMissingColumns=True)
+    probe = lambda df: df.select(F.col("id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "lat", "lng")
+    taken = radius_join(probe(supplement), primary.select("id", "kind", "name", "lat", "lng"), miles, size).filter(same).select(F.col("a_id").alias("id")).distinct()
+    rest = cut(supplement.join(taken, "id", "left_anti"))
+    later = radius_join(probe(rest), rest.select("id", "ord", "kind", "name", "lat", "lng"), miles, size).filter(same & (F.col("a_ord") > F.col("ord")))
+    links = cut(later.select(F.col("a_id").alias("later"), F.col("id").alias("earlier")).distinct())
+    while links.limit(1).count():
+        first = links.select("earlier").distinct().join(links.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
+        repeats = cut(links.join(first, "earlier").select("later").distinct())
+        rest = rest.join(repeats.withColumnRenamed("later", "id"), "id", "left_anti")
+        links = cut(links.join(repeats, "later", "left_anti").join(repeats.withColumnRenamed("later", "earlier"), "earlier", "left_anti"))
+    return primary.unionByName(rest, allowMissingColumns=True)

@@ -354,16 +354,9 @@ SQL["nearest_node"] = f"SELECT p.id AS request_id, arg_min(n.node, struct_pack(d
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected parts of the graph of nearby access points."""
     ends = load(spark, sf_dir, "access_points").select(F.col("id").alias("node"), "lat", "lng")
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_dir())
     return graph.component_labels(graph.stitches(ends, 0.2).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _local_dir() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="talus-checkpoint-")
-
-
 SQL["components"] = f"""WITH RECURSIVE e AS (SELECT x.id AS src, y.id AS dst FROM access_points x JOIN access_points y ON x.id <> y.id AND {_S} <= 0.2),
 r AS (SELECT src AS node, src AS other FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.other)
 SELECT node, min(other) AS label FROM r GROUP BY node"""
