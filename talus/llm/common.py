@@ -182,6 +182,14 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_sample(df: DataFrame, rows: int, *key: Column | str) -> DataFrame:
     """About ``rows`` rows, or all if fewer, chosen by a hash of ``key``; the same ones each time."""
     n = df.count()

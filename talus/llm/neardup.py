@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, prefix_hash, span_hash, stored, unite, word_spans
+from .common import components, local_roots, prefix_hash, span_hash, stored, unite, unused, word_spans
 from .simhash import fingerprint, grouped
 
 SHINGLE, SIMILARITY, BUDGET, HUB_ROUNDS, PART = 5, 0.8, 6, 2, 256
@@ -49,13 +49,13 @@ def distinct_words(text: str | None) -> str:
     return " ".join(dict.fromkeys((text or "").lower().split()))
 
 
-def _prints(rows: DataFrame, text: str) -> DataFrame:
+def _prints(rows: DataFrame) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(distinct_words(t.as_py()), 1) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["rid", "id", "fp"])
 
-    return rows.select("_rid", "_id", text).mapInArrow(hashed, "rid long, id long, fp long")
+    return rows.select("rid", "id", "text").mapInArrow(hashed, "rid long, id long, fp long")
 
 
 def _with_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,19 +109,21 @@ def _pairs(left: DataFrame, similarity: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates."""
-    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))))
-    found = stored(grouped(stored(_prints(rows, text)), budget, "rid"))
+    rid = unused(docs, "_rid")
+    whole = stored(docs.withColumn(rid, F.monotonically_increasing_id()))
+    rows = whole.select(F.col(rid).alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text).alias("text"))
+    found = stored(grouped(stored(_prints(rows)), budget, "rid"))
     several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
     members = found.join(several, "component_id")
-    left = stored(rows.select(F.col("_rid").alias("rid"), F.col(text).alias("text")).join(members, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary"))
+    left = stored(rows.select("rid", "text").join(members, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary"))
     lost = None
     for _ in range(HUB_ROUNDS):
         bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         most = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), *bits).filter("n > 1")
-        whole = F.lit(0).cast("long")
+        bitwise = F.lit(0).cast("long")
         for i in range(64):
-            whole = whole.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        most = most.select("component_id", whole.alias("most"))
+            bitwise = bitwise.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        most = most.select("component_id", bitwise.alias("most"))
         near = left.select("component_id", "rid", "fp").join(most, "component_id")
         hubs = near.groupBy("component_id").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "rid")).alias("h")).select(F.col("h.rid").alias("rid"))
         hubs = left.join(hubs, "rid").select("component_id", F.col("sh").alias("hub"))
@@ -135,4 +137,4 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
         roots = components(_pairs(left, similarity))
         gone = _lost(left.join(roots, left["rid"] == roots["node"]).select(F.col("root").alias("g"), "rid", "id"))
         lost = gone if lost is None else lost.unionByName(gone)
-    return rows.join(stored(lost).withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid", "_id").select(*docs.columns)
+    return whole.join(stored(lost).withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)

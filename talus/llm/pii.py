@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 KEY, ROUNDS = "change-me", 8
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -130,14 +130,15 @@ def pseudonym(key: str = KEY, rounds: int = ROUNDS) -> str:
     return f"case when contains(m, '@') then concat('u', substring(sha2(concat_ws('|', {_text(key)}, 'email', lower(m)), 256), 1, 16), '@example.invalid') {cases} else m end"
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """docs with ``text`` pseudonymised and ``n_replaced``; no shuffle, no Python."""
-    out = docs.withColumn("_hits", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
-    out = out.withColumn("_new", F.expr(f"if(size(_hits) > 0, transform(_hits, m -> {pseudonym(key, rounds)}), null)"))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_hits", "_new", lambda a, b: a != b), lambda x: x))
-    out = out.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)))
-    return out.withColumn("n_replaced", F.coalesce(F.when(F.col("_new").isNotNull(), changed), F.lit(0)).cast("int")).drop("_hits", "_new")
+def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: int = ROUNDS, count: str = "n_replaced") -> DataFrame:
+    """docs with ``text`` pseudonymised, and the number of replaced values as ``count``; no shuffle, no Python."""
+    hits, new = unused(docs, "_hits"), unused(docs, "_new")
+    out = docs.withColumn(hits, F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
+    out = out.withColumn(new, F.expr(f"if(size({hits}) > 0, transform({hits}, m -> {pseudonym(key, rounds)}), null)"))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x))
+    out = out.withColumn(text, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)))
+    return out.withColumn(count, F.coalesce(F.when(F.col(new).isNotNull(), changed), F.lit(0)).cast("int")).drop(hits, new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
