@@ -17,7 +17,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from .common import numbered, stored, table
 
 CAPACITY, END = 4096, 1
 _ODD = re.compile("[\x1c-\x1f]").search  # white space to str.split(), but not to the pre-tokenizer
+_LATIN = re.compile("[!-~\xa1-\xac\xae-\xff]+").fullmatch  # lower() is then all that normalising does
 
 
 class _Words(dict):
@@ -39,9 +40,34 @@ class _Words(dict):
         rest = (b for b in range(256) if b not in plain)
         self.letters = ({b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}).__getitem__
         self.tokenize = tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(1 << 16)]
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize("".join(map(self.letters, word.encode())))])
+        got = self[word] = b"".join([self.packed[t.id] for t in self.tokenize(word if word.isascii() else "".join(map(self.letters, word.encode())))])
+        return got
+
+
+class _Parts(dict):
+    """ids of the parts of texts between white space."""
+
+    def __init__(self, tokenizer, pattern: str):
+        import regex
+
+        self.words, self.cut, self.normal = _Words(tokenizer.model.tokenize), regex.compile(pattern).findall, tokenizer.normalizer.normalize_str
+        self.tokenizer = tokenizer
+
+    def full(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if _LATIN(part):
+            low = part.lower()
+            got = self.words[low] if low.isalpha() else b"".join([self.words[w] for w in self.cut(low)])
+        elif part.isprintable():
+            got = b"".join([self.words[w] for w in self.cut(self.normal(part))])
+        else:
+            got = self.full(part)
+        self[part] = got
         return got
 
 
@@ -54,42 +80,26 @@ class CachedTokenizer:
     tracks; any other part is encoded in full. Both caches are emptied at ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        import regex
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.limit, self.known, self.words = limit, {}, _Words(self.tokenizer.model.tokenize)
-
-    def _full(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        words, normal = self.words, self.tokenizer.normalizer.normalize_str
-        for p in parts:
-            if p.isprintable():
-                self.known[p] = b"".join([words[w] for w in self.cut(p.lower() if p.isascii() else normal(p))])
-            else:
-                self.known[p] = self._full(p)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.limit, self.known = limit, _Parts(tokenizer, steps[0]["pattern"]["Regex"])
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        known = self.known
         for text in texts:
             if text and _ODD(text):
-                yield self._full(text)
+                yield known.full(text)
                 continue
-            parts = (text or "").split()
-            new = set(parts).difference(self.known)
-            if len(self.known) + len(new) > self.limit or len(self.words) > self.limit:
-                self.known.clear()
-                self.words.clear()
-                new = set(parts)
-            self._learn(new)
-            yield b"".join(map(self.known.__getitem__, parts))
+            if len(known) > self.limit or len(known.words) > self.limit:
+                known.clear()
+                known.words.clear()
+            yield b"".join(map(known.__getitem__, (text or "").split()))
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
