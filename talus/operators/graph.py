@@ -120,6 +120,13 @@ def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_m
     return asked.join(found, "request_id", "left").select("request_id", status.alias("status"), F.when(F.col("source") == F.col("target"), 0.0).otherwise(F.col("miles")).alias("miles"), "path")
 
 
+def composed(found: DataFrame, out_and_back: bool = True) -> DataFrame:
+    """Whole hikes from one-way routes (miles, gain_ft, loss_ft): the way back climbs what the way out came down."""
+    times = 2 if out_and_back else 1
+    gain = F.col("gain_ft") + (F.coalesce("loss_ft", F.lit(0)) if out_and_back else F.lit(0))
+    return found.withColumn("total_miles", F.round(F.col("miles") * times, 2)).withColumn("total_gain_ft", gain).withColumn("route_type", F.lit("out-and-back" if out_and_back else "point-to-point"))
+
+
 def leg_runs(route: DataFrame) -> DataFrame:
     """(route_id, leg, name, miles, edges): consecutive edges (route_id, seq, name, miles) of one name.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.sources import area_key
+
 
 def majority(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value): the commonest non-null value, ties to the one seen first.
@@ -56,3 +58,18 @@ def largest_of_each(rows: DataFrame, keys: list[str], size: Column, order: str)
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Keyed upsert: the last row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+
+
+def link_permits(trails: DataFrame, permits: DataFrame) -> DataFrame:
+    """Adds permit_id and permit_name: the first permit (id, name, ord) whose name holds the trail's area.
+
+    Permits meet the distinct areas, not the trails, on the first word of the area's
+    distinctive name, and the whole of it is then looked for.
+    """
+    areas = trails.select(F.col("area_name").alias("_area")).filter("_area is not null").distinct().withColumn("_key", area_key(F.col("_area"))).filter("_key <> ''")
+    areas = areas.withColumn("_word", F.split_part("_key", F.lit(" "), F.lit(1)))
+    heard = permits.select("id", "name", "ord", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("_word"))
+    found = areas.join(heard, "_word").filter(F.contains(F.lower("name"), F.col("_key")))
+    first = found.groupBy("_area").agg(F.min(F.struct("ord", "id", "name")).alias("_p"))
+    out = trails.join(first, trails["area_name"] == first["_area"], "left")
+    return out.withColumn("permit_id", F.col("_p.id")).withColumn("permit_name", F.col("_p.name")).drop("_area", "_p")

@@ -118,3 +118,28 @@ def test_distances(spark):
     got = [r[0] for r in df.select(geo.haversine(*(F.col(x) for x in "abcd"))).collect()]
     assert got[0] == pytest.approx(3958.8 * math.radians(1)) and got[1] == pytest.approx(3958.8 * math.pi) and got[2] is None
     assert geo.box_tiles(0, 0, 1, 2, 0.5)[2:] == (2, 4) and geo.box_tiles(0, 0, 0.3, 0.1, 0.1)[2:] == (3, 1)
+
+
+def test_source_kinds(spark):
+    from talus.functions import sources
+
+    rows = [{"natural": "volcano"}, {"natural": "water"}, {"waterway": "waterfall", "natural": "water"}, {"tourism": "camp_site", "backcountry": "yes"}, {"tourism": "camp_site"}, {"amenity": "parking", "name": "Lot"}, {"amenity": "parking", "name": "North Trailhead"}, {}]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t map<string, string>")
+    got = df.select("i", sources.scenery_kind(F.col("t")).alias("s"), sources.access_kind(F.col("t")).alias("a")).orderBy("i").collect()
+    assert [r.s for r in got] == ["peak", "lake", "waterfall", None, None, None, None, None]
+    assert [r.a for r in got] == [None, None, None, "backcountry_camp", "campground", None, "trailhead", None]
+
+
+def test_uses_and_usable_rows(spark):
+    from talus.functions import sources
+
+    assert one(spark, ["Hiker/Pedestrian| bicycle|Dancing", None], sources.park_uses) == [{"hiking": True, "bike": True}, {}]
+    df = spark.createDataFrame([({"atv_managed": "06/01-09/30"},), ({"atv_restricted": "yes"},), ({"atv_managed": "N/A"},)], "p map<string, string>")
+    got = [r.u for r in df.select(sources.use_state(F.col("p"), "atv").alias("u")).collect()]
+    assert (got[0].allowed, got[0].restricted, got[0].season.months) == (True, None, [6, 7, 8, 9]) and (got[1].allowed, got[1].restricted) == (None, True) and got[2] is None
+    df = spark.createDataFrame([("SNOW", None, None, None), (None, "Snow", None, None), (None, None, None, True), (None, None, True, True), (None, None, None, None)], "t string, s string, a boolean, r boolean")
+    assert [r.h for r in df.select(sources.hikeable(*(F.col(c) for c in "tsar")).alias("h")).collect()] == [False, False, False, True, True]
+    df = spark.createDataFrame([("Rim", {}, 2), (" (no access)", {}, 2), ("No Name 026", {}, 5), ("A", {"footway": "Sidewalk"}, 2), ("A", {"service": "driveway"}, 2), ("A", None, 1), (None, None, 3)], "n string, t map<string, string>, v int")
+    assert [r.u for r in df.select(sources.usable_way(F.col("n"), F.col("t"), F.col("v")).alias("u")).collect()] == [True] + [False] * 6
+    df = spark.createDataFrame([("Open", "YOSE"), (None, "YOSE"), ("Proposed", "YOSE"), ("Open", None)], "s string, u string")
+    assert [r.o for r in df.select(sources.open_in(F.col("s"), F.col("u"), ["YOSE"]).alias("o")).collect()] == [True, True, False, False]

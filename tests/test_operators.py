@@ -252,3 +252,15 @@ def test_merged_legs_keep_the_distance(legs):
     assert sum(m for _, m in done) == pytest.approx(sum(m for _, m in legs) / 100)
     assert all(a[0] != b[0] for a, b in zip(done, done[1:]))
     assert len(done) == 1 or min(m for _, m in done) >= graph.SHORT_LEG_MI
+
+
+def test_permits_by_area_name(spark):
+    trails = spark.createDataFrame([(1, "Desolation Wilderness"), (2, "Ansel Adams Wilderness"), (3, None)], "id long, area_name string")
+    permits = spark.createDataFrame([("p0", "Inyo National Forest - Wilderness Permits", 0), ("p1", "Desolation Wilderness Permit", 1), ("p2", "Desolation Wilderness Day Use", 2)], "id string, name string, ord long")
+    assert {r.id: r.permit_id for r in merge.link_permits(trails, permits).collect()} == {1: "p1", 2: None, 3: None}
+
+
+def test_composed_hikes(spark):
+    df = spark.createDataFrame([(4.0, 1000, 200), (4.0, None, 200)], "miles double, gain_ft int, loss_ft int")
+    assert [(r.total_miles, r.total_gain_ft) for r in graph.composed(df).collect()] == [(8.0, 1200), (8.0, None)]
+    assert graph.composed(df, False).first().total_gain_ft == 1000
