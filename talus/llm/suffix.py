@@ -372,3 +372,26 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), p AS (
+  SELECT doc_id, n, b, substr(h, 512 * b + 1, {512 + 2 * LENGTH}) AS part FROM (SELECT *, unnest(range(0, (greatest(n - {LENGTH - 1}, 0) + 255) // 256)) AS b FROM d)
+), w AS (
+  SELECT doc_id, 256 * b + j AS i, md5_number(substr(part, 2 * j + 1, {2 * LENGTH})) AS g FROM (SELECT *, unnest(range(0, least(256, n - {LENGTH - 1} - 256 * b))) AS j FROM p)
+), s AS (
+  SELECT w.doc_id, i FROM w JOIN (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)) f ON f.g = w.g WHERE m < w.doc_id
+), r AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true) AS new FROM s
+), q AS (
+  SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT doc_id, i, sum(new::int) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k
+), e AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM q
+), k AS (
+  SELECT e.doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, cast(coalesce(gone, 0) AS bigint) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
