@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import bounded_sample, sliced, table
 
-SAMPLE_ROWS, WORDS, GRAMS, LONGEST, BACKOFF = 20_000, 30_000, 20_000, 5, 0.4
+SAMPLE_ROWS, WORDS, GRAMS, LONGEST, BACKOFF = 20_000, 20_000, 8_000, 5, 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 
 

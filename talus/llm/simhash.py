@@ -64,8 +64,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", t
     return docs.select(F.col(key), F.col(text)).mapInArrow(hashed, f"`{key}` {kind}, fp long")
 
 
-def masks(budget: int, distinct: int, fill: int = 256) -> list[int]:
-    """Bits to agree on, one mask a table: the smallest r that leaves about ``fill`` fingerprints a bucket."""
+def masks(budget: int, distinct: int, fill: int = 1024) -> list[int]:
+    """Bits to agree on, one mask a table: the smallest r that leaves about ``fill`` fingerprints a bucket.
+
+    Comparing a fingerprint with a thousand others costs less than a row for each of the tables
+    that a larger r needs.
+    """
     for r in range(1, 5):
         blocks = np.array_split(np.arange(64), budget + r)
         if distinct >> min(sum(len(b) for b in c) for c in combinations(blocks, r)) <= fill:
