@@ -5,9 +5,11 @@ shingles only by luck: they differ in about ten of 64 bits. Over the distinct wo
 same documents differ in four or five, so the components of the trie self-join over
 fingerprints of distinct words are the candidates, and five-word shingles decide. In two
 rounds each component's hub, the document nearest to the bitwise majority of its
-fingerprints, takes all documents at or above the similarity; what is left, mostly
-nothing, is compared pair by pair in blocks. Of each group the document with the smallest
-id stays. No round needs a component in one place.
+fingerprints, takes all documents at or above the similarity; documents within twice that
+distance of the hub are compared with those taken, which by the triangle inequality finds
+every other link to them. What is left, mostly nothing, is compared pair by pair in
+blocks. Of each group that links connect the document with the smallest id stays. No round
+needs a component in one place.
 
 Defined results: null and empty texts are equal to each other; a text of fewer words than
 a shingle is one shingle; of rows with equal ids any one may stay; other columns pass
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, local_roots, prefix_hash, span_hash, stored, unite, unused, word_spans
@@ -64,12 +66,12 @@ def _with_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _near(similarity: float):
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x == y or jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in zip(a, b)], dtype=bool)
+def _similar(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if x == y else jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype=float)
 
-    return near
+    return similar(a, b)
 
 
 def _lost(groups: DataFrame) -> DataFrame:
@@ -78,12 +80,34 @@ def _lost(groups: DataFrame) -> DataFrame:
     return groups.join(kept, "g").filter("rid <> first.rid").select("rid")
 
 
+def _parts(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias(name))
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, own: str, against: str) -> DataFrame:
+    """Rows with their part of ``own`` parts, once for each of ``against`` parts they meet."""
+    rows = rows.join(sizes, "component_id").withColumn("part", F.pmod(F.xxhash64("sh"), F.col(own)).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(against) - 1)))
+
+
 def _pairs(left: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links between the rids of each component, in blocks of PART by PART rows."""
-    sizes = left.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    spread = left.join(sizes, "component_id").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("rid", "sh", F.xxhash64("component_id", F.least("part", "other"), F.greatest("part", "other")).alias("block"), F.when(F.col("part") != F.col("other"), F.col("part")).otherwise(-1).alias("side"))
+    spread = _dealt(left, _parts(left, "parts"), "parts", "parts")
+    block = F.xxhash64("component_id", F.least("part", "other"), F.greatest("part", "other"))
+    side = F.when(F.col("part") != F.col("other"), F.col("part")).otherwise(-1)
+    return _blocks(spread.select("rid", "sh", block.alias("block"), side.alias("side")), similarity)
+
+
+def _across(border: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links of border rows with members of the same component, in blocks."""
+    sizes = _parts(border, "near").join(_parts(members, "far"), "component_id")
+    border = _dealt(border, sizes, "near", "far").select("rid", "sh", F.xxhash64("component_id", "part", "other").alias("block"), F.lit(0).alias("side"))
+    members = _dealt(members, sizes, "far", "near").select("rid", "sh", F.xxhash64("component_id", "other", "part").alias("block"), F.lit(1).alias("side"))
+    return _blocks(border.unionByName(members), similarity)
+
+
+def _blocks(spread: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): edges that connect what links of rows of different sides connect, block by block."""
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint32) for s in rows["sh"]]
@@ -116,8 +140,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
     several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
     members = found.join(several, "component_id")
     left = stored(rows.select("rid", "text").join(members, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary"))
-    lost = None
-    for _ in range(HUB_ROUNDS):
+    labels, edges = left.select("rid", "id", F.col("rid").alias("g")), None
+    for k in range(HUB_ROUNDS):
         bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         most = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), *bits).filter("n > 1")
         bitwise = F.lit(0).cast("long")
@@ -126,15 +150,31 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
         most = most.select("component_id", bitwise.alias("most"))
         near = left.select("component_id", "rid", "fp").join(most, "component_id")
         hubs = near.groupBy("component_id").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "rid")).alias("h")).select(F.col("h.rid").alias("rid"))
-        hubs = left.join(hubs, "rid").select("component_id", F.col("sh").alias("hub"))
-        judged = stored(left.join(hubs, "component_id").select("rid", "id", "fp", "component_id", F.when(~_near(similarity)("sh", "hub"), F.col("sh")).alias("sh")))
-        gone = _lost(judged.filter("sh is null").select(F.col("component_id").alias("g"), "rid", "id"))
-        lost = gone if lost is None else lost.unionByName(gone)
-        left = judged.filter("sh is not null")
+        hubs = left.join(hubs, "rid").select("component_id", F.col("rid").alias("hub"), F.col("sh").alias("hub_sh"))
+        judged = left.join(hubs, "component_id").withColumn("j", _similar("sh", "hub_sh"))
+        judged = stored(judged.select("rid", "id", "fp", "component_id", "hub", "j", F.when(F.col("j") < similarity, F.col("sh")).alias("sh")))
+        taken, rest = judged.filter(F.col("j") >= similarity), judged.filter(F.col("j") < similarity)
+        if k == 0:
+            labels = judged.select("rid", "id", F.when(F.col("j") >= similarity, F.col("hub")).otherwise(F.col("rid")).alias("g"))
+        else:
+            edges = _added(edges, taken.select(F.col("rid").alias("u"), F.col("hub").alias("v")))
+        # Jaccard distance is a metric: a link to a taken row spans at most twice the distance to the hub
+        border = rest.filter(F.col("j") >= 2 * similarity - 1 - 1e-9)
+        if border.limit(1).count():
+            nearest = border.groupBy("component_id").agg(F.max("j").alias("best"))
+            others = taken.filter("j < 1").join(nearest, "component_id").filter(F.col("j") <= F.col("best") + 1 - similarity + 1e-9)
+            others = left.select("rid", "sh").join(others.select("rid", "component_id", "hub"), "rid").groupBy("component_id", "hub", "sh").agg(F.count(F.lit(1)).alias("n"))
+            edges = _added(edges, _across(border.select("component_id", "rid", "sh"), others.select("component_id", F.col("hub").alias("rid"), "sh"), similarity))
+        left = rest.drop("hub", "j")
         if left.limit(1).count() == 0:
             break
     else:
-        roots = components(_pairs(left, similarity))
-        gone = _lost(left.join(roots, left["rid"] == roots["node"]).select(F.col("root").alias("g"), "rid", "id"))
-        lost = gone if lost is None else lost.unionByName(gone)
-    return whole.join(stored(lost).withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
+        edges = _added(edges, _pairs(left, similarity))
+    if edges is not None:
+        roots = components(edges)
+        labels = labels.join(roots, labels["g"] == roots["node"], "left").select("rid", "id", F.coalesce("root", "g").alias("g"))
+    return whole.join(stored(_lost(labels)).withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
+
+
+def _added(edges: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if edges is None else edges.unionByName(more)

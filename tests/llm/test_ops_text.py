@@ -303,6 +303,27 @@ def test_one_of_each_group(spark, monkeypatch, rounds):
         assert sorted(r.component_id for r in kept) == sorted({x for _, _, x in docs})
 
 
+@pytest.mark.parametrize("rounds, part", [(1, 256), (2, 256), (2, 8)])
+def test_one_of_each_chain(spark, monkeypatch, rounds, part):
+    """Chains of edits that keep the words, so all are candidates: groups are those of all pairs."""
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "PART", part)
+    rd, texts = random.Random(12), []
+    for _ in range(3):
+        words = [f"w{i}" for i in range(120)]
+        rd.shuffle(words)
+        for _ in range(30):
+            for _ in range(rd.choice([0, 1, 1, 2, 5])):
+                i, j = rd.randrange(120), rd.randrange(120)
+                words[i], words[j] = words[j], words[i]
+            texts.append(" ".join(words))
+    rd.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(roots(len(texts), pairs)) and len(pairs) > 40
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
