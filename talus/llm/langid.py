@@ -17,10 +17,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,28 +39,33 @@ def held_out():
 
 
 class Model:
-    """Log frequencies by language: of words, and of n-grams by length."""
-
-    def __init__(self, counts: dict[int, dict[str, dict[str, int]]]):
-        """counts: by length (0: whole words), by token, by language."""
-        self.langs = sorted({lang for table in counts.values() for own in table.values() for lang in own})
-        self.index: dict[str, int] = {}
-        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        rows = [np.zeros(len(self.langs))]
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        for n, tokens in sorted(counts.items()):
-            total = Counter()
-            for own in tokens.values():
-                total.update(own)
-            floor = np.array([0.5 / (total[lang] + 0.5 * len(tokens) + 1) for lang in self.langs])
-            for token, own in tokens.items():
-                (self.grams[n] if n else self.index)[token] = len(rows)
-                rows.append(np.log(floor * (1 + 2 * np.array([own.get(lang, 0) for lang in self.langs]))))
-        self.rows = np.array(rows, np.float32)
+    """Log frequencies by language: of words, and of n-grams by length.
+
+    Holds the tokens as Arrow columns and the frequencies as a matrix, a row a token; the
+    lookup tables are built where texts are scored, so the driver never has them.
+    """
+
+    def __init__(self, langs: list[str], tokens: dict[int, pa.Array], counts: dict[int, np.ndarray]):
+        """tokens and counts (a row a token, a column a language) by length; length 0: whole words."""
+        self.langs, self.tokens = langs, tokens
+        rows = [np.zeros((1, len(langs)), np.float32)]
+        for n in tokens:
+            floor = 0.5 / (counts[n].sum(axis=0) + 0.5 * len(tokens[n]) + 1)
+            rows.append(np.log(floor * (1 + 2 * counts[n])).astype(np.float32))
+        self.rows = np.concatenate(rows)
+
+    @cached_property
+    def grams(self) -> list[dict[str, int]]:
+        """Row numbers by token, a table a length."""
+        tables, at = [{} for _ in range(LONGEST + 1)], 1
+        for n, tokens in self.tokens.items():
+            tables[n] = dict(zip(tokens.to_pylist(), range(at, at + len(tokens))))
+            at += len(tokens)
+        return tables
 
     def pieces(self, word: str) -> list[int]:
         """Row numbers for a word: its own, or those of its longest known n-grams."""
-        if (row := self.index.get(word)) is not None:
+        if (row := self.grams[0].get(word)) is not None:
             return [row]
         found, at, end = [], 0, len(word)
         while at < end:
@@ -120,10 +127,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, words: int = WORDS,
     sums = sums.filter((F.col("n") > 0) | (F.col("c") > 1))  # a word seen once is left to its n-grams
     limit = F.when(F.col("n") == 0, words).otherwise(grams)
     top = sums.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "token"))).filter(F.col("_r") <= limit)
-    counts: dict[int, dict[str, dict[str, int]]] = {}
-    for lang, n, token, c in top.select("lang", "n", "token", "c").toPandas().itertuples(index=False):  # at most words + LONGEST * grams a language
-        counts.setdefault(int(n), {}).setdefault(token, {})[lang] = int(c)
-    return Model(counts)
+    found = top.select("lang", "n", "token", "c").toArrow()  # at most words + LONGEST * grams rows a language
+    langs = sorted(set(found["lang"].to_pylist()))
+    code, length, count = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy(), found["c"].to_numpy()
+    tokens, counts = {}, {}
+    for n in np.unique(length).tolist():
+        own = found["token"].filter(pa.array(length == n)).combine_chunks().dictionary_encode()
+        tokens[n], counts[n] = own.dictionary, np.zeros((len(own.dictionary), len(langs)), np.int64)
+        counts[n][own.indices.to_numpy(), code[length == n]] = count[length == n]
+    return Model(langs, tokens, counts)
 
 
 def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
