@@ -8,8 +8,15 @@ rounds each component's hub, the document nearest to the bitwise majority of its
 fingerprints, takes all documents at or above the similarity; documents within twice that
 distance of the hub are compared with those taken, which by the triangle inequality finds
 every other link to them. What is left, mostly nothing, is compared pair by pair in
-blocks. Of each group that links connect the document with the smallest id stays. No round
-needs a component in one place.
+blocks. No round needs a component in one place.
+
+Edits that change rare words move more than six bits, so links between the groups found
+are looked for among documents that agree in all of ``ROWS`` MinHash values over their
+five-word shingles in one of ``BANDS`` bands: at similarity 0.8 a pair meets with
+probability 1 - (1 - 0.8 ** 5) ** 30 = 99.9993 %. Pairs of keys of few documents are
+compared one by one, those of other keys in blocks: what lies outside a key's largest group
+with that group and with itself. Of each group that links connect the document with the
+smallest id stays.
 
 Defined results: null and empty texts are equal to each other; a text of fewer words than
 a shingle is one shingle; of rows with equal ids any one may stay; other columns pass
@@ -26,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, prefix_hash, span_hash, stored, unite, unused, word_spans
+from .common import components, local_roots, mixed, prefix_hash, span_hash, stored, unite, unused, word_spans
 from .simhash import fingerprint, grouped
 
 SHINGLE, SIMILARITY, BUDGET, HUB_ROUNDS, PART = 5, 0.8, 6, 2, 256
+BANDS, ROWS, FEW = 30, 5, 16
+_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -60,6 +69,29 @@ def _prints(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "id", "text").mapInArrow(hashed, "rid long, id long, fp long")
 
 
+def band_keys(sh: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of the ROWS least products of the shingles with its seeds."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(sh), 4096):
+        np.minimum(least, (sh[at : at + 4096].astype(np.uint64) * _SEEDS[:, None]).min(1), out=least)
+    least = mixed(least + _SEEDS).reshape(BANDS, ROWS)
+    return mixed((least * _SEEDS[:ROWS]).sum(1) + _SEEDS[::ROWS])
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """(rid, same, size, keys) of the rows that have shingles; ``same`` is equal for equal shingles."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            same = np.array([span_hash(prefix_hash(x), np.array([0]), np.array([len(x)]))[0] for x in sets], np.uint64)
+            keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same.view(np.int64)), size, keys], names=["rid", "same", "size", "keys"])
+
+    return rows.select("rid", "text").mapInArrow(made, "rid long, same long, size long, keys array<long>").filter("size > 0")
+
+
 def _with_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         frame["sh"] = [shingles(t).tobytes() for t in frame.pop("text")]
@@ -131,6 +163,32 @@ def _blocks(spread: DataFrame, similarity: float) -> DataFrame:
     return spread.groupBy("block").applyInPandas(compare, "u long, v long")
 
 
+def _missed(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the groups of labels (rid, g), of rows with a band in common."""
+    banded = _banded(rows).join(labels.select("rid", "g"), "rid")
+    # equal shingles are one group already
+    firsts = banded.groupBy("same").agg(F.min(F.struct("rid", "g", "size", "keys")).alias("x")).select("x.*")
+    keys = firsts.select("rid", "g", "size", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key", "n")
+    met = stored(keys.join(shared, "key"))
+    few, many = met.filter(F.col("n") <= FEW), met.filter(F.col("n") > FEW)
+    sets = rows.select("rid", "text").join(met.select("rid").distinct(), "rid").withColumns({"id": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "component_id": F.lit(0).cast("long")})
+    sets = stored(sets.select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary").select("rid", "sh"))
+    a, b = few.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "g", "size"))), few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "g", "size")))
+    pairs = a.join(b, "key").filter("rid_a < rid_b and g_a <> g_b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+    pairs = pairs.select("rid_a", "rid_b", "g_a", "g_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("rid").alias(f"rid_{side}"), F.col("sh").alias(f"sh_{side}")), f"rid_{side}")
+    edges = pairs.filter(_similar("sh_a", "sh_b") >= similarity).select(F.col("g_a").alias("u"), F.col("g_b").alias("v"))
+    if many.limit(1).count():
+        largest = many.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "g")).alias("x")).select("key", F.col("x.g").alias("most"))
+        many = many.select("key", "rid", "g").join(largest, "key").join(sets, "rid")
+        many = stored(many.select(F.col("key").alias("component_id"), F.col("g").alias("rid"), "sh", (F.col("g") == F.col("most")).alias("inside")))
+        outside = many.filter("not inside").drop("inside")
+        edges = edges.unionByName(_pairs(outside, similarity)).unionByName(_across(outside, many.filter("inside").drop("inside"), similarity))
+    return edges.distinct()
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates."""
     rid = unused(docs, "_rid")
@@ -171,10 +229,17 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
     else:
         edges = _added(edges, _pairs(left, similarity))
     if edges is not None:
-        roots = components(edges)
-        labels = labels.join(roots, labels["g"] == roots["node"], "left").select("rid", "id", F.coalesce("root", "g").alias("g"))
+        labels = _joined(labels, edges)
+    labels = stored(rows.select("rid", "id").join(labels.select("rid", "g"), "rid", "left").select("rid", "id", F.coalesce("g", "rid").alias("g")))
+    labels = _joined(labels, _missed(rows, labels, similarity))
     return whole.join(stored(_lost(labels)).withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
 
 
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels with the groups that edges connect made one."""
+    roots = components(edges)
+    return labels.join(roots, labels["g"] == roots["node"], "left").select("rid", "id", F.coalesce("root", "g").alias("g"))
+
+
 def _added(edges: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if edges is None else edges.unionByName(more)

@@ -324,6 +324,23 @@ def test_one_of_each_chain(spark, monkeypatch, rounds, part):
     assert {r.doc_id for r in kept} == set(roots(len(texts), pairs)) and len(pairs) > 40
 
 
+@pytest.mark.parametrize("few", [16, 1])
+def test_one_of_each_beyond_the_bits(spark, monkeypatch, few):
+    """Links whose fingerprints differ in more bits than the budget; short texts, so an edit moves many."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rd, texts = random.Random(13), []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(60)]
+        texts += [" ".join(words), " ".join(words[rd.randint(1, 11) :]), " ".join(words + [f"g{g}x{i}" for i in range(rd.randint(1, 13))])]
+    texts += texts[:20]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [simhash.fingerprint(neardup.distinct_words(t), 1) for t in texts]
+    assert sum((int(prints[i]) ^ int(prints[j])).bit_count() > neardup.BUDGET for i, j in pairs) > 20
+    kept = neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(roots(len(texts), pairs))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
