@@ -12,7 +12,9 @@ ip      four octets: 32 bits
 date    yyyy-mm-dd, mm/dd/yyyy or dd.mm.yyyy from 1900 to 2099: a day of the same century
 email   not a number: the whole address becomes a keyed hash at example.invalid
 
-What looks alike but fails its validation stays as it is. The halves of each network are
+What looks alike but fails its validation stays as it is; where numbers of 13 digits and
+more stand side by side, cards are looked for at their separators, from left to right, the
+longest first. The halves of each network are
 added modulo two factors whose product is exactly the size of the format, so no value has
 to be walked back into it.
 
@@ -31,6 +33,7 @@ from .common import table, unused
 KEY, ROUNDS = "change-me", 8
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _FROM, _TO = r"(?<![\p{L}\p{N}.+\-/])", r"(?![\p{L}\p{N}]|[.\-/][0-9])"
+_TIME = r"(?=[Tt][0-9]|[Zz](?![\p{L}\p{N}]))"
 KINDS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})",
@@ -38,7 +41,16 @@ KINDS = {
     "phone": r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
 }
-ANY = EMAIL + "|" + _FROM + "(?:" + "|".join(KINDS.values()) + ")" + _TO
+#: Digits with single separators, up to where another kind of value starts.
+RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?:[ \-](?!(?:" + "|".join(KINDS[k] for k in ("ssn", "date", "ip", "phone")) + ")" + _TO + r")[0-9]++)*"
+ANY = "|".join(
+    [
+        EMAIL,
+        _FROM + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _TIME,
+        _FROM.replace("/", "") + KINDS["ip"] + _TO.replace("/", ""),  # in addresses of the web
+        _FROM + "(?:" + "|".join(KINDS[k] for k in ("ssn", "date", "phone")) + "|" + RUN + ")" + _TO,
+    ]
+)
 
 
 def _text(s: str) -> str:
@@ -91,8 +103,21 @@ def _halves(digits: str, kind: str, key: str, rounds: int) -> str:
 
 
 def _card(key: str, rounds: int) -> str:
+    """SQL: what stands for m, a card with its separators, whose digits are d."""
     made = _bind("c", _halves("substring(d, 1, length(d) - 1)", "card", key, rounds), f"""concat(c, cast(pmod(-{_luhn("concat(c, '0')")}, 10) as string))""")
-    return _bind("d", _digits("m"), f"if({_luhn('d')} % 10 = 0, if(length(m) = length(d), {made}, {_bind('x', made, _refit('m', 'x'))}), m)")
+    return f"if(length(m) = length(d), {made}, {_bind('x', made, _refit('m', 'x'))})"
+
+
+def _cards(key: str, rounds: int) -> str:
+    """SQL: a struct (t, n), the numbers m with n cards among them replaced."""
+    part = "array_join(slice(p, i, j - i + 1), '')"
+    valid = f"length(d) between 13 and 19 and {_luhn('d')} % 10 = 0"
+    ends = f"filter(sequence(least(i + 18, size(p)), i, -1), j -> {_bind('d', _digits(part), valid)})"
+    one = _bind("j", "e[0]", _bind("m", part, _bind("d", _digits("m"), f"named_struct('t', concat(s.t, {_card(key, rounds)}), 'n', s.n + 1, 'free', j + 1)")))
+    plain = "named_struct('t', concat(s.t, p[i - 1]), 'n', s.n, 'free', i + 1)"
+    step = f"if(i < s.free, s, {_bind('e', ends, f'if(size(e) > 0, {one}, {plain})')})"
+    folded = f"aggregate(sequence(1, size(p)), named_struct('t', '', 'n', 0, 'free', 1), (s, i) -> {step}, s -> named_struct('t', s.t, 'n', s.n))"
+    return _bind("p", "regexp_extract_all(m, '[^0-9]?[0-9]+', 0)", folded)
 
 
 def _phone(key: str, rounds: int) -> str:
@@ -124,10 +149,13 @@ def _date(key: str, rounds: int) -> str:
 
 
 def pseudonym(key: str = KEY, rounds: int = ROUNDS) -> str:
-    """SQL: what stands for the match m."""
-    made = {"ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone, "card": _card}
-    cases = " ".join(f"when m rlike {_text('^' + KINDS[k] + '$')} then {made[k](key, rounds)}" for k in KINDS)
-    return f"case when contains(m, '@') then concat('u', substring(sha2(concat_ws('|', {_text(key)}, 'email', lower(m)), 256), 1, 16), '@example.invalid') {cases} else m end"
+    """SQL: a struct (t, n), what stands for the match m and the number of values replaced."""
+    made = {"ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone}
+    cases = " ".join(f"when m rlike {_text('^' + KINDS[k] + '$')} then {made[k](key, rounds)}" for k in made)
+    one = f"case when contains(m, '@') then concat('u', substring(sha2(concat_ws('|', {_text(key)}, 'email', lower(m)), 256), 1, 16), '@example.invalid') {cases} else m end"
+    single = _bind("y", one, "named_struct('t', y, 'n', if(y <> m, 1, 0))")
+    others = " or ".join(f"m rlike {_text('^' + KINDS[k] + '$')}" for k in made)
+    return f"if(contains(m, '@') or {others}, {single}, {_cards(key, rounds)})"
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: int = ROUNDS, count: str = "n_replaced") -> DataFrame:
@@ -135,8 +163,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: i
     hits, new = unused(docs, "_hits"), unused(docs, "_new")
     out = docs.withColumn(hits, F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
     out = out.withColumn(new, F.expr(f"if(size({hits}) > 0, transform({hits}, m -> {pseudonym(key, rounds)}), null)"))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["t"], F.lit("")))), "")
+    changed = F.aggregate(F.col(new), F.lit(0), lambda n, x: n + x["n"])
     out = out.withColumn(text, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)))
     return out.withColumn(count, F.coalesce(F.when(F.col(new).isNotNull(), changed), F.lit(0)).cast("int")).drop(hits, new)
 

@@ -145,6 +145,21 @@ def test_pseudonyms_leave_the_rest_alone(spark):
     assert out[52].n_replaced == 2 and "10.20.30.40" not in out[52].text and "123-45-6789" not in out[52].text
 
 
+def test_pseudonyms_beside_other_text(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    alone = ["10.1.2.3", "2024-01-15", card, spaced, "555-123-4567", "5500000000000004"]
+    forms = ["http://{0}/", "see http://{0}/1", "{1}T10:00:00Z", "{1}Z", "{2} 123", "12 {3}", "12 35 {3} 99 8", "{2} {4}", "{3} {5}", "{3}x 5", "a {2}, {0}, {1}."]
+    rows = list(enumerate(alone + [f.format(*alone) for f in forms]))
+    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = [out[i].text for i in range(len(alone))]
+    assert all(a != b for a, b in zip(alone, new))
+    for i, f in enumerate(forms, len(alone)):
+        if f != "{3}x 5":
+            assert (out[i].text, out[i].n_replaced) == (f.format(*new), f.count("{"))
+        else:
+            assert out[i].n_replaced == 0
+
+
 def test_pseudonyms_do_not_collide(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "concat('10.0.', id div 256, '.', id % 256) as text")
     assert pii.pseudonymised(df).select("text").distinct().count() == 20000
