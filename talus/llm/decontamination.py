@@ -184,16 +184,18 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, t
     for block in blocks(benchmark, tile=tile, size=size):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("boolean")
+        def clean(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                good = np.ones(len(texts), bool)
-                for s in sliced(texts):
-                    for d, *_ in shared.value.matches(texts[s], coverage):
-                        good[s.start + d] = False
-                yield batch.filter(pa.array(good))
-
-        docs = docs.mapInArrow(keep, docs.schema)
+                good = np.ones(len(batch), bool)
+                for at in range(0, len(batch), 500):
+                    texts = batch.slice(at, 500).to_pylist()
+                    for s in sliced(texts):
+                        for d, *_ in shared.value.matches(texts[s], coverage):
+                            good[at + s.start + d] = False
+                yield pa.array(good)
+
+        docs = docs.filter(clean(F.col(text)))
     return docs
 
 

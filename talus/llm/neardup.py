@@ -1,5 +1,9 @@
 """Near-duplicate removal on SimHash components, verified by exact similarity.
 
+One pass describes each text by a 128-bit name of its set of five-word shingles, a SimHash
+fingerprint of its distinct words and ``BANDS`` MinHash keys. Texts with one set are one
+representative from there on, so copies never meet each other.
+
 SimHash at a small bit budget finds documents of Jaccard similarity 0.8 over five-word
 shingles only by luck: they differ in about ten of 64 bits. Over the distinct words the
 same documents differ in four or five, so the components of the trie self-join over
@@ -8,23 +12,26 @@ rounds each component's hub, the document nearest to the bitwise majority of its
 fingerprints, takes all documents at or above the similarity; documents within twice that
 distance of the hub are compared with those taken, which by the triangle inequality finds
 every other link to them. What is left, mostly nothing, is compared pair by pair in
-blocks. No round needs a component in one place.
+blocks. No round needs a component in one place: what joins a component's rows is a stored
+table with a row a component, so that skewed joins are split.
 
 Edits that change rare words move more than six bits, so links between the groups found
 are looked for among documents that agree in all of ``ROWS`` MinHash values over their
 five-word shingles in one of ``BANDS`` bands: at similarity 0.8 a pair meets with
-probability 1 - (1 - 0.8 ** 5) ** 30 = 99.9993 %. Pairs of keys of few documents are
+probability 1 - (1 - 0.8 ** 4) ** 20 = 99.997 %. Pairs of keys of few documents are
 compared one by one, those of other keys in blocks: what lies outside a key's largest group
 with that group and with itself. Of each group that links connect the document with the
 smallest id stays.
 
 Defined results: null and empty texts are equal to each other; a text of fewer words than
 a shingle is one shingle; of rows with equal ids any one may stay; other columns pass
-through; an empty table gives an empty result.
+through, whatever their names; an empty table gives an empty result; a very long text is
+described on its own, in parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +41,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, local_roots, mixed, prefix_hash, span_hash, stored, unite, unused, word_spans
-from .simhash import fingerprint, grouped
+from .simhash import grouped
 
 SHINGLE, SIMILARITY, BUDGET, HUB_ROUNDS, PART = 5, 0.8, 6, 2, 256
-BANDS, ROWS, FEW = 30, 5, 16
+BANDS, ROWS, FEW = 20, 4, 16
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of lower-cased words, as 32-bit hashes in order."""
+    return _shingled(text, size)[0]
+
+
+def _shingled(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a text, and the hashes of its words."""
     buf = np.frombuffer((text or "").lower().encode(), np.uint8)
     first, last = word_spans(buf)
     names = span_hash(prefix_hash(buf), first, last)
     size = max(1, min(size, len(names)))
     at = np.arange(max(0, len(names) - size + 1))
-    return np.unique((span_hash(prefix_hash(names), at, at + size) >> np.uint64(32)).astype(np.uint32))
+    return np.unique((span_hash(prefix_hash(names), at, at + size) >> np.uint64(32)).astype(np.uint32)), names
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,17 +69,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
-def distinct_words(text: str | None) -> str:
-    return " ".join(dict.fromkeys((text or "").lower().split()))
+def described(text: str | None) -> tuple[np.ndarray, int, np.ndarray]:
+    """(shingles, fingerprint of the distinct words, band keys)."""
+    sh, names = _shingled(text, SHINGLE)
+    return sh, majority(np.unique(names)), band_keys(sh)
 
 
-def _prints(rows: DataFrame) -> DataFrame:
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(distinct_words(t.as_py()), 1) for t in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["rid", "id", "fp"])
-
-    return rows.select("rid", "id", "text").mapInArrow(hashed, "rid long, id long, fp long")
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint whose bits are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
 def band_keys(sh: np.ndarray) -> np.ndarray:
@@ -78,18 +92,23 @@ def band_keys(sh: np.ndarray) -> np.ndarray:
     return mixed((least * _SEEDS[:ROWS]).sum(1) + _SEEDS[::ROWS])
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """(rid, same, size, keys) of the rows that have shingles; ``same`` is equal for equal shingles."""
+def _described(rows: DataFrame) -> DataFrame:
+    """(rid, id, same, size, fp, keys); ``same`` is equal for equal shingles."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            same = np.array([span_hash(prefix_hash(x), np.array([0]), np.array([len(x)]))[0] for x in sets], np.uint64)
-            keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            size = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same.view(np.int64)), size, keys], names=["rid", "same", "size", "keys"])
+            same, size, fps, keys = [], [], [], []
+            for t in batch.column(2):
+                sh, fp, key = described(t.as_py())
+                same.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest())
+                size.append(len(sh))
+                fps.append(fp)
+                keys.append(key)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), keys], names=["rid", "id", "same", "size", "fp", "keys"])
 
-    return rows.select("rid", "text").mapInArrow(made, "rid long, same long, size long, keys array<long>").filter("size > 0")
+    return rows.select("rid", "id", "text").mapInArrow(made, "rid long, id long, same binary, size long, fp long, keys array<long>")
 
 
 def _with_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,12 +125,6 @@ def _similar(a: str, b: str) -> Column:
     return similar(a, b)
 
 
-def _lost(groups: DataFrame) -> DataFrame:
-    """(rid): of each group (column g) all rows but the one with the smallest (id, rid)."""
-    kept = groups.groupBy("g").agg(F.min(F.struct("id", "rid")).alias("first"))
-    return groups.join(kept, "g").filter("rid <> first.rid").select("rid")
-
-
 def _parts(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias(name))
 
@@ -163,18 +176,29 @@ def _blocks(spread: DataFrame, similarity: float) -> DataFrame:
     return spread.groupBy("block").applyInPandas(compare, "u long, v long")
 
 
-def _missed(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links between the groups of labels (rid, g), of rows with a band in common."""
-    banded = _banded(rows).join(labels.select("rid", "g"), "rid")
-    # equal shingles are one group already
-    firsts = banded.groupBy("same").agg(F.min(F.struct("rid", "g", "size", "keys")).alias("x")).select("x.*")
-    keys = firsts.select("rid", "g", "size", F.explode("keys").alias("key"))
+def _candidates(rows: DataFrame, first: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, id, fp, component_id, sh) of the representatives with a candidate, and the bands (key, rid, size) that have several.
+
+    component_id is null where only a band has others. Texts are shuffled this once.
+    """
+    found = stored(grouped(first.select("rid", "id", "fp"), budget, "rid"))
+    several = stored(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id"))
+    keys = first.filter("size > 0").select(F.explode("keys").alias("key"), "rid", "size")
+    again = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    met = stored(keys.join(again, "key"))
+    need = found.join(several, "component_id").select("rid", "id", "fp", "component_id").join(met.select("rid").distinct(), "rid", "full")
+    cols = "rid long, id long, fp long, component_id long"
+    sets = rows.select("rid", "text").join(need, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, f"{cols}, sh binary")
+    return stored(sets), met
+
+
+def _missed(met: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the groups of labels (rid, g), of representatives with a band in common."""
+    keys = met.join(labels.select("rid", "g"), "rid")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key", "n")
-    met = stored(keys.join(shared, "key"))
+    met, sets = stored(keys.join(stored(shared), "key")), sets.select("rid", "sh")
     few, many = met.filter(F.col("n") <= FEW), met.filter(F.col("n") > FEW)
-    sets = rows.select("rid", "text").join(met.select("rid").distinct(), "rid").withColumns({"id": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "component_id": F.lit(0).cast("long")})
-    sets = stored(sets.select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary").select("rid", "sh"))
-    a, b = few.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rid", "g", "size"))), few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rid", "g", "size")))
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rid", "g", "size"))) for side in "ab")
     pairs = a.join(b, "key").filter("rid_a < rid_b and g_a <> g_b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
     pairs = pairs.select("rid_a", "rid_b", "g_a", "g_b").distinct()
     for side in "ab":
@@ -182,7 +206,7 @@ def _missed(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     edges = pairs.filter(_similar("sh_a", "sh_b") >= similarity).select(F.col("g_a").alias("u"), F.col("g_b").alias("v"))
     if many.limit(1).count():
         largest = many.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "g")).alias("x")).select("key", F.col("x.g").alias("most"))
-        many = many.select("key", "rid", "g").join(largest, "key").join(sets, "rid")
+        many = many.select("key", "rid", "g").join(stored(largest), "key").join(sets, "rid")
         many = stored(many.select(F.col("key").alias("component_id"), F.col("g").alias("rid"), "sh", (F.col("g") == F.col("most")).alias("inside")))
         outside = many.filter("not inside").drop("inside")
         edges = edges.unionByName(_pairs(outside, similarity)).unionByName(_across(outside, many.filter("inside").drop("inside"), similarity))
@@ -194,10 +218,18 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
     rid = unused(docs, "_rid")
     whole = stored(docs.withColumn(rid, F.monotonically_increasing_id()))
     rows = whole.select(F.col(rid).alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text).alias("text"))
-    found = stored(grouped(stored(_prints(rows)), budget, "rid"))
-    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    members = found.join(several, "component_id")
-    left = stored(rows.select("rid", "text").join(members, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, "rid long, id long, fp long, component_id long, sh binary"))
+    every = stored(_described(rows))
+    first = stored(every.groupBy("same").agg(F.min(F.struct("id", "rid", "fp", "size", "keys")).alias("x")).select("same", "x.*"))
+    sets, met = _candidates(rows, first, budget)
+    labels = stored(_labelled(first, sets.filter("component_id is not null"), similarity))
+    labels = _joined(labels, _missed(met, sets, labels, similarity))
+    kept = stored(labels.groupBy("g").agg(F.min(F.struct("id", "rid")).alias("x")).select("x.rid"))
+    lost = stored(every.select("rid").join(kept, "rid", "left_anti").withColumnRenamed("rid", rid))
+    return whole.join(lost, rid, "left_anti").drop(rid)
+
+
+def _labelled(first: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """(rid, id, g): groups of representatives that similarity connects within the SimHash components of left."""
     labels, edges = left.select("rid", "id", F.col("rid").alias("g")), None
     for k in range(HUB_ROUNDS):
         bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
@@ -205,10 +237,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
         bitwise = F.lit(0).cast("long")
         for i in range(64):
             bitwise = bitwise.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        most = most.select("component_id", bitwise.alias("most"))
+        most = stored(most.select("component_id", bitwise.alias("most")))
         near = left.select("component_id", "rid", "fp").join(most, "component_id")
         hubs = near.groupBy("component_id").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "rid")).alias("h")).select(F.col("h.rid").alias("rid"))
-        hubs = left.join(hubs, "rid").select("component_id", F.col("rid").alias("hub"), F.col("sh").alias("hub_sh"))
+        hubs = stored(left.join(hubs, "rid").select("component_id", F.col("rid").alias("hub"), F.col("sh").alias("hub_sh")))
         judged = left.join(hubs, "component_id").withColumn("j", _similar("sh", "hub_sh"))
         judged = stored(judged.select("rid", "id", "fp", "component_id", "hub", "j", F.when(F.col("j") < similarity, F.col("sh")).alias("sh")))
         taken, rest = judged.filter(F.col("j") >= similarity), judged.filter(F.col("j") < similarity)
@@ -219,9 +251,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
         # Jaccard distance is a metric: a link to a taken row spans at most twice the distance to the hub
         border = rest.filter(F.col("j") >= 2 * similarity - 1 - 1e-9)
         if border.limit(1).count():
-            nearest = border.groupBy("component_id").agg(F.max("j").alias("best"))
+            nearest = stored(border.groupBy("component_id").agg(F.max("j").alias("best")))
             others = taken.filter("j < 1").join(nearest, "component_id").filter(F.col("j") <= F.col("best") + 1 - similarity + 1e-9)
-            others = left.select("rid", "sh").join(others.select("rid", "component_id", "hub"), "rid").groupBy("component_id", "hub", "sh").agg(F.count(F.lit(1)).alias("n"))
+            others = left.select("rid", "sh").join(others.select("rid", "component_id", "hub"), "rid")
             edges = _added(edges, _across(border.select("component_id", "rid", "sh"), others.select("component_id", F.col("hub").alias("rid"), "sh"), similarity))
         left = rest.drop("hub", "j")
         if left.limit(1).count() == 0:
@@ -230,9 +262,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
         edges = _added(edges, _pairs(left, similarity))
     if edges is not None:
         labels = _joined(labels, edges)
-    labels = stored(rows.select("rid", "id").join(labels.select("rid", "g"), "rid", "left").select("rid", "id", F.coalesce("g", "rid").alias("g")))
-    labels = _joined(labels, _missed(rows, labels, similarity))
-    return whole.join(stored(_lost(labels)).withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
+    return first.select("rid", "id").join(labels.select("rid", "g"), "rid", "left").select("rid", "id", F.coalesce("g", "rid").alias("g"))
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -88,6 +88,67 @@ def test_plan_finds_exact_complements():
     assert all(sum(a * b for a, b in held) == 64 for n, held in made)
 
 
+def slow_language(labelled, text):
+    """(language or None, posterior), by dictionaries of strings: words first, then ever shorter n-grams."""
+    if not text or not any(c.isalpha() for c in text):
+        return None, 0.0
+    count = collections.defaultdict(collections.Counter)  # by length and language
+    for t, lang in labelled:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            count[0, lang][w] += 1
+            for n in range(1, langid.LONGEST + 1):
+                count[n, lang].update(w[i : i + n] for i in range(len(w) - n + 1))
+    langs = sorted({lang for _, lang in labelled})
+    for lang in langs:
+        count[0, lang] = collections.Counter({w: c for w, c in count[0, lang].items() if sum((count[0, lang][w],)) > 1})
+    known = {n: set().union(*(count[n, lang] for lang in langs)) for n in range(langid.LONGEST + 1)}
+    sums = dict.fromkeys(langs, 0.0)
+
+    def add(n, token):
+        for lang in langs:
+            sums[lang] += np.log((count[n, lang][token] + 0.5) / (count[n, lang].total() + 0.5 * len(known[n]) + 1))
+
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in known[0]:
+            add(0, w)
+            continue
+        at = 0
+        while at < len(w):
+            n = next((n for n in range(min(langid.LONGEST, len(w) - at), 0, -1) if w[at : at + n] in known[n]), 0)
+            if n:
+                add(n, w[at : at + n])
+            at += max(n, 1)
+    best = max(langs, key=lambda x: (sums[x], -langs.index(x)))
+    return best, 1 / sum(np.exp(v - sums[best]) for v in sums.values())
+
+
+def test_language_scores_are_those_of_plain_dictionaries(spark):
+    rows = [(1, "the cat and the dog and the bird walked", "en"), (2, "der Hund und die Katze und der Vogel gingen", "de"), (3, "le chat et le chien et l'oiseau ÉTÉ été marchaient", "fr"), (4, "xyz", "tie"), (5, None, "en"), (6, "lost", None), (7, "", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [None, "", "123 _ ?!", "²", "the cat", "und die Katzen", "chienne étée", "qqq", "zzxyzyy", "a" * 3000 + " der und", "the\u0130x the_dog2cat", "été " * 500 + "the", "the cat", "Ω漢字 the"]
+    texts += [" ".join(t for t in texts if t)]
+    for piece in (langid.PIECE, 40):
+        best, score = model.opened().score(texts, piece)
+        for t, b, s in zip(texts, best.tolist(), score.tolist()):
+            lang, want = slow_language([(t, x) for _, t, x in rows if t is not None and x], t)
+            assert (model.langs[b] if b >= 0 else None) == lang and s == pytest.approx(want, rel=1e-5)
+
+
+def test_language_repeats_ties_and_names(spark):
+    text = "the cat and the dog " * 3
+    shipped(spark)
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "b", 2), (2, "der Hund und die Katze " * 3, "de", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, _told long")
+    model = langid.fit(docs)
+    assert {(r.doc_id, r.lang_pred) for r in langid.identified(docs.drop("lang_pred"), model, ["doc_id", "_told"]).collect()} == {(1, "en"), (2, "de")}
+    kept = langid.accepted(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 3 and langid.accepted(docs.filter("false"), model).count() == 0
+    tied = langid.fit(spark.createDataFrame([(1, "aa aa", "y"), (2, "aa aa", "x")], "doc_id long, text string, lang string"))
+    assert [(r.lang_pred, r.score) for r in langid.identified(docs, tied, ["doc_id"]).collect()] == [("x", 0.5)] * 3
+    long = [(9, "der Hund und " * 400_000)]
+    assert langid.identified(spark.createDataFrame(long, "doc_id long, text string"), model, ["doc_id"]).first().lang_pred == "de"
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed(none).count() == 0 and sharding.sharded(none).count() == 0

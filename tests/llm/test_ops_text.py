@@ -350,12 +350,57 @@ def test_one_of_each_beyond_the_bits(spark, monkeypatch, few):
     texts += texts[:20]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
     pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    prints = [simhash.fingerprint(neardup.distinct_words(t), 1) for t in texts]
+    prints = [neardup.described(t)[1] for t in texts]
     assert sum((int(prints[i]) ^ int(prints[j])).bit_count() > neardup.BUDGET for i, j in pairs) > 20
     kept = neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == set(roots(len(texts), pairs))
 
 
+def test_one_of_each_recall(spark):
+    """Documents with ids divisible by 5 against all: of a pair at 0.8 or more never both stay, unless a link keeps one for another."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    kept = {r.doc_id for r in neardup.one_of_each(docs).collect()}
+    sets = {d: set(neardup.shingles(t).tolist()) for d, t in texts.items()}
+    near = {}
+    for q in sets:
+        if q % 5 == 0:
+            near[q] = [d for d in sets if d != q and len(sets[q] & sets[d]) >= 0.8 * len(sets[q] | sets[d])]
+    found = [(q, d) for q, own in near.items() for d in own]
+    assert len(found) > 5 and sum(not (q in kept and d in kept) for q, d in found) / len(found) >= 0.9
+    assert all(q in kept for q, own in near.items() if not own)  # what has no near duplicate stays
+
+
+def test_near_dedup_edge_cases(spark):
+    schema = "doc_id long, text string, rid long, Same string, fp int, _rid int"
+    assert neardup.one_of_each(spark.createDataFrame([], schema)).count() == 0
+    long = "word " * 300_000
+    rows = [(1, long, 1, "a", 1, 1), (2, long + "x", 1, "a", 1, 1), (None, None, None, None, None, None), (3, "", 1, "a", 1, 1), (3, "", 1, "a", 1, 1), (4, "own words here", 2, "b", 2, 2)]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "rid", "Same", "fp", "_rid"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4]
+
+
+def test_decontamination_edge_cases(spark):
+    schema = "doc_id long, text string, item_id string, coverage int, Tiles string"
+    item = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "")], "item_id long, text string")
+    rows = [(1, "x " * 500_000 + "one two three four five six seven", "a", 1, "t"), (None, "one two three four five six seven", "a", 1, "t"), (2, None, "a", 1, "t"), (3, "", None, None, None), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted((r.doc_id or 0, r.item_id, r.coverage) for r in decontamination.contaminated(docs, item).collect()) == [(0, 1, 1.0), (1, 1, 1.0)]
+    kept = decontamination.cleaned(docs, item)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3]
+    assert decontamination.cleaned(docs.filter("false"), item).count() == 0 and decontamination.cleaned(docs, item.filter("false")).count() == 5
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
