@@ -129,7 +129,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int, inverse: bool) -> np.ndarray:
     key = "inverse" if inverse else "forward"
-    if len(_powers.get(key, ())) < n:
+    if key not in _powers or len(_powers[key]) < n:
         base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
