@@ -182,23 +182,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def cleaned(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tile: int = TILE, size: int = BLOCK, text: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark item; a filter inside the scan."""
     for block in blocks(benchmark, tile=tile, size=size):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.arrow_udf("boolean")
-        def clean(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for batch in batches:
-                good = np.ones(len(batch), bool)
-                for at in range(0, len(batch), 500):
-                    texts = batch.slice(at, 500).to_pylist()
-                    for s in sliced(texts):
-                        for d, *_ in shared.value.matches(texts[s], coverage):
-                            good[at + s.start + d] = False
-                yield pa.array(good)
-
-        docs = docs.filter(clean(F.col(text)))
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(block), coverage)(F.col(text)))
     return docs
 
 
+def _clean(shared, coverage: float):
+    """A function of a text column: true where no item of the block is held."""
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            good = np.ones(len(batch), bool)
+            for at in range(0, len(batch), 500):
+                texts = batch.slice(at, 500).to_pylist()
+                for s in sliced(texts):
+                    for d, *_ in shared.value.matches(texts[s], coverage):
+                        good[at + s.start + d] = False
+            yield pa.array(good)
+
+    return clean
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("coverage", 4).alias("coverage"), F.size("tiles").alias("n_tiles"))
