@@ -1,9 +1,9 @@
-"""Documents packed into chunks, for operators whose tasks ask others about hashes.
+"""Documents packed into chunks, for operators whose tasks ask which hashes others have.
 
-A chunk is one row with some megabytes of texts. Asking works in rounds: each chunk sends
-every bucket of hashes one binary row, the bucket's task answers each chunk that asked,
-and the answers come back to the chunk by its id. So there is a row for a chunk and a
-bucket, not for a hash, and what a chunk says twice is sent once.
+A chunk is one row with some megabytes of texts. It tells its distinct hashes as narrow
+rows, which Spark deals out by hash; the hashes that different owners have come back to
+the chunks as narrow rows again. Rows grow in proportion to the text, and a hash has at
+most two rows a chunk however often it occurs there.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
+_PLACES, _SEQ = 20, 22  # bits: documents of a chunk, chunks of a partition
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3 << 20) -> DataFrame:
@@ -32,12 +33,12 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
         def row() -> pa.RecordBatch:
             body = zstandard.compress(pickle.dumps((np.array(ids, np.int64), texts)), 1)
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([part << 32 | seq], pa.int64()), "bytes": pa.array([held], pa.int64()), "body": pa.array([body], pa.binary())})
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([part << _SEQ | seq], pa.int64()), "bytes": pa.array([held], pa.int64()), "body": pa.array([body], pa.binary())})
 
         for batch in batches:
             for one, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = (t.as_py() or "").encode()
-                if ids and held + len(raw) > size:
+                if ids and (held + len(raw) > size or len(ids) >> _PLACES):
                     yield row()
                     seq, ids, texts, held = seq + 1, [], [], 0
                 ids.append(NO_ID if one is None else one)
@@ -53,45 +54,69 @@ def opened(body: bytes) -> tuple[np.ndarray, list[bytes]]:
     return pickle.loads(zstandard.decompress(body))
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+def place(chunk: int, doc: np.ndarray) -> np.ndarray:
+    """A number of its own for each document of each chunk."""
+    return np.int64(chunk << _PLACES) | doc.astype(np.int64)
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.decompress(body))
-
-
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) of each bucket that occurs."""
-    bucket = bucket.astype(np.int64)
-    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for places in np.split(order, cuts) if len(order) else ():
-        yield int(bucket[places[0]]), places
-
+def grouped_places(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, mark, n): for each hash a row with its smallest mark and how often it occurs; a second one if another mark has it."""
+    if not len(hashes):
+        return hashes, marks, np.zeros(0, np.int32)
+    order = np.argsort(hashes)
+    hashes, marks = hashes[order], marks[order]
+    begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    low, high = np.minimum.reduceat(marks, begin), np.maximum.reduceat(marks, begin)
+    n, more = np.diff(np.append(begin, len(hashes))), low != high
+    return np.concatenate((hashes[begin], hashes[begin][more])), np.concatenate((low, high[more])), np.concatenate((n, np.zeros(more.sum(), n.dtype))).astype(np.int32)
 
-def answered(asked: DataFrame, answer, buckets: int) -> DataFrame:
-    """(chunk, bucket, body): answer(list of unpacked asks) gives a tuple of arrays for each ask."""
 
-    def reply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk", ignore_index=True)
-        return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "body": [packed(*a) for a in answer([unpacked(b) for b in rows["body"]])]})
+def shared(chunks: DataFrame, told, tasks: int) -> DataFrame:
+    """(chunk, hash, n): each chunk's hashes that occur with different marks in all chunks, and how often they do.
 
-    return asked.repartition(4 * buckets, "bucket").groupBy("bucket").applyInPandas(reply, "chunk long, bucket long, body binary")
+    ``told(chunk, ids, texts)`` gives a chunk's hashes and marks. Hashes are cut to 48 bits
+    on the way: two that become one are shared for nothing, which costs work and no result.
+    """
 
-
-def resumed(chunks: DataFrame, answers: list[DataFrame], do, schema: str) -> DataFrame:
-    """do(chunk, ids, texts, [{bucket: arrays}, ...]) for each chunk with its answers; yields data frames."""
-    told, rounds = None, len(answers)
-    for n, a in enumerate(answers):
-        a = a.withColumn("round", F.lit(n))
-        told = a if told is None else told.unionByName(a)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes, marks = told(chunk, *opened(body.as_py()))
+                h, mark, n = grouped_places((hashes >> np.uint64(16)).view(np.int64), marks)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(mark), pa.array(np.full(len(h), chunk, np.int64)), pa.array(n)], names=["hash", "mark", "chunk", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        h, mark, chunk, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
+        del got
+        order = np.argsort(h)
+        h, mark, chunk, n = h[order], mark[order], chunk[order], n[order]
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        several = np.minimum.reduceat(mark, begin) != np.maximum.reduceat(mark, begin)
+        size = np.diff(np.append(begin, len(h)))
+        some = np.flatnonzero(np.repeat(several, size) & (n > 0))
+        total = np.repeat(np.add.reduceat(n.astype(np.int64), begin), size)
+        for at in range(0, len(some), 1 << 16):
+            i = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[i]), pa.array(h[i]), pa.array(total[i])], names=["chunk", "hash", "n"])
+
+    asked = chunks.select("chunk", "body").mapInArrow(ask, "hash long, mark long, chunk long, n int")
+    return asked.repartition(tasks, "hash").mapInArrow(answer, "chunk long, hash long, n long")
+
+
+def resumed(chunks: DataFrame, told: DataFrame, do, schema: str) -> DataFrame:
+    """do(chunk, ids, texts, rows of told) for each chunk; told has a column chunk. Yields data frames."""
 
     def work(key: tuple, own: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        ids, texts = opened(own["body"].iloc[0])
-        by = [{} for _ in range(rounds)]
-        for n, bucket, body in zip(heard["round"], heard["bucket"], heard["body"]):
-            by[n][bucket] = unpacked(body)
-        return do(int(own["chunk"].iloc[0]), ids, texts, by)
+        return do(int(own["chunk"].iloc[0]), *opened(own["body"].iloc[0]), heard)
 
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(work, schema)
+
+
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values

@@ -7,21 +7,19 @@ representative from there on, so copies never meet each other.
 SimHash at a small bit budget finds documents of Jaccard similarity 0.8 over five-word
 shingles only by luck: they differ in about ten of 64 bits. Over the distinct words the
 same documents differ in four or five, so the components of the trie self-join over
-fingerprints of distinct words are the candidates, and five-word shingles decide. In two
-rounds each component's hub, the document nearest to the bitwise majority of its
-fingerprints, takes all documents at or above the similarity; documents within twice that
-distance of the hub are compared with those taken, which by the triangle inequality finds
-every other link to them. What is left, mostly nothing, is compared pair by pair in
-blocks. No round needs a component in one place: what joins a component's rows is a stored
-table with a row a component, so that skewed joins are split.
-
-Edits that change rare words move more than six bits, so links between the groups found
-are looked for among documents that agree in all of ``ROWS`` MinHash values over their
-five-word shingles in one of ``BANDS`` bands: at similarity 0.8 a pair meets with
-probability 1 - (1 - 0.8 ** 4) ** 20 = 99.997 %. Pairs of keys of few documents are
-compared one by one, those of other keys in blocks: what lies outside a key's largest group
-with that group and with itself. Of each group that links connect the document with the
-smallest id stays.
+fingerprints of distinct words are the first candidates, and five-word shingles decide. In
+``HUB_ROUNDS`` rounds each component's hub, the first document with the component's
+commonest fingerprint, takes all documents at or above the similarity. No round needs a
+component in one place: what joins a component's rows is a stored table with a row a
+component, so that skewed joins are split.
+
+Edits that change rare words move more than six bits, and a hub doesn't take all, so links
+between the groups found are looked for among all documents that agree in all of ``ROWS``
+MinHash values over their five-word shingles in one of ``BANDS`` bands: at similarity 0.8 a
+pair meets with probability 1 - (1 - 0.8 ** 4) ** 20 = 99.997 %. Pairs of keys of few
+documents are compared one by one, those of other keys in blocks: what lies outside a key's
+largest group with that group and with itself. Of each group that links connect the
+document with the smallest id stays.
 
 Defined results: null and empty texts are equal to each other; a text of fewer words than
 a shingle is one shingle; of rows with equal ids any one may stay; other columns pass
@@ -221,7 +219,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
     every = stored(_described(rows))
     first = stored(every.groupBy("same").agg(F.min(F.struct("id", "rid", "fp", "size", "keys")).alias("x")).select("same", "x.*"))
     sets, met = _candidates(rows, first, budget)
-    labels = stored(_labelled(first, sets.filter("component_id is not null"), similarity))
+    labels = stored(_labelled(first, sets.filter("component_id is not null").select("rid", "fp", "component_id", "sh"), similarity))
     labels = _joined(labels, _missed(met, sets, labels, similarity))
     kept = stored(labels.groupBy("g").agg(F.min(F.struct("id", "rid")).alias("x")).select("x.rid"))
     lost = stored(every.select("rid").join(kept, "rid", "left_anti").withColumnRenamed("rid", rid))
@@ -229,47 +227,22 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, budget: int = B
 
 
 def _labelled(first: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
-    """(rid, id, g): groups of representatives that similarity connects within the SimHash components of left."""
-    labels, edges = left.select("rid", "id", F.col("rid").alias("g")), None
-    for k in range(HUB_ROUNDS):
-        bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
-        most = left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), *bits).filter("n > 1")
-        bitwise = F.lit(0).cast("long")
-        for i in range(64):
-            bitwise = bitwise.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        most = stored(most.select("component_id", bitwise.alias("most")))
-        near = left.select("component_id", "rid", "fp").join(most, "component_id")
-        hubs = near.groupBy("component_id").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "rid")).alias("h")).select(F.col("h.rid").alias("rid"))
+    """(rid, id, g): representatives with the hub of their SimHash component (rows of left) that takes them, else themselves."""
+    taken = None
+    for _ in range(HUB_ROUNDS):
+        often = left.groupBy("component_id", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")).groupBy("component_id").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("rid")).alias("r"))).alias("x"))
+        hubs = often.filter("all > 1").select((-F.col("x.r")).alias("rid"))
         hubs = stored(left.join(hubs, "rid").select("component_id", F.col("rid").alias("hub"), F.col("sh").alias("hub_sh")))
         judged = left.join(hubs, "component_id").withColumn("j", _similar("sh", "hub_sh"))
-        judged = stored(judged.select("rid", "id", "fp", "component_id", "hub", "j", F.when(F.col("j") < similarity, F.col("sh")).alias("sh")))
-        taken, rest = judged.filter(F.col("j") >= similarity), judged.filter(F.col("j") < similarity)
-        if k == 0:
-            labels = judged.select("rid", "id", F.when(F.col("j") >= similarity, F.col("hub")).otherwise(F.col("rid")).alias("g"))
-        else:
-            edges = _added(edges, taken.select(F.col("rid").alias("u"), F.col("hub").alias("v")))
-        # Jaccard distance is a metric: a link to a taken row spans at most twice the distance to the hub
-        border = rest.filter(F.col("j") >= 2 * similarity - 1 - 1e-9)
-        if border.limit(1).count():
-            nearest = stored(border.groupBy("component_id").agg(F.max("j").alias("best")))
-            others = taken.filter("j < 1").join(nearest, "component_id").filter(F.col("j") <= F.col("best") + 1 - similarity + 1e-9)
-            others = left.select("rid", "sh").join(others.select("rid", "component_id", "hub"), "rid")
-            edges = _added(edges, _across(border.select("component_id", "rid", "sh"), others.select("component_id", F.col("hub").alias("rid"), "sh"), similarity))
-        left = rest.drop("hub", "j")
-        if left.limit(1).count() == 0:
-            break
-    else:
-        edges = _added(edges, _pairs(left, similarity))
-    if edges is not None:
-        labels = _joined(labels, edges)
-    return first.select("rid", "id").join(labels.select("rid", "g"), "rid", "left").select("rid", "id", F.coalesce("g", "rid").alias("g"))
+        judged = stored(judged.select("rid", "fp", "component_id", "hub", "j", F.when(F.col("j") < similarity, F.col("sh")).alias("sh")))
+        more = judged.filter(F.col("j") >= similarity).select("rid", F.col("hub").alias("g"))
+        taken, left = more if taken is None else taken.unionByName(more), judged.filter(F.col("j") < similarity).drop("hub", "j")
+    if taken is None:
+        return first.select("rid", "id", F.col("rid").alias("g"))
+    return first.select("rid", "id").join(taken, "rid", "left").select("rid", "id", F.coalesce("g", "rid").alias("g"))
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels with the groups that edges connect made one."""
     roots = components(edges)
     return labels.join(roots, labels["g"] == roots["node"], "left").select("rid", "id", F.coalesce("root", "g").alias("g"))
-
-
-def _added(edges: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if edges is None else edges.unionByName(more)

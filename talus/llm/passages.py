@@ -1,23 +1,28 @@
-"""Substring dedup by MinHash banding of passages.
+"""Substring dedup by MinHash banding of paragraphs, and of passages within long ones.
 
-A paragraph boundary says little about where a repeated passage starts, so the units are
-passages of ``WORDS`` words that start at anchors: in each stretch of WORDS + 1 possible
-starts the one with the smallest hash of its first two words. Equal text has equal
-anchors, so any 2 * WORDS words that repeat hold a passage that repeats exactly.
+Units are, in words: each paragraph (a line) of ``SHINGLE`` to ``WORDS`` - 1 words; of longer
+paragraphs the first and the last WORDS words; and passages of WORDS words that start at
+anchors: in each stretch of WORDS + 1 possible starts of a text the one with the smallest
+hash of its first two words. So a longer paragraph that repeats is covered from end to end,
+and a passage that begins and ends anywhere is found as well: equal text has equal
+anchors, so any 2 * WORDS words that repeat hold a unit that repeats exactly, and what is left
+uncovered at either edge is less than WORDS + 1 words.
 
-Each passage has ``BANDS`` keys of ``ROWS`` MinHash values over its five-word shingles: at
+Each unit has ``BANDS`` keys of ``ROWS`` MinHash values over its five-word shingles: at
 Jaccard similarity 0.8 a pair meets with probability 1 - (1 - 0.8 ** 2) ** 4 = 98 %, and
-the many passages that share anchors with a copy raise that for a document. Chunks ask the
-buckets which keys occur twice; only passages with such a key go on. Distinct passages
+the many units that share anchors with a copy raise that for a document. Chunks learn which of
+their keys other documents have; only units with such a key go on. Distinct units
 with a common key are compared by exact Jaccard similarity of 32-bit shingle hashes, and the links' components are
 the clusters. A cluster within one document isn't a repeat across documents and is left
-out. The first passage of a cluster (smallest doc_id, then position) is kept, the
+out. The first unit of a cluster (smallest doc_id, then row, then position) is kept, the
 others are removals.
 
 Words are the runs between white space, A-Z in lower case. Defined results: a null or
-empty text and one below WORDS words has no passage; a null id counts as larger than any
-other and is returned as null; repeated rows repeat each other's passages; an empty table
-gives an empty result; only id and text are read.
+empty text and paragraphs below SHINGLE words have no unit, unless a longer passage spans them;
+a null id counts as larger than any other and is returned as null; rows are documents, so
+repeated rows repeat each other's units, whatever their ids; an empty table gives an
+empty result; a very long text is a chunk of its own; only id and text are read, and other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,20 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import NO_ID, answered, by_bucket, chunked, opened, packed, resumed
+from .chunks import NO_ID, among, chunked, place, resumed, shared
 from .common import components, local_roots, mixed, prefix_hash, span_hash, stored, table, unite, word_spans
 from .suffix import _window_min
 
 WORDS, SHINGLE, BANDS, ROWS, SIMILARITY = 25, 5, 4, 2, 0.8
-BUCKET_BYTES, KEY_ROWS, FEW = 64 << 20, 2000, 16
+TASK_BYTES, KEY_ROWS, FEW = 12 << 20, 2000, 16
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
 class Passages:
-    """The passages of some texts: owner, first word, name, shingle hashes and band keys."""
+    """The units of some texts: owner, first word, size, name, shingle hashes and band keys."""
 
     def __init__(self, texts: list[bytes], words: int = WORDS):
-        buf = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
+        buf = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
         stops = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
         first, last = word_spans(buf)
         names = span_hash(prefix_hash(buf), first, last)
@@ -48,17 +53,24 @@ class Passages:
         prefix = prefix_hash(names)
         pair = span_hash(prefix, np.arange(max(0, len(names) - 1)), np.arange(1, len(names)) + 1) if len(names) > 1 else np.zeros(0, np.uint64)
         order = (pair >> np.uint64(32) << np.uint64(32)) | np.arange(len(pair), dtype=np.uint64)
-        owner, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        line = np.searchsorted(np.flatnonzero(buf == 10), first)
+        begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(line)))
+        short, long = (size >= SHINGLE) & (size < words), size >= words
+        at, n = [begin[short], begin[long], (begin + size)[long] - words], [size[short], np.full(2 * long.sum(), words)]
         for i in np.flatnonzero(np.diff(bound) >= words).tolist():
             a, b = int(bound[i]), int(bound[i + 1]) - words + 1
-            found = np.unique(_window_min(order[a:b], min(words + 1, b - a)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            owner.append(np.full(len(found), i))
-            at.append(found)
-        self.owner, at = np.concatenate(owner), np.concatenate(at)
+            at.append(np.unique(_window_min(order[a:b], min(words + 1, b - a)) & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            n.append(np.full(len(at[-1]), words))
+        spans = np.unique(np.stack((np.concatenate(at), np.concatenate(n)), axis=1).astype(np.int64), axis=0)
+        at, self.size = spans[:, 0], spans[:, 1]
+        self.owner = np.searchsorted(bound, at, "right") - 1
         self.start = at - bound[self.owner]
-        self.name = span_hash(prefix, at, at + words)
+        self.name = span_hash(prefix, at, at + self.size)
         shingle = span_hash(prefix, np.arange(max(0, len(names) - SHINGLE + 1)), np.arange(max(0, len(names) - SHINGLE + 1)) + SHINGLE)
-        self.shingles = shingle[at[:, None] + np.arange(words - SHINGLE + 1)] if len(at) else np.zeros((0, words - SHINGLE + 1), np.uint64)
+        # a short unit's last shingle is repeated, which changes no set
+        nth = np.minimum(np.arange(words - SHINGLE + 1), self.size[:, None] - SHINGLE)
+        self.shingles = shingle[at[:, None] + nth] if len(at) else np.zeros((0, words - SHINGLE + 1), np.uint64)
         low = np.stack([mixed(self.shingles ^ s).min(axis=1) for s in _SEEDS], axis=1) if len(at) else np.zeros((0, len(_SEEDS)), np.uint64)
         keys = [np.full(len(at), band, np.uint64) for band in range(BANDS)]
         for band in range(BANDS):
@@ -67,15 +79,6 @@ class Passages:
         self.keys = np.stack(keys, axis=1)
 
 
-def _twice(asks: list[tuple]) -> list[tuple]:
-    """For each ask (keys, one of several documents given twice): its keys that occur twice in all."""
-    keys = np.sort(np.concatenate([a[0] for a in asks]))
-    shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    held = np.append(shared, np.uint32(0))
-    some = [np.unique(a[0]) for a in asks]
-    return [(k[held[np.searchsorted(shared, k)] == k] if len(shared) else k[:0],) for k in some]
-
-
 def similar(sets: np.ndarray, sizes: np.ndarray, least: float, side: np.ndarray, block: int = 512):
     """Index pairs (a < b) of rows of shingles at or above ``least``, by products of incidence blocks."""
     flat = np.unique(sets, return_inverse=True)[1].reshape(sets.shape)
@@ -104,12 +107,12 @@ def all_pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def linked(distinct: DataFrame, similarity: float = SIMILARITY, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(u, v): edges that connect the distinct passages (name, shingles, keys) which exact similarity links."""
+    """(u, v): edges that connect the distinct units (name, shingles, keys) which exact similarity links."""
     spread = distinct.select("name", F.explode("keys").alias("key"))
     several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = several.select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("parts"))
-    spread = spread.join(several, "key").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
-    # a key with more passages is dealt out in parts, and every two parts meet in one bucket
+    spread = spread.join(stored(several), "key").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    # a key with more units is dealt out in parts, and every two parts meet in one bucket
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("name", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), F.when(F.col("part") != F.col("other"), F.col("part")).otherwise(-1).alias("side"))
     spread = spread.join(distinct.select("name", "shingles"), "name")
@@ -151,59 +154,44 @@ def linked(distinct: DataFrame, similarity: float = SIMILARITY, key_rows: int =
     return spread.repartition("bucket").mapInPandas(compare, "u long, v long")
 
 
-def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(doc_id, start_word, n_words, cluster_doc, cluster_word, kept) of each passage that repeats."""
+def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(doc_id, start_word, n_words, cluster_doc, cluster_word, kept) of each unit that repeats."""
     chunks = chunked(docs, key, text)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    wide = np.uint64(buckets)
-
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % wide).astype(np.int64)
-
-    def ask(frames):
-        for frame in frames:
-            for chunk, body in zip(frame["chunk"], frame["body"]):
-                ids, texts = opened(body)
-                own = Passages(texts, words)
-                keys, doc = own.keys.ravel(), np.repeat(ids[own.owner], BANDS)
-                order = np.lexsort((doc, keys))
-                keys, doc = keys[order], doc[order]
-                edge = np.append(True, keys[1:] != keys[:-1])  # the first row of a key, and its last if that is another document's
-                edge |= np.append(edge[1:], True) & (doc != doc[np.maximum.accumulate(np.where(edge, np.arange(len(keys)), 0))])
-                keys = keys[edge]
-                out = [(b, packed(keys[p].astype(np.uint32))) for b, p in by_bucket(bucket_of(keys))]
-                yield pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in out], "body": [x for _, x in out]})
-
-    heard = stored(answered(chunks.mapInPandas(ask, "chunk long, bucket long, body binary"), _twice, buckets))
-
-    def candidates(chunk, ids, texts, told):
+
+    def told(chunk, ids, texts) -> tuple[np.ndarray, np.ndarray]:
+        own = Passages(texts, words)
+        return own.keys.ravel(), np.repeat(place(chunk, own.owner), BANDS)
+
+    heard = shared(chunks, told, max(1, -(-total // task_bytes))).select("chunk", "hash")
+
+    def candidates(chunk, ids, texts, rows) -> pd.DataFrame:
         own = Passages(texts, words)
-        shared = np.concatenate([a[0].astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, a in told[0].items()] or [np.zeros(0, np.uint64)])
-        name = (own.keys & np.uint64(0xFFFFFFFF)) | bucket_of(own.keys).astype(np.uint64) << np.uint64(32)
-        shared.sort()
-        held = np.append(shared, np.uint64(0))
-        some = np.flatnonzero((held[np.searchsorted(shared, name)] == name).any(axis=1) & (len(shared) > 0))
+        some = np.flatnonzero(among((own.keys >> np.uint64(16)).view(np.int64), np.sort(rows["hash"].to_numpy())).any(axis=1))
         _, first = np.unique(own.name[some], return_index=True)
         short = (own.shingles >> np.uint64(32)).astype(np.uint32)
-        whole = np.zeros(len(some), bool)  # a passage is described once a chunk
+        whole = np.zeros(len(some), bool)  # a unit is described once a chunk
         whole[first] = True
-        return pd.DataFrame({"name": own.name[some].view(np.int64), "doc": ids[own.owner[some]], "start": own.start[some], "shingles": [short[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], "keys": [own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())]})
+        return pd.DataFrame({
+            "name": own.name[some].view(np.int64), "doc": ids[own.owner[some]], "row": place(chunk, own.owner[some]), "start": own.start[some], "size": own.size[some],
+            "shingles": [short[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], "keys": [own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())],
+        })
 
-    found = stored(resumed(chunks, [heard], candidates, "name long, doc long, start long, shingles binary, keys array<long>"))
+    found = stored(resumed(chunks, heard, candidates, "name long, doc long, row long, start long, size long, shingles binary, keys array<long>"))
     distinct = stored(found.filter("shingles is not null").groupBy("name").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
     roots = components(linked(distinct, similarity, key_rows)).withColumnRenamed("node", "name")
-    named = stored(found.select("name", "doc", "start").join(roots, "name", "left").select(F.coalesce("root", "name").alias("cluster"), "doc", "start"))
-    clusters = named.groupBy("cluster").agg(F.min(F.struct("doc", "start")).alias("head"), F.max("doc").alias("last")).filter("last <> head.doc")
-    out = named.join(clusters.drop("last"), "cluster")
+    named = stored(found.select("name", "doc", "row", "start", "size").join(roots, "name", "left").select(F.coalesce("root", "name").alias("cluster"), "doc", "row", "start", "size"))
+    clusters = named.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start", "size")).alias("head"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high")
+    # a stored table with a row a cluster, so that Spark can split a cluster's rows among tasks
+    out = named.join(stored(clusters.select("cluster", "head")), "cluster")
     unless = lambda c: F.when(c != NO_ID, c)
     return out.select(
         unless(F.col("doc")).alias("doc_id"),
         F.col("start").alias("start_word"),
-        F.lit(words).cast("long").alias("n_words"),
+        F.col("size").alias("n_words"),
         unless(F.col("head.doc")).alias("cluster_doc"),
         F.col("head.start").alias("cluster_word"),
-        ((F.col("doc") == F.col("head.doc")) & (F.col("start") == F.col("head.start"))).alias("kept"),
+        (F.struct("doc", "row", "start", "size") == F.col("head")).alias("kept"),
     )
 
 

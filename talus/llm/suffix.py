@@ -2,41 +2,52 @@
 
 A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in a document
 with a smaller id. Every such string has a minimizer, the smallest hash of its
-``GRAM``-byte parts, and equal strings have equal ones, so strings meet in the bucket of
-their minimizer, and neighbouring strings with one minimizer travel as one segment.
+``GRAM``-byte parts, and equal strings have equal ones, so strings meet at their minimizer,
+and neighbouring strings with one minimizer travel as one segment.
 
-1. Chunks of documents tell the buckets their minimizers and text digests. A bucket
-   answers which minimizers occur in different texts, and the smallest id of each text.
+1. Chunks of documents tell their minimizers, each with the digest of a text that has it,
+   and the texts' digests. What comes back is which minimizers different texts have, and
+   the smallest id of each text.
 2. Chunks send the segments of shared minimizers, each distinct one once, with the
-   smallest id there. Where segments of a minimizer differ, the bucket's task builds the
+   smallest id there. Where segments of a minimizer differ, its task builds the
    Burrows-Wheeler transform of them and extends intervals backwards, breadth first: level
    by level this fixes the borders between suffixes with common prefixes of 0, 1, 2 ...
    bytes. It stops at ``LENGTH``; suffixes with no border between them share a string.
    The answer is the smallest id at each string of a segment.
 3. Chunks mark what is covered by strings with an answer smaller than their own id.
 
-A document whose whole text equals one with a smaller id is removed whole in step 1 and
-sends nothing. No task sees all occurrences of a string, only the chunks' distinct ones.
-
-Defined results: a null text is empty; texts below LENGTH bytes lose nothing; a null id
-counts as larger than any other; rows with equal ids don't remove from each other; an
-empty table gives an empty result; only id and text are read.
+A minimizer with over ``FAMILY`` segments, as a common line with ever different text around
+it has, would bring them all to one task: its strings travel alone, by their own hash. So
+no task sees more than FAMILY different segments of a minimizer, and an equal one only
+once a chunk. A document whose whole text equals one with a smaller id is removed whole
+in step 1 and sends no segment. Texts are told apart by 128-bit digests, and minimizers
+found in one text only by 64 bits of them: of 10^11 pairs of texts that alone share a
+minimizer, one is overlooked with probability 10^-8.
+
+Defined results: a null text is empty; texts below LENGTH bytes lose nothing, copies too; a
+null id counts as larger than any other; rows with equal ids don't remove from each other;
+an empty table gives an empty result; a very long text is a chunk of its own; only id and
+text are read, and other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .chunks import NO_ID, answered, by_bucket, chunked, opened, packed, resumed
+from .chunks import NO_ID, among, chunked, opened, resumed, shared
 from .common import prefix_hash, span_hash, stored, table
 
 LENGTH, GRAM = 50, 24
-BUCKET_BYTES = 24 << 20  # of text, for each bucket
+TASK_BYTES = 6 << 20  # of text, for each task that answers
+FAMILY = 50_000
 
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -90,6 +101,15 @@ class Segments:
     def keep(self, some: np.ndarray) -> None:
         self.first, self.last, self.doc, self.minimizer = self.first[some], self.last[some], self.doc[some], self.minimizer[some]
 
+    def alone(self, some: np.ndarray) -> None:
+        """Makes each string of the runs chosen a run of its own, with its own hash for a minimizer."""
+        size = (self.last - self.first + 1)[some]
+        at = np.repeat(self.first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        doc, name = np.repeat(self.doc[some], size), span_hash(prefix_hash(self.buf), at, at + self.length)
+        self.keep(~some)
+        self.first, self.last = np.concatenate((self.first, at)), np.concatenate((self.last, at))
+        self.doc, self.minimizer = np.concatenate((self.doc, doc)), np.concatenate((self.minimizer, name))
+
     def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A run for each distinct segment, the number of each run's segment, the segments' smallest ids."""
         names = span_hash(prefix_hash(self.buf), self.first, self.last + self.length)
@@ -98,10 +118,11 @@ class Segments:
         np.minimum.at(least, which, ids[self.doc])
         return one, which, least
 
-    def bytes_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the runs' segments, and their bytes one after another."""
+    def bytes_of(self, runs: np.ndarray) -> pa.Array:
+        """The runs' segments, one after another."""
         size = self.last[runs] + self.length - self.first[runs]
-        return size.astype(np.uint8), self.buf[np.repeat(self.first[runs] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        raw = self.buf[np.repeat(self.first[runs] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(raw)])
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -186,66 +207,59 @@ def least_ids(segments: list[bytes], ids: np.ndarray, length: int) -> list[np.nd
 
 
 def _digests(texts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in texts), np.uint64)
+    """128 bits of each text, as two numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+
 
+def _firsts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the texts, the place of each distinct text, and which of these each text is."""
+    digests = _digests(texts)
+    _, first, which = np.unique(digests, axis=0, return_index=True, return_inverse=True)
+    return digests, first, which.ravel()
 
-def _shared(asks: list[tuple]) -> list[tuple]:
-    """For each ask (minimizers, text marks, digests, ids): the shared minimizers, the smallest id of each digest."""
-    both = np.sort(np.concatenate([a[0].astype(np.uint64) << np.uint64(32) | a[1] for a in asks]))
-    name = (both >> np.uint64(32)).astype(np.uint32)
-    shared = np.unique(name[1:][(name[1:] == name[:-1]) & (both[1:] != both[:-1])])
-    digests, ids = np.concatenate([a[2] for a in asks]), np.concatenate([a[3] for a in asks])
-    texts, which = np.unique(digests, return_inverse=True)
-    least = np.full(len(texts), NO_ID, np.int64)
-    np.minimum.at(least, which, ids)
-    held = np.append(shared, np.uint32(0))
-    some = [np.unique(a[0]) for a in asks]
-    return [(n[held[np.searchsorted(shared, n)] == n] if len(shared) else n[:0], a[2], least[np.searchsorted(texts, a[2])]) for n, a in zip(some, asks)]
+
+def _answers(names: list[bytes], keys: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id at each string of each distinct segment, one after another, and where each segment's begin."""
+    width = np.array([len(n) - length + 1 for n in names], np.int64)
+    value, start = np.repeat(low, width), np.cumsum(width) - width
+    order = np.argsort(keys, kind="stable")
+    family = np.concatenate(([0], np.cumsum(np.diff(keys[order]) != 0)))
+    mixed = order[np.bincount(family)[family] > 1]
+    for at in _portions([len(names[k]) for k in mixed.tolist()], keys[mixed].tolist(), 4 << 20):
+        part = mixed[at]
+        for k, found in zip(part.tolist(), least_ids([names[k] for k in part.tolist()], low[part], length)):
+            value[start[k] : start[k] + len(found)] = found
+    return value, start
 
 
 def _expanded(length: int):
-    def answer(asks: list[tuple]) -> list[tuple]:
-        """For each ask (sizes, ids, minimizers, bytes): (runs of equal answers a segment, their lengths, their ids)."""
-        seen: dict[bytes, int] = {}
-        least: list[int] = []
-        family: dict[int, list[int]] = {}
-        places = []
-        for sizes, ids, minimizers, raw in asks:
-            blob, own = raw.tobytes(), []
-            ends = np.cumsum(sizes, dtype=np.int64).tolist()
-            for start, stop, one, minimizer in zip([0, *ends], ends, ids.tolist(), minimizers.tolist()):
-                k = seen.setdefault(blob[start:stop], len(least))
-                if k == len(least):
-                    least.append(one)
-                    family.setdefault(minimizer, []).append(k)
-                elif one < least[k]:
-                    least[k] = one
-                own.append(k)
-            places.append(own)
-        names, low = list(seen), np.array(least, np.int64)
-        found: dict[int, np.ndarray] = {}
-        mixed = [k for f in family.values() if len(f) > 1 for k in f]
-        for at in _portions([len(names[k]) for k in mixed], [m for m, f in family.items() if len(f) > 1 for _ in f], 4 << 20):
-            part = mixed[at]
-            found.update(zip(part, least_ids([names[k] for k in part], low[part], length)))
-        out = []
-        width = np.array([len(n) - length + 1 for n in names], np.int64)
-        value = np.repeat(low, width)  # of each string of each distinct segment
-        start = np.cumsum(width) - width
-        for k, v in found.items():
-            value[start[k] : start[k] + len(v)] = v
-        for (sizes, ids, _, _), own in zip(asks, places):
-            own = np.array(own, np.int64)
-            size = width[own]
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, kind, a, b): for each segment whose strings have smaller ids elsewhere the runs of equal ids, a: segment, from and to, b: id."""
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        every = pa.Table.from_batches(got).combine_chunks()
+        coded = every["segment"].combine_chunks().dictionary_encode()
+        own, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        key, ids, chunk, number = (every[c].to_numpy() for c in ("key", "id", "chunk", "number"))
+        del got, every, coded
+        low, keys = np.full(len(names), NO_ID, np.int64), np.zeros(len(names), np.int64)
+        np.minimum.at(low, own, ids)
+        keys[own] = key
+        value, start = _answers(names, keys, low, length)
+        width = np.diff(np.append(start, len(value)))
+        for at in range(0, len(own), 1 << 14):
+            mine = own[at : at + (1 << 14)]
+            size = width[mine]
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            got, segment = value[np.repeat(start[own], size) + nth], np.repeat(np.arange(len(own)), size)
-            cut = np.flatnonzero((nth == 0) | np.append(True, got[1:] != got[:-1])) if len(got) else np.zeros(0, np.int64)
-            spans, values, segment = np.diff(np.append(cut, len(got))), got[cut], segment[cut]
-            counts = np.bincount(segment, minlength=len(own))
-            plain = (counts == 1) & (got[np.cumsum(size) - size] == ids) if len(own) else counts == 1  # nothing smaller elsewhere
-            told = ~plain[segment]
-            out.append((np.where(plain, 0, counts).astype(np.uint8), spans[told].astype(np.uint8), values[told]))
-        return out
+            seen, row = value[np.repeat(start[mine], size) + nth], np.repeat(np.arange(len(mine)), size)
+            cut = np.flatnonzero((nth == 0) | np.append(True, seen[1:] != seen[:-1]))
+            to = nth[np.append(cut[1:], len(nth)) - 1] + 1
+            new = seen[cut] != ids[at : at + (1 << 14)][row[cut]]
+            cut, to = cut[new], to[new]
+            i = at + row[cut]
+            a = number[i].astype(np.int64) << 16 | nth[cut] << 8 | to
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[i]), pa.array(np.full(len(i), 2, np.int32)), pa.array(a), pa.array(seen[cut])], names=["chunk", "kind", "a", "b"])
 
     return answer
 
@@ -262,111 +276,91 @@ def _portions(sizes: list[int], family: list[int], limit: int):
         yield slice(start, len(sizes))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+_TOLD = "chunk long, kind int, a long, b long"
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES, family: int = FAMILY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): kept bytes, and the removed spans as (start, end)."""
     if not (8 <= gram <= 24 and gram <= length <= 100):
-        raise ValueError("gram is 8 to 24 bytes, and length at least that and at most 100, as segment sizes are sent as bytes")
-    spark = docs.sparkSession
+        raise ValueError("gram is 8 to 24 bytes, and length at least that and at most 100, as places in a segment are sent as bytes")
     chunks = chunked(docs, key, text)
-    total, rows = chunks.agg(F.sum("bytes"), F.count(F.lit(1))).first()
-    buckets = max(1, -(-(total or 0) // bucket_bytes))
-    wide = np.uint64(buckets)
-
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % wide).astype(np.int64)
-
-    def named(h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64(0xFFFFFFFF)) | bucket_of(h).astype(np.uint64) << np.uint64(32)
-
-    def ask(frames):
-        for frame in frames:
-            for chunk, body in zip(frame["chunk"], frame["body"]):
-                ids, texts = opened(body)
-                digests = _digests(texts)
-                _, first, which = np.unique(digests, return_index=True, return_inverse=True)
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+
+    def told(chunk, ids, texts) -> tuple[np.ndarray, np.ndarray]:
+        digests, first, _ = _firsts(texts)
+        runs = Segments([texts[i] for i in first.tolist()], length, gram)
+        return runs.minimizer, digests[first, 0][runs.doc]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, texts = opened(body.as_py())
+                digests, first, which = _firsts(texts)
                 least = np.full(len(first), NO_ID, np.int64)
                 np.minimum.at(least, which, ids)
-                runs = Segments([texts[i] for i in first.tolist()], length, gram)
-                # a minimizer of one text is sent with its mark, one of more texts with two different marks
-                name = named(runs.minimizer)
-                order = np.argsort(name)
-                name, mark = name[order], (digests[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[runs.doc[order]]
-                begin = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
-                name, low, high = name[begin], *(f.reduceat(mark, begin) if len(begin) else mark for f in (np.minimum, np.maximum))
-                again = low != high
-                name, mark = np.concatenate((name, name[again])), np.concatenate((low, high[again]))
-                asked = {b: [name[p].astype(np.uint32), mark[p]] for b, p in by_bucket(name >> np.uint64(32))}
-                for b, p in by_bucket(bucket_of(digests[first])):
-                    asked.setdefault(b, [np.zeros(0, np.uint32)] * 2)
-                    asked[b] += [digests[first][p], least[p]]
-                out = [(b, packed(*(a if len(a) == 4 else [*a, np.zeros(0, np.uint64), np.zeros(0, np.int64)]))) for b, a in asked.items()]
-                yield pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in out], "body": [x for _, x in out]})
-
-    first_round = stored(answered(chunks.mapInPandas(ask, "chunk long, bucket long, body binary"), _shared, buckets))
-
-    def sent(ids, texts, heard) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), pa.array(first.astype(np.int64)), pa.array(least), *(pa.array(np.ascontiguousarray(digests[first, i])) for i in (0, 1))], names=["chunk", "first", "id", "d0", "d1"])
+
+    minimizers = shared(chunks, told, tasks).select("chunk", F.lit(0).alias("kind"), F.col("hash").alias("a"), F.col("n").alias("b"))
+    texts = chunks.select("chunk", "body").mapInArrow(named, "chunk long, first long, id long, d0 long, d1 long")
+    # a text has a row a chunk; its group needs one number
+    texts = texts.select("chunk", F.lit(1).alias("kind"), F.col("first").alias("a"), F.min("id").over(Window.partitionBy("d0", "d1")).alias("b"))
+    heard = stored(minimizers.unionByName(texts))
+
+    def sent(ids, texts, rows: pd.DataFrame) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The runs of shared minimizers in texts that are nobody's copy; the same in both later steps."""
-        digests = _digests(texts)
-        known, least = np.concatenate([a[1] for a in heard.values()]), np.concatenate([a[2] for a in heard.values()])
-        order = np.argsort(known)
-        copy = least[order][np.searchsorted(known[order], digests)] < ids
+        kind, a, b = (rows[c].to_numpy() for c in ("kind", "a", "b"))
+        _, first, which = _firsts(texts)
+        least = np.zeros(len(texts), np.int64)
+        least[a[kind == 1]] = b[kind == 1]
+        copy = least[first][which] < ids
         runs = Segments(texts, length, gram)
-        shared = np.concatenate([a[0].astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, a in heard.items()])
-        shared.sort()
-        name = named(runs.minimizer)
-        held = np.append(shared, np.uint64(0))
-        runs.keep((held[np.searchsorted(shared, name)] == name) & (len(shared) > 0) & ~copy[runs.doc])
-        return (runs, copy, *runs.distinct(ids), bucket_of(runs.minimizer))
-
-    def send(chunk, ids, texts, heard):
-        runs, _, one, _, least, bucket = sent(ids, texts, heard[0])
-        out = []
-        for b, p in by_bucket(bucket[one]):
-            sizes, raw = runs.bytes_of(one[p])
-            out.append((b, packed(sizes, least[p], runs.minimizer[one[p]], raw)))
-        return pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in out], "body": [x for _, x in out]}).astype({"chunk": "int64", "bucket": "int64"})
-
-    second_round = stored(answered(resumed(chunks, [first_round], send, "chunk long, bucket long, body binary"), _expanded(length), buckets))
-
-    def mark(chunk, ids, texts, heard):
-        runs, copy, one, which, least, bucket = sent(ids, texts, heard[0])
-        edge = np.zeros(len(runs.buf) + 1, np.int32)
-        window = np.full(len(one), -1, np.int64)  # of each segment: where its answers start
-        values, at = [], 0
-        for b, p in by_bucket(bucket[one]):
-            counts, spans, ids_of = heard[1][b]
-            owner = np.repeat(np.arange(len(p)), counts)
-            size = (runs.last - runs.first + 1)[one[p]]
-            told = counts > 0
-            window[p[told]] = at + np.cumsum(np.where(told, size, 0))[told] - size[told]
-            values.append(np.repeat(ids_of, spans))
-            at += int(size[told].sum())
-            assert len(values[-1]) == int(size[told].sum()) and len(owner) == len(spans)
-        values = np.concatenate(values) if values else np.zeros(0, np.int64)
+        order = np.argsort(a[kind == 0])
+        names, often = a[kind == 0][order], b[kind == 0][order]
+        short = (runs.minimizer >> np.uint64(16)).view(np.int64)
+        runs.keep(among(short, names) & ~copy[runs.doc])
+        hot = among((runs.minimizer >> np.uint64(16)).view(np.int64), names[often > family])
+        if hot.any():
+            runs.alone(hot)
+        return (runs, copy, *runs.distinct(ids))
+
+    def send(chunk, ids, texts, rows) -> pd.DataFrame:
+        runs, _, one, _, least = sent(ids, texts, rows)
+        return pd.DataFrame({"key": runs.minimizer[one].view(np.int64), "segment": runs.bytes_of(one).to_pylist(), "id": least, "chunk": np.full(len(one), chunk), "number": np.arange(len(one), dtype=np.int64)})
+
+    segments = resumed(chunks, heard, send, "key long, segment binary, id long, chunk long, number long")
+    answers = stored(segments.repartition(tasks, "key").mapInArrow(_expanded(length), _TOLD))
+
+    def mark(chunk, ids, texts, rows) -> pd.DataFrame:
+        runs, copy, one, which, least = sent(ids, texts, rows)
         size = runs.last - runs.first + 1
+        width = size[one]
+        start = np.cumsum(width) - width
+        value = np.repeat(least, width)  # of each string of each distinct segment
+        rows = rows[rows["kind"] == 2]
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        span = (a & 255) - (a >> 8 & 255)
+        value[np.repeat(start[a >> 16] + (a >> 8 & 255) - (np.cumsum(span) - span), span) + np.arange(span.sum())] = np.repeat(b, span)
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         own = np.repeat(np.arange(len(size)), size)
-        nth = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-        segment = which[own]
-        smallest = least[segment]
-        told = window[segment] >= 0
-        smallest[told] = values[window[segment[told]] + nth[told]]
         gone = runs.first[own] + nth
-        gone = gone[smallest < ids[runs.doc[own]]]
+        gone = gone[value[start[which[own]] + nth] < ids[runs.doc[own]]]
+        edge = np.zeros(len(runs.buf) + 1, np.int32)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + length, -1)
         removed = np.cumsum(edge[:-1]) > 0
-        rows, start = [], 0
+        out, at = [], 0
         for i, t in enumerate(texts):
-            off = removed[start : start + len(t)]
+            off = removed[at : at + len(t)]
             if copy[i] and len(t) >= length:
                 off = np.ones(len(t), bool)
             turn = np.flatnonzero(np.diff(np.concatenate(([False], off, [False])).view(np.int8)))
             kept = np.frombuffer(t, np.uint8)[~off].tobytes()
-            rows.append((None if ids[i] == NO_ID else int(ids[i]), len(t), int(off.sum()), len(turn) // 2, kept, turn.reshape(-1, 2).tolist()))
-            start += len(t)
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
+            out.append((None if ids[i] == NO_ID else int(ids[i]), len(t), int(off.sum()), len(turn) // 2, kept, turn.reshape(-1, 2).tolist()))
+            at += len(t)
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
 
-    return resumed(chunks, [first_round, second_round], mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+    return resumed(chunks, heard.unionByName(answers), mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

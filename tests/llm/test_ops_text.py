@@ -251,14 +251,29 @@ def overlapping(seed):
     return docs
 
 
-@pytest.mark.parametrize("bucket_bytes", [24 << 20, 800])
-def test_suffix_dedup(spark, bucket_bytes):
+@pytest.mark.parametrize("task_bytes, family", [(24 << 20, 50_000), (800, 50_000), (800, 1), (800, 5)])
+def test_suffix_dedup(spark, task_bytes, family):
     docs = overlapping(7)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicated(df, bucket_bytes=bucket_bytes).collect())
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicated(df, task_bytes=task_bytes, family=family).collect())
     assert got == slow_removed(docs, 50)
 
 
+def test_suffix_dedup_of_texts_with_equal_short_digests(spark):
+    """126 common bytes, between texts whose 64-bit digests begin (or end) with equal 32 bits."""
+    body = "the river runs past the old stone mill and on to the sea, where boats of every size lie at anchor in the last light of the day. "[:126]
+    docs = [(1, body + "tail 81284"), (2, body + "tail 102920"), (3, "something else " * 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicated(df).collect()) == slow_removed(docs, 50)
+
+
+def test_suffix_dedup_edge_cases(spark):
+    long = "".join(random.Random(15).choice("abcd ") for _ in range(4 << 20))
+    docs = [(1, long, "a", 1), (2, "x" + long[1000:2000], "b", 2), (None, None, None, None), (3, "", "c", 3)]
+    out = {r.doc_id: r for r in suffix.deduplicated(spark.createDataFrame(docs, "doc_id long, text string, chunk string, kind int").repartition(2)).collect()}
+    assert out[1].n_removed == 0 and (out[2].n_removed, out[2].n_spans, bytes(out[2].kept)) == (1000, 1, b"x") and out[None].n_bytes == out[3].n_bytes == 0
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -291,12 +306,73 @@ def test_passages(spark, key_rows):
     assert {r.doc_id for r in out} == {i for i in range(30) if i % 3 == 0} | set(range(40, 46))
     heads = {(r.cluster_doc, r.cluster_word) for r in out}
     assert heads == {(r.doc_id, r.start_word) for r in out if r.kept}
-    by = {(d, tuple((t or "").split()[s : s + 25])) for d, t in docs for s in range(len((t or "").split()) - 24)}
-    for r in out:
-        assert (r.doc_id, tuple(dict(docs)[r.doc_id].split()[r.start_word : r.start_word + 25])) in by
+    assert all(r.n_words == 25 and r.start_word + 25 <= len(dict(docs)[r.doc_id].split()) for r in out)
     assert passages.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def slow_units(text, words=25):
+    """(start, size) of paragraphs, and of the ends of long ones; anchored passages are left to the caller."""
+    at, out = 0, set()
+    for line in (text or "").split("\n"):
+        n = len(line.split())
+        if 5 <= n < words:
+            out.add((at, n))
+        elif n >= words:
+            out |= {(at, words), (at + n - words, words)}
+        at += n
+    return out
+
+
+def test_passage_links_and_clusters(spark):
+    """Units, exact similarities and clusters against all pairs, and paragraphs whole."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    shared_lines = ["short line that two documents have here", "\n".join(["edge one two three", "a longer paragraph " + " ".join(f"v{i}" for i in range(70))])]
+    docs += [(900 + i, f"own{i} " * 30 + "\n" + x + "\n" + f"end{i} " * 9) for i, x in enumerate(shared_lines * 2)] + [(None, docs[0][1]), (None, docs[0][1])]
+    units = {}
+    own = passages.Passages([(t or "").encode() for _, t in docs])
+    for o, a, n in zip(own.owner.tolist(), own.start.tolist(), own.size.tolist()):
+        units[o, a, n] = frozenset(zip(*(docs[o][1].lower().split()[a + k : a + n - 4 + k] for k in range(5))))
+        assert n <= 25 and units[o, a, n]
+    assert all({(a, n) for o, a, n in units if o == i} >= slow_units(t) for i, (_, t) in enumerate(docs))
+    where = list(units)
+    sets = [units[w] for w in where]
+    by = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            by[g].append(i)
+    common = collections.Counter((i, j) for own in by.values() for j in own for i in own if i < j)
+    pairs = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    root = roots(len(where), pairs)
+    several = collections.defaultdict(set)
+    for w, q in zip(where, root):
+        several[q].add(w[0])
+    want = {w for w, q in zip(where, root) if len(several[q]) > 1}
+    rows = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    number = {d: i for i, (d, _) in enumerate(docs) if d is not None}
+    got = {(number[r.doc_id], r.start_word, r.n_words) for r in rows if r.doc_id is not None}
+    told = {w for w in want if docs[w[0]][0] is not None}
+    assert got <= told and len(got) >= 0.97 * len(told)
+    cluster = {(number[r.doc_id], r.start_word, r.n_words): (r.cluster_doc, r.cluster_word) for r in rows if r.doc_id is not None}
+    links = [(where[i], where[j]) for i, j in pairs if where[i] in cluster and where[j] in cluster and (number[docs[where[i][0]][0]] % 5 == 0)]
+    assert len(links) > 20 and sum(cluster[a] == cluster[b] for a, b in links) >= 0.9 * len(links)
+    assert sum(r.doc_id is None for r in rows) > 0 and sum(r.kept for r in rows) == len({(r.cluster_doc, r.cluster_word, r.n_words) for r in rows if r.kept})
+    longer = sorted((r.start_word, r.n_words) for r in rows if r.doc_id == 901)
+    covered = {k for a, n in longer for k in range(a, a + n)}
+    assert len(covered & set(range(34, 107))) >= 70  # the paragraph of 73 words, but for single words between units
+    assert any(r.doc_id == 900 and r.n_words == 7 for r in rows)
+
+
+def test_passages_edge_cases(spark):
+    word = random.Random(16)
+    long = " ".join(f"w{word.randrange(5000)}" for _ in range(700_000))
+    schema = "doc_id long, text string, chunk int, hash string, Name string"
+    docs = [(1, long, 1, "a", "n"), (2, " ".join(long.split()[50_000:50_060]), 2, "b", "n"), (3, None, None, None, None), (4, "", 1, "c", "n")]
+    out = passages.repeated(spark.createDataFrame(docs, schema).repartition(2)).collect()
+    assert {r.doc_id for r in out} == {1, 2} and all(r.cluster_doc == 1 for r in out)
+    text = " ".join(f"u{i}" for i in range(30))
+    assert passages.repeated(spark.createDataFrame([(None, text), (None, text)], "doc_id long, text string")).count() >= 4
+
+
 @pytest.mark.parametrize("rounds", [2, 0])
 def test_one_of_each_group(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
