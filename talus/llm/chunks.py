@@ -118,5 +118,5 @@ def resumed(chunks: DataFrame, told: DataFrame, do, schema: str) -> DataFrame:
 def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which values are in ``some``, which is sorted."""
     if not len(some):
-        return np.zeros(len(values), bool)
+        return np.zeros(values.shape, bool)
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
