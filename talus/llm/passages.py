@@ -174,7 +174,8 @@ def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         whole[first] = True
         return pd.DataFrame({
             "name": own.name[some].view(np.int64), "doc": ids[own.owner[some]], "row": place(chunk, own.owner[some]), "start": own.start[some], "size": own.size[some],
-            "shingles": [short[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], "keys": [own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())],
+            "shingles": pd.Series([short[i].tobytes() if w else None for i, w in zip(some.tolist(), whole.tolist())], dtype=object),
+            "keys": pd.Series([own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())], dtype=object),
         })
 
     found = stored(resumed(chunks, heard, candidates, "name long, doc long, row long, start long, size long, shingles binary, keys array<long>"))

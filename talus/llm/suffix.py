@@ -326,7 +326,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
 
     def send(chunk, ids, texts, rows) -> pd.DataFrame:
         runs, _, one, _, least = sent(ids, texts, rows)
-        return pd.DataFrame({"key": runs.minimizer[one].view(np.int64), "segment": runs.bytes_of(one).to_pylist(), "id": least, "chunk": np.full(len(one), chunk), "number": np.arange(len(one), dtype=np.int64)})
+        return pd.DataFrame({"key": runs.minimizer[one].view(np.int64), "segment": pd.Series(runs.bytes_of(one).to_pylist(), dtype=object), "id": least, "chunk": np.full(len(one), chunk), "number": np.arange(len(one), dtype=np.int64)})
 
     segments = resumed(chunks, heard, send, "key long, segment binary, id long, chunk long, number long")
     answers = stored(segments.repartition(tasks, "key").mapInArrow(_expanded(length), _TOLD))

@@ -274,6 +274,12 @@ def test_suffix_dedup_edge_cases(spark):
     assert out[1].n_removed == 0 and (out[2].n_removed, out[2].n_spans, bytes(out[2].kept)) == (1000, 1, b"x") and out[None].n_bytes == out[3].n_bytes == 0
 
 
+def test_suffix_dedup_without_repeats(spark):
+    docs = [(i, " ".join(f"d{i}w{k}" for k in range(40))) for i in range(4)] + [(9, None)]
+    got = suffix.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.n_removed == r.n_spans == 0 and bytes(r.kept).decode() == (dict(docs)[r.doc_id] or "") for r in got)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
