@@ -60,15 +60,20 @@ def place(chunk: int, doc: np.ndarray) -> np.ndarray:
 
 
 def grouped_places(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, mark, n): for each hash a row with its smallest mark and how often it occurs; a second one if another mark has it."""
+    """(hash, mark, n): for each hash a row with its smallest mark and how often it occurs; a second one if another mark has it.
+
+    Rows of a mark stand together, so that they compress.
+    """
     if not len(hashes):
-        return hashes, marks, np.zeros(0, np.int32)
+        return hashes, marks, np.zeros(0, np.int64)
     order = np.argsort(hashes)
     hashes, marks = hashes[order], marks[order]
     begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
     low, high = np.minimum.reduceat(marks, begin), np.maximum.reduceat(marks, begin)
     n, more = np.diff(np.append(begin, len(hashes))), low != high
-    return np.concatenate((hashes[begin], hashes[begin][more])), np.concatenate((low, high[more])), np.concatenate((n, np.zeros(more.sum(), n.dtype))).astype(np.int32)
+    out = np.concatenate((hashes[begin], hashes[begin][more])), np.concatenate((low, high[more])), np.concatenate((n, np.zeros(more.sum(), n.dtype)))
+    order = np.argsort(out[1], kind="stable")
+    return tuple(x[order] for x in out)
 
 
 def shared(chunks: DataFrame, told, tasks: int) -> DataFrame:
@@ -76,33 +81,35 @@ def shared(chunks: DataFrame, told, tasks: int) -> DataFrame:
 
     ``told(chunk, ids, texts)`` gives a chunk's hashes and marks. Hashes are cut to 48 bits
     on the way: two that become one are shared for nothing, which costs work and no result.
+    A row carries its chunk and, up to a million, how often the chunk has the hash in one number.
     """
+    most = (1 << _PLACES) - 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes, marks = told(chunk, *opened(body.as_py()))
                 h, mark, n = grouped_places((hashes >> np.uint64(16)).view(np.int64), marks)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(mark), pa.array(np.full(len(h), chunk, np.int64)), pa.array(n)], names=["hash", "mark", "chunk", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(mark), pa.array(np.int64(chunk << _PLACES) | np.minimum(n, most))], names=["hash", "mark", "source"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        h, mark, chunk, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
+        h, mark, source = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
         del got
         order = np.argsort(h)
-        h, mark, chunk, n = h[order], mark[order], chunk[order], n[order]
+        h, mark, source = h[order], mark[order], source[order]
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         several = np.minimum.reduceat(mark, begin) != np.maximum.reduceat(mark, begin)
-        size = np.diff(np.append(begin, len(h)))
+        size, n = np.diff(np.append(begin, len(h))), source & most
         some = np.flatnonzero(np.repeat(several, size) & (n > 0))
-        total = np.repeat(np.add.reduceat(n.astype(np.int64), begin), size)
+        total = np.repeat(np.add.reduceat(n, begin), size)
         for at in range(0, len(some), 1 << 16):
             i = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[i]), pa.array(h[i]), pa.array(total[i])], names=["chunk", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(source[i] >> _PLACES), pa.array(h[i]), pa.array(total[i])], names=["chunk", "hash", "n"])
 
-    asked = chunks.select("chunk", "body").mapInArrow(ask, "hash long, mark long, chunk long, n int")
+    asked = chunks.select("chunk", "body").mapInArrow(ask, "hash long, mark long, source long")
     return asked.repartition(tasks, "hash").mapInArrow(answer, "chunk long, hash long, n long")
 
 

@@ -38,10 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder that spark.checkpoint.dir names, or the checkpoint folder that is set.
+
+    Without either this is an error on a cluster, where a folder of one machine would lose
+    what the others wrote; a local master, as in tests, has one machine and gets its own.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="talus-shared-"))
     return named or context.getCheckpointDir()
 
@@ -54,7 +59,27 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/talus-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._talus_path = path
+    return out
+
+
+def tidied(df: DataFrame) -> DataFrame:
+    """df, once the driver has collected its garbage: Spark's cleaner then deletes the shuffle files of steps that are over.
+
+    Spark does this by itself only every half hour (spark.cleaner.periodicGC.interval), so
+    a long job would keep the files of all its large steps until then.
+    """
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing still to be computed reads."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._talus_path
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str, rows: int, rows_per_task: int = 400_000) -> DataFrame:
@@ -98,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = stored(small.select("x.*").filter("u <> v").distinct())
+        old, e = e, stored(small.select("x.*").filter("u <> v").distinct())
+        dropped(old)
 
 
 def local_roots(n: int) -> np.ndarray:

@@ -7,8 +7,11 @@ among unmarked words, all matches of that length are marked one to one, and so o
 ``TILE`` words. The share of the item's words under tiles is compared with ``COVERAGE``,
 so a passage whose parts were reordered counts as much as one in order.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK`` characters; a larger
-benchmark takes more passes over the documents, never more memory.
+The benchmark is sent to the tasks in blocks of at most ``BLOCK`` characters, which bounds
+what one lookup holds; a larger benchmark takes more lookups of each document, and its
+blocks stay broadcast until the result is computed. Seeds of an item can't be sampled, as
+tiles of TILE words may be all that covers it, so documents aren't shuffled by seed, which
+would send a row for each of their words.
 
 Words are runs of letters and digits (all non-ASCII characters count as such), compared
 in lower case. Defined results: null and empty texts match nothing; an item of fewer than

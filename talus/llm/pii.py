@@ -20,7 +20,9 @@ to be walked back into it.
 
 Defined results: a null text stays null with nothing replaced; an empty one stays empty;
 repeated rows give repeated rows; all other columns pass through; an empty table gives an
-empty result. The key is a parameter: who holds it can undo the permutations.
+empty result; a very long text is one row as any other. The key is a parameter, which
+who holds can undo the permutations: the queries read it from the session's
+``spark.talus.pii.key``, and only without that setting use a public one, for demonstration.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table, unused
 
-KEY, ROUNDS = "change-me", 8
+KEY_SETTING, DEMONSTRATION_KEY, ROUNDS = "spark.talus.pii.key", "demonstration", 8
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _FROM, _TO = r"(?<![\p{L}\p{N}.+\-/])", r"(?![\p{L}\p{N}]|[.\-/][0-9])"
 _TIME = r"(?=[Tt][0-9]|[Zz](?![\p{L}\p{N}]))"
@@ -148,7 +150,7 @@ def _date(key: str, rounds: int) -> str:
     return f"case when substring(m, 5, 1) = '-' then {moved('yyyy-MM-dd')} when substring(m, 3, 1) = '/' then {moved('MM/dd/yyyy')} else {moved('dd.MM.yyyy')} end"
 
 
-def pseudonym(key: str = KEY, rounds: int = ROUNDS) -> str:
+def pseudonym(key: str, rounds: int = ROUNDS) -> str:
     """SQL: a struct (t, n), what stands for the match m and the number of values replaced."""
     made = {"ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone}
     cases = " ".join(f"when m rlike {_text('^' + KINDS[k] + '$')} then {made[k](key, rounds)}" for k in made)
@@ -158,7 +160,7 @@ def pseudonym(key: str = KEY, rounds: int = ROUNDS) -> str:
     return f"if(contains(m, '@') or {others}, {single}, {_cards(key, rounds)})"
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: int = ROUNDS, count: str = "n_replaced") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", rounds: int = ROUNDS, count: str = "n_replaced") -> DataFrame:
     """docs with ``text`` pseudonymised, and the number of replaced values as ``count``; no shuffle, no Python."""
     hits, new = unused(docs, "_hits"), unused(docs, "_new")
     out = docs.withColumn(hits, F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
@@ -169,5 +171,9 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", rounds: i
     return out.withColumn(count, F.coalesce(F.when(F.col(new).isNotNull(), changed), F.lit(0)).cast("int")).drop(hits, new)
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

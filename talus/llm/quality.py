@@ -176,9 +176,10 @@ def boost(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = TREES,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Fits on at most about ``sample_rows`` labelled documents."""
-    rows = bounded_sample(labels.filter("quality is not null").select("doc_id", "quality"), sample_rows, "doc_id")
+    """Fits on at most about ``sample_rows`` labelled documents; of repeated ids the first text and the largest label count once."""
+    rows = bounded_sample(labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), sample_rows, "doc_id")
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # sample_rows bounds what is broadcast and collected
+    found = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
 
 
 def judged(docs: DataFrame, forest: Forest | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, BASE, base_failed, score, kept) of each row."""
+    """(key, BASE, base_failed, kept, score) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +205,10 @@ def judged(docs: DataFrame, forest: Forest | None, key: str = "doc_id", text: st
                 stats = statistics(texts[s])
                 failed = base_failed(stats)
                 quality = shared.value.score(features(stats)) if shared.value else np.ones(len(failed))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *(pa.array(stats[b].astype(np.int64)) for b in BASE), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= 0.5))], names=[key, *BASE, "base_failed", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *(pa.array(stats[b].astype(np.int64)) for b in BASE), pa.array(failed), pa.array(~failed & (quality >= 0.5)), pa.array(quality)], names=[key, *BASE, "base_failed", "kept", "score"])
 
     kind = dict(docs.select(key).dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(judge, f"`{key}` {kind}, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(judge, f"`{key}` {kind}, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, kept boolean, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

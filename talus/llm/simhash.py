@@ -11,7 +11,8 @@ in parts, and every two parts meet in a task of their own.
 
 Defined results: a null text is an empty one; a text without words has fingerprint zero;
 rows with a null id take part and get their group's id; repeated rows share a
-fingerprint; an empty table gives an empty result; only id and text are read.
+fingerprint; an empty table gives an empty result; a very long text is hashed on its own;
+only id and text are read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def grouped(prints: DataFrame, budget: int = BUDGET, key: str = "doc_id") -> Dat
     roots = components(linked(distinct.select("fp"), budget)).withColumnRenamed("node", "fp")
     first = roots.join(distinct, "fp").groupBy("root").agg(F.min("_first").alias("_least"))
     named = distinct.join(roots, "fp", "left").join(first, "root", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"))
-    return prints.join(named, "fp")
+    return prints.join(stored(named), "fp")  # a row a fingerprint, so that Spark can split what shares one
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

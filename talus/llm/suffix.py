@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import NO_ID, among, chunked, opened, resumed, shared
-from .common import prefix_hash, span_hash, stored, table
+from .common import prefix_hash, span_hash, stored, table, tidied
 
 LENGTH, GRAM = 50, 24
-TASK_BYTES = 6 << 20  # of text, for each task that answers
+TASK_BYTES, SHARED_BYTES = 6 << 20, 18 << 20  # of text, for each task that answers with ids, and with shared minimizers
 FAMILY = 50_000
 
 
@@ -301,11 +301,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
                 np.minimum.at(least, which, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), pa.array(first.astype(np.int64)), pa.array(least), *(pa.array(np.ascontiguousarray(digests[first, i])) for i in (0, 1))], names=["chunk", "first", "id", "d0", "d1"])
 
-    minimizers = shared(chunks, told, tasks).select("chunk", F.lit(0).alias("kind"), F.col("hash").alias("a"), F.col("n").alias("b"))
+    minimizers = shared(chunks, told, max(1, -(-total // SHARED_BYTES))).select("chunk", F.lit(0).alias("kind"), F.col("hash").alias("a"), F.col("n").alias("b"))
     texts = chunks.select("chunk", "body").mapInArrow(named, "chunk long, first long, id long, d0 long, d1 long")
     # a text has a row a chunk; its group needs one number
     texts = texts.select("chunk", F.lit(1).alias("kind"), F.col("first").alias("a"), F.min("id").over(Window.partitionBy("d0", "d1")).alias("b"))
-    heard = stored(minimizers.unionByName(texts))
+    heard = tidied(stored(minimizers.unionByName(texts)))
 
     def sent(ids, texts, rows: pd.DataFrame) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The runs of shared minimizers in texts that are nobody's copy; the same in both later steps."""
@@ -329,7 +329,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: s
         return pd.DataFrame({"key": runs.minimizer[one].view(np.int64), "segment": pd.Series(runs.bytes_of(one).to_pylist(), dtype=object), "id": least, "chunk": np.full(len(one), chunk), "number": np.arange(len(one), dtype=np.int64)})
 
     segments = resumed(chunks, heard, send, "key long, segment binary, id long, chunk long, number long")
-    answers = stored(segments.repartition(tasks, "key").mapInArrow(_expanded(length), _TOLD))
+    answers = tidied(stored(segments.repartition(tasks, "key").mapInArrow(_expanded(length), _TOLD)))
 
     def mark(chunk, ids, texts, rows) -> pd.DataFrame:
         runs, copy, one, which, least = sent(ids, texts, rows)

@@ -35,19 +35,27 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored, table
 
-REVISIT_FROM = 1000
+REVISIT_FROM, BROADCAST_ROWS = 1000, 200_000  # a row is some 60 bytes
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def decided(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """(page_id, url, payload, digest, bytes, refers_to); payload is null for revisits."""
+def decided(pages: DataFrame, least: int = REVISIT_FROM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, payload, digest, bytes, refers_to); payload is null for revisits.
+
+    Only ids and digests are shuffled to find payloads that repeat. What they refer to is
+    broadcast up to ``broadcast_rows`` payloads; beyond that rows go to their digests, each
+    small page to a key of its own.
+    """
     whole = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", whole.alias("payload")).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
-    large = F.when(F.col("bytes") >= least, F.col("digest"))
-    shared = rows.select("page_id", large.alias("digest")).filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    shared = shared.filter("_n > 1 and _last is not null").select(F.col("digest").alias("_key"), "_last")
-    rows = rows.join(shared, large == F.col("_key"), "left")
+    large = F.col("bytes") >= least
+    shared = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    shared = stored(shared.filter("_n > 1 and _last is not null").select(F.col("digest").alias("_key"), "_last"))
+    if shared.count() <= broadcast_rows:
+        shared = F.broadcast(shared)
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id", "digest").cast("string")))
+    rows = rows.join(shared, key == F.col("_key"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
     return rows.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", "bytes", refers.alias("refers_to"))
 

@@ -88,6 +88,39 @@ def test_plan_finds_exact_complements():
     assert all(sum(a * b for a, b in held) == 64 for n, held in made)
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every placing."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(free)
+            return
+        for k in {f: k for k, f in enumerate(free) if f >= lengths[i]}.values():
+            free[k] -= lengths[i]
+            place(i + 1, free)
+            free[k] += lengths[i]
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_takes_few_sequences():
+    rng = np.random.default_rng(4)
+    extra = 0
+    for _ in range(300):
+        lengths = rng.integers(1, 65, rng.integers(1, 10)).tolist()
+        got = sum(n for n, _ in packing.plan(dict(collections.Counter(lengths)), 64))
+        best = fewest(lengths, 64)
+        assert best <= got <= best + 1 and got >= -(-sum(lengths) // 64)
+        extra += got - best
+    assert extra <= 30
+
+
 def slow_language(labelled, text):
     """(language or None, posterior), by dictionaries of strings: words first, then ever shorter n-grams."""
     if not text or not any(c.isalpha() for c in text):
@@ -294,6 +327,45 @@ def test_forest_is_monotone_and_learns():
     assert quality.boost(x, np.ones(3000), [0, 0, 0]) is None
 
 
+def test_forest_scores_as_a_walk_of_its_trees():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((800, 3)), 2)
+    forest = quality.boost(x, (x[:, 0] * x[:, 1] + 0.2 * rng.random(800) > 0.4).astype(float), [0, 0, 0])
+
+    def walk(row):
+        total = forest.bias
+        for at in forest.roots.tolist():
+            while forest.left[at] >= 0:
+                at = forest.left[at] + int(row[forest.feature[at]] > forest.cut[at])
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert forest.score(x) == pytest.approx([walk(r) for r in x])
+
+
+def test_quality_edge_cases(spark):
+    shipped(spark)
+    long = "word other " * 400_000
+    rows = [(1, long, "a", 1), (2, None, "b", 2), (3, "", None, None), (4, "plain words " * 8, "c", 3), (4, "plain words " * 8, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, score int")
+    labels = spark.createDataFrame([(4, 1), (4, 0), (1, 0), (2, None)], "doc_id long, quality int")
+    got = quality.judged(docs, quality.fit(docs, labels))
+    assert got.columns == ["doc_id", *quality.BASE, "base_failed", "kept", "score"]
+    rows = sorted(got.collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.base_failed) for r in rows] == [(800_000, True), (0, True), (0, True), (16, True), (16, True)] and not any(r.kept for r in rows)
+    assert quality.judged(docs.filter("false"), None).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_pages_refer_to_the_last_of_equal_payloads(spark, broadcast_rows):
+    shipped(spark)
+    rows = [(i, f"u{i}", ("x" * 1000 if i % 2 else "y" * 999), "d", i) for i in range(40)] + [(None, None, "x" * 1000, "d", 0), (90, "u", None, "d", 0), (91, "u", "", "d", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, _last int")
+    got = {r.page_id: r for r in warc.decided(pages, broadcast_rows=broadcast_rows).collect()}
+    assert len(got) == 43 and all(got[i].refers_to == (39 if i % 2 and i != 39 else None) for i in range(40)) and got[None].refers_to == 39
+    assert got[91].bytes == got[90].bytes == 0 and got[1].payload is None and bytes(got[39].payload) == b"x" * 1000
+
+
 def test_quality_without_labels(spark):
     shipped(spark)
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, "few words")], "doc_id long, text string")

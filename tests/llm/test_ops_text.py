@@ -139,7 +139,7 @@ def test_pseudonyms(spark):
 def test_pseudonyms_leave_the_rest_alone(spark):
     keep = ["1234567812345678", "999.1.1.1", "1.2.3.4.5", "000-12-3456", "2023-02-30", "token = \"4785380592391139aa\"", "v4785380592391139", "12345", "a@b", "", None, "1899-12-31 2100-01-01"]
     rows = [(i, t, "x") for i, t in enumerate(keep)] + [(50, "write été.5@ex.co now", "x"), (51, "write été.5@ex.co now", "x"), (52, "at 10.20.30.40, ssn 123-45-6789", "x")]
-    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string, _other string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string, _other string"), "k").collect()}
     assert [out[i].text for i in range(len(keep))] == keep and all(out[i].n_replaced == 0 for i in range(len(keep)))
     assert out[50].text == out[51].text != rows[-3][1] and out[50].text.endswith("@example.invalid now") and out[50]._other == "x"
     assert out[52].n_replaced == 2 and "10.20.30.40" not in out[52].text and "123-45-6789" not in out[52].text
@@ -150,7 +150,7 @@ def test_pseudonyms_beside_other_text(spark):
     alone = ["10.1.2.3", "2024-01-15", card, spaced, "555-123-4567", "5500000000000004"]
     forms = ["http://{0}/", "see http://{0}/1", "{1}T10:00:00Z", "{1}Z", "{2} 123", "12 {3}", "12 35 {3} 99 8", "{2} {4}", "{3} {5}", "{3}x 5", "a {2}, {0}, {1}."]
     rows = list(enumerate(alone + [f.format(*alone) for f in forms]))
-    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     new = [out[i].text for i in range(len(alone))]
     assert all(a != b for a, b in zip(alone, new))
     for i, f in enumerate(forms, len(alone)):
@@ -160,9 +160,27 @@ def test_pseudonyms_beside_other_text(spark):
             assert out[i].n_replaced == 0
 
 
+def test_pseudonyms_edge_cases(spark):
+    long = "word " * 300_000 + "4111111111111111"
+    rows = [(1, long, "a", 7), (2, None, None, None), (3, "", "b", 1), (3, "", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hits string, _new int")
+    out = pii.pseudonymised(docs, "k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == [*docs.columns, "n_replaced"] and out.count() == 4
+    assert got[1].n_replaced == 1 and got[1].text.startswith(long[:-16]) and got[1].text != long and (got[1]._hits, got[1]._new) == ("a", 7)
+    assert got[2].text is None and got[3].text == "" and pii.pseudonymised(docs.filter("false"), "k").count() == 0
+
+
+def test_simhash_edge_cases(spark):
+    long = "many words of a very long text " * 60_000
+    docs = spark.createDataFrame([(1, long, 1, "a", 5), (2, long, 1, "a", 5), (3, None, None, None, None)], "doc_id long, text string, fp int, component_id string, root int")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.grouped(stored(simhash.fingerprints(docs))).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and got[3] == (0, 3)
+
+
 def test_pseudonyms_do_not_collide(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "concat('10.0.', id div 256, '.', id % 256) as text")
-    assert pii.pseudonymised(df).select("text").distinct().count() == 20000
+    assert pii.pseudonymised(df, "k").select("text").distinct().count() == 20000
 
 
 def slow_tiles(item, doc, tile):
