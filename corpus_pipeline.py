@@ -30,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(docs, count=unused(docs, "_replaced"))
+    out = pii.pseudonymised(docs, pii.session_key(spark), count=unused(docs, "_replaced"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
