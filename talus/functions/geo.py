@@ -27,11 +27,25 @@ def cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / F.lit(size)).cast("long")
 
 
-def cell_reach(miles: float, size: float, max_lat: float = 60.0) -> tuple[int, int]:
-    """Cells to probe on each side in latitude and longitude for a radius, up to max_lat."""
-    lat = miles / MILES_PER_DEGREE
-    lng = miles / (MILES_PER_DEGREE * math.cos(math.radians(max_lat)))
-    return math.ceil(lat / size), math.ceil(lng / size)
+def columns(row: Column, size: float) -> Column:
+    """How many cells of a row of latitude go round the Earth: each as wide as it is high where it is narrowest."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(row * F.lit(size)), F.abs((row + 1) * F.lit(size))))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * F.lit(360.0 / size))).cast("long")
+
+
+def column(lng: Column, row: Column, size: float) -> Column:
+    """The cell of a longitude in its row; -180 and 180 are one place."""
+    n = columns(row, size)
+    return F.pmod(F.floor((lng + 180.0) / 360.0 * n).cast("long"), n)
+
+
+def probes(lat: Column, lng: Column, row: Column, miles: float, size: float, radius: float) -> Column:
+    """The cells of a row that a circle round a place can reach, as an array: all round where it holds the pole."""
+    arc = miles / radius
+    ring, n = F.cos(F.radians(lat)), columns(row, size)
+    reach = F.when(ring > math.sin(arc), F.degrees(F.asin(F.lit(math.sin(arc)) / ring)) + 1e-9).otherwise(180.0)
+    low, high = (F.floor((lng + 180.0 + sign * reach) / 360.0 * n).cast("long") for sign in (-1, 1))
+    return F.when(high - low >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(low, high), lambda c: F.pmod(c, n)))
 
 
 def mercator_tile(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
@@ -47,3 +61,24 @@ def box_tiles(min_lat: float, min_lng: float, max_lat: float, max_lng: float, st
     rows = max(1, math.ceil((max_lat - min_lat) / step - 1e-9))
     cols = max(1, math.ceil((max_lng - min_lng) / step - 1e-9))
     return F.lit((max_lat - min_lat) / rows), F.lit((max_lng - min_lng) / cols), rows, cols
+
+
+def stepped_tiles(min_lng: float, min_lat: float, max_lng: float, max_lat: float, step: float) -> list[tuple[float, float, float, float]]:
+    """(min_lng, min_lat, max_lng, max_lat) of tiles by adding the step up; the last of a row or column is cut at the box."""
+
+    def starts(low: float, high: float) -> list[float]:
+        found = []
+        while low < high:
+            found.append(low)
+            low += step
+        return found
+
+    return [(x, y, min(x + step, max_lng), min(y + step, max_lat)) for y in starts(min_lat, max_lat) for x in starts(min_lng, max_lng)]
+
+
+def esri_point(x: Column, y: Column, points: Column) -> Column:
+    """struct(lng, lat) of a point, or the mean of a multipoint's array<array<double>>; NULL of neither."""
+    valid = F.filter(points, lambda p: F.size(p) >= 2)
+    mean = lambda i: F.aggregate(valid, F.lit(0.0), lambda a, p: a + F.get(p, F.lit(i))) / F.size(valid)
+    one = F.when(x.isNotNull() & y.isNotNull(), F.struct(x.cast("double").alias("lng"), y.cast("double").alias("lat")))
+    return F.coalesce(one, F.when(F.size(valid) > 0, F.struct(mean(0).alias("lng"), mean(1).alias("lat"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from itertools import chain
 
 import pandas as pd
@@ -82,18 +83,27 @@ def season(text: Column) -> Column:
     return F.when(sm.between(1, 12) & em.between(1, 12), F.struct(label.alias("label"), months.alias("months"), whole.alias("year_round")))
 
 
-def plain(html: Column, limit: int | None = None) -> Column:
-    """Text of HTML: block tags become new lines, other tags go, five entities are undone, blanks collapse."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
+def plain(source: Column, limit: int | None = None) -> Column:
+    """Text of HTML: block tags become new lines, other tags go, entities are undone, blanks collapse."""
+    text = F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.when(F.contains(text, F.lit("&")), unescaped(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
     text = F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
     return F.when(text != "", text if limit is None else F.substring(text, 1, limit))
 
 
+def unescaped(text: Column) -> Column:
+    """Text with HTML entities undone, of which there are over two thousand: in pandas."""
+
+    @F.pandas_udf("string")
+    def undo(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    return undo(text)
+
+
 def opl_decoded(text: Column) -> Column:
     """Text of the OPL format, whose odd characters are written as %hex%."""
 

@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 
 from talus.functions.geo import EARTH_MI, haversine
 from talus.operators.lineage import cut
-from talus.operators.lines import steps
+from talus.operators.lines import gain_loss, steps
 from talus.operators.spatial import radius_join
+from talus.sources.readers import terrain_metres
 
 SNAP_M, STITCH_MI, SHORT_LEG_MI = 4.0, 35 / 1609.34, 0.15
 STITCH = "__stitch__"
@@ -120,6 +121,57 @@ def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_m
     return asked.join(found, "request_id", "left").select("request_id", status.alias("status"), F.when(F.col("source") == F.col("target"), 0.0).otherwise(F.col("miles")).alias("miles"), "path")
 
 
+def path_shapes(found: DataFrame, edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(request_id, shape): the vertices along each found path (request_id, path), from edges (src, dst, shape) in either direction.
+
+    Where no edge has a shape it is the straight hop between the nodes; equal neighbours are one point.
+    """
+    hops = found.select("request_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.struct(F.get("path", i - 1).alias("src"), F.get("path", i).alias("dst")))).alias("hop", "e"))
+    hops = hops.select("request_id", "hop", "e.src", "e.dst").filter("dst is not null")
+    either = edge.select("src", "dst", "shape", F.lit(0).alias("way")).unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.reverse("shape").alias("shape"), F.lit(1).alias("way")))
+    either = either.filter(F.size("shape") > 0).groupBy("src", "dst").agg(F.min(F.struct("way", "shape")).alias("s")).select("src", "dst", "s.shape")
+    point = lambda c: nodes.select(F.col("node").alias(c), F.struct("lng", "lat").alias(f"{c}_at"))
+    hops = hops.join(either, ["src", "dst"], "left").join(point("src"), "src", "left").join(point("dst"), "dst", "left")
+    straight = F.filter(F.array("src_at", "dst_at"), lambda p: p.isNotNull())
+    hops = hops.groupBy("request_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hop", F.coalesce("shape", straight).alias("piece")))), lambda h: h["piece"])).alias("all"))
+    return hops.select("request_id", F.filter("all", lambda p, i: (i == 0) | ~p.eqNullSafe(F.get("all", i - 1))).alias("shape"))
+
+
+def path_gains(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(request_id, gain_ft, loss_ft) over the known heights (nodes: node, ele_ft) along each path; NULL with fewer than two."""
+    at = found.select("request_id", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "ele_ft"), "node").filter("ele_ft is not null")
+    series = at.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ele_ft"))), lambda x: x["ele_ft"]).alias("s"))
+    g, known = gain_loss(F.col("s")), F.size("s") >= 2
+    told = series.select("request_id", F.when(known, F.bround(g["gain"]).cast("int")).alias("gain_ft"), F.when(known, F.bround(g["loss"]).cast("int")).alias("loss_ft"))
+    return found.select("request_id").join(told, "request_id", "left")
+
+
+def node_heights(nodes: DataFrame, tiles: DataFrame, zoom: int = 13) -> DataFrame:
+    """nodes (node, lat, lng) with ele_ft from raster tiles; NULL where no tile has them."""
+    metres = terrain_metres(tiles, nodes.select(F.col("node").alias("point_id"), "lat", "lng"), zoom)
+    return nodes.join(metres.select(F.col("point_id").alias("node"), (F.col("ele_m") * 3.28084).alias("ele_ft")), "node", "left")
+
+
+def graph_status(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: nodes that edges touch, edges, and nodes with a height (ele_ft)."""
+    touched = edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node", "ele_ft"), "node", "left")
+    size = edge.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count(F.lit(1)).alias("edges"))
+    return touched.agg(F.count(F.lit(1)).alias("nodes"), F.count("ele_ft").alias("nodes_with_elevation")).join(size)
+
+
+def way_trails(runs: DataFrame, gap_mi: float = 2.0, least_mi: float = 0.25) -> DataFrame:
+    """(run, trail): runs (run, key_name, miles, a_lat, a_lng, b_lat, b_lng) of one name whose ends are within ``gap_mi`` are one trail.
+
+    trail is its smallest run; trails shorter than ``least_mi`` in all are dropped. Only ends of one name meet.
+    """
+    ends = runs.select("run", "key_name", F.explode(F.array(F.struct(F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), F.struct(F.col("b_lat").alias("lat"), F.col("b_lng").alias("lng")))).alias("p")).select("run", "key_name", "p.*").distinct()
+    near = radius_join(ends.withColumnRenamed("run", "src"), ends.withColumnRenamed("run", "dst"), gap_mi, on=["key_name"]).filter("src < dst").select("src", "dst").distinct()
+    label = component_labels(near)
+    named = runs.join(label.select(F.col("node").alias("run"), "label"), "run", "left").withColumn("trail", F.coalesce("label", "run"))
+    long = named.groupBy("trail").agg(F.sum("miles").alias("m")).filter(F.col("m") >= least_mi).select("trail")
+    return named.join(long, "trail").select("run", "trail")
+
+
 def composed(found: DataFrame, out_and_back: bool = True) -> DataFrame:
     """Whole hikes from one-way routes (miles, gain_ft, loss_ft): the way back climbs what the way out came down."""
     times = 2 if out_and_back else 1
@@ -173,20 +225,25 @@ def absorb_legs(legs: DataFrame, least: float = SHORT_LEG_MI) -> DataFrame:
     return out.select("route_id", F.posexplode("v").alias("leg", "p")).select("route_id", F.col("leg").cast("long").alias("leg"), "p.name", "p.miles")
 
 
-def component_labels(edge: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node that edges (src, dst) reach; labels also jump to their labels' labels.
+def component_labels(edge: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that edges (src, dst) reach, by alternating stars (Kiveris et al., 2014).
 
-    Halving the distance each round keeps rounds logarithmic; lineage is cut by checkpoint().
+    Each round hangs larger neighbours, then smaller ones, under the least neighbour, until
+    every edge leads to its component's least node. A round is a grouped minimum and a
+    join; lineage is cut by checkpoint(). Nodes whose only edge is to themselves are their own label.
     """
-    both = edge.select("src", "dst").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")).withColumnRenamed("src", "node")
-    label = cut(label)
-    for _ in range(rounds):
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("label").alias("other"))
-        new = label.join(near, label["node"] == near["src"], "left").select("node", F.least("label", F.coalesce("other", "label")).alias("label"))
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = cut(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        if new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count() == 0:
-            return new
-        label = new
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    sides = edge.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    alone = edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    e, seen = cut(sides.filter("u <> v").distinct()), None
+    while True:
+        sign = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if sign[0] == 0 or sign == seen:
+            label = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return alone.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        seen = sign
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = larger.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e = cut(pairs.select("x.*").filter("u <> v").distinct())

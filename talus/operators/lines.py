@@ -91,6 +91,107 @@ def resampled(points: Column, n: int) -> Column:
     return F.when(F.size(points) <= n, points).otherwise(F.transform(at, lambda i: F.get(points, i)))
 
 
+MAX_PROFILE = 250  # points of a drawn profile
+
+
+def elevation_summary(heights: Column, miles: Column) -> Column:
+    """struct of gain, loss, extremes, ends and profile of sampled heights in feet (NULL: not found) at ``miles`` along.
+
+    NULL unless at least two samples and at least half of all have a height.
+    """
+    both = F.filter(F.transform(heights, lambda h, i: F.struct(F.get(miles, i).alias("mi"), h.alias("ft"))), lambda p: p["ft"].isNotNull())
+    ft = F.transform(both, lambda p: p["ft"])
+    g, whole = gain_loss(ft), lambda c: F.bround(c).cast("int")
+    profile = F.transform(resampled(both, MAX_PROFILE), lambda p: F.struct(F.round(p["mi"], 3).alias("mi"), whole(p["ft"]).alias("ft")))
+    parts = {"gain_ft": whole(g["gain"]), "loss_ft": whole(g["loss"]), "min_ft": whole(F.array_min(ft)), "max_ft": whole(F.array_max(ft)), "start_ft": whole(F.get(ft, F.lit(0))), "end_ft": whole(F.try_element_at(ft, F.lit(-1))), "samples": F.size(ft), "profile": profile}
+    trusted = (F.size(ft) >= 2) & (F.size(heights) - F.size(ft) <= F.size(heights) / 2)
+    return F.when(trusted, F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def naive_gain(heights: Column) -> Column:
+    """struct(gain_ft, drop_ft) of heights in metres: every rise and fall counts, steps with an unknown end don't."""
+    moves = F.transform(F.sequence(F.lit(1), F.greatest(F.size(heights) - 1, F.lit(1))), lambda i: (F.get(heights, i) - F.get(heights, i - 1)) * 3.28084)
+    total = lambda test: F.floor(F.aggregate(F.filter(moves, test), F.lit(0.0), lambda a, m: a + F.abs(m)) + 0.5).cast("long")
+    return F.struct(total(lambda m: m > 0).alias("gain_ft"), total(lambda m: m < 0).alias("drop_ft"))
+
+
+def interpolated(vertices: DataFrame, n: int, path: str = "path_id", seq: str = "seq") -> DataFrame:
+    """(path, k, lng, lat): n points along each path: every so many vertices of a longer one, else evenly spaced by distance.
+
+    Each step of a path makes the points that fall on it, so nothing is joined. A path
+    without length, or of one vertex, keeps its vertices.
+    """
+    by = Window.partitionBy(path)
+    run = steps(vertices, path, seq).withColumns({"_n": F.count(F.lit(1)).over(by), "_at": F.row_number().over(by.orderBy(seq)) - 1, "_all": F.sum("step_mi").over(by)})
+    before = {f"_{c}": F.lag(c).over(by.orderBy(seq)) for c in ("lng", "lat", "run_mi")}
+    run = run.withColumns(before)
+    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / n).cast("int"))
+    whole = (F.col("_n") >= n) | (F.col("_all") == 0)
+    kept = run.filter(whole & (F.col("_at") % stride == 0) & ((F.col("_at") / stride < n) | (F.col("_all") == 0))).select(path, (F.col("_at") / stride).cast("int").alias("k"), "lng", "lat")
+    gap = F.col("_all") / (n - 1)
+    low = F.when(F.col("_at") == 1, 0).otherwise(F.floor(F.col("_run_mi") / gap) + 1).cast("int")
+    high = F.when(F.col("_at") == F.col("_n") - 1, n - 1).otherwise(F.floor(F.col("run_mi") / gap)).cast("int")
+    on = run.filter(~whole & (F.col("_at") > 0)).withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
+    share = F.when(F.col("step_mi") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") * gap - F.col("_run_mi")) / F.col("step_mi")))).otherwise(0.0)
+    between = lambda c: (F.col(f"_{c}") + share * (F.col(c) - F.col(f"_{c}"))).alias(c)
+    return kept.unionByName(on.select(path, "k", between("lng"), between("lat")))
+
+
+def rescaled(mile: Column, profile_mi: Column, drawn_mi: Column) -> Column:
+    """A mile of a profile as a mile of the line as drawn; unchanged where either length is unknown or zero."""
+    return F.when((profile_mi > 0) & (drawn_mi > 0), mile / profile_mi * drawn_mi).otherwise(mile)
+
+
+def snapped_to(points: Column, lat: Column, lng: Column, miles: float = 0.4) -> Column:
+    """struct(lng, lat): the nearest place on a line of array<struct<lng, lat>>, or the place itself beyond ``miles``."""
+
+    def on(i: Column) -> Column:
+        a, b = F.get(points, i - 1), F.get(points, i)
+        dx, dy = b["lng"] - a["lng"], b["lat"] - a["lat"]
+        square = dx * dx + dy * dy
+        t = F.when(square > 0, ((lng - a["lng"]) * dx + (lat - a["lat"]) * dy) / square).otherwise(0.0)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        x, y = a["lng"] + t * dx, a["lat"] + t * dy
+        return F.struct(haversine(lat, lng, y, x).alias("d"), i.alias("i"), x.alias("lng"), y.alias("lat"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), on))
+    return F.when((F.size(points) > 1) & (best["d"] <= miles), F.struct(best["lng"].alias("lng"), best["lat"].alias("lat"))).otherwise(F.struct(lng.alias("lng"), lat.alias("lat")))
+
+
+def nearest_index(points: Column, lat: Column, lng: Column) -> Column:
+    """Which of array<struct<lng, lat>> is nearest; the first of ties, 0 of none."""
+    far = F.transform(points, lambda p, i: F.struct(haversine(lat, lng, p["lat"], p["lng"]).alias("d"), i.alias("i")))
+    return F.coalesce(F.array_min(far)["i"], F.lit(0))
+
+
+def highest(points: DataFrame, key: str = "path_id") -> DataFrame:
+    """(key, lat, lng, ele) of each route's highest point; of equal ones the first. Routes without heights have none."""
+    return points.filter("ele is not null").groupBy(key).agg(F.max(F.struct("ele", (-F.col("seq")).alias("s"), "lat", "lng")).alias("h")).select(key, "h.lat", "h.lng", "h.ele")
+
+
+def worst_gap(ends: Column, radius: float = EARTH_MI) -> Column:
+    """Metres from the run of array<struct<a, b>> (its end points) that is farthest from any other to its nearest; 0 of one run."""
+    gap = lambda p, q: haversine(p["lat"], p["lng"], q["lat"], q["lng"], radius)
+    near = lambda r, s: F.least(gap(r["a"], s["a"]), gap(r["a"], s["b"]), gap(r["b"], s["a"]), gap(r["b"], s["b"]))
+    least = F.transform(ends, lambda r, i: F.array_min(F.transform(F.filter(ends, lambda s, j: j != i), lambda s: near(r, s))))
+    return F.when(F.size(ends) > 1, F.round(F.array_max(least) * 1609.344, 1)).otherwise(0.0)
+
+
+def loop_tests(parts: Column, roundtrip: Column) -> Column:
+    """struct of the four rules by which sources call array<array<point>> closed: by one part, by one route, by one run of ways, by the first part."""
+    first = F.get(parts, F.lit(0))
+    a, b, z = F.get(first, F.lit(0)), F.try_element_at(first, F.lit(-1)), F.try_element_at(F.try_element_at(parts, F.lit(-1)), F.lit(-1))
+    meets = lambda p, q, near: (F.abs(p["lng"] - q["lng"]) < near) & (F.abs(p["lat"] - q["lat"]) < near)
+    one = F.size(parts) == 1
+    said = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(
+        said(one & meets(a, z, JOIN_DEG)).alias("forest"),
+        said((one & (F.size(first) >= 3) & meets(a, b, 1e-3)) | (roundtrip == "yes")).alias("route"),
+        said(one & (haversine(a["lat"], a["lng"], b["lat"], b["lng"]) < 0.05)).alias("ways"),
+        said((F.size(first) >= 2) & meets(a, b, 1e-3)).alias("feed"),
+    )
+
+
 def simplified(line: np.ndarray, epsilon: float) -> np.ndarray:
     """Which of (n, 2) points Ramer-Douglas-Peucker keeps, with a stack instead of recursion."""
     keep = np.zeros(len(line), bool)
@@ -112,7 +213,10 @@ def simplified(line: np.ndarray, epsilon: float) -> np.ndarray:
 
 
 def simplify_paths(vertices: DataFrame, epsilon: float, path: str = "path_id", seq: str = "seq") -> DataFrame:
-    """The vertices (path, seq, lng, lat) that survive simplification; each path is one row of arrays."""
+    """The vertices (path, seq, lng, lat) that survive simplification; each path is one row of arrays.
+
+    ``path`` may be a struct of a line and its part; see simplify_parts for what becomes of parts.
+    """
     rows = vertices.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(seq, "lng", "lat"))).alias("v"))
 
     @F.pandas_udf("array<int>")
@@ -123,6 +227,17 @@ def simplify_paths(vertices: DataFrame, epsilon: float, path: str = "path_id", s
     return rows.select(path, F.get("v", "i").alias("p")).select(path, f"p.{seq}", "p.lng", "p.lat")
 
 
+def simplify_parts(vertices: DataFrame, epsilon: float) -> DataFrame:
+    """Vertices (path_id, part, seq, lng, lat) of multi-part lines simplified part by part.
+
+    A part of fewer than two points is dropped; a line that would lose all parts keeps all it had.
+    """
+    kept = simplify_paths(vertices.withColumn("line", F.struct("path_id", "part")), epsilon, "line").select("line.path_id", "line.part", "seq", "lng", "lat")
+    whole = kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path_id", "part"))).filter("_n > 1").drop("_n")
+    lost = vertices.join(whole.select("path_id").distinct(), "path_id", "left_anti").select(*whole.columns)
+    return whole.unionByName(lost)
+
+
 def _attached(chain: list, part: list, near: float) -> list | None:
     """chain with part put on its tail or else its head, turned round where needed; None if no ends meet."""
 
@@ -150,8 +265,30 @@ def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG) -> l
     return chains
 
 
-def chain_paths(segments: DataFrame, near: float = JOIN_DEG) -> DataFrame:
-    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); each path is one row of arrays."""
+def stitched(chains: list[list[tuple[float, float]]], metres: float) -> list[list[tuple[float, float]]]:
+    """Chains joined at their ends while two are within ``metres``, the closest two first; both end points stay."""
+    chains = [list(c) for c in chains]
+    while len(chains) > 1:
+        ends = np.radians(np.array([p for c in chains for p in (c[0], c[-1])]))
+        lng, lat = ends[:, 0], ends[:, 1]
+        half = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
+        gap = 2 * EARTH_MI * 1609.344 * np.arcsin(np.sqrt(np.minimum(half, 1.0)))
+        own = np.arange(len(ends)) // 2
+        gap[own[:, None] >= own] = np.inf
+        x, y = np.unravel_index(gap.argmin(), gap.shape)
+        if gap[x, y] > metres:
+            break
+        other = chains.pop(y // 2)
+        # the meeting ends become neighbours: first chain forwards to its end, second from its end on
+        chains[x // 2] = (chains[x // 2] if x % 2 else chains[x // 2][::-1]) + (other[::-1] if y % 2 else other)
+    return chains
+
+
+def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0) -> DataFrame:
+    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); each path is one row of arrays.
+
+    With ``stitch_m`` chains whose ends are that close are joined afterwards, closest first.
+    """
     rows = segments.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
     rows = rows.select("path_id", "v.part", "v.lng", "v.lat")
     points = pa.list_(pa.struct([("chain", pa.int64()), ("seq", pa.int64()), ("lng", pa.float64()), ("lat", pa.float64())]))
@@ -163,7 +300,7 @@ def chain_paths(segments: DataFrame, near: float = JOIN_DEG) -> DataFrame:
                 parts: dict = {}
                 for k, *point in zip(part, lng, lat):
                     parts.setdefault(k, []).append(tuple(point))
-                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(chained(list(parts.values()), near)) for i, (x, y) in enumerate(found)])
+                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(stitched(chained(list(parts.values()), near), stitch_m)) for i, (x, y) in enumerate(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, points)], names=["path_id", "v"])
 
     kind = dict(segments.dtypes)["path_id"]

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from talus.functions.geo import haversine
 from talus.functions.sources import area_key
+from talus.functions.text import slug, title
+from talus.operators.lineage import cut
+from talus.operators.lines import chain_paths, path_lengths
 
 
 def majority(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -34,13 +39,125 @@ def segments_to_trails(segments: DataFrame) -> DataFrame:
     return out.join(majority(segments, "trail_id", "surface", "ord"), "trail_id", "left")
 
 
+def majorities(rows: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
+    """key and, for each column of values, its commonest non-null text, ties to the one seen first; one pass for all columns."""
+    entries = F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).cast("string").alias("value")) for v in values])
+    votes = rows.select(key, order, F.explode(entries).alias("e")).filter("e.value is not null").groupBy(key, "e.field", "e.value").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    best = votes.groupBy(key, "field").agg(F.min_by("value", F.struct(-F.col("n"), "first")).alias("value"))
+    return best.groupBy(key).agg(*[F.max(F.when(F.col("field") == v, F.col("value"))).alias(v) for v in values])
+
+
+TRAIL_TEXTS = ["name", "surface", "area", "trail_type", "org", "trail_no", "accessibility"]
+
+
+def build_trails(segments: DataFrame, uses: list[str] = ()) -> DataFrame:
+    """Whole records from segments (trail_id, ord, the TRAIL_TEXTS, trail_class, grade, miles, measured, box, one struct column a use).
+
+    Texts by majority, the smallest class, the grade (a struct with max_pct) of the largest
+    maximum, the sum of known lengths or else the measured one, the first known state of
+    each use, and the union of boxes with its middle. A trail without a name is dropped.
+    """
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("v")))
+    base = segments.groupBy("trail_id").agg(
+        F.min("trail_class").alias("trail_class"),
+        F.max(F.when(F.col("grade").isNotNull(), F.struct(F.col("grade.max_pct").alias("pct"), (-F.col("ord")).alias("o"), F.col("grade").alias("v")))).alias("_grade"),
+        F.sum("miles").alias("_said"),
+        F.sum("measured").alias("_measured"),
+        *[F.min(known(u)).alias(u) for u in uses],
+        *box_union(),
+        F.count(F.lit(1)).alias("segment_count"),
+    )
+    base = base.withColumns({
+        "grade": F.col("_grade.v"),
+        "length_miles": F.round(F.coalesce(F.nullif("_said", F.lit(0.0)), F.col("_measured")), 2),
+        "geometry_length_miles": F.round("_measured", 2),
+        "center_lng": F.round((F.col("min_lng") + F.col("max_lng")) / 2, 6),
+        "center_lat": F.round((F.col("min_lat") + F.col("max_lat")) / 2, 6),
+        **{u: F.col(f"{u}.v") for u in uses},
+    })
+    out = base.drop("_grade", "_said", "_measured").join(majorities(segments, "trail_id", TRAIL_TEXTS, "ord"), "trail_id").filter("name is not null and min_lng is not null")
+    return out.withColumn("slug", slug(F.col("name"))).withColumn("name", title(F.col("name")))
+
+
+def box_union() -> list[Column]:
+    """Aggregates for the box around boxes; unknown ones don't count."""
+    return [F.min("min_lng").alias("min_lng"), F.min("min_lat").alias("min_lat"), F.max("max_lng").alias("max_lng"), F.max("max_lat").alias("max_lat")]
+
+
+def vertex_bounds(vertices: DataFrame, key: str) -> DataFrame:
+    """The box of each key's vertices, with the mean vertex for a centre."""
+    return vertices.groupBy(key).agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"), F.avg("lng").alias("center_lng"), F.avg("lat").alias("center_lat"))
+
+
+def park_trails(segments: DataFrame, by_unit: bool = True) -> DataFrame:
+    """Trails of a park feed's segments (unit, unit_name, ord, name, surface, season, uses array<string>, miles), by unit and lower-case name.
+
+    What the first segment says holds, uses are those of all; a trail without length is
+    dropped. With by_unit=False (a feed of one park) the name alone decides.
+    """
+    keys = [*(["unit"] if by_unit else []), "key_name"]
+    first = F.min_by(F.struct("name", "surface", "season", "unit_name"), "ord").alias("f")
+    g = segments.withColumn("key_name", F.lower("name")).filter("key_name is not null").groupBy(*keys).agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_set("uses")))).alias("uses"), F.round(F.sum("miles"), 2).alias("length_miles"), F.count(F.lit(1)).alias("segment_count"))
+    g = g.filter("length_miles > 0").withColumn("slug", slug(F.col("f.name")))
+    ident = F.concat_ws(":", F.lit("nps"), F.col("unit") if by_unit else F.lit("SEKI"), "slug")
+    return g.select(ident.alias("id"), title(F.col("f.name")).alias("name"), "slug", title(F.col("f.surface")).alias("surface"), F.col("f.season").alias("season"), F.col("f.unit_name").alias("area"), "uses", "length_miles", F.lit("out-and-back").alias("route_type"), "segment_count")
+
+
+def unnamed_networks(segments: DataFrame, least_mi: float = 0.25) -> DataFrame:
+    """Runs of a park's unnamed segments (unit, part, seq, lng, lat), a trail each; runs too short keep their number."""
+    runs = chain_paths(segments.withColumnRenamed("unit", "path_id"))
+    key = F.struct("path_id", "chain")
+    miles = path_lengths(runs.withColumn("run", key), "run").select("run.path_id", "run.chain", F.round("miles", 2).alias("length_miles"))
+    number = (F.col("chain") + 1).cast("string")
+    miles = miles.filter(F.col("length_miles") >= least_mi)
+    return miles.select(F.concat(F.lit("nps:"), F.col("path_id").cast("string"), F.lit(":unnamed-"), number).alias("id"), F.concat(F.lower(F.col("path_id").cast("string")), F.lit("-unnamed-"), number).alias("slug"), F.lit(False).alias("named"), "length_miles")
+
+
+def listed(records: DataFrame, min_miles: float | None = None, named_only: bool = False, limit: int | None = None, miles: str = "length_miles") -> DataFrame:
+    """Records, longest first, of a least length, with a name, and no more than a limit, where asked for."""
+    if min_miles:
+        records = records.filter(F.col(miles) >= min_miles)
+    if named_only:
+        records = records.filter(F.coalesce("name", F.lit("")) != "")
+    records = records.orderBy(F.desc(miles))
+    return records.limit(limit) if limit else records
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
+    """Adds 0, 1, 2 ... in the given order: ranges of it are numbered apart and shifted by the rows before them."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    dealt = cut(dealt)  # ranges are drawn by sampling, so they are fixed once
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shifts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
+    return dealt.withColumn("_within", within).join(shifts, "_p").withColumn(name, (F.col("_within") + F.col("_shift")).cast("long")).drop(*keys, "_p", "_within", "_shift")
+
+
+def index_order(sources: list[tuple[DataFrame, Column]]) -> DataFrame:
+    """The sources one after another, each in its own order (a Column, as name or -length), numbered by ord."""
+    out = None
+    for rank, (rows, key) in enumerate(sources):
+        number = key if dict(rows.select(key.alias("k")).dtypes)["k"] != "string" else F.lit(0.0)
+        words = key if dict(rows.select(key.alias("k")).dtypes)["k"] == "string" else F.lit("")
+        rows = rows.withColumns({"_rank": F.lit(rank), "_number": number.cast("double"), "_words": words})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return numbered(out, [F.col("_rank"), F.col("_number"), F.col("_words"), F.col("id")]).drop("_rank", "_number", "_words")
+
+
 def boxes_overlap(a: str, b: str) -> Column:
     return (F.col(f"{a}.min_lng") <= F.col(f"{b}.max_lng")) & (F.col(f"{a}.max_lng") >= F.col(f"{b}.min_lng")) & (F.col(f"{a}.min_lat") <= F.col(f"{b}.max_lat")) & (F.col(f"{a}.max_lat") >= F.col(f"{b}.min_lat"))
 
 
-def not_already_known(new: DataFrame, known: DataFrame, name: str = "key_name") -> DataFrame:
-    """Rows of new for which no row of known has the same name and an overlapping box; hashed on the name."""
-    return new.alias("a").join(known.alias("b"), (F.col(f"a.{name}") == F.col(f"b.{name}")) & boxes_overlap("a", "b"), "left_anti")
+def not_already_known(new: DataFrame, known: DataFrame, name: str = "key_name", miles: float = 2.0) -> DataFrame:
+    """Rows of new for which no row of known has the same name and an overlapping box; hashed on the name.
+
+    A known row without a box repeats what lies within ``miles`` of its lat and lng, where it has them.
+    """
+    same = boxes_overlap("a", "b")
+    if {"lat", "lng"} <= set(known.columns) & set(new.columns):
+        same |= F.col("b.min_lng").isNull() & (haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) <= miles)
+    return new.alias("a").join(known.alias("b"), (F.col(f"a.{name}") == F.col(f"b.{name}")) & same, "left_anti")
 
 
 def append_new(index: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:

@@ -138,3 +138,16 @@ def days_since(epoch_ms: Column, now_ms: Column) -> Column:
 def covers_dates(first: Column, last: Column, start: Column, end: Column) -> Column:
     """Three-valued: NULL without trip dates, false where the forecast ends before the trip or begins after it."""
     return F.when(start.isNull() & end.isNull(), None).when(first.isNull() | last.isNull(), False).otherwise((F.coalesce(end, start) <= last) & (F.coalesce(start, end) >= first))
+
+
+# Which place of a route each check looks at
+HIGH_CHECKS, MIDDLE_CHECKS = ["weather", "alerts", "snow"], ["aqi", "water"]
+
+
+def check_points(middle: DataFrame, high: DataFrame, key: str = "path_id") -> DataFrame:
+    """(key, check, lat, lng): the highest point for weather, alerts and snow, where one is known, and the middle for the rest."""
+    top = high.select(key, F.struct("lat", "lng").alias("top"))
+    both = middle.select(key, F.struct("lat", "lng").alias("mid")).join(top, key, "left")
+    entry = lambda check, at: F.struct(F.lit(check).alias("check"), at.alias("at"))
+    looks = [entry(c, F.coalesce("top", "mid")) for c in HIGH_CHECKS] + [entry(c, F.col("mid")) for c in MIDDLE_CHECKS]
+    return both.select(key, F.explode(F.array(*looks)).alias("e")).select(key, "e.check", "e.at.lat", "e.at.lng")

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talus.functions.nulls import unknown_or, within
 from talus.functions.ratings import DIFFICULTY, STEEPNESS, activities, allowed, band, climb_rate, effort
@@ -93,17 +94,30 @@ def scoped(trails: DataFrame, f: Filters) -> DataFrame:
     return out.withColumn("score", text_score(f.text)).filter("score >= 0")
 
 
+def _keys(first: Column | None = None, second: Column | None = None, name: Column | None = None) -> list[Column]:
+    """Sort keys, all ascending: two numbers and a text."""
+    return [(F.lit(0) if c is None else c).cast("double") for c in (first, second)] + [F.lit("") if name is None else name]
+
+
 SORTS: dict[str, Callable[[], list[Column]]] = {
-    "relevance": lambda: [F.desc("score"), F.coalesce("length_miles", F.lit(0.0)).desc()],
-    "length": lambda: [F.coalesce("length_miles", F.lit(0.0)).desc()],
-    "length_asc": lambda: [F.coalesce("length_miles", F.lit(0.0)).asc()],
-    "gain": lambda: [F.coalesce("gain_ft", F.lit(-1)).desc()],
-    "difficulty": lambda: [F.coalesce(F.round("effort", 1), F.lit(-1.0)).desc()],
-    "steepness": lambda: [F.coalesce(F.round("climb_rate"), F.lit(-1.0)).desc()],
-    "name": lambda: [F.coalesce("name", F.lit("")).asc()],
+    "relevance": lambda: _keys(-F.col("score"), -F.coalesce("length_miles", F.lit(0.0))),
+    "length": lambda: _keys(-F.coalesce("length_miles", F.lit(0.0))),
+    "length_asc": lambda: _keys(F.coalesce("length_miles", F.lit(0.0))),
+    "gain": lambda: _keys(-F.coalesce("gain_ft", F.lit(-1))),
+    "difficulty": lambda: _keys(-F.coalesce(F.round("effort", 1), F.lit(-1.0))),
+    "steepness": lambda: _keys(-F.coalesce(F.round("climb_rate"), F.lit(-1.0))),
+    "name": lambda: _keys(name=F.coalesce("name", F.lit(""))),
 }
 
 
+def tops(trails: DataFrame, k: int) -> DataFrame:
+    """(sort, id, rank): the first k of every sort order, in one pass limited by order before the shuffle."""
+    entries = [F.struct(F.lit(name).alias("sort"), *[c.alias(f"k{i}") for i, c in enumerate(keys())]) for name, keys in SORTS.items()]
+    by = Window.partitionBy("sort").orderBy("k0", "k1", "k2", "ord")
+    ranked = trails.select("id", "ord", F.explode(F.array(*entries)).alias("e")).select("id", "ord", "e.*").withColumn("rank", F.row_number().over(by))
+    return ranked.filter(F.col("rank") <= k).select("sort", "id", F.col("rank").cast("long").alias("rank"))
+
+
 def search(trails: DataFrame, f: Filters, sort: str = "relevance", limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of matches; ties keep the index order. Sort and limit plan as a top-k, not a full sort."""
     found = scoped(trails, f).filter(reduce(lambda a, b: a & b, predicates(f).values()))
@@ -169,3 +183,37 @@ def dot_clusters(points: DataFrame, degrees: float) -> DataFrame:
     """Points gathered by grid tile, with their count and longest trail; an approximation of pixel clusters."""
     tile = lambda c: F.floor(F.col(c) / degrees).cast("long")
     return points.groupBy(tile("lat").alias("tile_lat"), tile("lng").alias("tile_lng")).agg(F.count(F.lit(1)).alias("n"), F.max("length_miles").alias("longest"))
+
+
+# Columns of a trail in a list, and on its own page
+LIST_FIELDS = ["id", "name", "slug", "length_miles", "route_type", "gain_ft", "max_elevation_ft", "min_elevation_ft", "difficulty", "steepness", "features", "mgmt_area", "bbox", "center", "source", "marker"]
+PUBLIC_FIELDS = [
+    "id", "name", "slug", "trail_no", "length_miles", "route_type", "bbox", "center", "surface", "mgmt_area", "accessibility",
+    "trail_class", "trail_class_label", "grade", "season", "features", "nearby", "gain_ft", "max_elevation_ft", "min_elevation_ft",
+    "difficulty", "steepness", "elevation", "source", "endpoints", "access", "technical", "permits", "wilderness", "marker",
+    "network", "website", "wikipedia",
+]
+
+
+def projected(trails: DataFrame, fields: list[str]) -> DataFrame:
+    """Those of the fields that trails have, in their order; nothing else leaves the library."""
+    return trails.select(*[f for f in fields if f in trails.columns])
+
+
+def map_features(trails: DataFrame, shapes: DataFrame, f: Filters, limit: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(features, summary): the first matches with their shape (shapes: id, parts, at one level of detail).
+
+    Matches without a shape aren't drawn, and count as cut off: truncated compares all matches with what is returned.
+    """
+    found = scoped(trails, f).filter(reduce(lambda a, b: a & b, predicates(f).values()))
+    page = found.orderBy(*SORTS["relevance"](), F.asc("ord")).limit(max(1, min(limit, 400)))
+    drawn = page.join(shapes.filter(F.size("parts") > 0), "id")
+    drawn = drawn.select("id", "name", "length_miles", "gain_ft", "difficulty", F.concat_ws(",", "features").alias("features"), "wilderness", "parts")
+    counts = found.agg(F.count(F.lit(1)).alias("total")).join(drawn.agg(F.count(F.lit(1)).alias("returned")))
+    return drawn, counts.withColumn("truncated", F.col("total") > F.col("returned"))
+
+
+def trail_detail(trails: DataFrame, shapes: DataFrame, profiles: DataFrame, ident: object, with_shape: bool = True) -> DataFrame:
+    """One trail's public columns with its shape (parts) and profile; both filters reach the scans."""
+    one = projected(trails.filter(F.col("id") == ident), PUBLIC_FIELDS).join(profiles.filter(F.col("id") == ident).select("id", "profile"), "id", "left")
+    return one.join(shapes.filter(F.col("id") == ident).select("id", "parts"), "id", "left") if with_shape else one

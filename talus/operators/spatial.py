@@ -7,33 +7,42 @@ only computed for neighbours. A cell that holds many points is split by AQE's sk
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, cell_reach, haversine
+from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, column, haversine, probes
 from talus.operators.lineage import cut
 
 LEAST_CELL = 0.001
 
 
-def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI, max_lat: float = 60.0) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI, on: list[str] = ()) -> DataFrame:
     """Rows of left (lat, lng, ...) with each row of right within ``miles``, and distance_raw.
 
     Both sides need lat and lng; right's columns other than these must differ from left's.
-    Right is bucketed once; left probes every cell that overlaps its radius. Cells are as
-    wide as the radius unless ``size`` is given: wider ones hold more strangers, narrower
-    ones take more probes.
+    Right is bucketed once; left probes every cell that overlaps its radius, at any
+    latitude and across the 180th meridian. Cells are as wide as the radius unless ``size``
+    (in degrees of latitude) is given: wider ones hold more strangers, narrower ones take more probes.
+    Columns ``on``, which both sides have, must be equal as well.
     """
     size = size or max(LEAST_CELL, miles / MILES_PER_DEGREE)
-    up, over = cell_reach(miles, size, max_lat)
-    probes = left.withColumn("_r", F.explode(F.sequence(cell(F.col("lat"), size) - up, cell(F.col("lat"), size) + up))).withColumn("_c", F.explode(F.sequence(cell(F.col("lng"), size) - over, cell(F.col("lng"), size) + over)))
-    held = right.withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"})
-    held = held.withColumn("_r", cell(F.col("r_lat"), size)).withColumn("_c", cell(F.col("r_lng"), size))
-    near = probes.join(held, ["_r", "_c"]).withColumn("distance_raw", haversine(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"), radius))
+    up = math.ceil(miles / MILES_PER_DEGREE / size)
+    lat, lng = F.col("lat"), F.col("lng")
+    held = right.withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"}).withColumn("_r", cell(F.col("r_lat"), size))
+    held = held.withColumn("_c", column(F.col("r_lng"), F.col("_r"), size))
+    near = left.withColumn("_r", F.explode(F.sequence(cell(lat, size) - up, cell(lat, size) + up))).withColumn("_c", F.explode(probes(lat, lng, F.col("_r"), miles, size, radius)))
+    near = near.join(held, ["_r", "_c", *on]).withColumn("distance_raw", haversine(lat, lng, F.col("r_lat"), F.col("r_lng"), radius))
     return near.filter(F.col("distance_raw") <= miles).drop("_r", "_c")
 
 
+def _places(vertices: DataFrame) -> DataFrame:
+    """The distinct positions of vertices: paths share ground, and a place needs its neighbours once."""
+    return vertices.select("lat", "lng").distinct()
+
+
 def near_path(vertices: DataFrame, points: DataFrame, miles: float, stride: int = 1, path: str = "path_id", seq: str = "seq", point: str = "id", size: float | None = None, limits: tuple[dict[str, float], float | None] | None = None) -> DataFrame:
     """For each path and point within ``miles`` of a sampled vertex, the nearest such vertex.
 
@@ -42,15 +51,30 @@ def near_path(vertices: DataFrame, points: DataFrame, miles: float, stride: int
     many vertices of a path is not carried on. With ``limits`` (radii by kind, default) rows
     beyond their kind's radius are left out early; within_kind() then decides exactly.
     """
-    near = radius_join(vertices.filter(F.col(seq) % stride == 0), points, miles, size)
+    rest = [c for c in points.columns if c not in (point, "lat", "lng")]
+    sampled = vertices.filter(F.col(seq) % stride == 0).select(path, seq, "lat", "lng")
+    near = radius_join(_places(sampled), points, miles, size)
     if limits is not None:  # what its kind's radius rules out by any rounding needn't be grouped
         near = near.filter(F.col("distance_raw") <= kind_limit(*limits) + 0.001)
-    near = near.withColumn("distance_mi", F.round("distance_raw", 3))
-    rest = [c for c in points.columns if c not in (point, "lat", "lng")]
+    near = sampled.join(near.withColumn("distance_mi", F.round("distance_raw", 3)), ["lat", "lng"])
     best = near.groupBy(path, point).agg(F.min(F.struct("distance_mi", seq, *rest, "r_lat", "r_lng")).alias("b"))
     return best.select(path, point, F.col("b.distance_mi").alias("distance_mi"), F.col(f"b.{seq}").alias(seq), *[F.col(f"b.{c}").alias(c) for c in rest], F.col("b.r_lat").alias("lat"), F.col("b.r_lng").alias("lng"))
 
 
+def nearest_of_kind(vertices: DataFrame, points: DataFrame, limits: dict[str, float], default: float | None = None, stride: int = 1, path: str = "path_id", seq: str = "seq", size: float | None = None) -> DataFrame:
+    """For each path and kind the nearest point (id, name, kind, lat, lng) within the kind's radius of a sampled vertex.
+
+    Ties of the rounded distance go to the smaller id. The nearest of a path is the nearest
+    of its places' nearest, so each place keeps one point a kind before paths are joined.
+    """
+    sampled = vertices.filter(F.col(seq) % stride == 0).select(path, "lat", "lng")
+    near = radius_join(_places(sampled), points.select("id", "name", "kind", "lat", "lng"), max([*limits.values(), default or 0.0]), size).withColumn("distance_mi", F.round("distance_raw", 3))
+    near = within_kind(near, limits, default)
+    least = F.min(F.struct("distance_mi", "id", "name", "r_lat", "r_lng")).alias("b")
+    near = sampled.join(near.groupBy("lat", "lng", "kind").agg(least).select("lat", "lng", "kind", "b.*"), ["lat", "lng"])
+    return near.groupBy(path, "kind").agg(least).select(path, "kind", "b.id", "b.name", "b.distance_mi", F.col("b.r_lat").alias("lat"), F.col("b.r_lng").alias("lng"))
+
+
 def kind_limit(limits: dict[str, float], default: float | None) -> Column:
     """The radius of a row's kind."""
     limit = F.lit(default).cast("double")
@@ -73,6 +97,28 @@ def nearest_per(near: DataFrame, keys: list[str], k: int = 1, order: list | None
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def sampled(vertices: DataFrame, n: int, path: str = "path_id", seq: str = "seq", nearest: bool = True) -> DataFrame:
+    """At most n evenly spaced vertices of each path with both ends; places between two are rounded, or cut with nearest=False."""
+    by = Window.partitionBy(path)
+    place = F.row_number().over(by.orderBy(seq)) - 1
+    v = vertices.withColumn("_at", place).withColumn("_n", F.count(F.lit(1)).over(by))
+    step = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.bround if nearest else F.floor)(i * (F.col("_n") - 1) / (n - 1)).cast("int"))
+    return v.filter((F.col("_n") <= n) | F.array_contains(step, F.col("_at"))).drop("_at", "_n")
+
+
+def waters_near(vertices: DataFrame, waters: DataFrame, miles: float = 0.5, k: int = 40, path: str = "path_id", seq: str = "seq") -> DataFrame:
+    """The k nearest waters (id, name, kind, lat, lng) to eight samples of each path; repeated ids count once."""
+    near = near_path(sampled(vertices, 8, path, seq, nearest=False), waters, miles, path=path, seq=seq)
+    return nearest_per(near, [path], k)
+
+
+def photos_near(vertices: DataFrame, photos: DataFrame, miles: float, k: int = 8, path: str = "path_id", seq: str = "seq") -> DataFrame:
+    """The k best photos (id, title, relevance, lat, lng) of each path: the nearest of each title to five samples, most relevant first."""
+    near = near_path(sampled(vertices, 5, path, seq), photos, miles, path=path, seq=seq)
+    best = near.groupBy(path, "title").agg(F.min(F.struct("distance_mi", "id", "relevance")).alias("b")).select(path, "title", "b.*")
+    return nearest_per(best, [path], k, [F.desc("relevance"), F.asc("distance_mi"), F.asc("title")])
+
+
 def in_ring(lng: Column, lat: Column, ring: Column) -> Column:
     """Even-odd test of a point with a closed ring, array<struct<lng, lat>>, as a fold over its edges."""
     edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")))
@@ -93,16 +139,18 @@ def in_polygon(lng: Column, lat: Column, rings: Column) -> Column:
 
 
 def area_of_points(points: DataFrame, areas: DataFrame, size: float = 0.1) -> DataFrame:
-    """Adds to each point (point_id, lat, lng) the first area (ord, name, box, rings) that contains it, or NULL.
+    """Adds to each point (lat, lng, ...) the first area (ord, name, box, rings) that contains it, or NULL.
 
-    Areas are dealt to the cells their boxes overlap, so points meet only areas near them.
+    Areas are dealt to the cells their boxes overlap, and each cell keeps its areas as an
+    array (as long as areas overlap there), so a point meets its cell once and stays one row.
     """
     spread = areas.withColumn("_r", F.explode(F.sequence(cell(F.col("min_lat"), size), cell(F.col("max_lat"), size)))).withColumn("_c", F.explode(F.sequence(cell(F.col("min_lng"), size), cell(F.col("max_lng"), size))))
-    held = points.withColumn("_r", cell(F.col("lat"), size)).withColumn("_c", cell(F.col("lng"), size)).join(spread, ["_r", "_c"])
-    held = held.filter(F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")))
-    held = held.filter(in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
-    first = held.groupBy("point_id").agg(F.min(F.struct("ord", "name")).alias("area"))
-    return points.join(first, "point_id", "left").select(*points.columns, F.col("area.ord").alias("area_ord"), F.col("area.name").alias("area_name"))
+    cells = spread.groupBy("_r", "_c").agg(F.collect_list(F.struct("ord", "name", "min_lat", "max_lat", "min_lng", "max_lng", "rings")).alias("_areas"))
+    lat, lng = F.col("lat"), F.col("lng")
+    held = F.filter("_areas", lambda a: lng.between(a["min_lng"], a["max_lng"]) & lat.between(a["min_lat"], a["max_lat"]) & in_polygon(lng, lat, a["rings"]))
+    first = F.array_min(F.transform(held, lambda a: F.struct(a["ord"].alias("ord"), a["name"].alias("name"))))
+    met = points.withColumn("_r", cell(lat, size)).withColumn("_c", cell(lng, size)).join(cells, ["_r", "_c"], "left").withColumn("_area", first)
+    return met.select(*points.columns, F.col("_area.ord").alias("area_ord"), F.col("_area.name").alias("area_name"))
 
 
 def area_of_paths(points: DataFrame, least: float = 0.2, whole: float = 0.99) -> DataFrame:

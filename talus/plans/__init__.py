@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talus.sources.views import with_views
 
-from . import conditions, ratings, spatial
+from . import conditions, ratings, records, spatial
 
-_MODULES = [ratings, spatial, conditions]
+_MODULES = [ratings, spatial, conditions, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

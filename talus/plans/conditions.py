@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.operators import rules
+from talus.operators.merge import numbered
 from talus.sources.views import load
 
 QUERIES, SQL = {}, {}
@@ -93,6 +94,27 @@ def reason_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("user_id", F.col("day").cast("string").alias("day"), F.posexplode("reasons").alias("place", "r")).select("user_id", "day", "place", "r.check", "r.severity", "r.message")
 
 
+_MPH = "wind to ' || wind || ' mph"
+SQL["reason_report"] = f"""WITH e AS (SELECT *, cast(ts as date) AS day, {_at(SKIES)} AS sky, floor(value) AS temp, CASE WHEN event_id % 3 <> 0 THEN greatest(5, event_id % 50) END AS wind, {_at(EVENTS)} AS alert FROM events),
+t AS (SELECT user_id, day, count(*) FILTER (event_type = 'view') AS periods, max(value) FILTER (event_type = 'click') AS aqi, max(value) FILTER (event_type = 'signup') AS depth, min(value) FILTER (event_type = 'signup') AS fall,
+  count(*) FILTER (event_id % 2 = 0) AS water, count(*) FILTER (event_type = 'purchase' AND (event_id % 5 = 0 OR value <= 10) AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS fires FROM e GROUP BY 1, 2),
+r(user_id, day, c, s, message, c_no, event, part) AS (
+  SELECT user_id, day, 'weather', 'incomplete', 'weather unavailable: did not run', 0, 0, 0 FROM t WHERE periods = 0
+  UNION ALL SELECT user_id, day, 'weather', 'incomplete', 'forecast does not reach the trip dates', 0, -1, 0 FROM t WHERE periods > 0 AND user_id % 13 = 0
+  UNION ALL SELECT user_id, day, 'weather', CASE WHEN regexp_matches(lower(sky), '{rules.SEVERE}') THEN 'no-go' ELSE 'caution' END, 'then: ' || sky, 0, event_id, 0 FROM e WHERE event_type = 'view' AND regexp_matches(lower(sky), '{rules.SEVERE}|{rules.RISKY}')
+  UNION ALL SELECT user_id, day, 'weather', CASE WHEN temp <= 15 OR temp >= 105 THEN 'no-go' ELSE 'caution' END, 'then: ' || cast(temp as varchar) || 'F', 0, event_id, 1 FROM e WHERE event_type = 'view' AND (temp <= 32 OR temp >= 95)
+  UNION ALL SELECT user_id, day, 'weather', CASE WHEN wind >= 40 THEN 'no-go' ELSE 'caution' END, 'then: {_MPH}', 0, event_id, 2 FROM e WHERE event_type = 'view' AND wind >= 25
+  UNION ALL SELECT user_id, day, 'alerts', CASE WHEN event_id % 10 = 0 OR contains(lower(alert), 'warning') THEN 'no-go' ELSE 'caution' END, alert, 1, event_id, 0 FROM e WHERE event_type = 'error' AND (event_id % 10 = 0 OR regexp_matches(lower(alert), 'warning|{rules.ALERT_CAUTION}'))
+  UNION ALL SELECT user_id, day, 'aqi', CASE WHEN aqi IS NULL THEN 'incomplete' WHEN aqi >= 150 THEN 'no-go' ELSE 'caution' END, CASE WHEN aqi IS NULL THEN 'aqi unavailable: did not run' ELSE 'AQI ' || cast(aqi as varchar) END, 2, 0, 0 FROM t WHERE aqi IS NULL OR aqi >= 100
+  UNION ALL SELECT user_id, day, 'fire', 'incomplete', 'fire feed truncated', 3, 0, 0 FROM t WHERE user_id % 11 = 0
+  UNION ALL SELECT user_id, day, 'fire', 'caution', fires || ' active perimeters nearby', 3, 1, 0 FROM t WHERE fires > 0
+  UNION ALL SELECT user_id, day, 'snow', 'incomplete', 'snow depth not reported', 4, 0, 0 FROM t WHERE depth IS NULL
+  UNION ALL SELECT user_id, day, 'snow', 'caution', 'snow depth at the high point', 4, 0, 0 FROM t WHERE depth >= 12
+  UNION ALL SELECT user_id, day, 'snow', 'caution', 'forecast snowfall', 4, 1, 0 FROM t WHERE fall >= 6
+  UNION ALL SELECT user_id, day, 'water', 'caution', 'no mapped water near the route', 5, 0, 0 FROM t WHERE user_id % 2 = 0 AND water = 0
+) SELECT user_id, cast(day as varchar) AS day, cast(row_number() OVER (PARTITION BY user_id, day ORDER BY CASE s WHEN 'no-go' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END, c_no, event, part) - 1 as int) AS place, c AS "check", s AS severity, message FROM r"""
+
+
 @query
 def coldest_overnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest reading of each user among those known to be by night; unknown is neither day nor night."""
@@ -143,7 +165,7 @@ SQL["itinerary_days"] = """SELECT id, unnest(range(1, d + 1))::int AS day, round
 def segment_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hue for each name, spread by the golden angle."""
     names = load(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", F.round((F.dense_rank().over(Window.orderBy("p_name")) - 1) * 137.508 % 360, 3).alias("hue"))
+    return numbered(names, [F.col("p_name")]).select("p_name", F.round(F.col("ord") * 137.508 % 360, 3).alias("hue"))
 
 
 SQL["segment_colours"] = "SELECT p_name, round((dense_rank() OVER (ORDER BY p_name) - 1) * 137.508::double % 360, 3) AS hue FROM (SELECT DISTINCT p_name FROM part)"

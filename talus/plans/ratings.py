@@ -88,12 +88,7 @@ SELECT * FROM c UNION ALL SELECT dimension, value, 0 FROM d WHERE NOT EXISTS (SE
 def sort_unknown_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top 40 of each sort order, with their rank."""
     t = search.rated(trails(spark, sf_dir)).withColumn("score", F.lit(0.0))
-    out = None
-    for name, keys in search.SORTS.items():
-        top = t.orderBy(*keys(), F.asc("ord")).limit(40)
-        ranked = top.select(F.lit(name).alias("sort"), "id", F.row_number().over(Window.orderBy(*keys(), F.asc("ord"))).cast("long").alias("rank"))
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return search.tops(t, 40)
 
 
 _KEYS = {
@@ -225,7 +220,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = r"""regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr)\b[^>]*>', chr(10), 'g')"""
-_PLAIN = f"replace(replace(replace(replace(replace(regexp_replace({_PLAIN}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_PLAIN = f"replace(replace(replace(replace(replace(replace(replace(regexp_replace({_PLAIN}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 _PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 SQL["html_to_text"] = f"SELECT page_id, nullif(body, '') AS body, left(nullif(body, ''), 600) AS head FROM (SELECT page_id, {_PLAIN} AS body FROM pages)"
 
@@ -409,8 +404,10 @@ SQL["brief_json_extract"] = "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN c
 @query
 def forecast_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three readings of each user as one line of a brief."""
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("p"))
-    return e.select("user_id", F.concat_ws("; ", F.transform(F.slice("p", 1, 3), lambda x: F.concat(x["event_type"], F.lit(": "), F.floor(x["value"]).cast("string"), F.lit("F")))).alias("line"))
+    first = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(first)).filter("k <= 3")  # limited by user before the shuffle
+    line = F.struct("k", F.concat("event_type", F.lit(": "), F.floor("value").cast("string"), F.lit("F")).alias("line"))
+    return e.groupBy("user_id").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])).alias("line"))
 
 
 SQL["forecast_lines"] = """SELECT user_id, string_agg(event_type || ': ' || cast(cast(floor(value) as bigint) as varchar) || 'F', '; ' ORDER BY ts, event_id) AS line

@@ -26,7 +26,7 @@ SCENERY_RADII = {
 }
 ACCESS_RADII = {
     "trailhead": 0.5, "parking": 0.5, "water": 0.35, "campground": 1.0, "day_use": 0.5, "staging": 0.5, "picnic": 0.5,
-    "snowpark": 0.5, "visitor_center": 1.0, "shelter": 1.0, "backcountry_camp": 1.0,
+    "snowpark": 0.5, "visitor_center": 1.0, "shelter": 1.0,
 }
 
 
@@ -45,55 +45,55 @@ def limits_sql(radii: dict[str, float], default: str) -> str:
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of interest within half a mile of each trail's center."""
     t = load(spark, sf_dir, "trails").select(F.col("id").alias("trail_id"), "lat", "lng")
-    near = spatial.radius_join(t, load(spark, sf_dir, "pois"), 0.5, max_lat=40.0)
+    near = spatial.radius_join(t, load(spark, sf_dir, "pois"), 0.5)
     return near.select("trail_id", "id", "kind", F.round("distance_raw", 3).alias("distance_mi"))
 
 
 SQL["radius_join"] = f"SELECT v.id AS trail_id, p.id, p.kind, round({V_P}, 3) AS distance_mi FROM trails v JOIN pois p ON {V_P} <= 0.5"
 
 
-def _near(spark: SparkSession, sf_dir: str, points: str, name: str, miles: float, stride: int, limits: tuple | None = None) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, points: str, name: str, miles: float, limits: tuple | None = None) -> DataFrame:
     p = load(spark, sf_dir, points).select("id", F.col(name).alias("name"), "kind", "lat", "lng")
-    return spatial.near_path(paths(spark, sf_dir), p, miles, stride, limits=limits)
+    return spatial.near_path(paths(spark, sf_dir), p, miles, limits=limits)
 
 
-def near_sql(points: str, name: str, miles: float, stride: int) -> str:
+def near_sql(points: str, name: str, miles: float) -> str:
     return f"""near AS (SELECT path_id, id, name, kind, min(d) AS distance_mi, arg_min(seq, d * 100 + seq) AS seq FROM (
       SELECT v.path_id, v.seq, p.id, p.{name} AS name, p.kind, {V_P} AS raw, round({V_P}, 3) AS d
-      FROM (SELECT * FROM vertices WHERE seq % {stride} = 0) v JOIN {points} p ON abs(v.lat - p.lat) < {miles / 60}::double AND abs(v.lng - p.lng) < {miles / 30}::double) WHERE raw <= {miles}::double GROUP BY path_id, id, name, kind)"""
+      FROM vertices v JOIN {points} p ON abs(v.lat - p.lat) < {miles / 60}::double AND abs(v.lng - p.lng) < {miles / 30}::double) WHERE raw <= {miles}::double GROUP BY path_id, id, name, kind)"""
 
 
 @query
 def near_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each path and point within half a mile, the nearest sampled vertex."""
-    return _near(spark, sf_dir, "pois", "poi_name", 0.5, 3).select("path_id", "id", "kind", "distance_mi")
+    """For each path and point within half a mile, the nearest vertex."""
+    return _near(spark, sf_dir, "pois", "poi_name", 0.5).select("path_id", "id", "kind", "distance_mi")
 
 
-SQL["near_path"] = f"WITH {near_sql('pois', 'poi_name', 0.5, 3)} SELECT path_id, id, kind, distance_mi FROM near"
+SQL["near_path"] = f"WITH {near_sql('pois', 'poi_name', 0.5)} SELECT path_id, id, kind, distance_mi FROM near"
 
 
 @query
 def nearest_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest access point of each kind within the kind's own radius."""
-    near = spatial.within_kind(_near(spark, sf_dir, "access_points", "point_name", 1.0, 4, (ACCESS_RADII, None)), ACCESS_RADII, None)
-    return spatial.nearest_per(near, ["path_id", "kind"]).select("path_id", "kind", "id", "name", "distance_mi")
+    p = load(spark, sf_dir, "access_points").withColumnRenamed("point_name", "name")
+    return spatial.nearest_of_kind(paths(spark, sf_dir), p, ACCESS_RADII).select("path_id", "kind", "id", "name", "distance_mi")
 
 
-SQL["nearest_per_kind"] = f"""WITH {near_sql('access_points', 'point_name', 1.0, 4)}
+SQL["nearest_per_kind"] = f"""WITH {near_sql('access_points', 'point_name', 1.0)}
 SELECT path_id, kind, id, name, distance_mi FROM (SELECT *, row_number() OVER (PARTITION BY path_id, kind ORDER BY distance_mi, id) AS k FROM near WHERE distance_mi <= {limits_sql(ACCESS_RADII, 'NULL')}) WHERE k = 1"""
 
 
 @query
 def scenery_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features on each path: their kinds, and the 25 nearest in order."""
-    near = spatial.within_kind(_near(spark, sf_dir, "pois", "poi_name", 0.5, 3, (SCENERY_RADII, 0.25)), SCENERY_RADII, 0.25)
+    near = spatial.within_kind(_near(spark, sf_dir, "pois", "poi_name", 0.5, (SCENERY_RADII, 0.25)), SCENERY_RADII, 0.25)
     top = spatial.nearest_per(near, ["path_id"], 25)
     tags = near.groupBy("path_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("kind"))).alias("features"), F.count(F.lit(1)).alias("n"))
     first = top.groupBy("path_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("distance_mi", "id"))), lambda x: x["id"].cast("string"))).alias("nearby"))
     return tags.join(first, "path_id")
 
 
-SQL["scenery_tags"] = f"""WITH {near_sql('pois', 'poi_name', 0.5, 3)}, k AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY distance_mi, id) AS r FROM near WHERE distance_mi <= {limits_sql(SCENERY_RADII, '0.25::double')})
+SQL["scenery_tags"] = f"""WITH {near_sql('pois', 'poi_name', 0.5)}, k AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY distance_mi, id) AS r FROM near WHERE distance_mi <= {limits_sql(SCENERY_RADII, '0.25::double')})
 SELECT path_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS features, count(*) AS n, string_agg(cast(id as varchar), ',' ORDER BY distance_mi, id) FILTER (r <= 25) AS nearby FROM k GROUP BY path_id"""
 
 
@@ -101,12 +101,12 @@ SELECT path_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS features, count(
 def worst_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest grade of tagged ways beside each path, and the visibility met first."""
     p = load(spark, sf_dir, "access_points").select("id", (F.col("id") % 6).alias("grade"), F.when(F.col("id") % 4 == 1, "bad").when(F.col("id") % 4 == 2, "horrible").alias("visibility"), "lat", "lng")
-    near = spatial.near_path(paths(spark, sf_dir), p, 0.3, 2)
+    near = spatial.near_path(paths(spark, sf_dir), p, 0.3)
     seen = F.when(F.col("visibility").isNotNull(), F.struct("seq", "id", "visibility"))
     return near.groupBy("path_id").agg(F.max("grade").alias("grade"), F.min(seen).alias("s")).select("path_id", "grade", F.col("s.visibility").alias("visibility"))
 
 
-SQL["worst_grade"] = f"""WITH {near_sql('access_points', 'point_name', 0.3, 2)}
+SQL["worst_grade"] = f"""WITH {near_sql('access_points', 'point_name', 0.3)}
 SELECT path_id, max(id % 6) AS grade, arg_min(CASE id % 4 WHEN 1 THEN 'bad' ELSE 'horrible' END, seq * 10000000 + id) FILTER (id % 4 IN (1, 2)) AS visibility FROM near GROUP BY path_id"""
 
 
@@ -115,7 +115,7 @@ def permit_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest facilities within 35 miles of each trail's center, as a grouped limit."""
     p = load(spark, sf_dir, "areas").select(F.col("ord").alias("id"), F.col("name").alias("permit"), F.col("min_lat").alias("lat"), F.col("min_lng").alias("lng"))
     t = load(spark, sf_dir, "trails").select(F.col("id").alias("trail_id"), "lat", "lng")
-    near = spatial.radius_join(t, p, 35.0, size=0.5, max_lat=40.0).withColumn("distance_mi", F.round("distance_raw", 3))
+    near = spatial.radius_join(t, p, 35.0, size=0.5).withColumn("distance_mi", F.round("distance_raw", 3))
     return spatial.nearest_per(near, ["trail_id"], 3).select("trail_id", "permit", "distance_mi", F.col("rank").cast("long").alias("rank"))
 
 
@@ -170,7 +170,7 @@ def route_match_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best trails for each area's corner: near ones first, more for a name that holds the hint."""
     routes = load(spark, sf_dir, "areas").select(F.col("ord").alias("route_id"), F.col("min_lat").alias("lat"), F.col("min_lng").alias("lng"))
     t = load(spark, sf_dir, "trails").select("id", "name", "lat", "lng")
-    near = spatial.radius_join(t.withColumnsRenamed({}), routes, 25.0, size=0.5, max_lat=40.0)
+    near = spatial.radius_join(t.withColumnsRenamed({}), routes, 25.0, size=0.5)
     score = F.greatest(F.lit(0.0), 5.0 - F.col("distance_raw")) + F.when(F.contains("name", F.lit("blue")), 3.0).otherwise(0.0)
     near = near.withColumn("distance_mi", F.round("distance_raw", 3)).withColumn("score", F.round(score, 3))
     top = spatial.nearest_per(near, ["route_id"], 5, [F.desc("score"), F.asc("distance_mi"), F.asc("id")])
@@ -189,7 +189,7 @@ def perimeter_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = area_rings(spark, sf_dir).select("ord", F.explode(F.flatten("rings")).alias("p"))
     corners = areas.select("ord", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
     c = load(spark, sf_dir, "access_points").select("id", "lat", "lng")
-    near = spatial.radius_join(c, corners, 25.0, size=0.5, max_lat=40.0).groupBy("ord").agg(F.round(F.min("distance_raw"), 3).alias("distance_mi"), F.count_distinct("id").alias("n"))
+    near = spatial.radius_join(c, corners, 25.0, size=0.5).groupBy("ord").agg(F.round(F.min("distance_raw"), 3).alias("distance_mi"), F.count_distinct("id").alias("n"))
     return load(spark, sf_dir, "areas").select("ord", "name").join(near, "ord", "left")
 
 
@@ -224,8 +224,8 @@ SQL["running_distance"] = f"WITH {STEPS} SELECT path_id, seq, round(sum(step_mi)
 def midpoint_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trailhead within half a mile, else the midpoint along the path."""
     v = paths(spark, sf_dir)
-    heads = load(spark, sf_dir, "access_points").filter("kind = 'trailhead'").select("id", "point_name", "lat", "lng")
-    head = spatial.nearest_per(spatial.near_path(v, heads, 0.5), ["path_id"]).select("path_id", F.struct("lat", "lng", F.col("point_name").alias("name")).alias("head"))
+    heads = load(spark, sf_dir, "access_points").filter("kind = 'trailhead'").withColumnRenamed("point_name", "name")
+    head = spatial.nearest_of_kind(v, heads, {"trailhead": 0.5}).select("path_id", F.struct("lat", "lng", "name").alias("head"))
     mid = lines.midpoints(v).join(head, "path_id", "left")
     return mid.select("path_id", F.coalesce("head.lat", "lat").alias("lat"), F.coalesce("head.lng", "lng").alias("lng"), F.when(F.col("head").isNotNull(), "trailhead").otherwise("midpoint").alias("marker"), F.col("head.name").alias("name"))
 
@@ -239,18 +239,18 @@ SELECT mid.path_id, coalesce(h.lat, mid.lat) AS lat, coalesce(h.lng, mid.lng) AS
 
 @query
 def hysteresis_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain and loss of each user's readings in order, turns below the threshold ignored."""
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("series"))
+    """Gain and loss of the readings along each trail, turns below the threshold ignored."""
+    e = load(spark, sf_dir, "trail_segments").groupBy("trail_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "measured"))), lambda x: x["measured"] * 7.5).alias("series"))
     g = lines.gain_loss(F.col("series"))
-    return e.select("user_id", F.round(g["gain"], 2).alias("gain"), F.round(g["loss"], 2).alias("loss"))
+    return e.select("trail_id", F.round(g["gain"], 2).alias("gain"), F.round(g["loss"], 2).alias("loss"))
 
 
 _T = f"{lines.GAIN_THRESHOLD_FT}::double"
-SQL["hysteresis_gain"] = f"""WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
-f AS (SELECT user_id, list_reduce(list_transform(v, lambda x: {{'gain': 0::double, 'loss': 0::double, 'anchor': x, 'way': 0}}), lambda a, b:
+SQL["hysteresis_gain"] = f"""WITH s AS (SELECT trail_id, list(measured * 7.5::double ORDER BY ord, measured) AS v FROM trail_segments GROUP BY trail_id),
+f AS (SELECT trail_id, list_reduce(list_transform(v, lambda x: {{'gain': 0::double, 'loss': 0::double, 'anchor': x, 'way': 0}}), lambda a, b:
   CASE WHEN (a.way > 0 AND b.anchor > a.anchor) OR b.anchor - a.anchor >= {_T} THEN {{'gain': a.gain + (b.anchor - a.anchor), 'loss': a.loss, 'anchor': b.anchor, 'way': CASE WHEN b.anchor - a.anchor >= {_T} THEN 1 ELSE a.way END}}
        WHEN (a.way < 0 AND b.anchor < a.anchor) OR a.anchor - b.anchor >= {_T} THEN {{'gain': a.gain, 'loss': a.loss + (a.anchor - b.anchor), 'anchor': b.anchor, 'way': CASE WHEN a.anchor - b.anchor >= {_T} THEN -1 ELSE a.way END}} ELSE a END) AS r FROM s)
-SELECT user_id, round(r.gain, 2) AS gain, round(r.loss, 2) AS loss FROM f"""
+SELECT trail_id, round(r.gain, 2) AS gain, round(r.loss, 2) AS loss FROM f"""
 
 
 @query

@@ -5,6 +5,13 @@ Each reader is lazy and parses in the scan: a file's rows are made where it is r
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +136,73 @@ def fresh(derived_at: int | None, source_at: int, version: int, wanted: int) ->
     return derived_at is not None and version == wanted and derived_at >= source_at
 
 
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """A written index with its derived columns, as searches take it; lines stay in their own table."""
+    from talus.operators.search import rated
+
+    return rated(spark.read.parquet(f"{path}/trails"))
+
+
+def saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON rows of an earlier sweep; no rows where none has been saved."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _filtered(kind: int, line: np.ndarray, above: np.ndarray, width: int) -> np.ndarray:
+    """One row of a PNG with its filter undone."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + above
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, width), axis=0, dtype=np.uint8).ravel()
+    out = np.zeros(len(line) + width, np.int64)
+    up = np.concatenate((np.zeros(width, np.int64), above.astype(np.int64)))
+    for i in range(width, len(out)):
+        a, b, c = out[i - width], up[i], up[i - width]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        out[i] = (int(line[i - width]) + guess) & 255
+    return out[width:].astype(np.uint8)
+
+
+def png_pixels(data: bytes) -> tuple[int, np.ndarray]:
+    """(width, red << 16 | green << 8 | blue of each pixel) of an 8-bit RGB or RGBA image without interlacing."""
+    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or depth != 8 or colour not in (2, 6) or interlace:
+        raise ValueError("not an 8-bit RGB(A) PNG without interlacing")
+    at, packed, size = 8, [], 3 if colour == 2 else 4
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IDAT":
+            packed.append(data[at + 8 : at + 8 + n])
+        at += 12 + n
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + size * width)
+    above, out = np.zeros(size * width, np.uint8), []
+    for row in rows:
+        above = _filtered(int(row[0]), row[1:], above, size)
+        out.append(above)
+    p = np.stack(out).reshape(-1, size).astype(np.int32)
+    return width, p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+
+
+def terrain_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """(x, y, size, rgb) of raster tiles saved as zoom/x/y.png; a tile is decoded by the task that reads it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
+    part = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)\.png$", i).cast("long")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [png_pixels(c.as_py()) for c in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w for w, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.int32()))], names=["x", "y", "size", "rgb"])
+
+    return files.select(part(1).alias("x"), part(2).alias("y"), "content").mapInArrow(decode, "x long, y long, size long, rgb array<int>")

@@ -20,19 +20,20 @@ def write_index(trails: DataFrame, geometry: list[str], path: str) -> None:
 
 
 def write_details(vertices: DataFrame, path: str) -> None:
-    """Vertices (path_id, seq, lng, lat) at each level of detail, a partition a level, sorted by path for lookups."""
-    from talus.operators.lines import simplify_paths
+    """Vertices (path_id, part if lines have several, seq, lng, lat) at each level of detail, a partition a level, sorted by path for lookups."""
+    from talus.operators.lines import simplify_parts
 
-    full = vertices.select("path_id", "seq", "lng", "lat").withColumn("detail", F.lit("full"))
+    parts = vertices if "part" in vertices.columns else vertices.withColumn("part", F.lit(0))
+    full = parts.select("path_id", "part", "seq", "lng", "lat").withColumn("detail", F.lit("full"))
     for name, epsilon in DETAIL.items():
-        full = full.unionByName(simplify_paths(vertices, epsilon).withColumn("detail", F.lit(name)))
-    full.repartition("detail", "path_id").sortWithinPartitions("detail", "path_id", "seq").write.mode("overwrite").partitionBy("detail").parquet(path)
+        full = full.unionByName(simplify_parts(parts, epsilon).withColumn("detail", F.lit(name)))
+    full.repartition("detail", "path_id").sortWithinPartitions("detail", "path_id", "part", "seq").write.mode("overwrite").partitionBy("detail").parquet(path)
 
 
 def read_detail(spark, path: str, path_id, detail: str | None = None) -> DataFrame:
     """One path at a level of detail; an unknown level reads the full line. Both are pushed into the scan."""
     level = detail if detail in DETAIL else "full"
-    return spark.read.parquet(path).filter((F.col("detail") == level) & (F.col("path_id") == path_id)).orderBy("seq")
+    return spark.read.parquet(path).filter((F.col("detail") == level) & (F.col("path_id") == path_id)).orderBy("part", "seq")
 
 
 def geojson_feature(props: list[str], parts: Column) -> Column:
@@ -49,6 +50,28 @@ def write_geojson_lines(trails: DataFrame, props: list[str], path: str) -> None:
     trails.select(geojson_feature(props, F.col("parts")).alias("value")).write.mode("overwrite").text(path)
 
 
+def collection_lines(trails: DataFrame, props: list[str], region: str, made_at: str, incomplete: list[str] = ()) -> DataFrame:
+    """(value) lines that in order are one FeatureCollection with its metadata: a head, a feature a line by id, and an end."""
+    size = trails.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    told = F.to_json(F.struct(F.lit(region).alias("region"), F.lit(made_at).alias("generated_at"), F.col("n").alias("count"), F.array(*[F.lit(t) for t in incomplete]).cast("array<string>").alias("incomplete_tiles")))
+    head = size.select(F.lit(0).alias("part"), F.lit(None).cast(dict(trails.dtypes)["id"]).alias("id"), F.concat(F.lit('{"type":"FeatureCollection","metadata":'), told, F.lit(',"features":[')).alias("value"))
+    first = F.broadcast(size.select("first"))  # one row
+    rows = trails.join(first).select(F.lit(1).alias("part"), "id", F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), geojson_feature(props, F.col("parts"))).alias("value"))
+    end = size.select(F.lit(2).alias("part"), F.lit(None).cast(dict(trails.dtypes)["id"]).alias("id"), F.lit("]}").alias("value"))
+    return head.unionByName(rows).unionByName(end).orderBy("part", "id").select("value")
+
+
+def write_collection(trails: DataFrame, props: list[str], path: str, region: str, made_at: str, incomplete: list[str] = ()) -> None:
+    """One FeatureCollection whose text is the part files in order, however many tasks write them."""
+    collection_lines(trails, props, region, made_at, incomplete).write.mode("overwrite").text(path)
+
+
+def map_layers(points: Column, perimeters: Column) -> Column:
+    """struct(route, fire_perimeters): a route's line as text of a GeoJSON feature, beside the perimeters as they are."""
+    line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["lng"], p["lat"])).alias("coordinates")))
+    return F.struct(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), line, F.lit("}")).alias("route"), perimeters.alias("fire_perimeters"))
+
+
 def write_csv(trails: DataFrame, columns: list[str], path: str) -> None:
     """Fixed columns in order; missing ones are empty, others are left out."""
     cols = [F.col(c) if c in trails.columns else F.lit(None).cast("string").alias(c) for c in columns]

@@ -47,10 +47,22 @@ VIEWS = {
         SELECT cast(n_nationkey as bigint) AS ord, n_name AS name, cast(-120 as double) + (n_nationkey % 5) * cast(0.08 as double) AS min_lng, cast(37 as double) + cast(floor(cast(n_nationkey as double) / 5) as bigint) * cast(0.08 as double) AS min_lat,
                cast(-120 as double) + (n_nationkey % 5) * cast(0.08 as double) + cast(0.07 as double) AS max_lng, cast(37 as double) + cast(floor(cast(n_nationkey as double) / 5) as bigint) * cast(0.08 as double) + cast(0.07 as double) AS max_lat
         FROM nation""",
+    "trail_segments": """
+        SELECT l_orderkey AS trail_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 10 + l_suppkey % 10 AS ord,
+               CASE WHEN l_partkey % 10 <> 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN upper(p_name) ELSE p_name END END AS name, CASE p_size % 4 WHEN 0 THEN 'Native' WHEN 1 THEN 'Gravel' WHEN 2 THEN 'Paved' END AS surface, p_brand AS area,
+               CASE WHEN l_partkey % 5 <> 0 THEN p_type END AS trail_type, l_linestatus AS org, CASE WHEN l_partkey % 7 = 0 THEN 'T7' WHEN l_partkey % 7 = 1 THEN 'T1' END AS trail_no, cast(NULL as string) AS accessibility,
+               CASE WHEN l_suppkey % 4 <> 0 THEN l_linenumber END AS trail_class, CASE WHEN p_size % 3 <> 0 THEN p_size END AS max_pct, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS miles, l_quantity / 4 AS measured,
+               cast(-120 as double) + cast(l_partkey % 100 as double) / 100 AS min_lng, cast(37 as double) + cast(l_suppkey % 100 as double) / 100 AS min_lat, cast(-119 as double) + cast(l_partkey % 100 as double) / 100 AS max_lng, cast(38 as double) + cast(l_suppkey % 100 as double) / 100 AS max_lat,
+               CASE WHEN l_partkey % 4 = 1 THEN p_brand END AS hiking, CASE WHEN l_partkey % 9 = 2 THEN p_type END AS bike
+        FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "segments": "SELECT l_orderkey AS trail_id, cast(l_linenumber as bigint) * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, CASE WHEN l_partkey % 10 <> 0 THEN p_name END AS name, CASE l_returnflag WHEN 'A' THEN 'Native' WHEN 'N' THEN 'Gravel' END AS surface, CASE WHEN l_suppkey % 4 <> 0 THEN l_linenumber END AS trail_class, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS miles FROM lineitem JOIN part ON p_partkey = l_partkey",
 }
 
 
+# The height of a node in feet, unknown for one in three
+HEIGHT = "CASE WHEN node % 3 <> 0 THEN cast(node * 7919 % 4001 as double) / 2 END"
+
+
 def _used(sql: str, names: list[str]) -> list[str]:
     return [n for n in names if re.search(rf"\b(FROM|JOIN)\s+{n}\b", sql)]
 

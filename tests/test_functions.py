@@ -123,11 +123,11 @@ def test_distances(spark):
 def test_source_kinds(spark):
     from talus.functions import sources
 
-    rows = [{"natural": "volcano"}, {"natural": "water"}, {"waterway": "waterfall", "natural": "water"}, {"tourism": "camp_site", "backcountry": "yes"}, {"tourism": "camp_site"}, {"amenity": "parking", "name": "Lot"}, {"amenity": "parking", "name": "North Trailhead"}, {}]
+    rows = [{"natural": "volcano"}, {"natural": "water"}, {"waterway": "waterfall", "natural": "water"}, {"tourism": "camp_site", "walk_in": "Yes"}, {"tourism": "camp_site"}, {"amenity": "parking", "name": "Lot"}, {"amenity": "parking", "name": "North Trailhead"}, {}]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t map<string, string>")
-    got = df.select("i", sources.scenery_kind(F.col("t")).alias("s"), sources.access_kind(F.col("t")).alias("a")).orderBy("i").collect()
+    got = df.select("i", sources.scenery_kind(F.col("t")).alias("s"), sources.access_kind(F.col("t"), [("walk_in", "yes", "walk_in_camp")]).alias("a")).orderBy("i").collect()
     assert [r.s for r in got] == ["peak", "lake", "waterfall", None, None, None, None, None]
-    assert [r.a for r in got] == [None, None, None, "backcountry_camp", "campground", None, "trailhead", None]
+    assert [r.a for r in got] == [None, None, None, "walk_in_camp", "campground", None, "trailhead", None]
 
 
 def test_uses_and_usable_rows(spark):

@@ -55,7 +55,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, queries, oracles = connect(sf), entry.queries(), entry.oracle_sql()
     for name in sys.argv[2:] or [q for q in queries if not q.startswith("op") and q != "pipeline"]:
