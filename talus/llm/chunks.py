@@ -32,7 +32,7 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row() -> pa.RecordBatch:
-            body = zstandard.compress(pickle.dumps((np.array(ids, np.int64), texts)), 1)
+            body = zstandard.compress(pickle.dumps((np.array(ids, np.int64), texts)), 5)
             return pa.RecordBatch.from_pydict({"chunk": pa.array([part << _SEQ | seq], pa.int64()), "bytes": pa.array([held], pa.int64()), "body": pa.array([body], pa.binary())})
 
         for batch in batches:

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the executors once, so its functions can be loaded there."""
     context = spark.sparkContext
@@ -56,24 +59,21 @@ def stored(df: DataFrame) -> DataFrame:
 
     Cuts the lineage as checkpoint() does, survives lost executors, and is
     columnar and compressed, which keeps the disk needed far below checkpoint()'s rows.
+    Shuffle files of the write go when it is over, not when the driver next happens to
+    collect its garbage; nothing computed later can want them.
     """
-    path = f"{shared_dir(df.sparkSession)}/talus-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/talus-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._talus_path = path
     return out
 
 
-def tidied(df: DataFrame) -> DataFrame:
-    """df, once the driver has collected its garbage: Spark's cleaner then deletes the shuffle files of steps that are over.
-
-    Spark does this by itself only every half hour (spark.cleaner.periodicGC.interval), so
-    a long job would keep the files of all its large steps until then.
-    """
-    df.sparkSession._jvm.System.gc()
-    return df
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing still to be computed reads."""
     for df in tables:

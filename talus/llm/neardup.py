@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, local_roots, mixed, prefix_hash, span_hash, stored, tidied, unite, unused, word_spans
+from .common import components, dropped, local_roots, mixed, prefix_hash, span_hash, stored, unite, unused, word_spans
 from .simhash import grouped
 
 SHINGLE, SIMILARITY, BUDGET, HUB_ROUNDS, PART = 5, 0.8, 6, 2, 256
@@ -187,7 +187,7 @@ def _candidates(rows: DataFrame, first: DataFrame, budget: int) -> tuple[DataFra
     need = found.join(several, "component_id").select("rid", "id", "fp", "component_id").join(met.select("rid").distinct(), "rid", "full")
     cols = "rid long, id long, fp long, component_id long"
     sets = rows.select("rid", "text").join(need, "rid").select("rid", "id", "fp", "component_id", "text").mapInPandas(_with_shingles, f"{cols}, sh binary")
-    return tidied(stored(sets)), met
+    return stored(sets), met
 
 
 def _missed(met: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:

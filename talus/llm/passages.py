@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NO_ID, among, chunked, place, resumed, shared
-from .common import components, local_roots, mixed, prefix_hash, span_hash, stored, table, tidied, unite, word_spans
+from .common import components, local_roots, mixed, prefix_hash, span_hash, stored, table, unite, word_spans
 from .suffix import _window_min
 
 WORDS, SHINGLE, BANDS, ROWS, SIMILARITY = 25, 5, 4, 2, 0.8
@@ -163,7 +163,7 @@ def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         own = Passages(texts, words)
         return own.keys.ravel(), np.repeat(place(chunk, own.owner), BANDS)
 
-    heard = tidied(stored(shared(chunks, told, max(1, -(-total // task_bytes))).select("chunk", "hash")))
+    heard = stored(shared(chunks, told, max(1, -(-total // task_bytes))).select("chunk", "hash"))
 
     def candidates(chunk, ids, texts, rows) -> pd.DataFrame:
         own = Passages(texts, words)
@@ -178,7 +178,7 @@ def repeated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
             "keys": pd.Series([own.keys[i].view(np.int64).tolist() if w else None for i, w in zip(some.tolist(), whole.tolist())], dtype=object),
         })
 
-    found = tidied(stored(resumed(chunks, heard, candidates, "name long, doc long, row long, start long, size long, shingles binary, keys array<long>")))
+    found = stored(resumed(chunks, heard, candidates, "name long, doc long, row long, start long, size long, shingles binary, keys array<long>"))
     distinct = stored(found.filter("shingles is not null").groupBy("name").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
     roots = components(linked(distinct, similarity, key_rows)).withColumnRenamed("node", "name")
     named = stored(found.select("name", "doc", "row", "start", "size").join(roots, "name", "left").select(F.coalesce("root", "name").alias("cluster"), "doc", "row", "start", "size"))
