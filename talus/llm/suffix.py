@@ -48,6 +48,7 @@ from .common import prefix_hash, span_hash, stored, table
 LENGTH, GRAM = 50, 24
 TASK_BYTES, SHARED_BYTES = 6 << 20, 18 << 20  # of text, for each task that answers with ids, and with shared minimizers
 FAMILY = 50_000
+PORTION = 1 << 18  # bytes of segments whose suffixes are sorted at a time, small enough for the processor's cache
 
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -225,7 +226,7 @@ def _answers(names: list[bytes], keys: np.ndarray, low: np.ndarray, length: int)
     order = np.argsort(keys, kind="stable")
     family = np.concatenate(([0], np.cumsum(np.diff(keys[order]) != 0)))
     mixed = order[np.bincount(family)[family] > 1]
-    for at in _portions([len(names[k]) for k in mixed.tolist()], keys[mixed].tolist(), 4 << 20):
+    for at in _portions([len(names[k]) for k in mixed.tolist()], keys[mixed].tolist(), PORTION):
         part = mixed[at]
         for k, found in zip(part.tolist(), least_ids([names[k] for k in part.tolist()], low[part], length)):
             value[start[k] : start[k] + len(found)] = found
