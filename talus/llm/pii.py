@@ -20,7 +20,8 @@ to be walked back into it.
 
 Defined results: a null text stays null with nothing replaced; an empty one stays empty;
 repeated rows give repeated rows; all other columns pass through; an empty table gives an
-empty result; a very long text is one row as any other. The key is a parameter, which
+empty result; a very long text is one row as any other, and no pattern recurses or goes
+back along a run of numbers, dots, dashes or digits, so time is linear in its length. The key is a parameter, which
 who holds can undo the permutations: the queries read it from the session's
 ``spark.talus.pii.key``, and only without that setting use a public one, for demonstration.
 """
@@ -33,7 +34,13 @@ from pyspark.sql import functions as F
 from .common import table, unused
 
 KEY_SETTING, DEMONSTRATION_KEY, ROUNDS = "spark.talus.pii.key", "demonstration", 8
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_NUMBERS = 512  # of a run of numbers that are put together at a time
+# No group is repeated but possessively: Java runs those as a loop, the others by a call each turn.
+_LABEL = r"[A-Za-z0-9\-]++"
+#: An address with all its host; what follows the last label of two letters or more goes back (_email).
+EMAIL = (
+    r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?=" + _LABEL + r"(?:\.(?![A-Za-z]{2})" + _LABEL + r")*+\.[A-Za-z]{2})" + _LABEL + r"(?:\." + _LABEL + r")*+"
+)
 _FROM, _TO = r"(?<![\p{L}\p{N}.+\-/])", r"(?![\p{L}\p{N}]|[.\-/][0-9])"
 _TIME = r"(?=[Tt][0-9]|[Zz](?![\p{L}\p{N}]))"
 KINDS = {
@@ -43,8 +50,11 @@ KINDS = {
     "phone": r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
 }
-#: Digits with single separators, up to where another kind of value starts.
-RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?:[ \-](?!(?:" + "|".join(KINDS[k] for k in ("ssn", "date", "ip", "phone")) + ")" + _TO + r")[0-9]++)*"
+_OTHER = "(?:" + "|".join(KINDS[k] for k in ("ssn", "date", "ip", "phone")) + ")" + _TO
+_CHAIN = r"[0-9]++(?:-(?!" + _OTHER + r")[0-9]++)*+" + _TO
+#: Digits with single separators, up to where another kind of value starts. Numbers joined by
+#: dashes end where a value may end or not at all, so none of a chain is ever given back.
+RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})" + _CHAIN + r"(?: (?!" + _OTHER + ")" + _CHAIN + ")*+"
 ANY = "|".join(
     [
         EMAIL,
@@ -118,10 +128,20 @@ def _cards(key: str, rounds: int) -> str:
     one = _bind("j", "e[0]", _bind("m", part, _bind("d", _digits("m"), f"named_struct('t', concat(s.t, {_card(key, rounds)}), 'n', s.n + 1, 'free', j + 1)")))
     plain = "named_struct('t', concat(s.t, p[i - 1]), 'n', s.n, 'free', i + 1)"
     step = f"if(i < s.free, s, {_bind('e', ends, f'if(size(e) > 0, {one}, {plain})')})"
-    folded = f"aggregate(sequence(1, size(p)), named_struct('t', '', 'n', 0, 'free', 1), (s, i) -> {step}, s -> named_struct('t', s.t, 'n', s.n))"
+    # strings grow within a block of numbers only; a block hands on what is free and its count
+    block = f"aggregate(sequence(b, least(b + {_NUMBERS - 1}, size(p))), named_struct('t', '', 'n', u.n, 'free', u.free), (s, i) -> {step})"
+    outer = _bind("o", block, "named_struct('ts', array_append(u.ts, o.t), 'n', o.n, 'free', o.free)")
+    start = "named_struct('ts', cast(array() as array<string>), 'n', 0, 'free', 1)"
+    folded = f"aggregate(sequence(1, size(p), {_NUMBERS}), {start}, (u, b) -> {outer}, u -> named_struct('t', array_join(u.ts, ''), 'n', u.n))"
     return _bind("p", "regexp_extract_all(m, '[^0-9]?[0-9]+', 0)", folded)
 
 
+def _email(key: str) -> str:
+    """SQL: what stands for m, an address and perhaps the rest of a longer host."""
+    made = f"concat('u', substring(sha2(concat_ws('|', {_text(key)}, 'email', lower(g)), 256), 1, 16), '@example.invalid', substring(m, length(g) + 1))"
+    return _bind("g", rf"regexp_extract(m, {_text('^[^@]*@.*[.][A-Za-z]{2,}')}, 0)", made)
+
+
 def _phone(key: str, rounds: int) -> str:
     made = f"concat(substring(d, 1, length(d) - 10), {_halves('substring(d, -10)', 'phone', key, rounds)})"
     return _bind("d", _digits("m"), _bind("x", made, _refit("m", "x")))
@@ -154,7 +174,7 @@ def pseudonym(key: str, rounds: int = ROUNDS) -> str:
     """SQL: a struct (t, n), what stands for the match m and the number of values replaced."""
     made = {"ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone}
     cases = " ".join(f"when m rlike {_text('^' + KINDS[k] + '$')} then {made[k](key, rounds)}" for k in made)
-    one = f"case when contains(m, '@') then concat('u', substring(sha2(concat_ws('|', {_text(key)}, 'email', lower(m)), 256), 1, 16), '@example.invalid') {cases} else m end"
+    one = f"case when contains(m, '@') then {_email(key)} {cases} else m end"
     single = _bind("y", one, "named_struct('t', y, 'n', if(y <> m, 1, 0))")
     others = " or ".join(f"m rlike {_text('^' + KINDS[k] + '$')}" for k in made)
     return f"if(contains(m, '@') or {others}, {single}, {_cards(key, rounds)})"

@@ -171,6 +171,38 @@ def test_pseudonyms_edge_cases(spark):
     assert got[2].text is None and got[3].text == "" and pii.pseudonymised(docs.filter("false"), "k").count() == 0
 
 
+def test_pseudonyms_in_long_runs(spark):
+    """Runs that a recursive or backward-going match would not survive, each with a value at its end."""
+    card = "4111111111111111"
+    runs = [
+        "12 " * 200_000 + "x " + card,
+        "123 " * 200_000 + card,
+        "1-" * 200_000 + "x, " + card,
+        "1-1 1-" * 100_000 + "1x " + card,
+        "." * 1_000_000 + " " + card,
+        "-" * 1_000_000 + " " + card,
+        "7" * 10_000_000 + " x " + card,
+        "a@b" + ".c" * 500_000 + " " + card,
+        "a." * 500_000 + " " + card,
+        "1." * 500_000 + " " + card,
+        "1/" * 500_000 + " " + card,
+        "x@" * 500_000 + " " + card,
+        "555-" * 200_000 + "x " + card,
+    ]
+    whole = ["a@b" + ".c" * 500_000 + ".com", "a@b" + ".cd" * 300_000 + ".c9-"]
+    rows = list(enumerate([card, *runs, *whole]))
+    out = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()}
+    for i, t in enumerate(runs, 1):
+        assert out[i].text == t.removesuffix(card) + out[0].text and out[i].n_replaced == 1, t[:20]
+    assert [out[i].text[17:] for i in (len(runs) + 1, len(runs) + 2)] == ["@example.invalid", "@example.invalid.c9-"]
+
+
+def test_many_cards_in_a_run(spark):
+    cards = ["4111111111111111", "5500000000000004"] * 1000
+    out = pii.pseudonymised(spark.createDataFrame([(0, " ".join(cards)), (1, " ".join(cards[:2]))], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert out[0].text == " ".join([out[1].text] * 1000) and out[0].n_replaced == 2000
+
+
 def test_simhash_edge_cases(spark):
     long = "many words of a very long text " * 60_000
     docs = spark.createDataFrame([(1, long, 1, "a", 5), (2, long, 1, "a", 5), (3, None, None, None, None)], "doc_id long, text string, fp int, component_id string, root int")
