@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 _MOST = float(1 << 26)
@@ -158,7 +158,7 @@ def encoded(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.string()), pa.array(error)], names=["k", "label", "code", "error"])
 
     narrow = kept.select(F.col(key).alias("k"), F.col(label).alias("label"), F.col(column).alias("v"))
-    rows = narrow.mapInArrow(coded, f"k {kinds[key]}, label {kinds[label]}, code string, error long")
+    rows = stored(narrow.mapInArrow(coded, f"k {kinds[key]}, label {kinds[label]}, code string, error long"))  # read twice
     sums = rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     out = rows.join(sums, F.col("label").eqNullSafe(F.col("_label")))
     return out.select(F.col("k").alias(key), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
