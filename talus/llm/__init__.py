@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, decontamination, langid, packing, passages, pii, quality, ranking, sharding, simhash, suffix, warc
+from . import codes, decontamination, langid, packing, pages, passages, pii, quality, ranking, sharding, simhash, suffix, warc
 
 _QUERIES = {
     "op1_best_fit_packing": packing,
@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_quality_rules": quality,
     "op9_passage_dedup": passages,
     "op10_simhash_near_dedup": simhash,
+    "op11_html_extraction": pages,
     "op12_ranked_search": ranking,
     "op13_vector_codes": codes,
 }
