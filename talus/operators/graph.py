@@ -5,17 +5,14 @@ Vertices are rows (path_id, seq, node, lat, lng); node is the snapped grid cell.
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import EARTH_MI, haversine
+from talus.functions.geo import haversine
 from talus.operators.lineage import cut
 from talus.operators.lines import gain_loss, steps
 from talus.operators.spatial import radius_join
@@ -73,52 +70,73 @@ def nearest_node(requests: DataFrame, nodes: DataFrame, miles: float) -> DataFra
     return near.groupBy("request_id").agg(F.min_by("node", F.struct("distance_raw", "node")).alias("node"))
 
 
-def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_miles: float) -> DataFrame:
-    """(request_id, status, miles, path) for requests (request_id, source, target).
-
-    Each request gets the part of the graph inside the ellipse on which a path of
-    max_miles could lie; that part, not the graph, is what one task holds. Unsettled
-    targets are "not_connected", never a tentative distance.
+def _either_way(edge: DataFrame) -> DataFrame:
+    """Edges (src, dst, miles) in both directions, the shortest of each pair."""
+    back = edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "miles")
+    return edge.select("src", "dst", "miles").unionByName(back).filter("src <> dst").groupBy("src", "dst").agg(F.min("miles").alias("miles"))
+
+
+def shortcuts(edge: DataFrame, max_miles: float, doublings: int) -> DataFrame:
+    """(src, dst, miles, between): the shortest ways of at most 2^doublings edges, with the nodes they pass."""
+    node = dict(edge.dtypes)["src"]
+    ways = _either_way(edge).withColumn("between", F.array().cast(f"array<{node}>"))
+    for _ in range(doublings):
+        onward = ways.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("miles").alias("rest"), F.col("between").alias("then"))
+        two = ways.join(onward, F.col("dst") == F.col("mid")).filter((F.col("src") != F.col("to")) & (F.col("miles") + F.col("rest") <= max_miles))
+        two = two.select("src", F.col("to").alias("dst"), (F.col("miles") + F.col("rest")).alias("miles"), F.concat("between", F.array("mid"), "then").alias("between"))
+        ways = ways.unionByName(two).groupBy("src", "dst").agg(F.min(F.struct("miles", "between")).alias("b")).select("src", "dst", "b.miles", "b.between")
+    return ways
+
+
+def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_miles: float, doublings: int = 1) -> DataFrame:
+    """(request_id, status, miles, path) for any number of requests (request_id, source, target); an id is one request.
+
+    Labels are corrected in rounds that all requests share. A round moves the frontier
+    (request, node, miles so far, way) on by one shortcut, keeps the least of each request
+    and node in a partial minimum, and drops what can't get better: where the miles so far
+    and the straight line to the target exceed max_miles or the best way found to the
+    target, or where an earlier round reached the node in no more. What is left is the next
+    frontier, checkpointed. Labels are only added to, and the new candidates look theirs
+    up, so shuffles are as large as the frontier; no request's labels meet in one task, and
+    edges are never copied for a request. Every eight rounds the labels become one table.
+    Of equally long ways the one with the smallest nodes is told. Unreached targets are
+    "not_connected", never a tentative distance.
     """
     at = nodes.select("node", "lat", "lng")
-    s = at.select(F.col("node").alias("source"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    s = at.select(F.col("node").alias("source"), F.lit(True).alias("starts"))
     t = at.select(F.col("node").alias("target"), F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
-    asked = requests.join(s, "source", "left").join(t, "target", "left")
-    located = asked.filter("s_lat is not null and t_lat is not null")
-    # the source's surroundings by grid, then the ellipse
-    reach = radius_join(located.withColumnsRenamed({"s_lat": "lat", "s_lng": "lng"}), at, max_miles, size=max(0.05, max_miles / 69))
-    inside = reach.filter(F.col("distance_raw") + haversine(F.col("r_lat"), F.col("r_lng"), F.col("t_lat"), F.col("t_lng")) <= max_miles).select("request_id", "source", "target", F.col("node").alias("src"))
-    both = edge.select("src", "dst", "miles").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "miles")).groupBy("src", "dst").agg(F.min("miles").alias("miles"))
-    local = inside.join(both, "src").join(inside.select("request_id", F.col("src").alias("dst")), ["request_id", "dst"])
-
-    def route(rows: pd.DataFrame) -> pd.DataFrame:
-        source, target = rows["source"].iloc[0], rows["target"].iloc[0]
-        ways: dict = {}
-        for a, b, m in rows[["src", "dst", "miles"]].itertuples(index=False):
-            ways.setdefault(a, []).append((m, b))
-        best, came, heap, done = {source: 0.0}, {}, [(0.0, source)], set()
-        while heap:
-            d, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done.add(node)
-            if node == target:
-                break
-            for m, to in ways.get(node, ()):
-                if d + m < best.get(to, math.inf) and d + m <= max_miles:
-                    best[to], came[to] = d + m, node
-                    heapq.heappush(heap, (d + m, to))
-        if target not in done:
-            return pd.DataFrame({"request_id": [], "miles": [], "path": pd.Series([], dtype=object)})
-        path = [target]
-        while path[-1] != source:
-            path.append(came[path[-1]])
-        return pd.DataFrame({"request_id": [rows["request_id"].iloc[0]], "miles": [best[target]], "path": [path[::-1]]})
-
-    kind, node = dict(requests.dtypes)["request_id"], dict(nodes.dtypes)["node"]
-    found = local.groupBy("request_id").applyInPandas(route, f"request_id {kind}, miles double, path array<{node}>")
-    status = F.when(F.col("s_lat").isNull(), "no_trail_near_start").when(F.col("t_lat").isNull(), "no_trail_near_end").when(F.col("source") == F.col("target"), "ok").when(F.col("miles").isNull(), "not_connected").otherwise("ok")
-    return asked.join(found, "request_id", "left").select("request_id", status.alias("status"), F.when(F.col("source") == F.col("target"), 0.0).otherwise(F.col("miles")).alias("miles"), "path")
+    asked = cut(requests.select("request_id", "source", "target").join(s, "source", "left").join(t, "target", "left"))
+    ways = shortcuts(edge, max_miles, doublings).join(at.withColumnRenamed("node", "dst"), "dst").select("src", "dst", "miles", "between", "lat", "lng")
+    ways = cut(ways.repartition("src"))
+    kind = dict(nodes.dtypes)["node"]
+    goals = asked.filter("starts and t_lat is not null and source <> target").select("request_id", "source", "target", "t_lat", "t_lng", F.lit(None).cast("double").alias("found"), F.lit(None).cast(f"array<{kind}>").alias("path"))
+    frontier = goals.select("request_id", F.col("source").alias("node"), F.lit(0.0).alias("d"), F.array("source").alias("way"))
+    labels, rounds = [frontier.select("request_id", "node", "d")], 0
+    goals = cut(goals.drop("source"))
+    while True:
+        moved = frontier.join(ways, F.col("node") == F.col("src")).join(goals, "request_id")
+        moved = moved.withColumn("d", F.col("d") + F.col("miles")).withColumn("least", F.col("d") + haversine(F.col("lat"), F.col("lng"), F.col("t_lat"), F.col("t_lng")))
+        hopeful = (F.col("least") <= max_miles + 1e-9) & (F.col("d") <= max_miles) & (F.col("found").isNull() | ((F.col("least") <= F.col("found") + 1e-9) & (F.col("d") < F.col("found"))))
+        moved = moved.filter(hopeful).select("request_id", F.col("dst").alias("node"), F.struct("d", F.concat("way", "between", F.array("dst")).alias("way")).alias("b"))
+        new = moved.groupBy("request_id", "node").agg(F.min("b").alias("b")).select("request_id", "node", "b.d", "b.way")
+        old = labels[0]
+        for more in labels[1:]:
+            old = old.unionByName(more)
+        met = old.withColumnRenamed("d", "old").join(new.select("request_id", "node"), ["request_id", "node"]).groupBy("request_id", "node").agg(F.min("old").alias("old"))
+        better = cut(new.join(met, ["request_id", "node"], "left").filter("old is null or d < old").drop("old"))
+        if better.isEmpty():
+            break
+        ends = better.withColumnRenamed("node", "target").select("request_id", "target", F.col("d").alias("now"), F.col("way").alias("by"))
+        goals = cut(goals.join(ends, ["request_id", "target"], "left").select("request_id", "target", "t_lat", "t_lng", F.coalesce("now", "found").alias("found"), F.coalesce("by", "path").alias("path")))
+        frontier = better.join(goals.select("request_id", F.col("target").alias("node")), ["request_id", "node"], "left_anti")
+        labels, rounds = [*labels, better.select("request_id", "node", "d")], rounds + 1
+        if rounds % 8 == 0:
+            for more in labels[1:]:
+                labels[0] = labels[0].unionByName(more)
+            labels = [cut(labels[0].groupBy("request_id", "node").agg(F.min("d").alias("d")))]
+    status = F.when(F.col("starts").isNull(), "no_trail_near_start").when(F.col("t_lat").isNull(), "no_trail_near_end").when(F.col("source") == F.col("target"), "ok").when(F.col("found").isNull(), "not_connected").otherwise("ok")
+    out = asked.join(goals.select("request_id", "found", "path"), "request_id", "left")
+    return out.select("request_id", status.alias("status"), F.when(F.col("starts") & (F.col("source") == F.col("target")), 0.0).otherwise(F.col("found")).alias("miles"), "path")
 
 
 def path_shapes(found: DataFrame, edge: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -329,16 +329,36 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGE = haversine_sql("a.lat", "a.lng", "b.lat", "b.lng")
-SQL["shortest_path"] = f"""WITH RECURSIVE one AS (SELECT DISTINCT a.node AS src, b.node AS dst, {_EDGE} AS miles FROM vertices a JOIN vertices b ON a.path_id = b.path_id AND b.seq = a.seq + 1),
+
+
+def _routes_sql(requests: str, miles: float, hops: int) -> str:
+    """Every walk of at most so many hops, the least of each node and hop, and of those the least at the target."""
+    return f"""WITH RECURSIVE one AS (SELECT DISTINCT a.node AS src, b.node AS dst, {_EDGE} AS miles FROM vertices a JOIN vertices b ON a.path_id = b.path_id AND b.seq = a.seq + 1),
 e AS (SELECT src, dst, min(miles) AS miles FROM (SELECT * FROM one UNION ALL SELECT dst, src, miles FROM one) GROUP BY src, dst),
-req AS (SELECT cast(n_nationkey as bigint) AS request_id, n_nationkey % 8 * 1000 + n_nationkey % 5 AS source, (n_nationkey % 8 + 4) * 1000 + n_nationkey % 5 + 3 AS target FROM nation),
-walk AS (SELECT request_id, cast(source as bigint) AS node, 0::double AS d, 0 AS hop FROM req
-  UNION ALL SELECT request_id, dst, min(d + miles), hop + 1 FROM walk JOIN e ON src = node WHERE hop < 15 AND d + miles <= 8 GROUP BY request_id, dst, hop),
+req AS ({requests}),
+walk AS (SELECT request_id, cast(source as bigint) AS node, 0::double AS d, 0 AS hop FROM req WHERE source IN (SELECT node FROM vertices)
+  UNION ALL SELECT request_id, dst, min(d + miles), hop + 1 FROM walk JOIN e ON src = node WHERE hop < {hops} AND d + miles <= {miles} GROUP BY request_id, dst, hop),
 best AS (SELECT request_id, node, min(d) AS d FROM walk GROUP BY request_id, node)
 SELECT r.request_id, CASE WHEN r.source NOT IN (SELECT node FROM vertices) THEN 'no_trail_near_start' WHEN r.target NOT IN (SELECT node FROM vertices) THEN 'no_trail_near_end' WHEN b.d IS NULL THEN 'not_connected' ELSE 'ok' END AS status, round(b.d, 3) AS miles
 FROM req r LEFT JOIN best b ON b.request_id = r.request_id AND b.node = r.target"""
 
 
+SQL["shortest_path"] = _routes_sql("SELECT cast(n_nationkey as bigint) AS request_id, n_nationkey % 8 * 1000 + n_nationkey % 5 AS source, (n_nationkey % 8 + 4) * 1000 + n_nationkey % 5 + 3 AS target FROM nation", 8, 15)
+
+
+@query
+def route_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route of at most three miles for every customer, all in one run."""
+    k = F.col("c_custkey")
+    ask = load(spark, sf_dir, "customer").select(k.cast("long").alias("request_id"), (k % 44 * 1000 + k % 41).cast("long").alias("source"), ((k % 44 + k % 4) * 1000 + k % 41 + k % 3).cast("long").alias("target"))
+    v = paths(spark, sf_dir)
+    found = graph.shortest_paths(ask, graph.edges(v), v.select("node", "lat", "lng").distinct(), 3.0)
+    return found.select("request_id", "status", F.round("miles", 3).alias("miles"))
+
+
+SQL["route_batch"] = _routes_sql("SELECT cast(c_custkey as bigint) AS request_id, c_custkey % 44 * 1000 + c_custkey % 41 AS source, (c_custkey % 44 + c_custkey % 4) * 1000 + c_custkey % 41 + c_custkey % 3 AS target FROM customer", 3, 7)
+
+
 @query
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph node nearest to each access point within half a mile."""

@@ -238,6 +238,48 @@ def test_graph(spark):
     assert {(r.src, r.dst): r.climb_ft for r in up}[0, 1000] == 50 and {(r.src, r.dst): r.climb_ft for r in up}[1000, 3000] == 0
 
 
+@pytest.mark.parametrize("doublings", [0, 1, 2])
+def test_routes_equal_a_heap(spark, doublings):
+    """Random graphs with parallel and shortcut edges, many requests at once."""
+    import heapq
+
+    rd = random.Random(doublings)
+    place = {n: (37 + rd.random() / 10, -120 + rd.random() / 10) for n in range(40)}
+    edge = [(a, b, hav(place[a], place[b]) * rd.choice([1, 1.01, 1.5, 3])) for a, b in ((rd.randrange(38), rd.randrange(38)) for _ in range(90))]
+    near = {}
+    for a, b, m in edge:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = min(m, near.get(x, {}).get(y, math.inf))
+
+    def least(a, b):
+        heap, done = [(0.0, a)], {}
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n not in done:
+                done[n] = d
+                for y, m in near.get(n, {}).items():
+                    if d + m <= 9.0:
+                        heapq.heappush(heap, (d + m, y))
+        return done.get(b)
+
+    ask = [(i, rd.randrange(42), rd.randrange(42)) for i in range(200)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.shortest_paths(df(ask, "request_id long, source long, target long"), df(edge, "src long, dst long, miles double"), df([(n, *p) for n, p in place.items()], "node long, lat double, lng double"), 9.0, doublings)
+    got = {r.request_id: r for r in got.collect()}
+    assert len(got) == 200
+    for i, a, b in ask:
+        if a >= 40 or b >= 40:
+            assert got[i].status == ("no_trail_near_start" if a >= 40 else "no_trail_near_end") and got[i].miles is None
+        elif a == b:
+            assert (got[i].status, got[i].miles) == ("ok", 0.0)
+        else:
+            want = least(a, b)
+            assert got[i].status == ("not_connected" if want is None else "ok") and (want is None) == (got[i].miles is None)
+            if want is not None:
+                way = got[i].path
+                assert got[i].miles == pytest.approx(want) == pytest.approx(sum(near[x][y] for x, y in zip(way, way[1:]))) and (way[0], way[-1]) == (a, b)
+
+
 def test_legs(spark):
     route = spark.createDataFrame([(1, i, n, m) for i, (n, m) in enumerate([(graph.STITCH, 0.01), ("A", 1.0), ("A", 0.5), ("B", 0.1), (graph.STITCH, 0.02), ("A", 2.0)])] + [(2, 0, graph.STITCH, 0.1)], "route_id long, seq long, name string, miles double")
     got = [(r.route_id, r.name, round(r.miles, 2), r.edges) for r in graph.leg_runs(route).orderBy("route_id", "leg").collect()]
