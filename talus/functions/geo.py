@@ -48,6 +48,40 @@ def probes(lat: Column, lng: Column, row: Column, miles: float, size: float, rad
     return F.when(high - low >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(low, high), lambda c: F.pmod(c, n)))
 
 
+def crossed(a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column, row: Column, size: float) -> Column:
+    """The cells of a row that a segment crosses, as an array; the segment is straight in degrees and goes the short way round."""
+    end = b_lng + 360.0 * F.round((a_lng - b_lng) / 360.0)
+    low, high = F.greatest(row * F.lit(size), F.least(a_lat, b_lat)), F.least((row + 1) * F.lit(size), F.greatest(a_lat, b_lat))
+    rise = b_lat - a_lat
+    at = lambda lat: a_lng + (end - a_lng) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - a_lat) / F.when(rise != 0, rise)))
+    west = F.when(rise == 0, F.least(a_lng, end)).otherwise(F.least(at(low), at(high)))
+    east = F.when(rise == 0, F.greatest(a_lng, end)).otherwise(F.greatest(at(low), at(high)))
+    n = columns(row, size)
+    first, last = (F.floor((x + 180.0) / 360.0 * n).cast("long") for x in (west - 1e-9, east + 1e-9))
+    return F.when(last - first >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, n)))
+
+
+def to_segment(lat: Column, lng: Column, a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column, radius: float = EARTH_MI) -> Column:
+    """struct(d, lat, lng): the nearest place on a segment, found on the plane that touches the Earth at (lat, lng), and how far it is."""
+    east = lambda x, y: (x - y) - 360.0 * F.round((x - y) / 360.0)
+    k = F.greatest(F.lit(1e-9), F.cos(F.radians(lat)))
+    ax, ay = east(a_lng, lng) * k, a_lat - lat
+    dx, dy = east(b_lng, a_lng) * k, b_lat - a_lat
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.when(square > 0, square)))).otherwise(0.0)
+    at_lat, at_lng = lat + ay + t * dy, lng + (ax + t * dx) / k
+    return F.struct(haversine(lat, lng, at_lat, at_lng, radius).alias("d"), at_lat.alias("lat"), (at_lng - 360.0 * F.floor((at_lng + 180.0) / 360.0)).alias("lng"))
+
+
+def to_segment_sql(lat: str, lng: str, a_lat: str, a_lng: str, b_lat: str, b_lng: str) -> tuple[str, str, str]:
+    """Distance, latitude and longitude of the same as SQL, for segments that don't cross the 180th meridian."""
+    k = f"cos(radians({lat}))"
+    ax, ay, dx, dy = f"(({a_lng} - {lng}) * {k})", f"({a_lat} - {lat})", f"(({b_lng} - {a_lng}) * {k})", f"({b_lat} - {a_lat})"
+    t = f"greatest(0::double, least(1::double, -({ax} * {dx} + {ay} * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    at_lat, at_lng = f"({lat} + {ay} + {t} * {dy})", f"({lng} + ({ax} + {t} * {dx}) / {k})"
+    return haversine_sql(lat, lng, at_lat, at_lng), at_lat, at_lng
+
+
 def mercator_tile(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
     """Fractional x and y of a web map tile."""
     n = float(2**zoom)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.sources import SCALE_GRADES, tag
@@ -12,21 +12,37 @@ from talus.operators.merge import vertex_bounds
 
 STITCH_M = 35.0
 
+# Tags that become columns of their own.
+FLAT_TAGS = [
+    "name", "alt_name", "ref", "operator", "network", "surface", "tracktype", "smoothness", "sac_scale", "trail_visibility", "mtb:scale", "difficulty", "incline", "width", "ascent", "descent", "distance",
+    "ele", "access", "foot", "bicycle", "horse", "dog", "wheelchair", "fee", "seasonal", "highway", "route", "symbol", "osmc:symbol", "website", "wikidata", "wikipedia", "description",
+]
 
-def records(parts: DataFrame, tags: DataFrame) -> DataFrame:
+
+def tags_json(tags: Column) -> Column:
+    """A map as JSON text with its keys in order, a blank after each comma and colon."""
+    text = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    pairs = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(text(e["key"]), F.lit(": "), text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def records(parts: DataFrame, tags: DataFrame, flat: list[str] | None = None) -> DataFrame:
     """A record for each element from its parts (path_id, part, seq, lng, lat) and tags (path_id, tags).
 
-    Parts are joined to runs, exactly and then across small gaps; an element without a run
-    of two points has no record. Lengths are sums over runs, the box is that of all vertices,
-    the centre their mean, and max_gap_m says how far its runs lie apart.
+    Parts whose ends share a cell are joined to runs, then runs across small gaps; an element
+    without a run of two points has no record. Lengths are sums over runs, the box is that of
+    all vertices, the centre their mean, max_gap_m says how far its runs lie apart, and several
+    runs are a network. Tags of ``flat`` become columns, NULL where an element lacks them, and all tags tags_json.
     """
-    runs = chain_paths(parts, stitch_m=STITCH_M)
+    flat = FLAT_TAGS if flat is None else flat
+    runs = chain_paths(parts, stitch_m=STITCH_M, snap=True)
     miles = path_lengths(runs.withColumn("run", F.struct("path_id", "chain")), "run")
     ends = runs.groupBy("path_id", "chain").agg(F.min_by(F.struct("lng", "lat"), "seq").alias("a"), F.max_by(F.struct("lng", "lat"), "seq").alias("b"))
     gaps = ends.groupBy("path_id").agg(F.count(F.lit(1)).cast("int").alias("segments"), worst_gap(F.collect_list(F.struct("a", "b"))).alias("max_gap_m"))
     long = miles.groupBy("run.path_id").agg(F.round(F.sum("miles"), 4).alias("length_mi"), F.round(F.sum("miles") * 1.609344, 4).alias("length_km"))
-    whole = runs.withColumn("at", F.col("chain") * (1 << 32) + F.col("seq"))
-    kind = route_type(whole.select("path_id", F.col("at").alias("seq"), "lng", "lat"))
+    kind = route_type(runs.withColumn("at", F.col("chain") * (1 << 32) + F.col("seq")), seq="at", run="chain")
     box = vertex_bounds(runs, "path_id").withColumns({c: F.round(c, 6) for c in ("min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat")})
-    label = F.coalesce(lookup(SCALE_GRADES, tag(F.col("tags"), "sac_scale")), F.lit(""))
-    return long.join(gaps, "path_id").join(kind, "path_id").join(box, "path_id").join(tags, "path_id", "left").withColumn("scale_label", label)
+    out = long.join(gaps, "path_id").join(kind, "path_id").join(box, "path_id").join(tags.select("path_id", "tags"), "path_id", "left")
+    held = F.coalesce("tags", F.create_map().cast("map<string, string>"))
+    out = out.withColumns({t: F.try_element_at("tags", F.lit(t)) for t in flat})
+    return out.withColumn("scale_label", F.coalesce(lookup(SCALE_GRADES, tag(F.col("tags"), "sac_scale")), F.lit(""))).withColumn("tags_json", tags_json(held))

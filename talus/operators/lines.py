@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import EARTH_MI, haversine
+from talus.functions.geo import EARTH_MI, EARTH_MI_FINE, haversine
 
 GAIN_THRESHOLD_FT, JOIN_DEG = 15.0, 1e-4
 
@@ -238,30 +238,58 @@ def simplify_parts(vertices: DataFrame, epsilon: float) -> DataFrame:
     return whole.unionByName(lost)
 
 
-def _attached(chain: list, part: list, near: float) -> list | None:
-    """chain with part put on its tail or else its head, turned round where needed; None if no ends meet."""
+def _cell_of(p: tuple[float, float], size: float) -> tuple[int, int]:
+    return round(p[0] / size), round(p[1] / size)
+
+
+def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG, snap: bool = False) -> list[list[tuple[float, float]]]:
+    """Parts joined end to end wherever ends are within a box of ``near`` degrees, or, with ``snap``, in one cell of that size; gaps stay gaps.
+
+    A chain starts from the first part left and takes, each time, the first part left that
+    has an end at its tail or head: onto its tail if it can be, turned round where needed.
+    Ends are looked up by cell, so the work is in proportion to the parts.
+    """
+    waiting = {k: p for k, p in enumerate(parts) if len(p) > 1}
+    ends: dict[tuple[int, int], dict[int, None]] = {}
+    for k, p in waiting.items():
+        for q in (p[0], p[-1]):
+            ends.setdefault(_cell_of(q, near), {})[k] = None
+    around = [(0, 0)] if snap else [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
 
     def meet(p: tuple, q: tuple) -> bool:
-        return abs(p[0] - q[0]) < near and abs(p[1] - q[1]) < near
+        return _cell_of(p, near) == _cell_of(q, near) if snap else abs(p[0] - q[0]) < near and abs(p[1] - q[1]) < near
 
-    turned = part[::-1]
-    onto_tail = next((p for p in (part, turned) if meet(chain[-1], p[0])), None)
-    if onto_tail is not None:
-        return chain + onto_tail[1:]
-    onto_head = next((p for p in (part, turned) if meet(chain[0], p[-1])), None)
-    return None if onto_head is None else onto_head[:-1] + chain
+    def taken(k: int) -> list:
+        part = waiting.pop(k)
+        for q in (part[0], part[-1]):
+            ends[_cell_of(q, near)].pop(k, None)
+        return part
 
+    def first_at(place: tuple) -> int | None:
+        x, y = _cell_of(place, near)
+        held = (ends.get((x + i, y + j), ()) for i, j in around)
+        return min((k for ks in held for k in ks if meet(place, waiting[k][0]) or meet(place, waiting[k][-1])), default=None)
 
-def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG) -> list[list[tuple[float, float]]]:
-    """Parts joined end to end wherever ends are within a box of ``near`` degrees; gaps stay gaps."""
-    waiting = dict(enumerate(p for p in parts if len(p) > 1))
     chains = []
-    while waiting:
-        chain = list(waiting.pop(min(waiting)))
-        while grown := next(((k, c) for k, p in waiting.items() if (c := _attached(chain, p, near)) is not None), None):
-            del waiting[grown[0]]
-            chain = grown[1]
-        chains.append(chain)
+    for k in list(waiting):
+        if k not in waiting:
+            continue
+        head, tail = [], list(taken(k))  # the head's points stand turned round
+        while True:
+            start, end = head[-1] if head else tail[0], tail[-1]
+            found = [f for f in (first_at(end), first_at(start)) if f is not None]
+            if not found:
+                break
+            part = taken(min(found))
+            if meet(end, part[0]):
+                tail += part[1:]
+            elif meet(end, part[-1]):
+                tail += part[-2::-1]
+            elif meet(start, part[-1]):
+                head += part[-2::-1]
+            else:
+                head += part[1:]
+        chains.append(head[::-1] + tail)
     return chains
 
 
@@ -284,9 +312,10 @@ def stitched(chains: list[list[tuple[float, float]]], metres: float) -> list[lis
     return chains
 
 
-def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0) -> DataFrame:
+def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False) -> DataFrame:
     """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); each path is one row of arrays.
 
+    With ``snap`` ends meet in one cell of the grid of ``near``, else within a box of that size.
     With ``stitch_m`` chains whose ends are that close are joined afterwards, closest first.
     """
     rows = segments.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
@@ -300,22 +329,35 @@ def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0
                 parts: dict = {}
                 for k, *point in zip(part, lng, lat):
                     parts.setdefault(k, []).append(tuple(point))
-                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(stitched(chained(list(parts.values()), near), stitch_m)) for i, (x, y) in enumerate(found)])
+                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(stitched(chained(list(parts.values()), near, snap), stitch_m)) for i, (x, y) in enumerate(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, points)], names=["path_id", "v"])
 
     kind = dict(segments.dtypes)["path_id"]
     return rows.mapInArrow(chain, f"path_id {kind}, v array<struct<chain: long, seq: long, lng: double, lat: double>>").select("path_id", F.explode("v").alias("p")).select("path_id", "p.*")
 
 
-def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", closed_mi: float = 0.031) -> DataFrame:
-    """(path, route_type): out-and-back where most ground is walked twice, loop where closed, lollipop between."""
+def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", run: str | None = None, closed_m: float = 50.0) -> DataFrame:
+    """(path, route_type) by how much ground is walked twice, vertices told apart on a grid of 1e-4 degrees.
+
+    Several values of ``run`` make a network. Else out-and-back where 0.85 of the length is
+    walked more than once; where the ends are closer than ``closed_m`` a lollipop from 0.15 on
+    and below it a loop; out-and-back from 0.35 on; else point-to-point. A step within one
+    place of the grid is length, but never doubled ground.
+    """
     by = Window.partitionBy(path).orderBy(seq)
-    grid = lambda c: F.round(F.col(c) * 10000).cast("long")
-    run = steps(vertices, path, seq).withColumn("node", F.struct(grid("lng"), grid("lat")))
-    run = run.withColumn("before", F.lag("node").over(by)).withColumn("ground", F.struct(F.least("node", "before"), F.greatest("node", "before")))
+    grid = lambda c: F.bround(F.col(c) / JOIN_DEG).cast("long")
+    walk = steps(vertices.select(path, seq, "lat", "lng", (F.col(run) if run else F.lit(0)).alias("_run")), path, seq).withColumn("node", F.struct(grid("lng"), grid("lat")))
+    walk = walk.withColumn("before", F.lag("node").over(by)).withColumn("ground", F.struct(F.least("node", "before"), F.greatest("node", "before")))
     nth = F.row_number().over(Window.partitionBy(path, "ground").orderBy(seq))
-    run = run.withColumn("again", F.when(F.col("before").isNull(), 0.0).when(nth == 2, 2 * F.col("step_mi")).when(nth > 2, F.col("step_mi")).otherwise(0.0))
-    ends = run.groupBy(path).agg(F.sum("step_mi").alias("miles"), F.sum("again").alias("again"), F.min(F.struct(seq, "lat", "lng")).alias("a"), F.max(F.struct(seq, "lat", "lng")).alias("b"))
-    share, closed = F.col("again") / F.col("miles"), haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) <= closed_mi
-    kind = F.when(F.col("miles") == 0, "unknown").when(share >= 0.85, "out-and-back").when(closed & (share < 0.15), "loop").when(closed, "lollipop").when(share >= 0.35, "lollipop").otherwise("point-to-point")
+    moved = F.col("before").isNotNull() & (F.col("before") != F.col("node"))
+    walk = walk.withColumn("again", F.when(moved & (nth == 2), 2 * F.col("step_mi")).when(moved & (nth > 2), F.col("step_mi")).otherwise(0.0))
+    ends = walk.groupBy(path).agg(
+        F.sum("step_mi").alias("miles"), F.sum("again").alias("again"), F.min(F.struct(seq, "lat", "lng")).alias("a"), F.max(F.struct(seq, "lat", "lng")).alias("b"), F.count(F.lit(1)).alias("n"), (F.min("_run") != F.max("_run")).alias("several")
+    )
+    share = F.when(F.col("miles") > 0, F.col("again") / F.col("miles")).otherwise(0.0)
+    closed = haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"), EARTH_MI_FINE) * 1609.344 < closed_m
+    kind = (
+        F.when(F.col("several"), "network").when(F.col("n") < 2, "unknown").when(share >= 0.85, "out-and-back")
+        .when(closed, F.when(share >= 0.15, "lollipop").otherwise("loop")).when(share >= 0.35, "out-and-back").otherwise("point-to-point")
+    )
     return ends.select(path, kind.alias("route_type"))

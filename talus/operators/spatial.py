@@ -13,31 +13,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, column, haversine, probes
+from talus.functions.geo import EARTH_MI, MILES_PER_DEGREE, cell, column, crossed, haversine, probes, to_segment
 from talus.operators.lineage import cut
 
 LEAST_CELL = 0.001
 
 
-def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI, on: list[str] = ()) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI, on: list[str] = (), spread: str = "left") -> DataFrame:
     """Rows of left (lat, lng, ...) with each row of right within ``miles``, and distance_raw.
 
     Both sides need lat and lng; right's columns other than these must differ from left's.
     Right is bucketed once; left probes every cell that overlaps its radius, at any
     latitude and across the 180th meridian. Cells are as wide as the radius unless ``size``
     (in degrees of latitude) is given: wider ones hold more strangers, narrower ones take more probes.
-    Columns ``on``, which both sides have, must be equal as well.
+    Columns ``on``, which both sides have, must be equal as well. With ``spread="right"`` it is
+    right that is copied to all cells in its reach, and each row of left stays one: the way
+    for many rows on the left and few, or a wide radius, on the right.
     """
     size = size or max(LEAST_CELL, miles / MILES_PER_DEGREE)
-    up = math.ceil(miles / MILES_PER_DEGREE / size)
     lat, lng = F.col("lat"), F.col("lng")
-    held = right.withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"}).withColumn("_r", cell(F.col("r_lat"), size))
-    held = held.withColumn("_c", column(F.col("r_lng"), F.col("_r"), size))
-    near = left.withColumn("_r", F.explode(F.sequence(cell(lat, size) - up, cell(lat, size) + up))).withColumn("_c", F.explode(probes(lat, lng, F.col("_r"), miles, size, radius)))
-    near = near.join(held, ["_r", "_c", *on]).withColumn("distance_raw", haversine(lat, lng, F.col("r_lat"), F.col("r_lng"), radius))
+    far = right.withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"})
+    if spread == "right":
+        near = _in_cell(left, "lat", "lng", size).join(_in_reach(far, "r_lat", "r_lng", miles, size, radius), ["_r", "_c", *on])
+    else:
+        near = _in_reach(left, "lat", "lng", miles, size, radius).join(_in_cell(far, "r_lat", "r_lng", size), ["_r", "_c", *on])
+    near = near.withColumn("distance_raw", haversine(lat, lng, F.col("r_lat"), F.col("r_lng"), radius))
     return near.filter(F.col("distance_raw") <= miles).drop("_r", "_c")
 
 
+def _in_cell(df: DataFrame, lat: str, lng: str, size: float) -> DataFrame:
+    return df.withColumn("_r", cell(F.col(lat), size)).withColumn("_c", column(F.col(lng), F.col("_r"), size))
+
+
+def _in_reach(df: DataFrame, lat: str, lng: str, miles: float, size: float, radius: float) -> DataFrame:
+    """A row for each cell that a circle round the place can reach."""
+    up, row = math.ceil(miles / MILES_PER_DEGREE / size), cell(F.col(lat), size)
+    return df.withColumn("_r", F.explode(F.sequence(row - up, row + up))).withColumn("_c", F.explode(probes(F.col(lat), F.col(lng), F.col("_r"), miles, size, radius)))
+
+
+def near_segments(points: DataFrame, segments: DataFrame, miles: float, size: float | None = None, radius: float = EARTH_MI) -> DataFrame:
+    """Rows of points (lat, lng, ...) with each segment (a_lat, a_lng, b_lat, b_lng, ...) within ``miles``, and ``near``, to_segment's struct.
+
+    A segment is dealt to all cells it crosses, so a place on it is found however far its
+    ends are, at any latitude and across the 180th meridian. A pair may be told more than once,
+    once for each cell in which it meets; aggregates such as minima don't mind.
+    """
+    size = size or max(LEAST_CELL, miles / MILES_PER_DEGREE)
+    a_lat, a_lng, b_lat, b_lng = (F.col(c) for c in ("a_lat", "a_lng", "b_lat", "b_lng"))
+    held = segments.withColumn("_r", F.explode(F.sequence(cell(F.least(a_lat, b_lat), size), cell(F.greatest(a_lat, b_lat), size))))
+    held = held.withColumn("_c", F.explode(F.array_distinct(crossed(a_lat, a_lng, b_lat, b_lng, F.col("_r"), size))))
+    met = _in_reach(points, "lat", "lng", miles, size, radius).join(held, ["_r", "_c"]).drop("_r", "_c")
+    return met.withColumn("near", to_segment(F.col("lat"), F.col("lng"), a_lat, a_lng, b_lat, b_lng, radius)).filter(F.col("near.d") <= miles)
+
+
+def segments_of(vertices: DataFrame, path: str = "path_id", seq: str = "seq") -> DataFrame:
+    """(path, seq, a_lat, a_lng, b_lat, b_lng): the segments of lines, numbered by their first vertex; a line of one vertex is a segment without length."""
+    by = Window.partitionBy(path).orderBy(seq)
+    ends = vertices.select(path, seq, F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.lead("lat").over(by).alias("b_lat"), F.lead("lng").over(by).alias("b_lng"), F.lag(seq).over(by).alias("_first"))
+    alone = F.col("b_lat").isNull() & F.col("_first").isNull()
+    return ends.filter(F.col("b_lat").isNotNull() | alone).withColumn("b_lat", F.coalesce("b_lat", "a_lat")).withColumn("b_lng", F.coalesce("b_lng", "a_lng")).drop("_first")
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, miles: float, point: str = "id", line: str = "path_id", seq: str = "seq") -> DataFrame:
+    """(point, line, seq, distance_mi, lat, lng): the nearest place on any of many lines within ``miles`` of each point.
+
+    Distances are told to a millionth of a mile; ties go to the smaller line, then segment.
+    """
+    near = near_segments(points.select(point, "lat", "lng"), segments, miles).select(point, F.struct(F.round("near.d", 6).alias("distance_mi"), line, seq, F.col("near.lat").alias("lat"), F.col("near.lng").alias("lng")).alias("b"))
+    return near.groupBy(point).agg(F.min("b").alias("b")).select(point, "b.*")
+
+
 def _places(vertices: DataFrame) -> DataFrame:
     """The distinct positions of vertices: paths share ground, and a place needs its neighbours once."""
     return vertices.select("lat", "lng").distinct()
@@ -138,18 +183,77 @@ def in_polygon(lng: Column, lat: Column, rings: Column) -> Column:
     return in_ring(lng, lat, rings[0]) & ~F.exists(holes, lambda h: in_ring(lng, lat, h))
 
 
+_SHIFT = 0.3819660113  # of a cell: borders of cells stay off the round numbers that corners of areas have
+
+
+def ring_cells(areas: DataFrame, size: float) -> DataFrame:
+    """Cells (_r, _c) that areas (ord, name, rings) touch: (ord, name, ring, inside, edges).
+
+    A cell that a ring passes through keeps the ring's edges in that cell alone, and
+    ``inside``, whether its lower left corner is in the ring; one within the ring has
+    no edges. Edges are dealt to the cells they cross, and crossings with the
+    bottom of a row, added up from the left, tell which corners are inside, so no task
+    needs a whole ring.
+    """
+    along = lambda x: F.floor(x / F.lit(size) - F.lit(_SHIFT)).cast("long")
+    border = lambda k: (k + F.lit(_SHIFT)) * F.lit(size)
+    ring = areas.select("ord", "name", F.posexplode("rings").alias("ring", "v")).filter(F.size("v") > 2)
+    edge = ring.select("ord", "name", "ring", F.explode(F.transform(F.sequence(F.lit(1), F.size("v") - 1), lambda i: F.struct(F.get("v", i - 1).alias("a"), F.get("v", i).alias("b")))).alias("e"))
+    edge = edge.select("ord", "name", "ring", "e.a", "e.b").filter("a <> b")
+    rise, run = F.col("b.lat") - F.col("a.lat"), F.col("b.lng") - F.col("a.lng")
+    x_at = lambda lat: F.col("a.lng") + run * ((lat - F.col("a.lat")) / F.when(rise != 0, rise))
+    bottom, top = F.least("a.lat", "b.lat"), F.greatest("a.lat", "b.lat")
+    row = F.col("_r")
+    edge = edge.withColumn("_r", F.explode(F.sequence(along(bottom), along(top))))
+    west, east = F.least("a.lng", "b.lng"), F.greatest("a.lng", "b.lng")
+    ends = [F.when(rise == 0, x).otherwise(F.least(east, F.greatest(west, x_at(y)))) for x, y in ((west, F.greatest(bottom, border(row))), (east, F.least(top, border(row + 1))))]
+    edge = edge.withColumn("_c", F.explode(F.sequence(along(F.least(*ends) - 1e-9), along(F.greatest(*ends) + 1e-9))))
+    line = border(row)
+    falls = (F.col("a.lat") > line) != (F.col("b.lat") > line)
+    edge = edge.withColumn("_falls", (falls & (along(x_at(line)) == F.col("_c"))).cast("int"))
+    held = edge.groupBy("ord", "name", "ring", "_r", "_c").agg(F.collect_list(F.struct("a", "b")).alias("edges"), F.sum("_falls").alias("_falls"))
+    by = Window.partitionBy("ord", "ring", "_r").orderBy("_c")
+    so_far = F.sum("_falls").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = held.withColumn("_through", so_far).withColumn("_next", F.lead("_c").over(by))
+    cells = held.select("_r", "_c", "ord", "name", "ring", ((F.col("_through") - F.col("_falls")) % 2 == 1).alias("inside"), "edges")
+    gap = held.filter((F.col("_through") % 2 == 1) & (F.col("_next") > F.col("_c") + 1))
+    within = gap.select("_r", F.explode(F.sequence(F.col("_c") + 1, F.col("_next") - 1)).alias("_c"), "ord", "name", "ring", F.lit(True).alias("inside"), F.slice("edges", 1, 0).alias("edges"))
+    return cells.unionByName(within)
+
+
+def in_cell_ring(lng: Column, lat: Column, corner_lng: Column, corner_lat: Column, inside: Column, edges: Column) -> Column:
+    """Whether a place is in a ring, from its cell's corner: up the cell's left border, then level to the place, turning at each edge."""
+
+    def crosses(now: Column, e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        up = (a["lng"] > corner_lng) != (b["lng"] > corner_lng)
+        v = a["lat"] + (corner_lng - a["lng"]) * (b["lat"] - a["lat"]) / F.when(up, b["lng"] - a["lng"]).otherwise(1.0)
+        level = (a["lat"] > lat) != (b["lat"] > lat)
+        h = (b["lng"] - a["lng"]) * (lat - a["lat"]) / F.when(level, b["lat"] - a["lat"]).otherwise(1.0) + a["lng"]
+        return (now != (up & (v > corner_lat) & (v <= lat))) != (level & (h > corner_lng) & (h <= lng))
+
+    return F.aggregate(edges, inside, crosses)
+
+
 def area_of_points(points: DataFrame, areas: DataFrame, size: float = 0.1) -> DataFrame:
-    """Adds to each point (lat, lng, ...) the first area (ord, name, box, rings) that contains it, or NULL.
+    """Adds to each point (lat, lng, ...) the first area (ord, name, rings) that contains it, or NULL.
 
-    Areas are dealt to the cells their boxes overlap, and each cell keeps its areas as an
-    array (as long as areas overlap there), so a point meets its cell once and stays one row.
+    An area contains what is in its first ring and in none of the holes after it. A cell
+    keeps its rings as an array, each with its edges in that cell only (see ring_cells), so a
+    point meets its cell once and stays one row, whatever the size of the areas. ``size`` is
+    a cell's side in degrees: the finer the areas' borders, the smaller it should be.
     """
-    spread = areas.withColumn("_r", F.explode(F.sequence(cell(F.col("min_lat"), size), cell(F.col("max_lat"), size)))).withColumn("_c", F.explode(F.sequence(cell(F.col("min_lng"), size), cell(F.col("max_lng"), size))))
-    cells = spread.groupBy("_r", "_c").agg(F.collect_list(F.struct("ord", "name", "min_lat", "max_lat", "min_lng", "max_lng", "rings")).alias("_areas"))
     lat, lng = F.col("lat"), F.col("lng")
-    held = F.filter("_areas", lambda a: lng.between(a["min_lng"], a["max_lng"]) & lat.between(a["min_lat"], a["max_lat"]) & in_polygon(lng, lat, a["rings"]))
-    first = F.array_min(F.transform(held, lambda a: F.struct(a["ord"].alias("ord"), a["name"].alias("name"))))
-    met = points.withColumn("_r", cell(lat, size)).withColumn("_c", cell(lng, size)).join(cells, ["_r", "_c"], "left").withColumn("_area", first)
+    held = F.struct("ord", "name", "ring", "inside", "edges")
+    cells = ring_cells(areas, size).groupBy("_r", "_c").agg(F.collect_list(held).alias("_rings"))
+    along = lambda x: F.floor(x / F.lit(size) - F.lit(_SHIFT)).cast("long")
+    border = lambda k: (k + F.lit(_SHIFT)) * F.lit(size)
+    met = points.withColumn("_r", along(lat)).withColumn("_c", along(lng)).join(cells, ["_r", "_c"], "left")
+    hit = F.filter("_rings", lambda g: in_cell_ring(lng, lat, border(F.col("_c")), border(F.col("_r")), g["inside"], g["edges"]))
+    met = met.withColumn("_hit", F.transform(hit, lambda g: F.struct(g["ord"].alias("ord"), g["name"].alias("name"), g["ring"].alias("ring"))))
+    holes = F.transform(F.filter("_hit", lambda g: g["ring"] > 0), lambda g: g["ord"])
+    first = F.array_min(F.filter("_hit", lambda g: (g["ring"] == 0) & ~F.array_contains(holes, g["ord"])))
+    met = met.withColumn("_area", first)
     return met.select(*points.columns, F.col("_area.ord").alias("area_ord"), F.col("_area.name").alias("area_name"))
 
 

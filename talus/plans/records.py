@@ -11,6 +11,7 @@ from talus.functions.text import key_name
 from talus.operators import elements, graph, lines, merge, rules, search, spatial
 from talus.operators.search import Filters
 from talus.plans.ratings import BOX, IN_BOX, RATED, trails
+from talus.plans.spatial import SQL as ROUTES_SQL
 from talus.plans.spatial import STEPS, V_P, paths
 from talus.sources.views import HEIGHT, load
 
@@ -304,18 +305,29 @@ SQL["chain_stitched"] = "SELECT path_id, 0 AS chain, count(*) + 1 AS n FROM vert
 
 @query
 def element_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements in pieces as flat records: length, kind of route, bounds, label; the longest first where listed."""
-    v = paths(spark, sf_dir)
-    both = _parts(spark, sf_dir, [4]).unionByName(v.filter("seq = 3").select("path_id", F.lit(1).alias("part"), "seq", "lng", "lat"))
-    tags = v.select("path_id").distinct().withColumn("tags", F.create_map(F.lit("sac_scale"), F.element_at(F.array(*[F.lit(k) for k in sources.SCALE_GRADES], F.lit("other")), (F.col("path_id") % 7 + 1).cast("int"))))
-    out = elements.records(both, tags)
-    out = merge.listed(out, min_miles=4.0, miles="length_mi")
-    return out.select("path_id", "length_mi", "segments", "max_gap_m", "scale_label", "min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat")
+    """Elements in pieces as flat records: length, kind of route, bounds, tags; the longest first where listed."""
+    v = load(spark, sf_dir, "walks").select("path_id", F.col("run").cast("long").alias("part"), F.col("step").alias("seq"), "lng", "lat")
+    once = F.col("path_id") % 8 == 1  # in two parts that share a vertex
+    both = v.filter(~once | (F.col("seq") <= 4)).unionByName(v.filter(once & (F.col("seq") >= 4)).withColumn("part", F.lit(7)))
+    k = F.col("path_id")
+    scale = F.element_at(F.array(*[F.lit(x) for x in sources.SCALE_GRADES], F.lit("other")), (k % 7 + 1).cast("int"))
+    named = F.map_from_arrays(F.array(F.lit("sac_scale"), F.lit("name")), F.array(scale, F.concat(F.lit('The "'), k.cast("string"), F.lit('"'))))
+    tags = v.select("path_id").distinct().withColumn("tags", F.when(k % 3 == 0, F.create_map(F.lit("sac_scale"), scale)).otherwise(named))
+    out = merge.listed(elements.records(both, tags), min_miles=4.0, miles="length_mi")
+    return out.select("path_id", "length_mi", "route_type", "segments", "max_gap_m", "name", "sac_scale", "mtb:scale", "scale_label", "tags_json", "min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat")
 
 
 _LABELS = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(sources.SCALE_GRADES.values()))
-SQL["element_records"] = f"""WITH {STEPS} SELECT path_id, round(sum(step_mi), 4) AS length_mi, 1 AS segments, 0::double AS max_gap_m, CASE path_id % 7 {_LABELS} ELSE '' END AS scale_label,
-  min(lng) AS min_lng, min(lat) AS min_lat, max(lng) AS max_lng, max(lat) AS max_lat, round(avg(lng), 6) AS center_lng, round(avg(lat), 6) AS center_lat FROM steps GROUP BY path_id HAVING round(sum(step_mi), 4) >= 4"""
+_SCALES = " ".join(f"WHEN {i} THEN '{key}'" for i, key in enumerate(sources.SCALE_GRADES))
+_RUN_STEP = haversine_sql("lag(lat) OVER w", "lag(lng) OVER w", "lat", "lng")
+_GAP = haversine_sql("max(lat) FILTER (run = 0 AND step = 3)", "max(lng) FILTER (run = 0 AND step = 3)", "max(lat) FILTER (run = 1 AND step = 4)", "max(lng) FILTER (run = 1 AND step = 4)")
+SQL["element_records"] = f"""WITH kind AS ({ROUTES_SQL["route_types"]}),
+r AS (SELECT *, {_RUN_STEP} AS d FROM walks WINDOW w AS (PARTITION BY path_id, run ORDER BY step)),
+t AS (SELECT path_id, round(sum(d), 4) AS length_mi, (max(run) + 1)::integer AS segments, CASE WHEN max(run) > 0 THEN round({_GAP} * 1609.344, 1) ELSE 0 END AS max_gap_m, CASE path_id % 7 {_LABELS} ELSE '' END AS scale_label,
+  CASE path_id % 7 {_SCALES} ELSE 'other' END AS sac_scale, CASE WHEN path_id % 3 <> 0 THEN 'The "' || path_id || '"' END AS name,
+  min(lng) AS min_lng, min(lat) AS min_lat, max(lng) AS max_lng, max(lat) AS max_lat, round(avg(lng), 6) AS center_lng, round(avg(lat), 6) AS center_lat FROM r GROUP BY path_id)
+SELECT t.*, route_type, NULL AS "mtb:scale", '{{' || CASE WHEN name IS NOT NULL THEN '"name": "The \\"' || path_id || '\\"", ' ELSE '' END || '"sac_scale": "' || sac_scale || '"}}' AS tags_json
+FROM t JOIN kind USING (path_id) WHERE length_mi >= 4"""
 
 # Graph
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import haversine_sql
+from talus.functions.geo import haversine_sql, to_segment_sql
 from talus.operators import graph, lines, spatial
 from talus.sources.views import load
 
@@ -115,7 +115,7 @@ def permit_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest facilities within 35 miles of each trail's center, as a grouped limit."""
     p = load(spark, sf_dir, "areas").select(F.col("ord").alias("id"), F.col("name").alias("permit"), F.col("min_lat").alias("lat"), F.col("min_lng").alias("lng"))
     t = load(spark, sf_dir, "trails").select(F.col("id").alias("trail_id"), "lat", "lng")
-    near = spatial.radius_join(t, p, 35.0, size=0.5).withColumn("distance_mi", F.round("distance_raw", 3))
+    near = spatial.radius_join(t, p, 35.0, size=0.5, spread="right").withColumn("distance_mi", F.round("distance_raw", 3))
     return spatial.nearest_per(near, ["trail_id"], 3).select("trail_id", "permit", "distance_mi", F.col("rank").cast("long").alias("rank"))
 
 
@@ -130,10 +130,16 @@ def area_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "areas").withColumn("rings", F.array(ring))
 
 
+def area_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each area with a notched outer ring and a hole."""
+    at = load(spark, sf_dir, "area_corners").groupBy("ord", "name", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("v"))
+    return at.groupBy("ord", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "v"))), lambda r: r["v"]).alias("rings"))
+
+
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices a little off the lattice, each with the first area that contains it."""
     points = paths(spark, sf_dir).select((F.col("path_id") * 8 + F.col("seq")).alias("point_id"), "path_id", (F.col("lat") + 0.0033).alias("lat"), (F.col("lng") + 0.0033).alias("lng"))
-    return spatial.area_of_points(points, area_rings(spark, sf_dir))
+    return spatial.area_of_points(points, area_shapes(spark, sf_dir), 0.02)
 
 
 @query
@@ -141,8 +147,14 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(spark, sf_dir).select("point_id", "area_name")
 
 
-IN_AREA = "SELECT v.path_id * 8 + v.seq AS point_id, v.path_id, arg_min(a.name, a.ord) AS area_name, min(a.ord) AS area_ord FROM vertices v LEFT JOIN areas a ON v.lat + 0.0033::double BETWEEN a.min_lat AND a.max_lat AND v.lng + 0.0033::double BETWEEN a.min_lng AND a.max_lng GROUP BY 1, 2"
-SQL["point_in_polygon"] = f"SELECT point_id, area_name FROM ({IN_AREA})"
+# a point is in a ring if edges on an odd number of sides of it span its latitude, and in an area if in ring 0 and in no other
+IN_AREA = """WITH side AS (SELECT *, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2 FROM area_corners WINDOW w AS (PARTITION BY ord, ring ORDER BY k)),
+place AS (SELECT DISTINCT lat + 0.0033::double AS y, lng + 0.0033::double AS x FROM vertices),
+ringed AS (SELECT x, y, ord, name, ring, count(*) FILTER ((lat > y) <> (y2 > y) AND x < (x2 - lng) * (y - lat) / (y2 - lat) + lng) % 2 = 1 AS inside FROM side, place WHERE x2 IS NOT NULL GROUP BY ALL),
+held AS (SELECT x, y, ord, name FROM ringed GROUP BY ALL HAVING bool_or(inside) FILTER (ring = 0) AND NOT bool_or(inside) FILTER (ring > 0)),
+area AS (SELECT x, y, min(ord) AS area_ord, arg_min(name, ord) AS area_name FROM held GROUP BY x, y),
+q AS (SELECT v.path_id * 8 + v.seq AS point_id, v.path_id, area_name, area_ord FROM vertices v LEFT JOIN area a ON a.x = v.lng + 0.0033::double AND a.y = v.lat + 0.0033::double)"""
+SQL["point_in_polygon"] = f"{IN_AREA} SELECT point_id, area_name FROM q"
 
 
 @query
@@ -151,7 +163,7 @@ def inside_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.area_of_paths(located(spark, sf_dir))
 
 
-SQL["inside_fraction"] = f"""WITH q AS ({IN_AREA}), c AS (SELECT path_id, area_name, area_ord, count(*) AS n FROM q GROUP BY ALL),
+SQL["inside_fraction"] = f"""{IN_AREA}, c AS (SELECT path_id, area_name, area_ord, count(*) AS n FROM q GROUP BY ALL),
 p AS (SELECT path_id, coalesce(sum(n) FILTER (area_name IS NOT NULL), 0)::double / sum(n)::double AS share, arg_max(area_name, n * 1000 - area_ord) FILTER (area_name IS NOT NULL) AS best FROM c GROUP BY path_id)
 SELECT path_id, CASE WHEN share >= 0.2 THEN best END AS area_name, round(share, 3) AS inside_fraction, share >= 0.99 AS fully_inside FROM p"""
 
@@ -170,7 +182,7 @@ def route_match_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best trails for each area's corner: near ones first, more for a name that holds the hint."""
     routes = load(spark, sf_dir, "areas").select(F.col("ord").alias("route_id"), F.col("min_lat").alias("lat"), F.col("min_lng").alias("lng"))
     t = load(spark, sf_dir, "trails").select("id", "name", "lat", "lng")
-    near = spatial.radius_join(t.withColumnsRenamed({}), routes, 25.0, size=0.5)
+    near = spatial.radius_join(t, routes, 25.0, size=0.5, spread="right")
     score = F.greatest(F.lit(0.0), 5.0 - F.col("distance_raw")) + F.when(F.contains("name", F.lit("blue")), 3.0).otherwise(0.0)
     near = near.withColumn("distance_mi", F.round("distance_raw", 3)).withColumn("score", F.round(score, 3))
     top = spatial.nearest_per(near, ["route_id"], 5, [F.desc("score"), F.asc("distance_mi"), F.asc("id")])
@@ -189,7 +201,7 @@ def perimeter_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = area_rings(spark, sf_dir).select("ord", F.explode(F.flatten("rings")).alias("p"))
     corners = areas.select("ord", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
     c = load(spark, sf_dir, "access_points").select("id", "lat", "lng")
-    near = spatial.radius_join(c, corners, 25.0, size=0.5).groupBy("ord").agg(F.round(F.min("distance_raw"), 3).alias("distance_mi"), F.count_distinct("id").alias("n"))
+    near = spatial.radius_join(c, corners, 25.0, size=0.5, spread="right").groupBy("ord").agg(F.round(F.min("distance_raw"), 3).alias("distance_mi"), F.count_distinct("id").alias("n"))
     return load(spark, sf_dir, "areas").select("ord", "name").join(near, "ord", "left")
 
 
@@ -198,6 +210,37 @@ SQL["perimeter_distance"] = f"""WITH k AS (SELECT ord, min_lat AS lat, min_lng A
 d AS (SELECT k.ord, round(min({_C}), 3) AS distance_mi, count(DISTINCT c.id) AS n FROM access_points c JOIN k ON {_C} <= 25 GROUP BY k.ord)
 SELECT a.ord, a.name, d.distance_mi, d.n FROM areas a LEFT JOIN d ON d.ord = a.ord"""
 
+@query
+def perimeter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As perimeter_distance, to the nearest place on an edge within five miles."""
+    v = load(spark, sf_dir, "area_corners").filter("ring = 0").select("ord", F.col("k").cast("long").alias("k"), "lat", "lng")
+    near = spatial.near_segments(load(spark, sf_dir, "access_points").select("id", "lat", "lng"), spatial.segments_of(v, "ord", "k"), 5.0)
+    near = near.groupBy("ord").agg(F.round(F.min("near.d"), 3).alias("distance_mi"), F.count_distinct("id").alias("n"))
+    return load(spark, sf_dir, "areas").select("ord", "name").join(near, "ord", "left")
+
+
+_EDGE_D = to_segment_sql("c.lat", "c.lng", "s.lat", "s.lng", "s.y2", "s.x2")
+SQL["perimeter_edges"] = f"""WITH side AS (SELECT *, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2 FROM area_corners WHERE ring = 0 WINDOW w AS (PARTITION BY ord ORDER BY k)),
+d AS (SELECT s.ord, c.id, {_EDGE_D[0]} AS d FROM side s CROSS JOIN access_points c WHERE s.x2 IS NOT NULL),
+n AS (SELECT ord, round(min(d), 3) AS distance_mi, count(DISTINCT id) AS n FROM d WHERE d <= 5 GROUP BY ord)
+SELECT a.ord, a.name, n.distance_mi, n.n FROM areas a LEFT JOIN n ON n.ord = a.ord"""
+
+
+@query
+def snap_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each access point on the nearest of all paths within 0.4 miles; of paths on the same ground the smallest."""
+    ends = ["a_lat", "a_lng", "b_lat", "b_lng"]
+    ground = spatial.segments_of(paths(spark, sf_dir)).groupBy(*ends).agg(F.min(F.struct("path_id", "seq")).alias("s")).select("s.*", *ends)
+    near = spatial.nearest_line(load(spark, sf_dir, "access_points").select("id", "lat", "lng"), ground, 0.4)
+    return near.select("id", "path_id", F.round("distance_mi", 3).alias("distance_mi"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+_LINE_D = to_segment_sql("c.lat", "c.lng", "g.lat", "g.lng", "g.y2", "g.x2")
+SQL["snap_nearest_line"] = f"""WITH ground AS (SELECT lat, lng, y2, x2, min(path_id) AS path_id FROM (SELECT *, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2 FROM vertices WINDOW w AS (PARTITION BY path_id ORDER BY seq)) WHERE x2 IS NOT NULL GROUP BY 1, 2, 3, 4),
+d AS (SELECT c.id, g.path_id, round({_LINE_D[0]}, 6) AS d, {_LINE_D[1]} AS lat, {_LINE_D[2]} AS lng FROM access_points c JOIN ground g ON abs(g.lat - c.lat) < 0.03 AND abs(g.lng - c.lng) < 0.03),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, path_id) AS k FROM d WHERE d <= 0.4)
+SELECT id, path_id, round(d, 3) AS distance_mi, round(lat, 6) AS lat, round(lng, 6) AS lng FROM k WHERE k = 1"""
+
 # Paths
 
 _STEP = haversine_sql("lag(lat) OVER w", "lag(lng) OVER w", "lat", "lng")
@@ -255,13 +298,17 @@ SELECT trail_id, round(r.gain, 2) AS gain, round(r.loss, 2) AS loss FROM f"""
 
 @query
 def route_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths walked out, and every third also back: shares of ground walked twice."""
-    v = paths(spark, sf_dir)
-    back = v.filter(F.col("path_id") % 3 == 0).withColumn("seq", 15 - F.col("seq"))
-    return lines.route_type(v.unionByName(back))
+    """Paths walked in eight ways, by the share of ground walked more than once."""
+    return lines.route_type(load(spark, sf_dir, "walks"), seq="step", run="run")
 
 
-SQL["route_types"] = "SELECT path_id, CASE WHEN path_id % 3 = 0 THEN 'out-and-back' ELSE 'point-to-point' END AS route_type FROM vertices GROUP BY path_id"
+_WALK = haversine_sql("lag(lat) OVER w", "lag(lng) OVER w", "lat", "lng")
+_ENDS = haversine_sql("arg_min(lat, step)", "arg_min(lng, step)", "arg_max(lat, step)", "arg_max(lng, step)")
+SQL["route_types"] = f"""WITH w AS (SELECT *, {_WALK} AS d, round_even(lng / 1e-4::double, 0)::bigint * 10000000 + round_even(lat / 1e-4::double, 0)::bigint AS here FROM walks WINDOW w AS (PARTITION BY path_id ORDER BY step)),
+g AS (SELECT *, lag(here) OVER (PARTITION BY path_id ORDER BY step) AS there FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY path_id, least(here, there), greatest(here, there) ORDER BY step) AS nth FROM g),
+s AS (SELECT path_id, count(DISTINCT run) AS runs, coalesce(sum(CASE WHEN here = there OR there IS NULL THEN 0 WHEN nth = 2 THEN 2 * d WHEN nth > 2 THEN d ELSE 0 END) / sum(d), 0) AS share, {_ENDS} * 1609.344 < 50 AS closed FROM n GROUP BY path_id)
+SELECT path_id, CASE WHEN runs > 1 THEN 'network' WHEN share >= 0.85 THEN 'out-and-back' WHEN closed AND share >= 0.15 THEN 'lollipop' WHEN closed THEN 'loop' WHEN share >= 0.35 THEN 'out-and-back' ELSE 'point-to-point' END AS route_type FROM s"""
 
 
 @query

@@ -20,6 +20,10 @@ def _kind(key: str, kinds: list[str]) -> str:
     return f"CASE {key} % {len(kinds)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END AS kind"
 
 
+_OUT = [0, 1, 2, 3, 4, 5, 6, 7]
+#: Which vertices of a path are walked, by path_id % 8; the sixth way is in two pieces.
+WALKS = [_OUT + _OUT[-2::-1], _OUT, [*_OUT, 6, 5, 4, 3], [*_OUT, 0], [*_OUT, 2, 1, 0], _OUT, [*_OUT, *_OUT[-2::-1], *_OUT[1:]], [*_OUT, 6]]
+
 VIEWS = {
     "pois": f"SELECT s_suppkey AS id, s_name AS poi_name, {_place('s_suppkey', 7919, 104729)}, {_kind('s_nationkey', ['peak', 'lake', 'waterfall', 'viewpoint', 'spring', 'pass'])} FROM supplier",
     "access_points": f"SELECT c_custkey AS id, c_name AS point_name, {_place('c_custkey', 7919, 104729)}, {_kind('c_nationkey', ['trailhead', 'parking', 'water', 'campground'])} FROM customer",
@@ -47,6 +51,18 @@ VIEWS = {
         SELECT cast(n_nationkey as bigint) AS ord, n_name AS name, cast(-120 as double) + (n_nationkey % 5) * cast(0.08 as double) AS min_lng, cast(37 as double) + cast(floor(cast(n_nationkey as double) / 5) as bigint) * cast(0.08 as double) AS min_lat,
                cast(-120 as double) + (n_nationkey % 5) * cast(0.08 as double) + cast(0.07 as double) AS max_lng, cast(37 as double) + cast(floor(cast(n_nationkey as double) / 5) as bigint) * cast(0.08 as double) + cast(0.07 as double) AS max_lat
         FROM nation""",
+    # a notched outer ring and a hole of each area, closed, as corners by fractions of its box
+    "area_corners": "SELECT ord, name, ring, k, min_lng + (max_lng - min_lng) * fx AS lng, min_lat + (max_lat - min_lat) * fy AS lat FROM areas CROSS JOIN ("
+    + " UNION ALL ".join(
+        f"SELECT {ring} AS ring, {k} AS k, cast({x} as double) AS fx, cast({y} as double) AS fy"
+        for ring, corners in enumerate([[(0, 0), (1, 0), (0.53, 0.46), (1, 1), (0, 1), (0, 0)], [(0.1, 0.2), (0.3, 0.5), (0.1, 0.8), (0.1, 0.2)]])
+        for k, (x, y) in enumerate(corners)
+    )
+    + ") AS f",
+    # paths walked in eight ways: out, back, round, in pieces
+    "walks": "SELECT path_id, run, step, lat, lng FROM vertices JOIN ("
+    + " UNION ALL ".join(f"SELECT {way} AS way, cast({step} as bigint) AS step, {at} AS stop, {int(way == 5 and step > 3)} AS run" for way, places in enumerate(WALKS) for step, at in enumerate(places))
+    + ") AS s ON path_id % 8 = way AND seq = stop",
     "trail_segments": """
         SELECT l_orderkey AS trail_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 10 + l_suppkey % 10 AS ord,
                CASE WHEN l_partkey % 10 <> 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN upper(p_name) ELSE p_name END END AS name, CASE p_size % 4 WHEN 0 THEN 'Native' WHEN 1 THEN 'Gravel' WHEN 2 THEN 'Paved' END AS surface, p_brand AS area,
@@ -71,7 +87,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, or a view over tables; columns that aren't used are never read."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    used = _used(VIEWS[name], TABLES)
+    used = _used(VIEWS[name], [*TABLES, *VIEWS])
     sql = VIEWS[name]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
@@ -83,6 +99,7 @@ def with_views(sql: str) -> str:
     used = _used(sql, list(VIEWS))
     if not used:
         return sql
+    used = [v for v in VIEWS if v in used or any(v in _used(VIEWS[u], list(VIEWS)) for u in used)]  # in their order, views of views first
     body = sql.strip()
     recursive = body.upper().startswith("WITH RECURSIVE")
     rest = re.sub(r"(?is)^WITH\s+(RECURSIVE\s+)?", ", ", body, count=1) if body.upper().startswith("WITH") else " " + body

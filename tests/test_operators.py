@@ -61,6 +61,87 @@ def test_polygons(spark):
     assert [r["in"] for r in got] == [True, False, True, False, True, False]
 
 
+def test_cells_of_polygons(spark):
+    """Stars with holes and spikes, many sizes of cells, against rings as a whole; corners on cell borders as well."""
+    rd = np.random.default_rng(11)
+    areas = []
+    for i in range(12):
+        x, y, n = rd.uniform(-1, 1), rd.uniform(-1, 1), int(rd.integers(3, 60))
+        turn = np.sort(rd.uniform(0, 2 * np.pi, n))
+        star = lambda r, t: [(round(float(x + a * np.cos(b)), 2), round(float(y + a * np.sin(b)), 2)) for a, b in zip(r, t)]
+        outer, hole = star(rd.uniform(0.4, 1.0, n), turn), star(np.full(5, 0.2), np.linspace(0, 6, 5))
+        areas.append((i, f"a{i}", [ring(*outer, outer[0]), *([ring(*hole, hole[0])] if i % 2 else [])]))
+    a = spark.createDataFrame(areas, "ord long, name string, rings array<array<struct<lng: double, lat: double>>>")
+    xy = [(float(p), float(q)) for p, q in rd.uniform(-2.2, 2.2, (3000, 2))] + [(round(float(p), 2) + 0.0013, round(float(q), 2) + 0.0017) for p, q in rd.uniform(-2, 2, (2000, 2))]
+    points = spark.createDataFrame([(i, q, p) for i, (p, q) in enumerate(xy)], "id long, lat double, lng double")
+    whole = points.crossJoin(a).filter(spatial.in_polygon(F.col("lng"), F.col("lat"), F.col("rings"))).groupBy("id").agg(F.min("ord").alias("o"))
+    want = {r.id: r.o for r in whole.collect()}
+    for size in (0.03, 0.1, 0.5, 5.0):
+        got = {r.id: r.area_ord for r in spatial.area_of_points(points, a, size).collect()}
+        assert len(got) == len(xy) and {k: v for k, v in got.items() if v is not None} == want
+    kept = spatial.ring_cells(a, 0.1).agg(F.sum(F.size("edges"))).first()[0]
+    assert kept < 40 * sum(len(r) for _, _, rings in areas for r in rings)
+
+
+def test_cells_of_a_large_polygon(spark):
+    """A border of 100,000 vertices: no cell holds more than its own part."""
+    n = 100_000
+    t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = 1 + 0.1 * np.sin(40 * t)
+    outer = [(float(x), float(y)) for x, y in zip(r * np.cos(t), r * np.sin(t))]
+    rows = [(0, "big", k, *p) for k, p in enumerate([*outer, outer[0]])]
+    v = spark.createDataFrame(rows, "ord long, name string, k long, lng double, lat double")
+    a = v.groupBy("ord", "name").agg(F.array(F.transform(F.array_sort(F.collect_list(F.struct("k", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat")))).alias("rings"))
+    most = spatial.ring_cells(a, 0.05).agg(F.max(F.size("edges")), F.sum(F.size("edges"))).first()
+    assert most[0] < n / 50 and most[1] < 1.1 * n
+    rd = np.random.default_rng(4)
+    xy = rd.uniform(-1.2, 1.2, (2000, 2))
+    points = spark.createDataFrame([(i, float(q), float(p)) for i, (p, q) in enumerate(xy)], "id long, lat double, lng double")
+    got = {x.id: x.area_ord == 0 for x in spatial.area_of_points(points, a, 0.05).collect()}
+    far, turn = np.hypot(*xy.T), np.arctan2(xy[:, 1], xy[:, 0])
+    clear = np.abs(far - (1 + 0.1 * np.sin(40 * turn))) > 1e-3
+    assert all(got[i] == (far[i] < 1 + 0.1 * np.sin(40 * turn[i])) for i in np.flatnonzero(clear))
+
+
+def slow_segment(p, a, b):
+    east = lambda x, y: (x - y + 180) % 360 - 180
+    k = math.cos(math.radians(p[0]))
+    ax, ay, dx, dy = east(a[1], p[1]) * k, a[0] - p[0], east(b[1], a[1]) * k, b[0] - a[0]
+    t = min(1, max(0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) if dx * dx + dy * dy else 0
+    return hav(p, (p[0] + ay + t * dy, p[1] + (ax + t * dx) / k))
+
+
+@pytest.mark.parametrize("lat, lng, reach", [(37, -120, 1.0), (70, 25, 0.7), (-70, 179.9, 2.0), (0, -180, 0.3), (86, 10, 3.0)])
+def test_segments_within_reach(spark, lat, lng, reach):
+    """Long and short segments and points round a place, also across the 180th meridian."""
+    rd = np.random.default_rng(3)
+    wide = 0.1 / math.cos(math.radians(lat))
+    at = lambda spread: (lat + rd.uniform(-0.1, 0.1) * spread, (lng + rd.uniform(-wide, wide) * spread + 180) % 360 - 180)
+    segments = [(i, *(a := at(2)), *(at(2) if i % 4 else (a if i % 8 else (a[0] + 0.001, a[1])))) for i in range(60)]
+    points = [(i, *at(1.5)) for i in range(80)]
+    p = spark.createDataFrame(points, "id long, lat double, lng double")
+    s = spark.createDataFrame(segments, "s long, a_lat double, a_lng double, b_lat double, b_lng double")
+    near = spatial.near_segments(p, s, reach).groupBy("id", "s").agg(F.min("near.d").alias("d"))
+    got = {(r.id, r.s): r.d for r in near.collect()}
+    want = {(i, k): d for i, *q in points for k, a, b, c, e in segments if (d := slow_segment(q, (a, b), (c, e))) <= reach}
+    assert got.keys() == want.keys() and len(want) > 50 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    line = spatial.nearest_line(p, s.select(F.col("s").alias("path_id"), F.lit(0).alias("seq"), "a_lat", "a_lng", "b_lat", "b_lng"), reach)
+    assert {r.id: r.path_id for r in line.collect()} == {i: min((round(d, 6), k) for (j, k), d in want.items() if j == i)[1] for i in {i for i, _ in want}}
+
+
+def test_lines_as_segments(spark):
+    v = spark.createDataFrame([(1, 0, 1.0, 2.0), (1, 5, 3.0, 4.0), (1, 9, 5.0, 6.0), (2, 0, 7.0, 8.0)], "path_id long, seq long, lat double, lng double")
+    assert sorted(tuple(r) for r in spatial.segments_of(v).collect()) == [(1, 0, 1.0, 2.0, 3.0, 4.0), (1, 5, 3.0, 4.0, 5.0, 6.0), (2, 0, 7.0, 8.0, 7.0, 8.0)]
+
+
+def test_few_rows_are_spread(spark):
+    rd = np.random.default_rng(5)
+    many = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rd.uniform(-1, 1, (300, 2)))], "a long, lat double, lng double")
+    few = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rd.uniform(-1, 1, (9, 2)))], "b long, lat double, lng double")
+    pairs = [{(r.a, r.b) for r in spatial.radius_join(many, few, 30.0, spread=side).collect()} for side in ("left", "right")]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_area_of_paths(spark):
     points = [(1, k, "A" if k < 6 else None, 0 if k < 6 else None) for k in range(10)] + [(2, k, "B" if k == 0 else None, 1 if k == 0 else None) for k in range(12)] + [(3, 0, "A", 0), (3, 1, "B", 1)]
     df = spark.createDataFrame(points, "path_id long, k int, area_name string, area_ord long")

@@ -160,3 +160,87 @@ def test_projection_and_detail(spark):
     profiles = spark.createDataFrame([(1, [5])], "id long, profile array<int>")
     r = search.trail_detail(t, shapes, profiles, 1).collect()
     assert len(r) == 1 and r[0].profile == [5] and r[0].parts is None and "token" not in r[0].asDict()
+
+
+WALKED = {
+    "loop": [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], "lollipop": [(0, 0), (0, 10), (10, 10), (10, 20), (0, 10), (0, 0)], "point-to-point": [(0, 0), (0, 10), (0, 20), (0, 30), (0, 40), (0, 50), (0, 60), (0, 50)],
+    "out-and-back": [(0, 0), (0, 10), (0, 20), (0, 10), (0, 0)], "unknown": [(0, 0)],
+}
+
+
+def test_kinds_of_routes(spark):
+    """Every branch, and those that grids and closeness decide."""
+    cases = [(k, 0, way) for k, way in WALKED.items()]
+    cases += [("out-and-back", 0, [(0, 0), (0, 10), (0, 20), (0, 10)]), ("network", 1, [(0, 0), (0, 10)]), ("point-to-point", 0, [(0, 0), (0, 0.1), (0, 0), (0, 0.1), (0, 30)])]
+    cases += [("loop", 0, [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0.44)]), ("point-to-point", 0, [(0, 0), (0, 10), (10, 10), (10, 0), (0.0, 0.46)]), ("loop", 0, [(0, 0), (0, 0)])]
+    rows = [(i, r, n, 37 + y * 1e-3, -120 + x * 1e-3) for i, (_, run, way) in enumerate(cases) for n, (x, y) in enumerate(way) for r in (n if run else 0,)]
+    df = spark.createDataFrame(rows, "path_id long, run int, seq long, lat double, lng double")
+    got = {r.path_id: r.route_type for r in lines.route_type(df, run="run").collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, *_ in cases]
+
+
+def slow_chained(parts, near, snap):
+    """Every waiting part tried at each step."""
+    cell = lambda p: (round(p[0] / near), round(p[1] / near))
+    meet = (lambda p, q: cell(p) == cell(q)) if snap else (lambda p, q: abs(p[0] - q[0]) < near and abs(p[1] - q[1]) < near)
+    waiting, chains = [list(p) for p in parts if len(p) > 1], []
+    while waiting:
+        chain = waiting.pop(0)
+        grown = True
+        while grown:
+            grown = False
+            for k, p in enumerate(waiting):
+                back = p[::-1]
+                for joined, ok in ((chain + p[1:], meet(chain[-1], p[0])), (chain + back[1:], meet(chain[-1], p[-1])), (p[:-1] + chain, meet(chain[0], p[-1])), (back[:-1] + chain, meet(chain[0], p[0]))):
+                    if ok:
+                        chain, grown = joined, True
+                        del waiting[k]
+                        break
+                if grown:
+                    break
+        chains.append(chain)
+    return chains
+
+
+@pytest.mark.parametrize("snap", [False, True])
+def test_chains_equal_those_of_a_scan(snap):
+    rd = np.random.default_rng(7)
+    for _ in range(400):
+        at = lambda: (float(rd.integers(0, 4)) + float(rd.integers(-2, 3)) * 3e-5, float(rd.integers(0, 3)) + float(rd.integers(-2, 3)) * 3e-5)
+        parts = [[at() for _ in range(rd.integers(1, 4))] for _ in range(rd.integers(0, 14))]
+        assert lines.chained(parts, snap=snap) == slow_chained(parts, lines.JOIN_DEG, snap)
+
+
+def test_many_parts_chain_in_linear_time():
+    rd = np.random.default_rng(2)
+    order = rd.permutation(100_000)
+    parts = [[(float(i), 0.0), (float(i + 1), 0.0)][:: 1 if i % 3 else -1] for i in order]
+    assert [len(c) for c in lines.chained(parts)] == [100_001]
+
+
+def test_flat_tags_and_networks(spark):
+    parts = [(1, 0, 0, -120.0, 37.0), (1, 0, 1, -120.0, 37.01), (1, 1, 0, -121.0, 37.0), (1, 1, 1, -121.0, 37.01), (2, 0, 0, 1.0, 1.0), (2, 0, 1, 1.0, 2.0), (3, 0, 0, 1.0, 1.0)]
+    v = spark.createDataFrame(parts, "path_id long, part int, seq int, lng double, lat double")
+    tags = spark.createDataFrame([(1, {"ref": "é\n\"", "mtb:scale": "2", "b": "x]"})], "path_id long, tags map<string, string>")
+    got = {r.path_id: r for r in elements.records(v, tags).collect()}
+    assert sorted(got) == [1, 2] and got[1].route_type == "network" and got[2].route_type == "point-to-point"
+    assert (got[1].tags_json, got[1]["mtb:scale"], got[1].name) == ('{"b": "x]", "mtb:scale": "2", "ref": "é\\n\\""}', "2", None) and got[2].tags_json == "{}"
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Tasks find the package though the driver's folder isn't the repository's."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "900m").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import sys
+sys.path.insert(0, sys.argv[1])
+from talus import plans
+print("rows", plans.queries()["chain_lines"](spark, "/root/testdata/sf0.001").count())
+"""
+    home = str(Path(__file__).resolve().parents[1])
+    got = subprocess.run([sys.executable, "-c", code, home], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 1500" in got.stdout, got.stderr[-2000:]
