@@ -249,6 +249,11 @@ def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG, snap
     has an end at its tail or head: onto its tail if it can be, turned round where needed.
     Ends are looked up by cell, so the work is in proportion to the parts.
     """
+    return [chain for _, chain in chains_of(parts, near, snap)]
+
+
+def chains_of(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG, snap: bool = False) -> list[tuple[int, list[tuple[float, float]]]]:
+    """chained(), each chain with the place in ``parts`` of the part it started from."""
     waiting = {k: p for k, p in enumerate(parts) if len(p) > 1}
     ends: dict[tuple[int, int], dict[int, None]] = {}
     for k, p in waiting.items():
@@ -289,27 +294,59 @@ def chained(parts: list[list[tuple[float, float]]], near: float = JOIN_DEG, snap
                 head += part[-2::-1]
             else:
                 head += part[1:]
-        chains.append(head[::-1] + tail)
+        chains.append((k, head[::-1] + tail))
     return chains
 
 
 def stitched(chains: list[list[tuple[float, float]]], metres: float) -> list[list[tuple[float, float]]]:
     """Chains joined at their ends while two are within ``metres``, the closest two first; both end points stay."""
-    chains = [list(c) for c in chains]
-    while len(chains) > 1:
-        ends = np.radians(np.array([p for c in chains for p in (c[0], c[-1])]))
-        lng, lat = ends[:, 0], ends[:, 1]
-        half = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
-        gap = 2 * EARTH_MI * 1609.344 * np.arcsin(np.sqrt(np.minimum(half, 1.0)))
-        own = np.arange(len(ends)) // 2
-        gap[own[:, None] >= own] = np.inf
-        x, y = np.unravel_index(gap.argmin(), gap.shape)
-        if gap[x, y] > metres:
-            break
-        other = chains.pop(y // 2)
+    return [chain for _, chain in stitches_of(list(enumerate(chains)), metres)]
+
+
+def stitches_of(chains: list[tuple[int, list[tuple[float, float]]]], metres: float) -> list[tuple[int, list[tuple[float, float]]]]:
+    """stitched() for numbered chains; joined ones keep the number of the one that stood first.
+
+    Ends stay where they are until they are used, so the gaps between ends that a grid brings
+    together are measured once and taken in order.
+    """
+    if len(chains) < 2 or metres <= 0:
+        return chains
+    ends = np.radians(np.array([p for _, c in chains for p in (c[0], c[-1])]))
+    tall = metres / 111_000
+    wide = tall / max(0.01, float(np.cos(np.abs(ends[:, 1]).max())))
+    cells: dict[tuple[int, int], list[int]] = {}
+    for e, (lng, lat) in enumerate(np.floor(np.degrees(ends) / (wide, tall)).astype(np.int64).tolist()):
+        cells.setdefault((lng, lat), []).append(e)
+    pairs = []
+    for (x, y), own in cells.items():
+        beside = np.array([e for i in (-1, 0, 1) for j in (-1, 0, 1) for e in cells.get((x + i, y + j), ())])
+        for e in own:
+            other = beside[beside // 2 > e // 2]
+            half = np.sin((ends[other, 1] - ends[e, 1]) / 2) ** 2 + np.cos(ends[other, 1]) * np.cos(ends[e, 1]) * np.sin((ends[other, 0] - ends[e, 0]) / 2) ** 2
+            gap = 2 * EARTH_MI * 1609.344 * np.arcsin(np.sqrt(np.minimum(half, 1.0)))
+            pairs += [(g, e, f) for g, f in zip(gap.tolist(), other.tolist()) if g <= metres]
+    line = {k: list(c) for k, (_, c) in enumerate(chains)}
+    of = list(range(len(chains)))  # the line that an end's chain is in
+    tips = {k: [2 * k, 2 * k + 1] for k in line}  # its ends, first and last
+    held = {k: [k] for k in line}
+    for _, e, f in sorted(pairs):
+        x, y = sorted((of[e // 2], of[f // 2]))
+        if x == y or e not in tips[of[e // 2]] or f not in tips[of[f // 2]]:
+            continue
+        a, b = (e, f) if of[e // 2] == x else (f, e)
         # the meeting ends become neighbours: first chain forwards to its end, second from its end on
-        chains[x // 2] = (chains[x // 2] if x % 2 else chains[x // 2][::-1]) + (other[::-1] if y % 2 else other)
-    return chains
+        if tips[x][0] == a:
+            line[x].reverse()
+            tips[x].reverse()
+        if tips[y][1] == b:
+            line[y].reverse()
+            tips[y].reverse()
+        line[x] += line.pop(y)
+        tips[x] = [tips[x][0], tips.pop(y)[1]]
+        for k in held[y]:
+            of[k] = x
+        held[x] += held.pop(y)
+    return [(chains[k][0], c) for k, c in line.items()]
 
 
 def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False) -> DataFrame:
@@ -317,23 +354,67 @@ def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0
 
     With ``snap`` ends meet in one cell of the grid of ``near``, else within a box of that size.
     With ``stitch_m`` chains whose ends are that close are joined afterwards, closest first.
+    For paths of very many parts, chain_networks.
+    """
+    return _chained(segments, ["path_id"], near, stitch_m, snap).select("path_id", F.posexplode(F.array_sort("v")).alias("chain", "c")).select("path_id", F.col("chain").cast("long").alias("chain"), F.posexplode("c.line").alias("seq", "p")).select("path_id", "chain", F.col("seq").cast("long").alias("seq"), "p.lng", "p.lat")
+
+
+def chain_networks(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False) -> DataFrame:
+    """As chain_paths, with the same chains in the same order, for paths of any number of parts.
+
+    Ends meet in cells as wide as they may be apart, each part standing in the cells around
+    its ends; parts that share cells, directly or through others, are one network. Only a
+    network's parts have to be in one task. Chains are numbered by the part they start from.
     """
-    rows = segments.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
-    rows = rows.select("path_id", "v.part", "v.lng", "v.lat")
-    points = pa.list_(pa.struct([("chain", pa.int64()), ("seq", pa.int64()), ("lng", pa.float64()), ("lat", pa.float64())]))
+    at = F.struct("lng", "lat")
+    ends = segments.groupBy("path_id", "part").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    reach = max(near, stitch_m / 111_000)
+    band = lambda y: F.floor(y)  # noqa: E731  lng cells are as wide as a degree of latitude here asks
+    wide = lambda y: F.lit(reach) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(band(y)) + 2)))) if stitch_m else F.lit(reach)
+    ends = ends.select("path_id", "part", F.explode(F.array("a", "b")).alias("p"))
+    size = 4 * reach
+    # the band of a cell decides its width, so a place near two bands stands in the cells of both
+    rows = F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(reach)), lambda d: F.floor((F.col("p.lat") + d) / size)))
+    ends = ends.select("path_id", "part", "p", F.explode(rows).alias("_r")).withColumn("_w", wide(F.col("_r") * size))
+    columns = F.array_distinct(F.transform(F.array(F.lit(-1.0), F.lit(1.0)), lambda d: F.floor((F.col("p.lng") + d * F.col("_w")) / (4 * F.col("_w")))))
+    ends = ends.select("path_id", "part", "_r", F.explode(columns).alias("_c"))
+    # a part and a cell are nodes; two that get the same number would only make a network larger
+    number = lambda kind, *c: F.xxhash64(F.lit(kind), "path_id", *c)
+    link = ends.select(number("part", "part").alias("src"), number("cell", "_r", "_c").alias("dst")).distinct()
+    from talus.operators.graph import component_labels  # graph reads lines too
+
+    label = component_labels(link).select(F.col("node").alias("_node"), F.col("label").alias("_network"))
+    named = segments.withColumn("_node", number("part", "part")).join(label, "_node")
+    chains = _chained(named, ["path_id", "_network"], near, stitch_m, snap).select("path_id", F.explode("v").alias("c"))
+    order = Window.partitionBy("path_id").orderBy("start")
+    numbers = chains.select("path_id", F.col("c.start").alias("start")).withColumn("chain", (F.row_number().over(order) - 1).cast("long"))
+    out = chains.select("path_id", "c.start", "c.line").join(numbers, ["path_id", "start"])
+    return out.select("path_id", "chain", F.posexplode("line").alias("seq", "p")).select("path_id", "chain", F.col("seq").cast("long").alias("seq"), "p.lng", "p.lat")
+
+
+def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float, snap: bool) -> DataFrame:
+    """(keys, v): for each group of segments its chains as array<struct<start, line>>, start the part each began with."""
+    kinds = dict(segments.dtypes)
+    rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
+    rows = rows.select(*keys, "v.part", "v.lng", "v.lat")
+    n, part_kind = len(keys), rows.schema["part"].dataType.elementType.simpleString()
+    point = pa.struct([("lng", pa.float64()), ("lat", pa.float64())])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for part, lng, lat in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for part, lng, lat in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
                 parts: dict = {}
-                for k, *point in zip(part, lng, lat):
-                    parts.setdefault(k, []).append(tuple(point))
-                out.append([{"chain": c, "seq": i, "lng": x, "lat": y} for c, found in enumerate(stitched(chained(list(parts.values()), near, snap), stitch_m)) for i, (x, y) in enumerate(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, points)], names=["path_id", "v"])
-
-    kind = dict(segments.dtypes)["path_id"]
-    return rows.mapInArrow(chain, f"path_id {kind}, v array<struct<chain: long, seq: long, lng: double, lat: double>>").select("path_id", F.explode("v").alias("p")).select("path_id", "p.*")
+                for k, *place in zip(part, lng, lat):
+                    parts.setdefault(k, []).append(tuple(place))
+                names = list(parts)
+                found = stitches_of(chains_of(list(parts.values()), near, snap), stitch_m)
+                out.append([{"start": names[k], "line": [{"lng": x, "lat": y} for x, y in line]} for k, line in found])
+            kind = pa.list_(pa.struct([("start", batch.schema.field("part").type.value_type), ("line", pa.list_(point))]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(out, kind)], names=[*keys, "v"])
+
+    keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.mapInArrow(chain, f"{keyed}, v array<struct<start: {part_kind}, line: array<struct<lng: double, lat: double>>>>")
 
 
 def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", run: str | None = None, closed_m: float = 50.0) -> DataFrame:

@@ -10,7 +10,7 @@ from talus.functions.geo import haversine
 from talus.functions.sources import area_key
 from talus.functions.text import slug, title
 from talus.operators.lineage import cut
-from talus.operators.lines import chain_paths, path_lengths
+from talus.operators.lines import chain_networks, path_lengths
 
 
 def majority(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -104,8 +104,11 @@ def park_trails(segments: DataFrame, by_unit: bool = True) -> DataFrame:
 
 
 def unnamed_networks(segments: DataFrame, least_mi: float = 0.25) -> DataFrame:
-    """Runs of a park's unnamed segments (unit, part, seq, lng, lat), a trail each; runs too short keep their number."""
-    runs = chain_paths(segments.withColumnRenamed("unit", "path_id"))
+    """Runs of a park's unnamed segments (unit, part, seq, lng, lat), a trail each; runs too short keep their number.
+
+    A park may have any number of segments: only those that meet are chained in one task.
+    """
+    runs = chain_networks(segments.withColumnRenamed("unit", "path_id"))
     key = F.struct("path_id", "chain")
     miles = path_lengths(runs.withColumn("run", key), "run").select("run.path_id", "run.chain", F.round("miles", 2).alias("length_miles"))
     number = (F.col("chain") + 1).cast("string")

@@ -211,6 +211,41 @@ def test_chains_equal_those_of_a_scan(snap):
         assert lines.chained(parts, snap=snap) == slow_chained(parts, lines.JOIN_DEG, snap)
 
 
+@pytest.mark.parametrize("near, metres, snap", [(lines.JOIN_DEG, 0.0, False), (lines.JOIN_DEG, 35.0, True), (3e-4, 60.0, False)])
+def test_networks_give_the_same_chains(spark, near, metres, snap):
+    """Networks of every size in two paths, at several latitudes, chained apart and whole."""
+    rd = np.random.default_rng(5)
+    rows = []
+    for path, lat in ((1, 37.0), (2, 69.9995)):
+        for part in range(150):
+            x, y = rd.integers(0, 9, 2)
+            for seq in range(int(rd.integers(1, 4))):
+                rows.append((path, part, seq, 10 + (float(x) + float(rd.integers(-3, 4)) * 0.3) * 1e-3, lat + (float(y) + float(rd.integers(-3, 4)) * 0.3) * 1e-3 / 2))
+                x, y = x + rd.integers(0, 2), y + rd.integers(0, 2)
+    df = spark.createDataFrame(rows, "path_id long, part int, seq int, lng double, lat double")
+    whole, apart = ({tuple(r) for r in f(df, near, metres, snap).collect()} for f in (lines.chain_paths, lines.chain_networks))
+    assert whole == apart and len({r[:2] for r in whole}) > 20
+
+
+def slow_stitched(chains, metres):
+    """The closest two ends looked for anew after each join."""
+    chains = [list(c) for c in chains]
+    while True:
+        far = [(hav(a[i][::-1], b[j][::-1]) * 1609.344, x, y, i, j) for x, a in enumerate(chains) for y, b in enumerate(chains) if x < y for i in (0, -1) for j in (0, -1)]
+        if not far or min(far)[0] > metres:
+            return chains
+        _, x, y, i, j = min(far)
+        other = chains.pop(y)
+        chains[x] = (chains[x] if i else chains[x][::-1]) + (other[::-1] if j else other)
+
+
+def test_stitches_equal_a_search_of_all_ends():
+    rd = np.random.default_rng(8)
+    for _ in range(200):
+        chains = [[tuple(float(v) for v in rd.uniform(0, 2e-3, 2)) for _ in range(rd.integers(1, 4))] for _ in range(rd.integers(0, 9))]
+        assert lines.stitched(chains, 60.0) == slow_stitched(chains, 60.0)
+
+
 def test_many_parts_chain_in_linear_time():
     rd = np.random.default_rng(2)
     order = rd.permutation(100_000)
