@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.geo import haversine
+from talus.functions.text import key_name, slug
 from talus.operators.lineage import cut
-from talus.operators.lines import gain_loss, steps
+from talus.operators.lines import chain_networks, gain_loss, steps
+from talus.operators.merge import box_union, majorities
 from talus.operators.spatial import radius_join
 from talus.sources.readers import terrain_metres
 
@@ -33,11 +35,17 @@ def junctions(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("node").agg(F.count_distinct("path_id").alias("paths")).filter("paths > 1")
 
 
-def edges(vertices: DataFrame) -> DataFrame:
+SHAPE_POINTS = 60
+
+
+def edges(vertices: DataFrame, shapes: bool = False) -> DataFrame:
     """(src, dst, path_id, edge_no, miles): paths cut at junctions and ends, as islands between cuts.
 
     An edge from a node to itself is dropped. Junctions join by node, whose partitioning
-    the grouping above already has.
+    the grouping above already has. With ``shapes`` an edge also has ``shape``, the vertices from
+    cut to cut as array<struct<lng, lat>>: a cut's vertex closes one island and opens the
+    next, and islands are grouped where their paths already are. Long shapes are thinned
+    to ``SHAPE_POINTS`` even picks and the last point.
     """
     cut = junctions(vertices).select("node", F.lit(True).alias("cut"))
     by = Window.partitionBy("path_id").orderBy("seq")
@@ -45,11 +53,25 @@ def edges(vertices: DataFrame) -> DataFrame:
     ends = F.row_number().over(by) == 1
     last = F.lead("seq").over(by).isNull()
     run = run.withColumn("stop", F.coalesce("cut", F.lit(False)) | ends | last)
-    run = run.withColumn("stop_no", F.sum(F.col("stop").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    stops = run.filter("stop").select("path_id", "seq", "node", "run_mi")
-    before = lambda c: F.lag(c).over(by)
-    out = stops.select("path_id", before("node").alias("src"), F.col("node").alias("dst"), (F.col("run_mi") - before("run_mi")).alias("miles"), (F.row_number().over(by) - 1).cast("long").alias("edge_no"))
-    return out.filter("src is not null and src <> dst")
+    if not shapes:
+        stops = run.filter("stop").select("path_id", "seq", "node", "run_mi")
+        before = lambda c: F.lag(c).over(by)
+        out = stops.select("path_id", before("node").alias("src"), F.col("node").alias("dst"), (F.col("run_mi") - before("run_mi")).alias("miles"), (F.row_number().over(by) - 1).cast("long").alias("edge_no"))
+        return out.filter("src is not null and src <> dst")
+    so_far = F.sum(F.col("stop").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = run.withColumn("no", so_far).withColumn("edge_no", F.explode(F.when(F.col("stop"), F.array(F.col("no") - 1, F.col("no"))).otherwise(F.array("no"))))
+    out = own.groupBy("path_id", "edge_no").agg(
+        F.min_by("node", "seq").alias("src"), F.max_by("node", "seq").alias("dst"), (F.max("run_mi") - F.min("run_mi")).alias("miles"), F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("v")
+    )
+    shape = F.transform("v", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat")))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(SHAPE_POINTS - 1)), lambda k: F.get("shape", F.floor(k * (F.size("shape") / SHAPE_POINTS)).cast("int")))
+    out = out.withColumn("shape", shape).withColumn("shape", F.when(F.size("shape") > SHAPE_POINTS, F.concat(picks, F.array(F.element_at("shape", -1)))).otherwise(F.col("shape")))
+    return out.filter("src <> dst and miles > 0").select("path_id", "src", "dst", "miles", "edge_no", "shape")
+
+
+def edge_shapes(edge: DataFrame) -> DataFrame:
+    """(src, dst, shape): the first shape of each pair of nodes in that direction, by path, then edge."""
+    return edge.groupBy("src", "dst").agg(F.min_by("shape", F.struct("path_id", "edge_no")).alias("shape"))
 
 
 def stitches(ends: DataFrame, miles: float = STITCH_MI) -> DataFrame:
@@ -190,6 +212,39 @@ def way_trails(runs: DataFrame, gap_mi: float = 2.0, least_mi: float = 0.25) ->
     return named.join(long, "trail").select("run", "trail")
 
 
+def way_records(ways: DataFrame, vertices: DataFrame, gap_mi: float = 2.0, least_mi: float = 0.25) -> DataFrame:
+    """Trail records from usable ways (way_id, ord, name, operator, surface) and their vertices (way_id, seq, lng, lat).
+
+    Ways of one name (apart from case and blanks) are chained where their ends meet, and runs
+    whose ends are within ``gap_mi`` make a trail. What the name's first way calls it holds; operator and
+    surface are the commonest among its ways, of equally common ones the first seen. A single run
+    whose ends meet is a loop. The id is made of the name and the box's corner, so it stays
+    the same from build to build. ``parts`` are the runs, in order.
+    """
+    own = ways.withColumn("key_name", key_name(F.col("name")))
+    said = own.groupBy("key_name").agg(F.min_by("name", "ord").alias("name"), F.min("way_id").alias("ref"), F.count(F.lit(1)).alias("segment_count")).join(majorities(own, "key_name", ["operator", "surface"], "ord"), "key_name", "left")
+    runs = cut(chain_networks(vertices.join(own.select("way_id", "ord", "key_name"), "way_id").select(F.col("key_name").alias("path_id"), F.col("ord").alias("part"), "seq", "lng", "lat")))
+    run = F.struct("path_id", "chain").alias("run")
+    walked = steps(runs.select(run, "seq", "lng", "lat"), "run").groupBy("run").agg(
+        F.sum("step_mi").alias("miles"), F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"),
+        F.min_by(F.struct("lat", "lng"), "seq").alias("a"), F.max_by(F.struct("lat", "lng"), "seq").alias("b"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("line"),
+    )
+    walked = cut(walked)
+    ends = walked.select("run", F.col("run.path_id").alias("key_name"), "miles", F.col("a.lat").alias("a_lat"), F.col("a.lng").alias("a_lng"), F.col("b.lat").alias("b_lat"), F.col("b.lng").alias("b_lng"))
+    trail = walked.join(way_trails(ends, gap_mi, least_mi), "run").groupBy("trail").agg(
+        F.sum("miles").alias("miles"), *box_union(), F.count(F.lit(1)).alias("part_count"), F.min_by(haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")), "run").alias("open_mi"),
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "line"))), lambda r: r["line"]).alias("parts"),
+    )
+    out = trail.withColumn("key_name", F.col("trail.path_id")).join(said, "key_name").withColumn("slug", slug(F.col("name")))
+    corner = F.concat_ws(":", "key_name", F.round(F.col("min_lng") * 1000).cast("long").cast("string"), F.round(F.col("min_lat") * 1000).cast("long").cast("string"))
+    middle = lambda c: F.round((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, 6).alias(f"center_{c}")
+    return out.select(
+        F.concat_ws(":", F.lit("osmw"), "slug", F.substring(F.md5(corner), 1, 8)).alias("id"), "name", "slug", F.col("operator").alias("area"), F.col("operator").alias("org"), "surface", "ref", F.round("miles", 2).alias("length_miles"),
+        F.when((F.col("part_count") == 1) & (F.col("open_mi") < 0.05), "loop").otherwise("out-and-back").alias("route_type"),
+        "min_lng", "min_lat", "max_lng", "max_lat", middle("lng"), middle("lat"), "segment_count", "part_count", "parts",
+    )
+
+
 def composed(found: DataFrame, out_and_back: bool = True) -> DataFrame:
     """Whole hikes from one-way routes (miles, gain_ft, loss_ft): the way back climbs what the way out came down."""
     times = 2 if out_and_back else 1

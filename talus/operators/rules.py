@@ -81,10 +81,12 @@ def air(observed: Column) -> Column:
 
 
 def fire(perimeters: Column, truncated: Column) -> Column:
-    """A perimeter of unknown distance or age counts."""
+    """A perimeter of unknown distance or age counts; the reason tells the closest."""
     near = F.filter(perimeters, lambda p: (p["distance_mi"].isNull() | (p["distance_mi"] <= FIRE_RADIUS_MI)) & (p["days"].isNull() | (p["days"] <= FIRE_RECENT_DAYS)))
     cut = _if(truncated, _reason("fire", "incomplete", F.lit("fire feed truncated")))
-    found = _if(F.size(near) > 0, _reason("fire", "caution", F.format_string("%d active perimeters nearby", F.size(near))))
+    closest = F.array_min(F.transform(near, lambda p: p["distance_mi"]))  # unknown ones are no closer than any
+    told = F.coalesce(F.concat(closest.cast("double").cast("string"), F.lit(" mi away")), F.lit("distance unknown"))
+    found = _if(F.size(near) > 0, _reason("fire", "caution", F.format_string("%d active fire perimeter(s) nearby — closest %s", F.size(near), told)))
     return F.when(perimeters.isNull(), F.array(_reason("fire", "incomplete", F.lit("fire perimeter data missing")))).otherwise(F.concat(cut, found))
 
 

@@ -173,7 +173,7 @@ def coverage(trails: DataFrame) -> DataFrame:
 
 def dots(trails: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(dots, summary): marker or else center of each trail, unmappable ones counted."""
-    point = F.coalesce("marker", "center")
+    limit, point = max(1, min(limit, DOT_LIMIT)), F.coalesce("marker", "center")
     found = trails.withColumn("point", point)
     summary = found.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("point").isNull()).alias("unmappable")).withColumn("truncated", F.col("total") > limit)
     return found.filter("point is not null").orderBy("ord").limit(limit).select("id", "name", "point.lng", "point.lat"), summary
@@ -200,14 +200,18 @@ def projected(trails: DataFrame, fields: list[str]) -> DataFrame:
     return trails.select(*[f for f in fields if f in trails.columns])
 
 
+MAP_LIMIT, DOT_LIMIT = 600, 20_000  # what one page may ask for
+
+
 def map_features(trails: DataFrame, shapes: DataFrame, f: Filters, limit: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(features, summary): the first matches with their shape (shapes: id, parts, at one level of detail).
+    """(features, summary): the first matches, in the page's order, with their shape (shapes: id, parts, at one level of detail).
 
     Matches without a shape aren't drawn, and count as cut off: truncated compares all matches with what is returned.
     """
     found = scoped(trails, f).filter(reduce(lambda a, b: a & b, predicates(f).values()))
-    page = found.orderBy(*SORTS["relevance"](), F.asc("ord")).limit(max(1, min(limit, 400)))
-    drawn = page.join(shapes.filter(F.size("parts") > 0), "id")
+    order = [*SORTS["relevance"](), F.asc("ord")]
+    page = found.orderBy(*order).limit(max(1, min(limit, MAP_LIMIT)))
+    drawn = page.join(shapes.filter(F.size("parts") > 0), "id").orderBy(*order)  # a page's rows
     drawn = drawn.select("id", "name", "length_miles", "gain_ft", "difficulty", F.concat_ws(",", "features").alias("features"), "wilderness", "parts")
     counts = found.agg(F.count(F.lit(1)).alias("total")).join(drawn.agg(F.count(F.lit(1)).alias("returned")))
     return drawn, counts.withColumn("truncated", F.col("total") > F.col("returned"))

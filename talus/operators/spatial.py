@@ -157,6 +157,23 @@ def waters_near(vertices: DataFrame, waters: DataFrame, miles: float = 0.5, k: i
     return nearest_per(near, [path], k)
 
 
+def permits_near(vertices: DataFrame, permits: DataFrame, names: DataFrame, miles: float = 35.0, k: int = 3, stride: int = 12) -> DataFrame:
+    """The k nearest permits of each path (rows of permits where is_permit), by its sampled vertices.
+
+    permits: id, permit, keywords array<string>, is_permit, lat, lng. ``advisory`` unless one
+    of the keywords, of more than four letters, and the path's name (names: path_id, name)
+    hold each other: one place stands for a whole area, so nearness alone proves little.
+    """
+    held = permits.filter("is_permit").select("id", "permit", "keywords", "lat", "lng")
+    sampled = vertices.filter(F.col("seq") % stride == 0).select("path_id", "seq", "lat", "lng")
+    near = radius_join(_places(sampled), held, miles, size=max(0.1, miles / MILES_PER_DEGREE), spread="right")
+    near = sampled.join(near.withColumn("distance_mi", F.round("distance_raw", 3)), ["lat", "lng"]).groupBy("path_id", "id").agg(F.min("distance_mi").alias("distance_mi"), F.min(F.struct("permit", "keywords")).alias("p"))
+    best = nearest_per(near, ["path_id"], k).join(names.select("path_id", F.lower("name").alias("_name")), "path_id", "left")
+    named = lambda w: (F.length(w) > 4) & (F.contains(F.col("_name"), F.lower(w)) | F.contains(F.lower(w), F.col("_name")))
+    sure = (F.coalesce("_name", F.lit("")) != "") & F.coalesce(F.exists("p.keywords", named), F.lit(False))
+    return best.select("path_id", "id", "p.permit", "distance_mi", "rank", (~sure).alias("advisory"))
+
+
 def photos_near(vertices: DataFrame, photos: DataFrame, miles: float, k: int = 8, path: str = "path_id", seq: str = "seq") -> DataFrame:
     """The k best photos (id, title, relevance, lat, lng) of each path: the nearest of each title to five samples, most relevant first."""
     near = near_path(sampled(vertices, 5, path, seq), photos, miles, path=path, seq=seq)

@@ -67,7 +67,8 @@ def _at(values: list[str]) -> str:
 
 SQL["risk_verdict"] = f"""WITH e AS (SELECT *, cast(ts as date) AS day, lower({_at(SKIES)}) AS sky, floor(value) AS temp, CASE WHEN event_id % 3 <> 0 THEN greatest(5, event_id % 50) END AS wind, lower({_at(EVENTS)}) AS alert FROM events),
 t AS (SELECT user_id, day, count(*) FILTER (event_type = 'view') AS periods, max(value) FILTER (event_type = 'click') AS aqi, max(value) FILTER (event_type = 'signup') AS depth, min(value) FILTER (event_type = 'signup') AS fall,
-  count(*) FILTER (event_id % 2 = 0) AS water, count(*) FILTER (event_type = 'purchase' AND (event_id % 5 = 0 OR value <= 10) AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS fires FROM e GROUP BY 1, 2),
+  count(*) FILTER (event_id % 2 = 0) AS water, count(*) FILTER (event_type = 'purchase' AND (event_id % 5 = 0 OR value <= 10) AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS fires,
+  min(value) FILTER (event_type = 'purchase' AND event_id % 5 <> 0 AND value <= 10 AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS closest FROM e GROUP BY 1, 2),
 r AS (
   SELECT user_id, day, 'weather' AS c, 'incomplete' AS s FROM t WHERE periods = 0
   UNION ALL SELECT user_id, day, 'weather', 'incomplete' FROM t WHERE periods > 0 AND user_id % 13 = 0
@@ -97,7 +98,8 @@ def reason_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MPH = "wind to ' || wind || ' mph"
 SQL["reason_report"] = f"""WITH e AS (SELECT *, cast(ts as date) AS day, {_at(SKIES)} AS sky, floor(value) AS temp, CASE WHEN event_id % 3 <> 0 THEN greatest(5, event_id % 50) END AS wind, {_at(EVENTS)} AS alert FROM events),
 t AS (SELECT user_id, day, count(*) FILTER (event_type = 'view') AS periods, max(value) FILTER (event_type = 'click') AS aqi, max(value) FILTER (event_type = 'signup') AS depth, min(value) FILTER (event_type = 'signup') AS fall,
-  count(*) FILTER (event_id % 2 = 0) AS water, count(*) FILTER (event_type = 'purchase' AND (event_id % 5 = 0 OR value <= 10) AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS fires FROM e GROUP BY 1, 2),
+  count(*) FILTER (event_id % 2 = 0) AS water, count(*) FILTER (event_type = 'purchase' AND (event_id % 5 = 0 OR value <= 10) AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS fires,
+  min(value) FILTER (event_type = 'purchase' AND event_id % 5 <> 0 AND value <= 10 AND (event_id % 7 = 0 OR event_id % 60 <= 30)) AS closest FROM e GROUP BY 1, 2),
 r(user_id, day, c, s, message, c_no, event, part) AS (
   SELECT user_id, day, 'weather', 'incomplete', 'weather unavailable: did not run', 0, 0, 0 FROM t WHERE periods = 0
   UNION ALL SELECT user_id, day, 'weather', 'incomplete', 'forecast does not reach the trip dates', 0, -1, 0 FROM t WHERE periods > 0 AND user_id % 13 = 0
@@ -107,7 +109,7 @@ r(user_id, day, c, s, message, c_no, event, part) AS (
   UNION ALL SELECT user_id, day, 'alerts', CASE WHEN event_id % 10 = 0 OR contains(lower(alert), 'warning') THEN 'no-go' ELSE 'caution' END, alert, 1, event_id, 0 FROM e WHERE event_type = 'error' AND (event_id % 10 = 0 OR regexp_matches(lower(alert), 'warning|{rules.ALERT_CAUTION}'))
   UNION ALL SELECT user_id, day, 'aqi', CASE WHEN aqi IS NULL THEN 'incomplete' WHEN aqi >= 150 THEN 'no-go' ELSE 'caution' END, CASE WHEN aqi IS NULL THEN 'aqi unavailable: did not run' ELSE 'AQI ' || cast(aqi as varchar) END, 2, 0, 0 FROM t WHERE aqi IS NULL OR aqi >= 100
   UNION ALL SELECT user_id, day, 'fire', 'incomplete', 'fire feed truncated', 3, 0, 0 FROM t WHERE user_id % 11 = 0
-  UNION ALL SELECT user_id, day, 'fire', 'caution', fires || ' active perimeters nearby', 3, 1, 0 FROM t WHERE fires > 0
+  UNION ALL SELECT user_id, day, 'fire', 'caution', fires || ' active fire perimeter(s) nearby — closest ' || coalesce(cast(closest as varchar) || ' mi away', 'distance unknown'), 3, 1, 0 FROM t WHERE fires > 0
   UNION ALL SELECT user_id, day, 'snow', 'incomplete', 'snow depth not reported', 4, 0, 0 FROM t WHERE depth IS NULL
   UNION ALL SELECT user_id, day, 'snow', 'caution', 'snow depth at the high point', 4, 0, 0 FROM t WHERE depth >= 12
   UNION ALL SELECT user_id, day, 'snow', 'caution', 'forecast snowfall', 4, 1, 0 FROM t WHERE fall >= 6

@@ -81,6 +81,28 @@ def single_park_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["single_park_trails"] = _park_sql("'SEKI'", "")
 
 
+@query
+def park_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Park trails with their lines: each path in two segments that meet, of one name a unit; and one of no length."""
+    v = paths(spark, sf_dir)
+    k = F.col("path_id")
+    twice = v.withColumn("half", F.explode(F.when(F.col("seq") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("seq") > 3).cast("int")))))
+    lines_of = twice.select((k * 2 + F.col("half")).alias("ord"), F.lit(0).alias("part"), "seq", "lng", "lat")
+    s = v.select("path_id").distinct().withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    s = s.select(
+        F.concat(F.lit("U"), (k % 12).cast("string")).alias("unit"), F.concat(F.lit("Unit "), (k % 12).cast("string")).alias("unit_name"), (k * 2 + F.col("half")).alias("ord"), F.concat(F.when(F.col("half") == 0, "path ").otherwise("PATH "), (k % 401).cast("string")).alias("name"),
+        F.when(k % 3 == 0, "dirt").alias("surface"), F.lit(None).cast("string").alias("season"), F.array(F.concat(F.lit("u"), F.col("half").cast("string"))).alias("uses"), F.lit(None).cast("double").alias("miles"),
+    )
+    out = merge.park_trails(s, vertices=lines_of)
+    return out.select("id", "name", "surface", "area", F.concat_ws(",", "uses").alias("uses"), "length_miles", "segment_count", "part_count", "min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat", F.size(F.flatten("parts")).alias("n_points"))
+
+
+_BOXED = "min(lng) AS min_lng, min(lat) AS min_lat, max(lng) AS max_lng, max(lat) AS max_lat, round((min(lng) + max(lng)) / 2, 6) AS center_lng, round((min(lat) + max(lat)) / 2, 6) AS center_lat"
+SQL["park_records"] = f"""WITH {STEPS}, g AS (SELECT *, 'U' || path_id % 12 AS unit, path_id % 401 AS n FROM steps)
+SELECT 'nps:' || unit || ':path-' || n AS id, 'Path ' || n AS name, CASE WHEN min(path_id) % 3 = 0 THEN 'Dirt' END AS surface, 'Unit ' || substr(unit, 2) AS area, 'u0,u1' AS uses, round(sum(step_mi), 2) AS length_miles, 2 * count(DISTINCT path_id) AS segment_count, count(DISTINCT path_id) AS part_count,
+  {_BOXED}, count(*)::integer AS n_points FROM g GROUP BY unit, n"""
+
+
 def _parts(spark: SparkSession, sf_dir: str, first_of: list[int]) -> DataFrame:
     """Paths cut before the given vertices; each part two or more vertices."""
     part = sum(((F.col("seq") >= i).cast("int") for i in first_of), F.lit(0))
@@ -112,6 +134,32 @@ r AS (SELECT DISTINCT path_id AS node, path_id AS other FROM v UNION SELECT r.no
 SELECT node AS run, min(other) AS trail FROM r GROUP BY node"""
 
 
+@query
+def way_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails from ways: each path is two ways that meet, paths of one name and near each other one trail."""
+    v, k = paths(spark, sf_dir), F.col("path_id")
+    twice = v.withColumn("half", F.explode(F.when(F.col("seq") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("seq") > 3).cast("int")))))
+    way = (k * 2 + F.col("half")).alias("way_id")
+    s = v.select("path_id").distinct().withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    named = F.concat(F.when(F.col("half") == 0, "Way  ").otherwise(" way "), (k % 1684).cast("string"))
+    s = s.select(way, (k * 2 + F.col("half")).alias("ord"), named.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("o"), (k % 2).cast("string"))).alias("operator"), F.concat(F.lit("s"), (F.floor(k / 1684) % 2).cast("string")).alias("surface"))
+    out = graph.way_records(s, twice.select(way, "seq", "lng", "lat"))
+    return out.select("id", "name", "slug", "area", "surface", "ref", "length_miles", "route_type", "min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat", "segment_count", "part_count", F.size(F.flatten("parts")).alias("n_points"))
+
+
+SQL["way_records"] = f"""WITH RECURSIVE {STEPS}, v AS (SELECT path_id, path_id % 1684 AS k, lat, lng FROM vertices WHERE seq IN (0, 7)),
+e AS (SELECT DISTINCT x.path_id AS src, y.path_id AS dst FROM v x JOIN v y ON x.k = y.k AND x.path_id <> y.path_id AND {_XY} <= 2),
+r AS (SELECT DISTINCT path_id AS node, path_id AS other FROM v UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.other),
+t AS (SELECT node AS path_id, min(other) AS trail FROM r GROUP BY node),
+w AS (SELECT DISTINCT path_id % 1684 AS k, path_id, CASE WHEN path_id % 3 = 0 THEN 'o' || path_id % 2 END AS operator, 's' || (path_id // 1684) % 2 AS surface FROM vertices),
+o AS (SELECT k, arg_min(operator, n) AS operator FROM (SELECT k, operator, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(path_id)) AS n FROM w WHERE operator IS NOT NULL GROUP BY k, operator) GROUP BY k),
+u AS (SELECT k, arg_min(surface, n) AS surface FROM (SELECT k, surface, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(path_id)) AS n FROM w GROUP BY k, surface) GROUP BY k),
+c AS (SELECT k, 2 * count(*) AS segment_count, 2 * min(path_id) AS ref FROM w GROUP BY k),
+g AS (SELECT t.trail, t.trail % 1684 AS k, round(sum(step_mi), 2) AS length_miles, count(DISTINCT s.path_id) AS part_count, {_BOXED}, count(*)::integer AS n_points FROM steps s JOIN t ON t.path_id = s.path_id GROUP BY t.trail)
+SELECT 'osmw:way-' || k || ':' || substr(md5('way ' || k || ':' || round(min_lng * 1000)::bigint || ':' || round(min_lat * 1000)::bigint), 1, 8) AS id, 'Way  ' || k AS name, 'way-' || k AS slug, operator AS area, surface, ref, length_miles, 'out-and-back' AS route_type,
+  min_lng, min_lat, max_lng, max_lat, center_lng, center_lat, segment_count, part_count, n_points FROM g LEFT JOIN o USING (k) JOIN u USING (k) JOIN c USING (k)"""
+
+
 @query
 def agency_dedupe_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As agency_dedupe_anti, where some known trails have no box but a centre."""
@@ -350,6 +398,42 @@ def path_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["path_shapes"] = """SELECT path_id AS request_id, CASE WHEN path_id % 2 = 0 THEN 8 ELSE 2 END AS n, CASE WHEN path_id % 4 = 0 THEN max(lng) ELSE min(lng) END AS lng, CASE WHEN path_id % 4 = 0 THEN min(lng) ELSE max(lng) END AS end_lng FROM vertices GROUP BY path_id"""
 
 
+def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices whose nodes are their own, but for three of each path that paths share."""
+    v = paths(spark, sf_dir)
+    return v.withColumn("node", F.when(F.col("seq").isin(0, 3, 7), F.col("node")).otherwise(F.col("path_id") * 8 + F.col("seq") + 1_000_000))
+
+
+@query
+def edge_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first shape of each pair of nodes that an edge joins, by its points."""
+    e = graph.edge_shapes(graph.edges(_hubs(spark, sf_dir), shapes=True))
+    east = F.aggregate("shape", F.lit(0.0), lambda t, p: t + p["lng"] + 2 * p["lat"])
+    return e.select("src", "dst", F.size("shape").alias("n"), F.round(east, 6).alias("sum"))
+
+
+_CUT = """h AS (SELECT path_id, seq, lng, lat, CASE WHEN seq IN (0, 3, 7) THEN node ELSE path_id * 8 + seq + 1000000 END AS node FROM vertices),
+j AS (SELECT node FROM h GROUP BY node HAVING count(DISTINCT path_id) > 1),
+s AS (SELECT path_id, seq, node, lead(seq) OVER w AS upto, lead(node) OVER w AS dst FROM h WHERE seq IN (0, 7) OR node IN (SELECT node FROM j) WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+f AS (SELECT node AS src, dst, arg_min(path_id, path_id * 8 + seq) AS path_id, arg_min(seq, path_id * 8 + seq) AS a, arg_min(upto, path_id * 8 + seq) AS b FROM s WHERE dst <> node GROUP BY 1, 2)"""
+SQL["edge_shapes"] = f"WITH {_CUT} SELECT src, dst, count(*)::integer AS n, round(sum(lng + 2 * lat), 6) AS sum FROM f JOIN h ON h.path_id = f.path_id AND h.seq BETWEEN a AND b GROUP BY src, dst"
+
+
+@query
+def routed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of routes along the graph's own edges: each path's hubs in turn, and back for every other."""
+    v = _hubs(spark, sf_dir)
+    edge = graph.edges(v, shapes=True)
+    stops = edge.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("edge_no", "src", "dst"))).alias("e"))
+    there = F.concat(F.array(F.get("e", F.lit(0))["src"]), F.transform("e", lambda x: x["dst"]))
+    found = stops.select(F.col("path_id").alias("request_id"), F.when(F.col("path_id") % 2 == 0, F.reverse(there)).otherwise(there).alias("path"))
+    s = graph.path_shapes(found, graph.edge_shapes(edge), v.groupBy("node").agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")))
+    return s.select("request_id", F.size("shape").alias("n"), F.get("shape", F.lit(0))["lng"].alias("lng"), F.element_at("shape", -1)["lng"].alias("end_lng"), F.round(F.aggregate("shape", F.lit(0.0), lambda t, p: t + p["lng"] + 2 * p["lat"]), 6).alias("sum"))
+
+
+SQL["routed_shapes"] = "SELECT path_id AS request_id, 8 AS n, CASE WHEN path_id % 2 = 0 THEN max(lng) ELSE min(lng) END AS lng, CASE WHEN path_id % 2 = 0 THEN min(lng) ELSE max(lng) END AS end_lng, round(sum(lng + 2 * lat), 6) AS sum FROM vertices GROUP BY path_id"
+
+
 @query
 def path_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain along each path's nodes with hysteresis; unknown with fewer than two heights."""
@@ -403,7 +487,9 @@ FROM rated WHERE {IN_BOX} AND length_miles >= 2 ORDER BY name, ord LIMIT 100"""
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir).filter("path_id % 7 <> 0").select(F.col("path_id").alias("id"), F.array("points").alias("parts"))
+    """Lines of two parts, of as many points as the trail's number says; every seventh trail has none."""
+    p = _points(spark, sf_dir).filter("path_id % 7 <> 0")
+    return p.select(F.col("path_id").alias("id"), F.array(F.slice("points", F.lit(1), (F.col("path_id") % 4 + 2).cast("int")), F.slice("points", 6, 3)).alias("parts"))
 
 
 _MAP = Filters(box=BOX, difficulty=["moderate"])
@@ -412,17 +498,17 @@ _MAP = Filters(box=BOX, difficulty=["moderate"])
 @query
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the first matches in a box; those without a shape are left out."""
-    drawn, _ = search.map_features(trails(spark, sf_dir), _shapes(spark, sf_dir), _MAP, 60)
+    drawn, _ = search.map_features(trails(spark, sf_dir), _shapes(spark, sf_dir), _MAP, 1000)
     return drawn.select("id", "name", "length_miles", "gain_ft", "difficulty", "features", "wilderness", F.size(F.flatten("parts")).alias("n_points"))
 
 
-_PAGE = f"p AS (SELECT * FROM rated WHERE {IN_BOX} AND difficulty = 'moderate'), q AS (SELECT * FROM p ORDER BY coalesce(length_miles, 0) DESC, ord LIMIT 60)"
-SQL["map_features"] = f"WITH {RATED}, {_PAGE} SELECT id, name, length_miles, gain_ft, difficulty, coalesce({_FEATURES.replace('rated.', 'q.')}, '') AS features, wilderness, 8 AS n_points FROM q WHERE id % 7 <> 0"
+_PAGE = f"p AS (SELECT * FROM rated WHERE {IN_BOX} AND difficulty = 'moderate'), q AS (SELECT * FROM p ORDER BY coalesce(length_miles, 0) DESC, ord LIMIT 600)"
+SQL["map_features"] = f"WITH {RATED}, {_PAGE} SELECT id, name, length_miles, gain_ft, difficulty, coalesce({_FEATURES.replace('rated.', 'q.')}, '') AS features, wilderness, (SELECT count(*)::integer FROM vertices v WHERE v.path_id = q.id AND (seq < q.id % 4 + 2 OR seq > 4)) AS n_points FROM q WHERE id % 7 <> 0"
 
 
 @query
 def map_features_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.map_features(trails(spark, sf_dir), _shapes(spark, sf_dir), _MAP, 60)[1]
+    return search.map_features(trails(spark, sf_dir), _shapes(spark, sf_dir), _MAP, 1000)[1]
 
 
 SQL["map_features_summary"] = f"WITH {RATED}, {_PAGE} SELECT t.n AS total, r.n AS returned, t.n > r.n AS truncated FROM (SELECT count(*) AS n FROM p) t, (SELECT count(*) AS n FROM q WHERE id % 7 <> 0) r"
@@ -437,7 +523,7 @@ def trail_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("id", "name", "length_miles", "route_type", "gain_ft", "max_elevation_ft", "difficulty", "steepness", "wilderness", F.size(F.flatten("parts")).alias("n_points"), F.size("profile").alias("n_profile"))
 
 
-SQL["trail_detail"] = f"""WITH {RATED} SELECT id, name, length_miles, route_type, gain_ft, max_elevation_ft, difficulty, steepness, wilderness, (SELECT cast(count(*) as int) FROM vertices WHERE path_id = 4) AS n_points,
+SQL["trail_detail"] = f"""WITH {RATED} SELECT id, name, length_miles, route_type, gain_ft, max_elevation_ft, difficulty, steepness, wilderness, (SELECT cast(count(*) as int) FROM vertices WHERE path_id = 4 AND (seq < 2 OR seq > 4)) AS n_points,
   (SELECT cast(count({HEIGHT}) as int) FROM vertices WHERE path_id = 4) AS n_profile FROM rated WHERE id = 4"""
 
 # Near a route

@@ -124,6 +124,24 @@ SQL["permit_top3"] = f"""SELECT trail_id, permit, distance_mi, rank FROM (SELECT
   FROM trails t JOIN areas a ON {_A} <= 35) WHERE rank <= 3"""
 
 
+@query
+def permit_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest permits to every third vertex of each path, and whether its name only suggests them."""
+    words = F.array(F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("ord") % len(_WORDS) + 1).cast("int")), F.lit("oak"))
+    p = load(spark, sf_dir, "areas").select(F.col("ord").alias("id"), F.col("name").alias("permit"), words.alias("keywords"), (F.col("ord") % 3 != 0).alias("is_permit"), F.col("min_lat").alias("lat"), F.col("min_lng").alias("lng"))
+    names = load(spark, sf_dir, "trails").select(F.col("id").alias("path_id"), "name")
+    near = spatial.permits_near(paths(spark, sf_dir), p, names, stride=3)
+    return near.select("path_id", "permit", "distance_mi", F.col("rank").cast("long").alias("rank"), "advisory")
+
+
+_WORDS = ["Blue", "green", "almond", "Bolt"]
+_VA = haversine_sql("v.lat", "v.lng", "a.min_lat", "a.min_lng")
+SQL["permit_path"] = f"""WITH d AS (SELECT v.path_id, a.ord, a.name AS permit, round(min({_VA}), 3) AS distance_mi FROM vertices v JOIN areas a ON {_VA} <= 35 WHERE v.seq % 3 = 0 AND a.ord % 3 <> 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY distance_mi, ord) AS rank FROM d)
+SELECT path_id, permit, distance_mi, rank, NOT coalesce(length({_WORDS}[k.ord % 4 + 1]) > 4 AND (contains(lower(t.name), lower({_WORDS}[k.ord % 4 + 1])) OR contains(lower({_WORDS}[k.ord % 4 + 1]), lower(t.name))), false) AS advisory
+FROM k LEFT JOIN trails t ON t.id = k.path_id WHERE rank <= 3"""
+
+
 def area_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: F.struct(F.col(x).alias("lng"), F.col(y).alias("lat"))
     ring = F.array(corner("min_lng", "min_lat"), corner("max_lng", "min_lat"), corner("max_lng", "max_lat"), corner("min_lng", "max_lat"), corner("min_lng", "min_lat"))

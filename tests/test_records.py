@@ -162,6 +162,63 @@ def test_projection_and_detail(spark):
     assert len(r) == 1 and r[0].profile == [5] and r[0].parts is None and "token" not in r[0].asDict()
 
 
+def test_shapes_of_edges(spark):
+    """Slices between cuts: the first shape of a pair stays, long ones are thinned, loops of one node go."""
+    line = [(1, i, 10 if i == 0 else 20 if i == 150 else 1000 + i, 37.0 + i * 1e-4, -120.0) for i in range(151)]
+    line += [(2, i, n, 37.0, -119.0 - i * 1e-3) for i, n in enumerate([10, 2001, 20, 2003, 20, 2005, 30])] + [(3, 0, 30, 1.0, 1.0), (3, 1, 30, 1.0, 1.1)]
+    v = spark.createDataFrame(line, "path_id long, seq long, node long, lat double, lng double")
+    e = graph.edges(v, shapes=True)
+    got = {(r.path_id, r.src, r.dst): [(p.lng, p.lat) for p in r.shape] for r in e.collect()}
+    whole = [(-120.0, 37.0 + i * 1e-4) for i in range(151)]
+    assert sorted(got) == [(1, 10, 20), (2, 10, 20), (2, 20, 30)] and got[1, 10, 20] == [whole[int(k * (151 / 60))] for k in range(60)] + [whole[-1]]
+    assert len(got[2, 10, 20]) == 3 and len(got[2, 20, 30]) == 3
+    first = {(r.src, r.dst): len(r.shape) for r in graph.edge_shapes(e).collect()}
+    assert first == {(10, 20): 61, (20, 30): 3}
+    plain = {(r.path_id, r.edge_no, r.src, r.dst): r.miles for r in graph.edges(v).collect()}
+    assert plain == {(r.path_id, r.edge_no, r.src, r.dst): pytest.approx(r.miles) for r in e.collect()}
+
+
+def test_records_of_ways_and_parks(spark):
+    """Runs of a name by gaps, a loop, majorities; park parts chained in the order of segments."""
+    square = [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)]
+    lines_of = {1: square[:3], 2: square[:1:-1], 3: [(0, 200), (0, 210)], 4: [(0, 213), (0, 220)], 5: [(0, 900), (0, 910)], 6: [(0, 0), (0, 0.1)]}
+    ways = [(1, 0, "Long  Trail", "A", "dirt"), (2, 1, "long trail", "B", None), (3, 2, "Gap", "B", "mud"), (4, 3, "gap", "C", "dirt"), (5, 4, "GAP ", "C", "dirt"), (6, 5, "tiny", None, None)]
+    w = spark.createDataFrame(ways, "way_id long, ord long, name string, operator string, surface string")
+    v = spark.createDataFrame([(k, i, -120 + x * 1e-3, 37 + y * 1e-3) for k, line in lines_of.items() for i, (x, y) in enumerate(line)], "way_id long, seq long, lng double, lat double")
+    got = sorted(graph.way_records(w, v).collect(), key=lambda r: r.min_lat)
+    assert [(r.name, r.route_type, r.part_count, r.segment_count, r.org, r.surface, r.ref) for r in got] == [("Long  Trail", "loop", 1, 2, "A", "dirt", 1), ("Gap", "out-and-back", 2, 3, "C", "dirt", 3), ("Gap", "out-and-back", 1, 3, "C", "dirt", 3)]
+    assert got[0].id.startswith("osmw:long-trail:") and len({r.id for r in got}) == 3 and [len(p) for p in got[1].parts] == [2, 2]
+    again = {r.id for r in graph.way_records(w.filter("way_id <> 5"), v).collect()}
+    assert again == {r.id for r in got[:2]}
+    s = spark.createDataFrame([("U", "Unit", 7, "Rim", None, None, ["a"], None), ("U", "Unit", 3, "RIM", "dirt", None, ["b"], None), ("U", "Unit", 9, "None", None, None, [], None)], "unit string, unit_name string, ord long, name string, surface string, season string, uses array<string>, miles double")
+    pv = spark.createDataFrame([(7, 0, i, -120.0, 37 + i * 1e-2) for i in range(3)] + [(3, 0, i, -120.0, 37.02 + i * 1e-2) for i in range(2)] + [(3, 1, i, -121.0, 37.0 + i * 1e-2) for i in range(2)], "ord long, part int, seq int, lng double, lat double")
+    r = merge.park_trails(s, vertices=pv).collect()
+    assert len(r) == 1 and (r[0].part_count, r[0].segment_count, r[0].surface, r[0].uses) == (2, 2, "Dirt", ["a", "b"]) and [len(p) for p in r[0].parts] == [4, 2]
+    assert r[0].length_miles == round(4 * hav((37, -120), (37.01, -120)), 2) and r[0].center_lng == -120.5
+
+
+def test_permits_along_paths(spark):
+    v = spark.createDataFrame([(1, i, 37.0, -120.0 + i * 0.01) for i in range(25)] + [(2, 0, 37.0, -120.0)], "path_id long, seq long, lat double, lng double")
+    places = [(1, "near", ["Blue Dome Trail"], True, 37.0, -119.88), (2, "near, no permit", None, False, 37.0, -120.0), (3, "far", ["Dome"], True, 37.2, -120.0), (4, "further", None, True, 37.3, -120.0), (5, "fourth", None, True, 37.4, -120.0), (6, "out", None, True, 39.0, -120.0)]
+    p = spark.createDataFrame(places, "id long, permit string, keywords array<string>, is_permit boolean, lat double, lng double")
+    names = spark.createDataFrame([(1, "blue dome"), (2, "")], "path_id long, name string")
+    got = sorted(tuple(r) for r in spatial.permits_near(v, p, names).collect())
+    assert [(r[0], r[1], r[4], r[5]) for r in got] == [(1, 1, 1, False), (1, 3, 2, True), (1, 4, 3, True), (2, 1, 1, True), (2, 3, 2, True), (2, 4, 3, True)]
+    assert got[0][3] == 0.0 and got[3][3] == pytest.approx(hav((37, -120), (37, -119.88)), abs=1e-3)
+
+
+def test_pages_of_the_map_keep_their_order(spark):
+    t = spark.createDataFrame([(i, i, f"t{i}", float((i * 37) % 1000)) for i in range(1000)], "id long, ord long, name string, length_miles double")
+    for c in ("gain_ft", "max_elevation_ft"):
+        t = t.withColumn(c, F.lit(None).cast("double"))
+    t = t.withColumns({"features": F.array(F.lit("x")), "season_months": F.lit(None).cast("array<int>"), "uses": F.lit(None).cast("map<string, string>"), "wilderness": F.lit(None).cast("string"), "route_type": F.lit(None).cast("string"), "accessible": F.lit(None).cast("string")})
+    shapes = t.select("id", F.array(F.array(F.lit(1))).alias("parts"))
+    drawn, counts = search.map_features(t, shapes, search.Filters(), 5000)
+    rows = drawn.collect()
+    assert len(rows) == search.MAP_LIMIT == 600 and [r.length_miles for r in rows] == [float(x) for x in range(999, 399, -1)]
+    assert tuple(counts.first()) == (1000, 600, True)
+
+
 WALKED = {
     "loop": [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], "lollipop": [(0, 0), (0, 10), (10, 10), (10, 20), (0, 10), (0, 0)], "point-to-point": [(0, 0), (0, 10), (0, 20), (0, 30), (0, 40), (0, 50), (0, 60), (0, 50)],
     "out-and-back": [(0, 0), (0, 10), (0, 20), (0, 10), (0, 0)], "unknown": [(0, 0)],
