@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from talus.functions.geo import haversine
 from talus.functions.text import key_name, slug
 from talus.operators.lineage import cut
-from talus.operators.lines import chain_networks, gain_loss, steps
+from talus.operators.lines import chain_networks, gains, steps
 from talus.operators.merge import box_union, majorities
 from talus.operators.spatial import radius_join
 from talus.sources.readers import terrain_metres
@@ -179,11 +179,9 @@ def path_shapes(found: DataFrame, edge: DataFrame, nodes: DataFrame) -> DataFram
 
 def path_gains(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(request_id, gain_ft, loss_ft) over the known heights (nodes: node, ele_ft) along each path; NULL with fewer than two."""
-    at = found.select("request_id", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "ele_ft"), "node").filter("ele_ft is not null")
-    series = at.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ele_ft"))), lambda x: x["ele_ft"]).alias("s"))
-    g, known = gain_loss(F.col("s")), F.size("s") >= 2
-    told = series.select("request_id", F.when(known, F.bround(g["gain"]).cast("int")).alias("gain_ft"), F.when(known, F.bround(g["loss"]).cast("int")).alias("loss_ft"))
-    return found.select("request_id").join(told, "request_id", "left")
+    at = found.select("request_id", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "ele_ft"), "node")
+    whole = lambda c: F.when(F.col("n") >= 2, F.bround(c).cast("int")).alias(f"{c}_ft")
+    return found.select("request_id").join(gains(at, "request_id", ["pos"], "ele_ft").select("request_id", whole("gain"), whole("loss")), "request_id", "left")
 
 
 def node_heights(nodes: DataFrame, tiles: DataFrame, zoom: int = 13) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,7 +54,8 @@ def gain_loss(elevations: Column, threshold: float = GAIN_THRESHOLD_FT) -> Colum
     The fold keeps the last confirmed height and the extreme reached since in the current
     direction (1 up, -1 down, 0 none yet); swings below the threshold add nothing.
     """
-    start = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"), F.get(elevations, F.lit(0)).cast("double").alias("anchor"), F.lit(0).alias("way"))
+    known = F.filter(elevations, lambda x: x.isNotNull())
+    start = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"), F.get(known, F.lit(0)).cast("double").alias("anchor"), F.lit(0).alias("way"))
 
     def step(s: Column, x: Column) -> Column:
         move = x - s["anchor"]
@@ -67,10 +69,115 @@ def gain_loss(elevations: Column, threshold: float = GAIN_THRESHOLD_FT) -> Colum
             F.when(turn & (move > 0), 1).when(turn & (move < 0), -1).otherwise(s["way"]).alias("way"),
         )
 
-    known = F.filter(elevations, lambda x: x.isNotNull())
     return F.when(F.size(elevations) >= 2, F.aggregate(F.transform(known, lambda x: x.cast("double")), start, step, lambda s: F.struct(s["gain"].alias("gain"), s["loss"].alias("loss")))).otherwise(F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss")))
 
 
+def turns(series: np.ndarray, threshold: float, before: list[float] = ()) -> list[float]:
+    """The heights of before + series that decide what a fold with hysteresis makes of them, whatever it has seen until then.
+
+    Within a run up or down only its end counts. A swing back below the threshold that the
+    heights on both sides enclose counts for nothing: either it was too small to turn the
+    fold, or an earlier height had turned it. So turns(b, before=turns(a)) stands for a + b.
+    """
+    kept = list(before)
+    if len(series):
+        heights = np.concatenate((kept[-1:], series))
+        way = np.sign(np.diff(heights))
+        ends = np.append(way[1:] != way[:-1], True) if len(way) else np.zeros(0, bool)
+        moved = heights[1:][ends & (way != 0)] if len(way) else heights[:0]
+        for x in ([] if kept else heights[:1].tolist()) + moved.tolist():
+            if kept and x == kept[-1]:
+                continue
+            while len(kept) > 1 and (kept[-1] - kept[-2]) * (x - kept[-1]) > 0:
+                kept.pop()
+            kept.append(x)
+            while len(kept) > 3:
+                o, p, q, r = kept[-4:]
+                if abs(p - q) < threshold and min(o, r) <= min(p, q) and max(p, q) <= max(o, r):
+                    del kept[-3:-1]
+                else:
+                    break
+    return kept
+
+
+def folded(heights: list[float], threshold: float) -> tuple[float, float]:
+    """gain_loss() of a list."""
+    gain = loss = way = 0.0
+    anchor = heights[0] if heights else 0.0
+    for x in heights:
+        move = x - anchor
+        turn = abs(move) >= threshold
+        if turn or move * way > 0:
+            gain, loss, anchor = gain + max(move, 0.0), loss + max(-move, 0.0), x
+            if turn:
+                way = 1.0 if move > 0 else -1.0
+    return gain, loss
+
+
+def gains(series: DataFrame, key: str, order: list[str], value: str, threshold: float = GAIN_THRESHOLD_FT) -> DataFrame:
+    """(key, gain, loss, n) with hysteresis over each key's known values in the given order, n of them.
+
+    Rows are dealt out in ranges of key and order, so a long series is spread over many tasks;
+    each folds its slices to the heights that can matter (see turns), and the slices of a key,
+    short now, are joined in their order. Nothing is collected by key, and no array holds a series.
+    """
+    kind = dict(series.dtypes)[key]
+    rows = series.select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("x")).filter("x is not null")
+    places = [f"o{i}" for i in range(len(order))]
+    dealt = rows.repartitionByRange("k", *places).sortWithinPartitions("k", *places).select("k", "x")
+
+    def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+        """(key, values of columns) for each run of equal keys in each batch."""
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            begin = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])] if keys else []
+            for a, b in zip(begin, [*begin[1:], len(keys)]):
+                yield keys[a], [batch.column(c).slice(a, b - a) for c in columns]
+
+    def told(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out, key, kept, n, types = TaskContext.get().partitionId(), [], None, [], 0, None
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            for k, (x,) in runs(iter([batch]), ["x"]):
+                if n and k != key:
+                    out.append((key, part, n, kept))
+                    kept, n = [], 0
+                key, kept, n = k, turns(x.to_numpy(), threshold, kept), n + len(x)
+            if len(out) > 10_000:
+                yield told(out, ["k", "part", "n", "kept"], types)
+                out = []
+        if n:
+            out.append((key, part, n, kept))
+        if out:
+            yield told(out, ["k", "part", "n", "kept"], types)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key, kept, n, types = [], None, [], 0, None
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, pa.float64(), pa.float64(), pa.int64()]
+            for k, (number, slices) in runs(iter([batch]), ["n", "kept"]):
+                if n and k != key:
+                    out.append((key, *folded(kept, threshold), n))
+                    kept, n = [], 0
+                key = k
+                for more, own in zip(number.to_pylist(), slices.to_pylist()):
+                    kept, n = turns(np.array(own), threshold, kept), n + more
+            if len(out) > 10_000:
+                yield told(out, [key_name, "gain", "loss", "n"], types)
+                out = []
+        if n:
+            out.append((key, *folded(kept, threshold), n))
+        if out:
+            yield told(out, [key_name, "gain", "loss", "n"], types)
+
+    key_name = key
+    slices = dealt.mapInArrow(sliced, f"k {kind}, part long, n long, kept array<double>")
+    return slices.repartition("k").sortWithinPartitions("k", "part").mapInArrow(joined, f"`{key}` {kind}, gain double, loss double, n long")
+
+
 def thinned(points: Column, spacing: float) -> Column:
     """Of array<struct<lng, lat, ...>>: the first point, each one ``spacing`` miles on from the last kept, and the last."""
     start = F.struct(F.slice(points, 1, 1).alias("kept"), F.lit(0.0).alias("since"), points[0].alias("prev"))

@@ -301,9 +301,17 @@ SELECT mid.path_id, coalesce(h.lat, mid.lat) AS lat, coalesce(h.lng, mid.lng) AS
 @query
 def hysteresis_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain and loss of the readings along each trail, turns below the threshold ignored."""
-    e = load(spark, sf_dir, "trail_segments").groupBy("trail_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "measured"))), lambda x: x["measured"] * 7.5).alias("series"))
-    g = lines.gain_loss(F.col("series"))
-    return e.select("trail_id", F.round(g["gain"], 2).alias("gain"), F.round(g["loss"], 2).alias("loss"))
+    s = load(spark, sf_dir, "trail_segments").select("trail_id", "ord", "measured", (F.col("measured") * 7.5).alias("feet"))
+    g = lines.gains(s, "trail_id", ["ord", "measured"], "feet")
+    return g.select("trail_id", F.round("gain", 2).alias("gain"), F.round("loss", 2).alias("loss"))
+
+
+@query
+def feed_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain and loss of the readings of each kind of event in the order they came: a few series that hold all rows."""
+    e = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", (F.col("value") * 10).alias("feet"))
+    g = lines.gains(e, "event_type", ["ts", "event_id"], "feet")
+    return g.select("event_type", F.round("gain", 1).alias("gain"), F.round("loss", 1).alias("loss"), "n")
 
 
 _T = f"{lines.GAIN_THRESHOLD_FT}::double"
@@ -314,6 +322,13 @@ f AS (SELECT trail_id, list_reduce(list_transform(v, lambda x: {{'gain': 0::doub
 SELECT trail_id, round(r.gain, 2) AS gain, round(r.loss, 2) AS loss FROM f"""
 
 
+_TURN = f"""CASE WHEN (a.way > 0 AND b.anchor > a.anchor) OR b.anchor - a.anchor >= {_T} THEN {{'gain': a.gain + (b.anchor - a.anchor), 'loss': a.loss, 'anchor': b.anchor, 'way': CASE WHEN b.anchor - a.anchor >= {_T} THEN 1 ELSE a.way END}}
+       WHEN (a.way < 0 AND b.anchor < a.anchor) OR a.anchor - b.anchor >= {_T} THEN {{'gain': a.gain, 'loss': a.loss + (a.anchor - b.anchor), 'anchor': b.anchor, 'way': CASE WHEN a.anchor - b.anchor >= {_T} THEN -1 ELSE a.way END}} ELSE a END"""
+SQL["feed_gain"] = f"""WITH s AS (SELECT event_type, list(value * 10 ORDER BY ts, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type),
+f AS (SELECT event_type, len(v) AS n, list_reduce(list_transform(v, lambda x: {{'gain': 0::double, 'loss': 0::double, 'anchor': x, 'way': 0}}), lambda a, b: {_TURN}) AS r FROM s)
+SELECT event_type, round(r.gain, 1) AS gain, round(r.loss, 1) AS loss, n FROM f"""
+
+
 @query
 def route_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths walked in eight ways, by the share of ground walked more than once."""

@@ -134,6 +134,47 @@ def test_lines_as_segments(spark):
     assert sorted(tuple(r) for r in spatial.segments_of(v).collect()) == [(1, 0, 1.0, 2.0, 3.0, 4.0), (1, 5, 3.0, 4.0, 5.0, 6.0), (2, 0, 7.0, 8.0, 7.0, 8.0)]
 
 
+def slow_fold(series, threshold=15.0):
+    gain = loss = way = 0
+    anchor = series[0]
+    for x in series:
+        move = x - anchor
+        if abs(move) >= threshold or way * move > 0:
+            gain, loss, anchor = gain + max(move, 0), loss + max(-move, 0), x
+            way = (1 if move > 0 else -1) if abs(move) >= threshold else way
+    return gain, loss
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.lists(st.integers(0, 59), max_size=5))
+def test_slices_fold_to_the_whole(series, cuts):
+    """Whatever the cuts, and whatever came before a slice."""
+    bounds = [0, *sorted(c % len(series) for c in cuts), len(series)]
+    slices = [lines.turns(np.array(series[a:b], float), 15.0) for a, b in zip(bounds, bounds[1:])]
+    kept = []
+    for s in slices:
+        kept = lines.turns(np.array(s), 15.0, kept)
+    assert lines.folded(kept, 15.0) == slow_fold(series) == lines.folded([float(x) for x in series], 15.0)
+    for first in ([0, 20], [60, 40], [30], [30, 50, 33]):
+        assert lines.folded([*map(float, first), *slices[-1]], 15.0) == slow_fold([*first, *series[bounds[-2] :]])
+
+
+def test_gains_of_long_and_short_series(spark):
+    rd = np.random.default_rng(6)
+    long = np.cumsum(rd.normal(0, 4, 30_000))
+    rows = [("long", i, float(x)) for i, x in enumerate(long)] + [(f"s{k}", i, float(x)) for k in range(300) for i, x in enumerate(rd.uniform(0, 100, k % 7))] + [("none", 0, None), ("s6", 99, None), (None, 1, 5.0), (None, 2, 50.0)]
+    df = spark.createDataFrame([(k, i, x) for k, i, x in rows], "name string, i int, x double").repartition(8)
+    got = {r.name: (round(r.gain, 6), round(r.loss, 6), r.n) for r in lines.gains(df, "name", ["i"], "x").collect()}
+    series = {}
+    for k, _, x in rows:
+        if x is not None:
+            series.setdefault(k, []).append(x)
+    want = {k: (*(round(v, 6) for v in slow_fold(s)), len(s)) for k, s in series.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    assert "collect" not in lines.gains(df, "name", ["i"], "x")._jdf.queryExecution().toString()
+    assert len(lines.turns(long, 15.0)) < len(long) / 4
+
+
 def test_few_rows_are_spread(spark):
     rd = np.random.default_rng(5)
     many = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rd.uniform(-1, 1, (300, 2)))], "a long, lat double, lng double")
