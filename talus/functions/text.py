@@ -214,3 +214,53 @@ def name_signal(query: str, name: Column, partial_only: bool = False) -> Column:
         return s.map(known).astype("float64")
 
     return signal(name)
+
+
+def _bag(query: str, text: Column) -> Column:
+    """How many letters of the query the text can supply, each as often as it has it."""
+    each = [F.least(F.lit(query.count(c)), F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) for c in sorted(set(query))]
+    return sum(each, F.lit(0))
+
+
+def _grams(query: str, text: Column) -> Column:
+    """How many pairs of neighbouring letters of the query, at their places, the text has anywhere."""
+    pairs = [query[i : i + 2] for i in range(len(query) - 1)]
+    return sum((F.contains(text, F.lit(g)).cast("int") * pairs.count(g) for g in sorted(set(pairs))), F.lit(0))
+
+
+def signal_bound(query: str, name: Column, partial_only: bool = False) -> Column:
+    """At least name_signal(query, name), from letters and pairs of letters alone; no Python.
+
+    A common subsequence of L letters needs L letters of both texts. It keeps a pair of
+    neighbours of the query unless one of them is left out or the other text has a letter
+    between them, so with C pairs in common 3 L <= C + 1 + the sum of both lengths. The ratio of
+    the query with a stretch of the name is bounded for stretches of the query's length and
+    for the shorter ones at each end of the name; that of the words for names without a word in common.
+    """
+    n, size = len(query), F.length(name)
+    if n == 0:
+        return F.lit(100.0)
+
+    def most(letters: Column, pairs: Column, width: Column) -> Column:
+        """200 L / (n + width) at its largest."""
+        room = F.least(letters, width, F.lit(n), F.floor((pairs + n + 1 + width) / 3))
+        return 200.0 * room / (width + n)
+
+    letters, pairs = _bag(query, name), _grams(query, name)
+    whole = most(letters, pairs, F.lit(n))
+    for end in (F.left(name, F.lit(n - 1)), F.right(name, F.lit(n - 1))):
+        own, near = _bag(query, end), _grams(query, end)
+        for width in range(1, n):
+            whole = F.greatest(whole, most(own, near, F.lit(width)))
+    bound = F.when(size >= n, whole).otherwise(200.0 * F.least(letters, size) / (F.least(letters, size) + size))
+    bound = F.when(size == 0, 0.0).otherwise(bound)
+    if partial_only:
+        return bound
+    words = sorted(set(query.split()))
+    joined = " ".join(words)
+    theirs = F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
+    length = F.length(F.array_join(theirs, " "))
+    inner = sum((_grams(w, name) for w in words), F.lit(0)) + 2 * joined.count(" ")
+    apart = 200.0 * F.least(_bag(joined, name), F.lit(len(joined)), length, F.floor((inner + len(joined) + 1 + length) / 3)) / (length + len(joined))
+    shares = F.arrays_overlap(theirs, F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    return F.greatest(bound, F.when(shares, 100.0).otherwise(apart))

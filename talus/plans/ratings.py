@@ -279,6 +279,27 @@ def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(trails(spark, sf_dir), Filters(text="bolt blue"), "relevance", 50).select("id", "name", F.round("score", 6).alias("score"))
 
 
+def _signal_sql(name: str, query: str, texts: str, partial_only: bool = False) -> str:
+    """CTEs ending in {name}(t, v), the larger ratio of each text t of ``texts`` with the query: pairs of texts, and their
+    longest common subsequences on the bits of a number, one text giving the bits and the other the steps."""
+    words = sorted(set(query.split()))
+    sets = "" if partial_only else f"""
+  UNION ALL SELECT t, CASE WHEN len(y) = 0 THEN 'x' WHEN len(c) > 0 AND (len(c) = len(y) OR len(c) = {len(words)}) THEN 'x' ELSE p.a END, CASE WHEN len(y) = 0 THEN 'y' WHEN len(c) > 0 AND (len(c) = len(y) OR len(c) = {len(words)}) THEN 'x' ELSE p.b END
+  FROM (SELECT t, y, c, array_to_string(c, ' ') AS h, trim(array_to_string(c, ' ') || ' ' || array_to_string(list_sort(list_filter({words}, lambda w: NOT list_contains(y, w))), ' ')) AS l, trim(array_to_string(c, ' ') || ' ' || array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(c, w))), ' ')) AS r
+    FROM (SELECT t, y, list_sort(list_intersect(y, {words})) AS c FROM (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '')) AS y FROM {name}_t))), unnest([{{'a': l, 'b': r}}, {{'a': h, 'b': l}}, {{'a': h, 'b': r}}]) AS u(p) WHERE len(c) > 0 OR p.a <> ''"""
+    return f"""{name}_t AS (SELECT DISTINCT t FROM ({texts}) WHERE t IS NOT NULL),
+{name}_p(t, a, b) AS (SELECT t, s, substr(l, greatest(0, i) + 1, length(s) + least(0, i))
+  FROM (SELECT t, CASE WHEN length(t) < {len(query)} THEN t ELSE '{query}' END AS s, CASE WHEN length(t) < {len(query)} THEN '{query}' ELSE t END AS l FROM {name}_t), unnest(range(1 - length(s), length(l))) AS w(i){sets}),
+{name} AS (SELECT t, max(200::double * (length(a) - bit_count(list_reduce(list_prepend(((1::bigint << length(a)) - 1), list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::bigint << (i - 1) ELSE 0 END))::bigint)),
+  lambda row, m: ((row + (row & m)) | (row - (row & m))) & ((1::bigint << length(a)) - 1)))) / (length(a) + length(b))) AS v FROM {name}_p GROUP BY t)"""
+
+
+SQL["text_rank"] = f"""WITH {RATED}, {_signal_sql("n", "bolt blue", "SELECT lower(name) AS t FROM trails")}, {_signal_sql("r", "bolt blue", "SELECT lower(area) AS t FROM trails", True)},
+s AS (SELECT id, rated.name, ord, length_miles, n.v + coalesce(0.25::double * r.v, 0) + CASE WHEN lower(name) = 'bolt blue' THEN 120 WHEN starts_with(lower(name), 'bolt blue') THEN 60 WHEN contains(lower(name), 'bolt blue') THEN 35 ELSE 0 END
+  + CASE WHEN contains(lower(name), 'bolt') AND contains(lower(name), 'blue') THEN 25 ELSE 0 END AS score FROM rated JOIN n ON n.t = lower(name) LEFT JOIN r ON r.t = lower(area) WHERE name <> '')
+SELECT id, name, round(score, 6) AS score FROM s WHERE score >= 85 ORDER BY s.score DESC, coalesce(length_miles, 0) DESC, ord LIMIT 50"""
+
+
 @query
 def text_rank_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short query has to be part of the name or area."""
@@ -292,11 +313,13 @@ SQL["text_rank_substring"] = "SELECT name, count(*) AS n FROM trails WHERE conta
 @query
 def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight suggestions: name signal, a third of the area's, more where the name holds the query."""
-    t = load(spark, sf_dir, "trails").select("id", "name", "area", "length_miles")
-    name = F.lower("name")
-    score = text.name_signal("green", name) + 0.35 * text.name_signal("green", F.lower("area"), partial_only=True)
-    score = F.when(F.contains(name, F.lit("green")), F.least(F.lit(135.0), score + 20)).otherwise(score)
-    return t.withColumn("score", F.round(score, 6)).filter("score >= 45").orderBy(F.desc("score"), "id").limit(8)
+    return search.suggested(load(spark, sf_dir, "trails").select("id", "name", "area", "length_miles"), "green")
+
+
+SQL["typeahead"] = f"""WITH {_signal_sql("n", "green", "SELECT lower(name) AS t FROM trails")}, {_signal_sql("r", "green", "SELECT lower(area) AS t FROM trails", True)},
+s AS (SELECT id, name, area, length_miles, n.v + coalesce(0.35::double * r.v, 0) AS v FROM trails JOIN n ON n.t = lower(name) LEFT JOIN r ON r.t = lower(area)),
+k AS (SELECT id, name, area, length_miles, round(CASE WHEN contains(lower(name), 'green') THEN least(135, v + 20) ELSE v END, 6) AS score FROM s)
+SELECT * FROM k WHERE score >= 45 ORDER BY score DESC, id LIMIT 8"""
 
 
 @query

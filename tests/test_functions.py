@@ -143,3 +143,35 @@ def test_uses_and_usable_rows(spark):
     assert [r.u for r in df.select(sources.usable_way(F.col("n"), F.col("t"), F.col("v")).alias("u")).collect()] == [True] + [False] * 6
     df = spark.createDataFrame([("Open", "YOSE"), (None, "YOSE"), ("Proposed", "YOSE"), ("Open", None)], "s string, u string")
     assert [r.o for r in df.select(sources.open_in(F.col("s"), F.col("u"), ["YOSE"]).alias("o")).collect()] == [True, True, False, False]
+
+
+def test_bounds_of_ratios(spark):
+    """Never below the exact ratios, and low enough to leave most names out."""
+    import random
+
+    rd = random.Random(9)
+    vocabulary = ["".join(rd.choice("abcdefghilmnoprstuvw") for _ in range(rd.randrange(3, 9))) for _ in range(300)]
+    names = [" ".join(rd.choice(vocabulary) for _ in range(rd.randrange(1, 5))) for _ in range(1500)] + ["", "a", "mist", "falls mist", "mist  falls mist", "mistfalls", "m i s t", "aaaa aaaa", "the mist falls trail"]
+    for query in ("mist falls", "aaa", "x", "falls mist falls", vocabulary[0], f"{vocabulary[1]} {vocabulary[2]}"):
+        df = spark.createDataFrame([(t,) for t in names], "t string").coalesce(2)
+        got = df.select("t", text.signal_bound(query, F.col("t")).alias("b"), text.name_signal(query, F.col("t")).alias("v"), text.signal_bound(query, F.col("t"), True).alias("pb"), text.name_signal(query, F.col("t"), True).alias("pv")).collect()
+        assert all(r.b >= r.v - 1e-9 and r.pb >= r.pv - 1e-9 for r in got), [(query, r) for r in got if r.b < r.v - 1e-9 or r.pb < r.pv - 1e-9][:3]
+        if len(query) > 9:
+            assert sum(r.b >= 85 for r in got) < 0.1 * len(got)
+
+
+def test_candidates_change_no_result(spark):
+    import random
+
+    from talus.operators import search
+
+    rd = random.Random(3)
+    words = ["mist", "falls", "blue", "lake", "mill", "ridge", "rim", "fall", "misty", "pass", "creek", "blu"]
+    rows = [(i, " ".join(rd.choice(words) for _ in range(rd.randrange(1, 4))) if i % 50 else None, rd.choice(["North Rim", "Mist Area", None]), float(i)) for i in range(1500)]
+    t = spark.createDataFrame(rows, "id long, name string, area string, length_miles double").coalesce(2)
+    for query in ("mist falls", "blue lake", "misty ridge pass", "rim"):
+        full = {(r.id, round(r.score, 9)) for r in t.withColumn("score", search.text_score(query)).filter("score >= 0").collect()}
+        can = search.text_candidates(t, query)
+        assert {(r.id, round(r.score, 9)) for r in can.withColumn("score", search.text_score(query)).filter("score >= 0").collect()} == full
+        if len(query) > 9:
+            assert 0 < can.count() < 1450
