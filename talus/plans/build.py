@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ def build(spark: SparkSession, trails: DataFrame, stages: list[Stage], path: str
                 if resume:
                     try:
                         added, status = spark.read.parquet(table), "resumed"
-                    except Exception as missing:  # noqa: BLE001  nothing stored yet
+                    except AnalysisException as missing:  # nothing stored yet; any other error is the stage's
+                        if "PATH_NOT_FOUND" not in str(missing):
+                            raise
                         detail = type(missing).__name__
                 if added is None:
                     stage.make(done).write.mode("overwrite").parquet(table)

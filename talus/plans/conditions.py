@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from talus.operators import rules
 from talus.operators.merge import numbered
 from talus.sources.views import load
+from talus.streaming import readings, sweep
 
 QUERIES, SQL = {}, {}
 
@@ -171,3 +172,34 @@ def segment_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["segment_colours"] = "SELECT p_name, round((dense_rank() OVER (ORDER BY p_name) - 1) * 137.508::double % 360, 3) AS hue FROM (SELECT DISTINCT p_name FROM part)"
+
+
+@query
+def readings_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a place and kind at each event: the last good reading of the day before it, errors never kept."""
+    e = load(spark, sf_dir, "events")
+    k = F.col("user_id") % 40
+    r = e.select(F.col("event_id").alias("reading_id"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")).alias("kind"), (37 + k / 100).alias("lat"), (-120 - k / 50).alias("lng"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"), "value")
+    return readings.known(r, 3600).select("reading_id", "kind", "known", "age_s")
+
+
+SQL["readings_known"] = """WITH r AS (SELECT event_id, 'k' || event_id % 3 AS kind, user_id % 40 AS place, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events),
+w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER p AS since, last_value(v IGNORE NULLS) OVER p AS last FROM r WINDOW p AS (PARTITION BY place, kind ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, floor(epoch(ts))::bigint - floor(epoch(since))::bigint AS age FROM w)
+SELECT event_id AS reading_id, kind, CASE WHEN age < 3600 THEN last END AS known, CASE WHEN age < 3600 THEN age END AS age_s FROM a"""
+
+
+@query
+def sweep_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles still to be read: users as tiles, their events as results of readings, the last of them the state."""
+    e = load(spark, sf_dir, "events")
+    tile = F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tile_id")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "empty").otherwise("done")
+    results = e.select(tile, status.alias("status"), (F.col("event_id") % 3).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("at"))
+    plan = load(spark, sf_dir, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("tile_id"))
+    return sweep.left(plan, results, retries=3)
+
+
+SQL["sweep_left"] = """WITH r AS (SELECT 't' || user_id AS tile_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'empty' ELSE 'done' END AS status, event_id % 3 AS attempt, ts FROM events),
+s AS (SELECT tile_id, count(DISTINCT attempt) AS n, last(status ORDER BY attempt, ts, status) AS status FROM r GROUP BY tile_id)
+SELECT 't' || c_custkey AS tile_id, coalesce(n, 0)::integer AS attempt FROM customer LEFT JOIN s ON s.tile_id = 't' || c_custkey WHERE s.status IS NULL OR (s.status = 'failed' AND n <= 3)"""

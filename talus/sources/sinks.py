@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Simplification tolerance in degrees by level of detail
@@ -19,15 +19,20 @@ def write_index(trails: DataFrame, geometry: list[str], path: str) -> None:
     trails.select("id", *geometry).write.mode("overwrite").parquet(f"{path}/geometry")
 
 
-def write_details(vertices: DataFrame, path: str) -> None:
-    """Vertices (path_id, part if lines have several, seq, lng, lat) at each level of detail, a partition a level, sorted by path for lookups."""
+def details(vertices: DataFrame) -> DataFrame:
+    """(path_id, part, seq, lng, lat, detail): vertices (path_id, part if lines have several, seq, lng, lat) at each level of detail."""
     from talus.operators.lines import simplify_parts
 
     parts = vertices if "part" in vertices.columns else vertices.withColumn("part", F.lit(0))
     full = parts.select("path_id", "part", "seq", "lng", "lat").withColumn("detail", F.lit("full"))
     for name, epsilon in DETAIL.items():
         full = full.unionByName(simplify_parts(parts, epsilon).withColumn("detail", F.lit(name)))
-    full.repartition("detail", "path_id").sortWithinPartitions("detail", "path_id", "part", "seq").write.mode("overwrite").partitionBy("detail").parquet(path)
+    return full
+
+
+def write_details(vertices: DataFrame, path: str) -> None:
+    """details() as files, a partition a level, each file a range of ids, so that a lookup reads row groups of one. See store_details for a table."""
+    details(vertices).repartitionByRange("detail", "path_id").sortWithinPartitions("detail", "path_id", "part", "seq").write.mode("overwrite").partitionBy("detail").parquet(path)
 
 
 def read_detail(spark, path: str, path_id, detail: str | None = None) -> DataFrame:
@@ -36,6 +41,32 @@ def read_detail(spark, path: str, path_id, detail: str | None = None) -> DataFra
     return spark.read.parquet(path).filter((F.col("detail") == level) & (F.col("path_id") == path_id)).orderBy("part", "seq")
 
 
+def store_details(vertices: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Lines at each level of detail as a table for lookups: a partition a level, a bucket of ids in it one file.
+
+    A lookup (stored_detail) knows the partition and the bucket from its arguments, so it
+    opens one file however many there are, and Parquet's bloom filter on the id tells a file without the id apart.
+    """
+    details(vertices).repartition(buckets, "path_id").write.mode("overwrite").partitionBy("detail").bucketBy(buckets, "path_id").sortBy("path_id", "part", "seq").option("path", path).option("parquet.bloom.filter.enabled#path_id", "true").format("parquet").saveAsTable(table)
+
+
+def stored_detail(spark: SparkSession, table: str, path_id, detail: str | None = None) -> DataFrame:
+    """The vertices (path_id, part, seq, lng, lat) of one line at a level of detail; an unknown level reads the full line."""
+    level = detail if detail in DETAIL else "full"
+    return spark.table(table).filter((F.col("detail") == level) & (F.col("path_id") == path_id))
+
+
+def store_index(trails: DataFrame, geometry: list[str], table: str, path: str, buckets: int = 64) -> None:
+    """write_index as two tables, {table}_trails and {table}_geometry, in the same buckets of ids, each bucket one sorted file."""
+    for name, rows in (("trails", trails.drop(*geometry)), ("geometry", trails.select("id", *geometry))):
+        rows.repartition(buckets, "id").write.mode("overwrite").bucketBy(buckets, "id").sortBy("id").option("path", f"{path}/{name}").option("parquet.bloom.filter.enabled#id", "true").format("parquet").saveAsTable(f"{table}_{name}")
+
+
+def stored_trails(spark: SparkSession, table: str) -> DataFrame:
+    """Records with their geometry: buckets meet as they lie, so nothing is shuffled; with a filter on id one file of each is read."""
+    return spark.table(f"{table}_trails").join(spark.table(f"{table}_geometry"), "id")
+
+
 def geojson_feature(props: list[str], parts: Column) -> Column:
     """Text of a feature; one part is a LineString, more are a MultiLineString, none is a null geometry."""
     pairs = F.transform(parts, lambda part: F.transform(part, lambda p: F.array(p["lng"], p["lat"])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talus.operators.lines import simplify_paths
 from talus.plans.build import Stage, build
 from talus.sources import readers, sinks
-from talus.streaming import feed
+from talus.streaming import feed, readings, sweep
 
 
 def test_forest_segments(spark, tmp_path):
@@ -112,3 +112,112 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("feed_out").collect()}
     assert got == {tuple(r) for r in feed.windowed(events).collect()} and got
     assert pytest.approx(sum(r[2] for r in got)) == events.count()
+
+
+def files_read(df):
+    """How many files each scan of the plan is going to open."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    leaves = plan.collectLeaves()
+    return [sum(len(p.files()) for p in leaves.apply(i).inputRDDs().head().partitions()) for i in range(leaves.length())]
+
+
+def test_lookups_open_one_file(spark, tmp_path):
+    v = spark.createDataFrame([(i, k, -120.0 + k * 0.01, 37.0 + (k % 2) * 0.0001 * i) for i in range(200) for k in range(5)], "path_id long, seq long, lng double, lat double")
+    spark.sql("DROP TABLE IF EXISTS talus_lines")
+    sinks.store_details(v, "talus_lines", str(tmp_path / "lines"), buckets=8)
+    for level in ("full", "z10", None):
+        one = sinks.stored_detail(spark, "talus_lines", 77, level)
+        assert files_read(one) == [1] and [tuple(r)[:1] for r in one.select("path_id").distinct().collect()] == [(77,)]
+    for folder in (tmp_path / "lines").glob("detail=*"):  # a bucket is one file
+        assert len({f.name.split("_")[-1] for f in folder.glob("*.parquet")}) == len(list(folder.glob("*.parquet"))) == 8
+    assert sinks.stored_detail(spark, "talus_lines", 77).count() == 5 > sinks.stored_detail(spark, "talus_lines", 2, "z10").count() == 2
+    assert sinks.stored_detail(spark, "talus_lines", 9999).count() == 0
+    t = spark.range(300).selectExpr("id", "concat('t', id) as name", "array(id) as parts")
+    for name in ("trails", "geometry"):
+        spark.sql(f"DROP TABLE IF EXISTS talus_index_{name}")
+    sinks.store_index(t, ["parts"], "talus_index", str(tmp_path / "index"), buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = sinks.stored_trails(spark, "talus_index")
+        assert "Exchange" not in both._jdf.queryExecution().toString() and both.count() == 300
+        one = both.filter("id = 42")
+        assert files_read(one) == [1, 1] and [tuple(r) for r in one.collect()] == [(42, "t42", [42])]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("lines", "index_trails", "index_geometry"):
+            spark.sql(f"DROP TABLE IF EXISTS talus_{name}")
+
+
+ELEMENT = "struct<type: string, id: long, n_points: int>"
+
+
+def landed(spark, path, rows):
+    spark.createDataFrame(rows, f"tile_id string, status string, attempt int, at timestamp, elements array<{ELEMENT}>").write.mode("append").parquet(path)
+
+
+def test_sweep_ledger(spark, tmp_path):
+    """Failed tiles are read again and never count as empty; a rerun adds what is new; the same as one batch."""
+    import datetime
+
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, n)
+    tiles = spark.createDataFrame([(f"t{i}",) for i in range(6)], "tile_id string")
+    home, land = str(tmp_path / "sweep"), str(tmp_path / "landed")
+    assert {r.tile_id: r.attempt for r in sweep.left(tiles, sweep.ledger(spark, home)).collect()} == {f"t{i}": 0 for i in range(6)}
+    first = [("t0", "done", 0, at(1), [("way", 1, 5), ("way", 2, 9)]), ("t1", "empty", 0, at(1), []), ("t2", "failed", 0, at(1), None), ("t3", "failed", 0, at(1), None), ("t4", "done", 0, at(2), [("way", 1, 7)])]
+    landed(spark, land, first)
+    schema = spark.read.parquet(land).schema
+
+    def run():
+        sweep.sweep(spark.readStream.schema(schema).parquet(land), home, str(tmp_path / "check")).awaitTermination()
+
+    run()
+    assert {r.tile_id: r.attempt for r in sweep.left(tiles, sweep.ledger(spark, home)).collect()} == {"t2": 1, "t3": 1, "t5": 0}
+    assert {r.tile_id for r in sweep.incomplete(tiles, sweep.ledger(spark, home)).collect()} == {"t2", "t3", "t5"}
+    again = [("t2", "done", 1, at(5), [("way", 2, 4), ("node", 2, 1)]), ("t3", "failed", 1, at(5), None)]
+    landed(spark, land, again)
+    run()
+    run()  # nothing new
+    got = {r.tile_id: (r.status, r.attempts) for r in sweep.states(sweep.ledger(spark, home)).collect()}
+    assert got == {"t0": ("done", 1), "t1": ("empty", 1), "t2": ("done", 2), "t3": ("failed", 2), "t4": ("done", 1)}
+    assert sweep.ledger(spark, home).count() == 7
+    assert [r.tile_id for r in sweep.left(tiles, sweep.ledger(spark, home)).collect()] == ["t5"]
+    assert {r.tile_id for r in sweep.incomplete(tiles, sweep.ledger(spark, home)).collect()} == {"t3", "t5"}
+    found = {tuple(r) for r in sweep.elements(spark, home, ELEMENT).collect()}
+    assert found == {("t4", "way", 1, 7), ("t0", "way", 2, 9), ("t2", "node", 2, 1)}
+    once = str(tmp_path / "once")
+    sweep.keep(spark.read.parquet(land), 0, once)
+    sweep.keep(spark.read.parquet(land), 0, once)  # a repeated batch takes its own place
+    assert {tuple(r) for r in sweep.elements(spark, once, ELEMENT).collect()} == found and sweep.ledger(spark, once).count() == 7
+
+
+def test_readings_expire(spark, tmp_path):
+    """The stream tells what the table tells; a failed reading isn't kept; state goes after its time."""
+    import datetime
+    import time
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(i, f"k{i % 2}", 37.0 + (i % 3) * 0.01 + (i % 5) * 1e-5, -120.0, at(i * 40), i % 4 != 1, float(i)) for i in range(60)]
+    schema = "reading_id long, kind string, lat double, lng double, at timestamp, ok boolean, value double"
+    land = str(tmp_path / "landed")
+
+    def run(ttl, place):
+        stream = spark.readStream.schema(schema).parquet(land)
+        out = readings.stream_known(stream, ttl)
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else it goes on for timeouts, and never ends
+        out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        return {r.reading_id: (r.known, r.age_s) for r in spark.read.parquet(f"{place}/out").collect()}
+
+    spark.createDataFrame(rows[:30], schema).coalesce(1).write.mode("append").parquet(land)
+    run(300, str(tmp_path / "a"))
+    spark.createDataFrame(rows[30:], schema).coalesce(1).write.mode("append").parquet(land)
+    got = run(300, str(tmp_path / "a"))
+    table = {r.reading_id: (r.known, r.age_s) for r in readings.known(spark.createDataFrame(rows, schema), 300).collect()}
+    assert got == table and any(v is None for v, _ in got.values()) and any(a for _, a in got.values())
+    late = str(tmp_path / "late")
+    land = str(tmp_path / "brief")
+    spark.createDataFrame([(0, "k", 1.0, 1.0, at(0), True, 5.0)], schema).coalesce(1).write.mode("append").parquet(land)
+    assert run(2, late) == {0: (5.0, 0)}
+    time.sleep(2.5)
+    spark.createDataFrame([(1, "k", 1.0, 1.0, at(1), False, None)], schema).coalesce(1).write.mode("append").parquet(land)
+    assert run(2, late) == {0: (5.0, 0), 1: (None, None)}  # one second later by the readings, but the state had gone
