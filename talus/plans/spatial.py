@@ -485,3 +485,17 @@ SELECT route_id, cast(leg as bigint) AS leg, own AS name, round(sum(miles), 2) A
 @query
 def leg_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.absorb_legs(graph.leg_runs(_route(spark, sf_dir)))
+
+
+# the smallest leg goes to its longer neighbour until none is short; what is left with the fewest legs is joined by name
+SQL["leg_absorb"] = f"""WITH RECURSIVE l AS ({SQL["leg_runs"]}),
+w AS (SELECT route_id, list(name ORDER BY leg) AS n, list(miles ORDER BY leg) AS m FROM l GROUP BY route_id
+  UNION ALL SELECT route_id, n[:i - 1] || n[i + 1:], t[:i - 1] || t[i + 1:] FROM (
+    SELECT route_id, n, i, list_transform(m, lambda x, k: CASE WHEN k = j THEN round(x + m[i], 2) ELSE x END) AS t FROM (
+      SELECT *, CASE WHEN i = 1 THEN 2 WHEN i = len(m) THEN i - 1 WHEN m[i + 1] > m[i - 1] THEN i + 1 ELSE i - 1 END AS j FROM (
+        SELECT *, list_position(m, list_min(m)) AS i FROM w WHERE len(m) > 1 AND list_min(m) < {graph.SHORT_LEG_MI}::double)))),
+f AS (SELECT route_id, arg_min(n, len(m)) AS n, arg_min(m, len(m)) AS m FROM w GROUP BY route_id),
+u AS (SELECT route_id, unnest(n) AS name, unnest(m) AS miles, unnest(range(len(n))) AS k FROM f),
+c AS (SELECT *, (lag(name) OVER o IS DISTINCT FROM name)::integer AS turn FROM u WINDOW o AS (PARTITION BY route_id ORDER BY k)),
+g AS (SELECT *, sum(turn) OVER (PARTITION BY route_id ORDER BY k) - 1 AS leg FROM c)
+SELECT route_id, cast(leg AS bigint) AS leg, name, round(sum(miles), 2) AS miles FROM g GROUP BY route_id, leg, name"""

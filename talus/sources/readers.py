@@ -44,18 +44,20 @@ def polygon_rings(geometry: Column) -> Column:
 
 
 def feature_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(props, geometry) of the features of GeoJSON files; property names in lower case, geometry as text."""
+    """(props, geometry, file, pos) of the features of GeoJSON files; property names in lower case, geometry as text, pos the place in the file."""
     raw = spark.read.schema("features array<struct<properties: map<string, string>, geometry: string>>").option("multiLine", True).json(path)
-    f = raw.select(F.explode("features").alias("f"))
-    return f.select(F.transform_keys("f.properties", lambda k, v: F.lower(k)).alias("props"), F.col("f.geometry").alias("geometry"))
+    f = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
+    return f.select(F.transform_keys("f.properties", lambda k, v: F.lower(k)).alias("props"), F.col("f.geometry").alias("geometry"), "file", F.col("pos").cast("long").alias("pos"))
 
 
 def forest_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with their trail: trail_cn, else objectid; rows with neither are dropped."""
+    """Segments with their trail: trail_cn, else objectid; rows with neither are dropped. ord: files by name, features as they stand there."""
     f = feature_collection(spark, path)
     blank = lambda k: F.when(F.trim(F.try_element_at("props", F.lit(k))) != "", F.trim(F.try_element_at("props", F.lit(k))))
     f = f.withColumn("trail_id", F.coalesce(blank("trail_cn"), blank("objectid"))).filter("trail_id is not null")
-    return f.select("trail_id", F.monotonically_increasing_id().alias("ord"), "props", line_parts(F.col("geometry")).alias("parts"))
+    files = f.select("file").distinct().withColumn("_n", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row a file
+    f = f.join(files, "file").withColumn("ord", F.shiftleft("_n", 33) + F.col("pos"))
+    return f.select("trail_id", "ord", "props", line_parts(F.col("geometry")).alias("parts"))
 
 
 def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +108,7 @@ def gpx_points(spark: SparkSession, path: str) -> DataFrame:
     found = None
     for order, tag in enumerate(("trkpt", "rtept", "wpt")):
         rows = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, ele double").load(path)
-        rows = rows.select(F.col("_metadata.file_path").alias("file"), F.lit(order).alias("kind"), F.monotonically_increasing_id().alias("at"), F.col("_lat").alias("lat"), F.col("_lon").alias("lng"), "ele")
+        rows = rows.select(F.col("_metadata.file_path").alias("file"), F.lit(order).alias("kind"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.col("_lat").alias("lat"), F.col("_lon").alias("lng"), "ele")
         found = rows if found is None else found.unionByName(rows)
     found = found.filter("lat is not null and lng is not null")
     use = found.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n")).filter("kind < 2 or n > 1").groupBy("file").agg(F.min("kind").alias("kind"))
