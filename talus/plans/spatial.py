@@ -195,6 +195,21 @@ def poi_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.merge_points(pick("pois", "s"), pick("access_points", "c")).select("id", "kind", "name")
 
 
+_PC = haversine_sql("c.lat", "c.lng", "p.lat", "p.lng")
+_SAME = f"c.kind = p.kind AND (c.name IS NULL OR p.name IS NULL OR lower(c.name) = lower(p.name)) AND {_PC} <= 0.3"
+_PLACE_SQL = "'k' || id % 3 AS kind, CASE WHEN id % 4 <> 0 THEN 'place ' || id % 50 END AS name, lat, lng"
+# each step accepts the places all of whose earlier twins are refused, and refuses those with an accepted one
+SQL["poi_merge"] = f"""WITH RECURSIVE s AS (SELECT 's' || id AS id, {_PLACE_SQL} FROM pois), o AS (SELECT 'c' || id AS id, id AS ord, {_PLACE_SQL} FROM access_points),
+r AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM o c WHERE NOT EXISTS (SELECT 1 FROM s p WHERE {_SAME})),
+near AS (SELECT c.n, list(p.n) AS before FROM r c JOIN r p ON p.n < c.n AND {_SAME} GROUP BY c.n),
+x AS MATERIALIZED (SELECT r.n, coalesce(before, []) AS before FROM r LEFT JOIN near ON near.n = r.n),
+g AS (SELECT 0 AS k, []::bigint[] AS taken, []::bigint[] AS refused UNION ALL SELECT k + 1, a, coalesce(b, []) FROM (
+  SELECT k, taken, refused, list(n) FILTER (len(list_filter(before, lambda q: NOT list_contains(refused, q))) = 0) AS a, list(n) FILTER (list_has_any(before, taken)) AS b FROM g CROSS JOIN x GROUP BY ALL)
+  WHERE len(a) > len(taken) OR len(b) > len(refused)),
+t AS (SELECT unnest(taken) AS n FROM (SELECT taken FROM g ORDER BY k DESC LIMIT 1))
+SELECT id, kind, name FROM s UNION ALL SELECT id, kind, name FROM r WHERE n IN (SELECT n FROM t)"""
+
+
 @query
 def route_match_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best trails for each area's corner: near ones first, more for a name that holds the hint."""
