@@ -367,15 +367,20 @@ def line_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths cut into two-vertex parts in mixed order, chained again."""
+    """Paths cut into two-vertex parts in mixed order, every other one turned round and one of them lost, chained again."""
     by = Window.partitionBy("path_id").orderBy("seq")
-    v = paths(spark, sf_dir).withColumn("lng2", F.lead("lng").over(by)).withColumn("lat2", F.lead("lat").over(by)).filter("lng2 is not null")
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("seq"), "lng", "lat"), F.struct(F.lit(1).alias("seq"), F.col("lng2").alias("lng"), F.col("lat2").alias("lat"))))
+    v = paths(spark, sf_dir).withColumn("lng2", F.lead("lng").over(by)).withColumn("lat2", F.lead("lat").over(by)).filter("lng2 is not null and seq <> path_id % 8")
+    turned = F.col("seq") % 2
+    ends = F.explode(F.array(F.struct(turned.alias("seq"), "lng", "lat"), F.struct((1 - turned).alias("seq"), F.col("lng2").alias("lng"), F.col("lat2").alias("lat"))))
     parts = v.select("path_id", F.pmod(F.col("seq") * 5, F.lit(7)).alias("part"), ends.alias("e")).select("path_id", "part", "e.seq", "e.lng", "e.lat")
-    return lines.chain_paths(parts).groupBy("path_id", "chain").agg(F.count(F.lit(1)).alias("n"))
+    chain = lines.chain_paths(parts).groupBy("path_id", "chain")
+    return chain.agg(F.count(F.lit(1)).alias("n"), F.min_by("lng", "seq").alias("first_lng"), F.max_by("lng", "seq").alias("last_lng"))
 
 
-SQL["chain_lines"] = "SELECT path_id, 0 AS chain, count(*) AS n FROM vertices GROUP BY path_id"
+# a chain begins with its smallest part and runs the way that part does
+SQL["chain_lines"] = """WITH p AS (SELECT *, seq * 5 % 7 AS part, lead(lng) OVER w AS lng2, seq > path_id % 8 AS after FROM vertices WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+c AS (SELECT path_id, after, count(*) + 1 AS n, arg_min(seq % 2, part) AS turned, min(part) AS part, min(lng) AS west, max(lng2) AS east FROM p WHERE lng2 IS NOT NULL AND seq <> path_id % 8 GROUP BY path_id, after)
+SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY part) - 1 AS chain, n, CASE WHEN turned = 1 THEN east ELSE west END AS first_lng, CASE WHEN turned = 1 THEN west ELSE east END AS last_lng FROM c"""
 
 # Graph
 
