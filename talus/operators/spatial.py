@@ -41,6 +41,31 @@ def radius_join(left: DataFrame, right: DataFrame, miles: float, size: float | N
     return near.filter(F.col("distance_raw") <= miles).drop("_r", "_c")
 
 
+CHUNK = 512  # rows of one place that go together
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, miles: float, size: float | None = None) -> DataFrame:
+    """As radius_join, for many rows at the same places, whose columns other than lat and lng differ in name; right's places are not told.
+
+    Distances are found once for two places. Their rows, in arrays of about ``CHUNK``, are dealt out evenly
+    before they are paired, so pairs are never shuffled and no place or cell is one task's.
+    """
+    near = radius_join(_places(left), _places(right), miles, size)
+    far = _chunks(right, "_b").withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"})
+    held = near.join(_chunks(left, "_a"), ["lat", "lng"]).join(far, ["r_lat", "r_lng"])
+    dealt = held.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = dealt.select("lat", "lng", "distance_raw", "_b", F.explode("_a").alias("_a")).select("lat", "lng", "distance_raw", "_a", F.explode("_b").alias("_b"))
+    return pairs.select("lat", "lng", "_a.*", "_b.*", "distance_raw")
+
+
+def _chunks(df: DataFrame, name: str) -> DataFrame:
+    """(lat, lng, name): each place's rows in arrays of about CHUNK, dealt out by their hash."""
+    rest = [c for c in df.columns if c not in ("lat", "lng")]
+    many = df.groupBy("lat", "lng").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    dealt = df.join(many, ["lat", "lng"]).withColumn("_k", F.pmod(F.xxhash64(*rest), F.col("_n")))
+    return dealt.groupBy("lat", "lng", "_k").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("_k")
+
+
 def _in_cell(df: DataFrame, lat: str, lng: str, size: float) -> DataFrame:
     return df.withColumn("_r", cell(F.col(lat), size)).withColumn("_c", column(F.col(lng), F.col("_r"), size))
 
@@ -77,10 +102,11 @@ def segments_of(vertices: DataFrame, path: str = "path_id", seq: str = "seq") ->
 def nearest_line(points: DataFrame, segments: DataFrame, miles: float, point: str = "id", line: str = "path_id", seq: str = "seq") -> DataFrame:
     """(point, line, seq, distance_mi, lat, lng): the nearest place on any of many lines within ``miles`` of each point.
 
-    Distances are told to a millionth of a mile; ties go to the smaller line, then segment.
+    Distances are told to a millionth of a mile; ties go to the smaller line, then segment. Points at one place look once.
     """
-    near = near_segments(points.select(point, "lat", "lng"), segments, miles).select(point, F.struct(F.round("near.d", 6).alias("distance_mi"), line, seq, F.col("near.lat").alias("lat"), F.col("near.lng").alias("lng")).alias("b"))
-    return near.groupBy(point).agg(F.min("b").alias("b")).select(point, "b.*")
+    near = near_segments(_places(points), segments, miles).select(F.col("lat").alias("_y"), F.col("lng").alias("_x"), F.struct(F.round("near.d", 6).alias("distance_mi"), line, seq, F.col("near.lat").alias("lat"), F.col("near.lng").alias("lng")).alias("b"))
+    best = near.groupBy("_y", "_x").agg(F.min("b").alias("b"))
+    return points.select(point, F.col("lat").alias("_y"), F.col("lng").alias("_x")).join(best, ["_y", "_x"]).select(point, "b.*")
 
 
 def _places(vertices: DataFrame) -> DataFrame:
