@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.geo import haversine
+from talus.functions.geo import MILES_PER_DEGREE, cell, column, haversine
 from talus.functions.text import key_name, slug
 from talus.operators.lineage import cut
 from talus.operators.lines import chain_networks, gains, steps
 from talus.operators.merge import box_union, majorities
-from talus.operators.spatial import radius_join
+from talus.operators.spatial import radius_join, radius_pairs
 from talus.sources.readers import terrain_metres
 
 SNAP_M, STITCH_MI, SHORT_LEG_MI = 4.0, 35 / 1609.34, 0.15
@@ -76,8 +76,20 @@ def edge_shapes(edge: DataFrame) -> DataFrame:
 
 def stitches(ends: DataFrame, miles: float = STITCH_MI) -> DataFrame:
     """(a, b, miles), a < b: path ends (node, lat, lng) close enough to be joined, each pair once."""
-    near = radius_join(ends.select(F.col("node").alias("a"), "lat", "lng"), ends.select(F.col("node").alias("b"), "lat", "lng"), miles, size=0.001)
-    return near.filter("a < b").select("a", "b", F.col("distance_raw").alias("miles")).distinct()
+    ends = ends.select("node", "lat", "lng").distinct()
+    near = radius_pairs(ends.withColumnRenamed("node", "a"), ends.withColumnRenamed("node", "b"), miles, size=0.001)
+    pairs = near.filter("a < b").select("a", "b", F.col("distance_raw").alias("miles"))
+    several = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return pairs if several.isEmpty() else pairs.distinct()  # a pair is met twice only if a node stands at several places
+
+
+def stitched_components(ends: DataFrame, miles: float = STITCH_MI) -> DataFrame:
+    """component_labels of stitches, whose pairs are never told: nodes of one place hang on the least of them, and those of near places on each other."""
+    ends = ends.select("node", "lat", "lng").filter("lat is not null and lng is not null").distinct()
+    least = ends.groupBy("lat", "lng").agg(F.min("node").alias("spot"), F.count(F.lit(1)).alias("n"))
+    near = radius_join(least.select("spot", "lat", "lng"), least.select(F.col("spot").alias("other"), "lat", "lng"), miles, size=0.001).filter("spot < other")
+    own = ends.join(least.filter("n > 1"), ["lat", "lng"])
+    return component_labels(own.select(F.col("node").alias("src"), F.col("spot").alias("dst")).unionByName(near.select(F.col("spot").alias("src"), F.col("other").alias("dst"))))
 
 
 def climbs(edge: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -88,8 +100,9 @@ def climbs(edge: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def nearest_node(requests: DataFrame, nodes: DataFrame, miles: float) -> DataFrame:
     """(request_id, node): the nearest node within ``miles`` of each (request_id, lat, lng); ties to the smaller node."""
-    near = radius_join(requests, nodes.select("node", "lat", "lng"), miles, size=0.01)
-    return near.groupBy("request_id").agg(F.min_by("node", F.struct("distance_raw", "node")).alias("node"))
+    near = radius_join(requests.select("lat", "lng").distinct(), nodes.select("node", "lat", "lng"), miles, size=0.01)  # requests from one place look once
+    best = near.groupBy("lat", "lng").agg(F.min(F.struct("distance_raw", "node")).alias("b"))
+    return requests.join(best, ["lat", "lng"]).groupBy("request_id").agg(F.min("b").alias("b")).select("request_id", "b.node")
 
 
 def _either_way(edge: DataFrame) -> DataFrame:
@@ -203,9 +216,18 @@ def way_trails(runs: DataFrame, gap_mi: float = 2.0, least_mi: float = 0.25) ->
     trail is its smallest run; trails shorter than ``least_mi`` in all are dropped. Only ends of one name meet.
     """
     ends = runs.select("run", "key_name", F.explode(F.array(F.struct(F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), F.struct(F.col("b_lat").alias("lat"), F.col("b_lng").alias("lng")))).alias("p")).select("run", "key_name", "p.*").distinct()
-    near = radius_join(ends.withColumnRenamed("run", "src"), ends.withColumnRenamed("run", "dst"), gap_mi, on=["key_name"]).filter("src < dst").select("src", "dst").distinct()
-    label = component_labels(near)
-    named = runs.join(label.select(F.col("node").alias("run"), "label"), "run", "left").withColumn("trail", F.coalesce("label", "run"))
+    # runs of a name that end at one place are its spot's, the least run's, and spots within reach of the least in their cell are that one's
+    spots = ends.groupBy("key_name", "lat", "lng").agg(F.min("run").alias("spot"))
+    size = gap_mi / MILES_PER_DEGREE / 1.5
+    spots = spots.withColumn("_r", cell(F.col("lat"), size)).withColumn("_c", column(F.col("lng"), F.col("_r"), size))
+    least = spots.groupBy("key_name", "_r", "_c").agg(F.min(F.struct("spot", F.col("lat").alias("y"), F.col("lng").alias("x"))).alias("m"))
+    close = haversine(F.col("lat"), F.col("lng"), F.col("m.y"), F.col("m.x")) <= gap_mi
+    spots = spots.join(least, ["key_name", "_r", "_c"]).select("key_name", "lat", "lng", F.when(close, F.col("m.spot")).otherwise(F.col("spot")).alias("spot"))
+    near = radius_join(spots.withColumnRenamed("spot", "src"), spots.withColumnRenamed("spot", "dst"), gap_mi, on=["key_name"]).filter("src < dst").select("src", "dst").distinct()
+    of = ends.join(spots, ["key_name", "lat", "lng"]).groupBy("run").agg(F.min("spot").alias("src"), F.max("spot").alias("dst"))
+    label = component_labels(near.unionByName(of.select("src", "dst").distinct()))
+    found = of.join(label.withColumnRenamed("node", "src"), "src").select("run", "label")
+    named = runs.join(found, "run", "left").withColumn("trail", F.coalesce("label", "run"))
     long = named.groupBy("trail").agg(F.sum("miles").alias("m")).filter(F.col("m") >= least_mi).select("trail")
     return named.join(long, "trail").select("run", "trail")
 

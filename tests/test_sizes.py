@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from talus.operators import spatial
+from talus.functions import text
+from talus.operators import graph, spatial
 
 PATH = [(0, 37.0, -120.0), (1, 37.001, -120.0)]
 
@@ -52,3 +53,54 @@ def test_scenery_and_grades_are_found_by_line(spark):
 
     for name in ("scenery_tags", "worst_grade"):
         assert "Aggregate" not in before_join(plans.queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_pairs_of_places_with_many_rows(spark):
+    v, p = copies(spark, 3, 700)
+    left = v.filter("seq = 1").select("path_id", "lat", "lng")
+    got = spatial.radius_pairs(left, p.select("id", "lat", "lng"), 0.5)
+    want = spatial.radius_join(left, p.select("id", "lat", "lng"), 0.5)
+    told = lambda df: sorted((r.path_id, r.id, r.distance_raw) for r in df.collect())
+    assert told(got) == told(want) and len(told(want)) == 2100
+    assert "Join" not in before_join(got).split("Generate")[0] and "Aggregate" not in before_join(got)
+
+
+def test_stitches_are_not_grouped(spark):
+    ends = copies(spark, 1, 30)[1].select(F.col("id").alias("node"), "lat", "lng")
+    s = graph.stitches(ends, 0.2)
+    assert s.count() == 435 and "Aggregate" not in before_join(s)
+    twice = ends.filter("node < 2").unionByName(ends.filter("node = 1").withColumn("lat", F.lit(37.0012)))
+    assert sorted((r.a, r.b) for r in graph.stitches(twice, 0.2).collect()) == [(0, 1), (0, 1)]  # two distances
+
+
+def test_components_need_no_pairs(spark, monkeypatch):
+    from talus import plans
+
+    monkeypatch.setattr(graph, "stitches", None)
+    assert plans.queries()["components"](spark, "/root/testdata/sf0.01").count() == 1500
+
+
+def test_places_look_once(spark, monkeypatch):
+    seen = {}
+    for module, name in ((spatial, "near_segments"), (spatial, "radius_join"), (graph, "radius_join")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda left, *a, _real=real, _name=name, **k: (seen.setdefault(_name, []).append(left.count()), _real(left, *a, **k))[1])
+    from talus import plans
+
+    for q in ("perimeter_edges", "perimeter_distance", "snap_nearest_line", "nearest_node"):
+        plans.queries()[q](spark, "/root/testdata/sf0.01")
+    assert {n for many in seen.values() for n in many} == {400}  # of 1500 points
+
+
+def test_open_entities_stay_where_sql_leaves_them(spark):
+    row = spark.createDataFrame([("<p>a &amp; b&hellip; &amp</p>&#65; &nothing;",)], "h string").select(text.plain(F.col("h"), open_entities=False).alias("a"), text.plain(F.col("h")).alias("b")).first()
+    assert row.a == "a & b… &amp\nA &nothing;" and row.b.startswith("a & b… &\nA")
+
+
+def test_runs_of_a_cell_are_one_without_pairs(spark, monkeypatch):
+    runs = spark.createDataFrame([(i, "n", 1.0, 37.0 + (i % 9) * 0.001, -120.0, 37.3, -120.0 + (i % 3) * 0.5) for i in range(60)], "run long, key_name string, miles double, a_lat double, a_lng double, b_lat double, b_lng double")
+    linked = []
+    real = graph.component_labels
+    monkeypatch.setattr(graph, "component_labels", lambda e: (linked.append(e.count()), real(e))[1])
+    got = graph.way_trails(runs)
+    assert {r.trail for r in got.collect()} == {0} and linked[0] < 30
