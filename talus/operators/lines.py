@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from talus.functions.geo import EARTH_MI, EARTH_MI_FINE, haversine
 
 GAIN_THRESHOLD_FT, JOIN_DEG = 15.0, 1e-4
+WHOLE_PATH = 100_000  # vertices of a path that one task chains without looking for networks
 
 
 def steps(vertices: DataFrame, path: str = "path_id", seq: str = "seq", radius: float = EARTH_MI) -> DataFrame:
@@ -466,13 +467,22 @@ def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0
     return _chained(segments, ["path_id"], near, stitch_m, snap).select("path_id", F.posexplode(F.array_sort("v")).alias("chain", "c")).select("path_id", F.col("chain").cast("long").alias("chain"), F.posexplode("c.line").alias("seq", "p")).select("path_id", "chain", F.col("seq").cast("long").alias("seq"), "p.lng", "p.lat")
 
 
-def chain_networks(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False) -> DataFrame:
+def chain_networks(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False, whole: int = WHOLE_PATH) -> DataFrame:
     """As chain_paths, with the same chains in the same order, for paths of any number of parts.
 
     Ends meet in cells as wide as they may be apart, each part standing in the cells around
     its ends; parts that share cells, directly or through others, are one network. Only a
     network's parts have to be in one task. Chains are numbered by the part they start from.
+    Paths of at most ``whole`` vertices are chained as one, without looking for their networks.
     """
+    large = segments.groupBy("path_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("path_id")
+    if large.isEmpty():
+        return chain_paths(segments, near, stitch_m, snap)
+    small = chain_paths(segments.join(large, "path_id", "left_anti"), near, stitch_m, snap)
+    return small.unionByName(_chained_networks(segments.join(large, "path_id", "left_semi"), near, stitch_m, snap))
+
+
+def _chained_networks(segments: DataFrame, near: float, stitch_m: float, snap: bool) -> DataFrame:
     at = F.struct("lng", "lat")
     ends = segments.groupBy("path_id", "part").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     reach = max(near, stitch_m / 111_000)

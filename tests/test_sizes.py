@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from talus.functions import text
-from talus.operators import graph, spatial
+from talus.operators import graph, lines, spatial
 
 PATH = [(0, 37.0, -120.0), (1, 37.001, -120.0)]
 
@@ -104,3 +104,14 @@ def test_runs_of_a_cell_are_one_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "component_labels", lambda e: (linked.append(e.count()), real(e))[1])
     got = graph.way_trails(runs)
     assert {r.trail for r in got.collect()} == {0} and linked[0] < 30
+
+
+def test_small_paths_are_chained_without_networks(spark, monkeypatch):
+    rows = [(p, k, s, -120.0 + 0.01 * (k * 3 % 7 + s), 37.0 + p) for p in (1, 2) for k in range(7) for s in (0, 1)]
+    v = spark.createDataFrame(rows, "path_id long, part long, seq long, lng double, lat double")
+    more = v.unionByName(v.filter("path_id = 2").withColumn("part", F.col("part") + 10).withColumn("lat", F.lit(45.0)))
+    told = lambda df: sorted(map(tuple, df.select("path_id", "chain", "seq", "lng", "lat").collect()))
+    want = told(lines.chain_paths(more))
+    assert told(lines.chain_networks(more, whole=0)) == want == told(lines.chain_networks(more, whole=14))
+    monkeypatch.setattr(graph, "component_labels", None)
+    assert told(lines.chain_networks(more)) == want
