@@ -272,6 +272,30 @@ def nearest_index(points: Column, lat: Column, lng: Column) -> Column:
     return F.coalesce(F.array_min(far)["i"], F.lit(0))
 
 
+def put_on_lines(vertices: DataFrame, lat: Column, lng: Column, miles: float = 0.4, path: str = "path_id", seq: str = "seq") -> DataFrame:
+    """(path, lng, lat, nearest): a place of each path as snapped_to() puts it on the path's line, and nearest_index() of it.
+
+    ``lat`` and ``lng`` say the place in terms of the path's first vertex (columns path, lat, lng). Each
+    vertex is measured as a row of its own, with the segment before it, and the path keeps the least of them.
+    """
+    by = Window.partitionBy(path).orderBy(seq)
+    lag = lambda c: F.lag(c).over(by)
+    first = lambda c: F.first(c).over(by)
+    v = vertices.select(path, F.col("lat").alias("_y"), F.col("lng").alias("_x"), lag("lat").alias("_ay"), lag("lng").alias("_ax"), first("lat").alias("lat"), first("lng").alias("lng"), (F.row_number().over(by) - 1).alias("_i"))
+    v = v.select(path, "_y", "_x", "_ay", "_ax", "_i", lat.alias("_lat"), lng.alias("_lng"), (F.col("_x") - F.col("_ax")).alias("_dx"), (F.col("_y") - F.col("_ay")).alias("_dy"))
+    square = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")
+    t = F.when(square > 0, ((F.col("_lng") - F.col("_ax")) * F.col("_dx") + (F.col("_lat") - F.col("_ay")) * F.col("_dy")) / square).otherwise(0.0)
+    v = v.withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+    v = v.withColumns({"_on_x": F.col("_ax") + F.col("_t") * F.col("_dx"), "_on_y": F.col("_ay") + F.col("_t") * F.col("_dy")})
+    far = lambda y, x: haversine(F.col("_lat"), F.col("_lng"), F.col(y), F.col(x))
+    v = v.withColumns({"_d": far("_on_y", "_on_x"), "_near": far("_y", "_x")})
+    found = v.groupBy(path).agg(
+        F.min(F.when(F.col("_i") > 0, F.struct("_d", "_i", "_on_x", "_on_y"))).alias("b"), F.min(F.struct("_near", "_i")).alias("n"), F.min(F.struct("_i", "_lat", "_lng")).alias("p")
+    )
+    on = F.col("b._d") <= miles
+    return found.select(path, F.when(on, F.col("b._on_x")).otherwise(F.col("p._lng")).alias("lng"), F.when(on, F.col("b._on_y")).otherwise(F.col("p._lat")).alias("lat"), F.col("n._i").alias("nearest"))
+
+
 def highest(points: DataFrame, key: str = "path_id") -> DataFrame:
     """(key, lat, lng, ele) of each route's highest point; of equal ones the first. Routes without heights have none."""
     return points.filter("ele is not null").groupBy(key).agg(F.max(F.struct("ele", (-F.col("seq")).alias("s"), "lat", "lng")).alias("h")).select(key, "h.lat", "h.lng", "h.ele")

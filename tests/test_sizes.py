@@ -115,3 +115,20 @@ def test_small_paths_are_chained_without_networks(spark, monkeypatch):
     assert told(lines.chain_networks(more, whole=0)) == want == told(lines.chain_networks(more, whole=14))
     monkeypatch.setattr(graph, "component_labels", None)
     assert told(lines.chain_networks(more)) == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_put_on_lines_without_arrays(spark):
+    from talus import plans
+
+    assert "lambda" not in plan(plans.queries()["snap_to_line"](spark, "/root/testdata/sf0.001"))
+    v = spark.createDataFrame([(1, 4, 37.0, -120.0), (1, 5, 37.0, -120.0), (1, 7, 37.01, -120.0), (1, 9, 37.0, -120.0), (2, 0, 37.0, -120.0), (3, 0, 37.0, -120.0), (3, 1, 38.0, -120.0)], "path_id long, seq long, lat double, lng double")
+    lat, lng = F.col("lat") + 0.002, F.col("lng") + F.col("path_id") * 0.001
+    held = v.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lat", "lng"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("p"))
+    held = held.select("path_id", "p", F.col("p")[0]["lat"].alias("lat"), F.col("p")[0]["lng"].alias("lng"))
+    s = lines.snapped_to(F.col("p"), lat, lng)
+    want = held.select("path_id", s["lng"].alias("lng"), s["lat"].alias("lat"), lines.nearest_index(F.col("p"), lat, lng).alias("nearest"))
+    assert sorted(map(tuple, lines.put_on_lines(v, lat, lng).collect())) == sorted(map(tuple, want.collect()))
