@@ -568,16 +568,19 @@ def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", run
     """
     by = Window.partitionBy(path).orderBy(seq)
     grid = lambda c: F.bround(F.col(c) / JOIN_DEG).cast("long")
-    walk = steps(vertices.select(path, seq, "lat", "lng", (F.col(run) if run else F.lit(0)).alias("_run")), path, seq).withColumn("node", F.struct(grid("lng"), grid("lat")))
-    walk = walk.withColumn("before", F.lag("node").over(by)).withColumn("ground", F.struct(F.least("node", "before"), F.greatest("node", "before")))
-    nth = F.row_number().over(Window.partitionBy(path, "ground").orderBy(seq))
-    moved = F.col("before").isNotNull() & (F.col("before") != F.col("node"))
-    walk = walk.withColumn("again", F.when(moved & (nth == 2), 2 * F.col("step_mi")).when(moved & (nth > 2), F.col("step_mi")).otherwise(0.0))
-    ends = walk.groupBy(path).agg(
-        F.sum("step_mi").alias("miles"), F.sum("again").alias("again"), F.min(F.struct(seq, "lat", "lng")).alias("a"), F.max(F.struct(seq, "lat", "lng")).alias("b"), F.count(F.lit(1)).alias("n"), (F.min("_run") != F.max("_run")).alias("several")
-    )
+    walk = vertices.select(path, seq, "lat", "lng", (F.col(run) if run else F.lit(0)).alias("_run"), (grid("lng") * (1 << 32) + grid("lat")).alias("node"))
+    lag, first = lambda c: F.lag(c).over(by), lambda c: F.first(c).over(by)
+    step = F.coalesce(haversine(lag("lat"), lag("lng"), F.col("lat"), F.col("lng")), F.lit(0.0))
+    apart = F.when(F.lead(seq).over(by).isNull(), haversine(first("lat"), first("lng"), F.col("lat"), F.col("lng"), EARTH_MI_FINE))  # at the last vertex
+    # what the second window sorts is kept to a few numbers a row
+    walk = walk.select(path, seq, "_run", "node", lag("node").alias("before"), step.alias("step_mi"), apart.alias("apart"))
+    moved = F.col("before") != F.col("node")
+    walk = walk.select(path, seq, "_run", "step_mi", "apart", F.when(moved, F.least("node", "before")).alias("_g"), F.when(moved, F.greatest("node", "before")).alias("_h"))
+    nth = F.row_number().over(Window.partitionBy(path, "_g", "_h").orderBy(seq))
+    walk = walk.withColumn("again", F.when(F.col("_g").isNull() | (nth == 1), 0.0).when(nth == 2, 2 * F.col("step_mi")).otherwise(F.col("step_mi")))
+    ends = walk.groupBy(path).agg(F.sum("step_mi").alias("miles"), F.sum("again").alias("again"), F.max("apart").alias("apart"), F.count(F.lit(1)).alias("n"), (F.min("_run") != F.max("_run")).alias("several"))
     share = F.when(F.col("miles") > 0, F.col("again") / F.col("miles")).otherwise(0.0)
-    closed = haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"), EARTH_MI_FINE) * 1609.344 < closed_m
+    closed = F.col("apart") * 1609.344 < closed_m
     kind = (
         F.when(F.col("several"), "network").when(F.col("n") < 2, "unknown").when(share >= 0.85, "out-and-back")
         .when(closed, F.when(share >= 0.15, "lollipop").otherwise("loop")).when(share >= 0.35, "out-and-back").otherwise("point-to-point")

@@ -132,3 +132,12 @@ def test_places_are_put_on_lines_without_arrays(spark):
     s = lines.snapped_to(F.col("p"), lat, lng)
     want = held.select("path_id", s["lng"].alias("lng"), s["lat"].alias("lat"), lines.nearest_index(F.col("p"), lat, lng).alias("nearest"))
     assert sorted(map(tuple, lines.put_on_lines(v, lat, lng).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_route_types_sort_a_few_numbers_a_row(spark):
+    from talus import plans
+
+    told = plan(plans.queries()["route_types"](spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" not in told and "ground" not in told
+    cells = spark.createDataFrame([(1, s, 37.0, -120.0 + 0.001 * x) for s, x in enumerate((0, 1, 2, 1, 0))] + [(2, 0, 37.0, -120.0)], "path_id long, seq long, lat double, lng double")
+    assert {r.path_id: r.route_type for r in lines.route_type(cells).collect()} == {1: "out-and-back", 2: "unknown"}
