@@ -482,13 +482,13 @@ def stitches_of(chains: list[tuple[int, list[tuple[float, float]]]], metres: flo
 
 
 def chain_paths(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False) -> DataFrame:
-    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); each path is one row of arrays.
+    """(path_id, chain, seq, lng, lat) from segments (path_id, part, seq, lng, lat); a path's rows are read in their order, and no array holds it.
 
     With ``snap`` ends meet in one cell of the grid of ``near``, else within a box of that size.
     With ``stitch_m`` chains whose ends are that close are joined afterwards, closest first.
     For paths of very many parts, chain_networks.
     """
-    return _chained(segments, ["path_id"], near, stitch_m, snap).select("path_id", F.posexplode(F.array_sort("v")).alias("chain", "c")).select("path_id", F.col("chain").cast("long").alias("chain"), F.posexplode("c.line").alias("seq", "p")).select("path_id", "chain", F.col("seq").cast("long").alias("seq"), "p.lng", "p.lat")
+    return _chained(segments, ["path_id"], near, stitch_m, snap).select("path_id", "chain", "seq", "lng", "lat")
 
 
 def chain_networks(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float = 0.0, snap: bool = False, whole: int = WHOLE_PATH) -> DataFrame:
@@ -526,36 +526,58 @@ def _chained_networks(segments: DataFrame, near: float, stitch_m: float, snap: b
 
     label = component_labels(link).select(F.col("node").alias("_node"), F.col("label").alias("_network"))
     named = segments.withColumn("_node", number("part", "part")).join(label, "_node")
-    chains = _chained(named, ["path_id", "_network"], near, stitch_m, snap).select("path_id", F.explode("v").alias("c"))
+    chains = _chained(named, ["path_id", "_network"], near, stitch_m, snap)
     order = Window.partitionBy("path_id").orderBy("start")
-    numbers = chains.select("path_id", F.col("c.start").alias("start")).withColumn("chain", (F.row_number().over(order) - 1).cast("long"))
-    out = chains.select("path_id", "c.start", "c.line").join(numbers, ["path_id", "start"])
-    return out.select("path_id", "chain", F.posexplode("line").alias("seq", "p")).select("path_id", "chain", F.col("seq").cast("long").alias("seq"), "p.lng", "p.lat")
+    numbers = chains.filter("seq = 0").select("path_id", "start", (F.row_number().over(order) - 1).cast("long").alias("chain"))
+    return chains.drop("chain").join(numbers, ["path_id", "start"]).select("path_id", "chain", "seq", "lng", "lat")
 
 
 def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float, snap: bool) -> DataFrame:
-    """(keys, v): for each group of segments its chains as array<struct<start, line>>, start the part each began with."""
+    """(keys, chain, start, seq, lng, lat): for each group of segments its chains' points, chains numbered in order, start the part each began with.
+
+    The window brings a group's rows together, in order, and numbers them; a task folds one group after another.
+    """
     kinds = dict(segments.dtypes)
-    rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "seq", "lng", "lat"))).alias("v"))
-    rows = rows.select(*keys, "v.part", "v.lng", "v.lat")
-    n, part_kind = len(keys), rows.schema["part"].dataType.elementType.simpleString()
-    point = pa.struct([("lng", pa.float64()), ("lat", pa.float64())])
+    by = Window.partitionBy(*keys).orderBy("part", "seq", "lng", "lat")
+    rows = segments.select(*keys, "part", "seq", "lng", "lat").withColumn("_n", F.row_number().over(by)).select(*keys, "part", "lng", "lat", "_n")
+    names = [*keys, "chain", "start", "seq", "lng", "lat"]
+
+    def told(groups: list[tuple], types: list[pa.DataType], part: pa.DataType) -> pa.RecordBatch:
+        """A batch of (key, chain, start, line)."""
+        size = [len(line) for *_, line in groups]
+        of = np.repeat(np.arange(len(groups)), size)
+        each = [pa.array([g[0][i] for g in groups], t) for i, t in enumerate(types)] + [pa.array([g[1] for g in groups], pa.int64()), pa.array([g[2] for g in groups], part)]
+        seq = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in each), pa.array(seq, pa.int64()), *(pa.array([p[i] for *_, line in groups for p in line], pa.float64()) for i in (0, 1))], names=names)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, begun, out, points, kind = None, [], [], [], 0, None
+
+        def fold() -> int:
+            found = stitches_of(chains_of(parts, near, snap), stitch_m)
+            out.extend((key, c, begun[k], line) for c, (k, line) in enumerate(found))
+            return sum(len(line) for _, line in found)
+
         for batch in batches:
-            out = []
-            for part, lng, lat in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
-                parts: dict = {}
-                for k, *place in zip(part, lng, lat):
-                    parts.setdefault(k, []).append(tuple(place))
-                names = list(parts)
-                found = stitches_of(chains_of(list(parts.values()), near, snap), stitch_m)
-                out.append([{"start": names[k], "line": [{"lng": x, "lat": y} for x, y in line]} for k, line in found])
-            kind = pa.list_(pa.struct([("start", batch.schema.field("part").type.value_type), ("line", pa.list_(point))]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(out, kind)], names=[*keys, "v"])
+            kind = kind or ([batch.schema.field(i).type for i in range(len(keys))], batch.schema.field(len(keys)).type)
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys)))))
+            for k, part, x, y, n in zip(own, *(batch.column(len(keys) + i).to_pylist() for i in range(4))):
+                if n == 1:
+                    points += fold()
+                    if points > 10_000:
+                        yield told(out, *kind)
+                        out, points = [], 0
+                    key, parts, begun = k, [], []
+                if n == 1 or part != begun[-1]:
+                    parts.append([])
+                    begun.append(part)
+                parts[-1].append((x, y))
+        fold()
+        if out:
+            yield told(out, *kind)
 
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return rows.mapInArrow(chain, f"{keyed}, v array<struct<start: {part_kind}, line: array<struct<lng: double, lat: double>>>>")
+    return rows.mapInArrow(chain, f"{keyed}, chain long, start {kinds['part']}, seq long, lng double, lat double")
 
 
 def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", run: str | None = None, closed_m: float = 50.0) -> DataFrame:

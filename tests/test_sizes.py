@@ -141,3 +141,14 @@ def test_route_types_sort_a_few_numbers_a_row(spark):
     assert "SortAggregate" not in told and "ground" not in told
     cells = spark.createDataFrame([(1, s, 37.0, -120.0 + 0.001 * x) for s, x in enumerate((0, 1, 2, 1, 0))] + [(2, 0, 37.0, -120.0)], "path_id long, seq long, lat double, lng double")
     assert {r.path_id: r.route_type for r in lines.route_type(cells).collect()} == {1: "out-and-back", 2: "unknown"}
+
+
+def test_chains_are_read_in_order_without_arrays(spark):
+    from talus import plans
+
+    for name in ("chain_lines", "chain_stitched"):
+        assert "collect_list" not in plan(plans.queries()[name](spark, "/root/testdata/sf0.001")), name
+    rows = [(p, k, s, -120.0 + 0.001 * (k * 2 + s), 37.0 + p) for p in range(40) for k in range(300) for s in (0, 1)]  # more than a batch of rows
+    v = spark.createDataFrame(rows, "path_id long, part long, seq long, lng double, lat double").repartition(1)
+    got = lines.chain_paths(v, stitch_m=1.0).collect()
+    assert len(got) == len(rows) and {(r.path_id, r.chain, r.seq % 2, round(r.lng, 6)) for r in got} == {(p, k, s, round(x, 6)) for p, k, s, x, _ in rows}
