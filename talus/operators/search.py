@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from talus.functions.nulls import unknown_or, within
 from talus.functions.ratings import DIFFICULTY, STEEPNESS, activities, allowed, band, climb_rate, effort
 from talus.functions.text import name_signal, signal_bound
+from talus.operators.lineage import cut
 
 
 @dataclass
@@ -139,11 +140,20 @@ SORTS: dict[str, Callable[[], list[Column]]] = {
 
 
 def tops(trails: DataFrame, k: int) -> DataFrame:
-    """(sort, id, rank): the first k of every sort order, in one pass limited by order before the shuffle."""
-    entries = [F.struct(F.lit(name).alias("sort"), *[c.alias(f"k{i}") for i, c in enumerate(keys())]) for name, keys in SORTS.items()]
-    by = Window.partitionBy("sort").orderBy("k0", "k1", "k2", "ord")
-    ranked = trails.select("id", "ord", F.explode(F.array(*entries)).alias("e")).select("id", "ord", "e.*").withColumn("rank", F.row_number().over(by))
-    return ranked.filter(F.col("rank") <= k).select("sort", "id", F.col("rank").cast("long").alias("rank"))
+    """(sort, id, rank): the first k of every sort order, which each keep k rows a task instead of sorting all.
+
+    Keys are narrow and stored once, so the orders don't each find the trails anew.
+    """
+    keys = {name: keys() for name, keys in SORTS.items()}
+    held = cut(trails.select("id", "ord", *[c.alias(f"_{name}{i}") for name, cs in keys.items() for i, c in enumerate(cs)]))
+    by = Window.partitionBy("sort").orderBy("_place")
+    first = None
+    for name in keys:
+        order = [f"_{name}{i}" for i in range(3)]
+        own = held.select("id", "ord", *order).orderBy(*order, "ord").limit(k)
+        own = own.select("id", F.lit(name).alias("sort"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*order, "ord"])]).alias("_place"))
+        first = own if first is None else first.unionByName(own)
+    return first.withColumn("rank", F.row_number().over(by).cast("long")).select("sort", "id", "rank")
 
 
 def search(trails: DataFrame, f: Filters, sort: str = "relevance", limit: int = 50, offset: int = 0) -> DataFrame:

@@ -152,3 +152,10 @@ def test_chains_are_read_in_order_without_arrays(spark):
     v = spark.createDataFrame(rows, "path_id long, part long, seq long, lng double, lat double").repartition(1)
     got = lines.chain_paths(v, stitch_m=1.0).collect()
     assert len(got) == len(rows) and {(r.path_id, r.chain, r.seq % 2, round(r.lng, 6)) for r in got} == {(p, k, s, round(x, 6)) for p, k, s, x, _ in rows}
+
+
+def test_tops_keep_few_rows_a_task(spark):
+    from talus import plans
+
+    told = plan(plans.queries()["sort_unknown_last"](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in told and "WindowGroupLimit" not in told and told.count("TakeOrderedAndProject") == 7
