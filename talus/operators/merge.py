@@ -141,14 +141,15 @@ def listed(records: DataFrame, min_miles: float | None = None, named_only: bool
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
-    """Adds 0, 1, 2 ... in the given order: ranges of it are numbered apart and shifted by the rows before them."""
+    """Adds 0, 1, 2 ... in the given order: ranges of it are sorted and numbered apart and shifted by the rows before them."""
     keys = [f"_k{i}" for i in range(len(order))]
-    dealt = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    dealt = cut(dealt)  # ranges are drawn by sampling, so they are fixed once
+    dealt = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # a range and a row's place in it; ranges are drawn by sampling, so they are fixed once
+    dealt = cut(dealt.drop(*keys).withColumn("_m", F.monotonically_increasing_id()))
+    dealt = dealt.withColumns({"_p": F.shiftright("_m", 33), "_within": F.col("_m").bitwiseAND((1 << 33) - 1)})
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     shifts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
-    return dealt.withColumn("_within", within).join(shifts, "_p").withColumn(name, (F.col("_within") + F.col("_shift")).cast("long")).drop(*keys, "_p", "_within", "_shift")
+    return dealt.join(F.broadcast(shifts), "_p").withColumn(name, (F.col("_within") + F.col("_shift")).cast("long")).drop("_m", "_p", "_within", "_shift")
 
 
 def index_order(sources: list[tuple[DataFrame, Column]]) -> DataFrame:

@@ -159,3 +159,11 @@ def test_tops_keep_few_rows_a_task(spark):
 
     told = plan(plans.queries()["sort_unknown_last"](spark, "/root/testdata/sf0.001"))
     assert "Generate" not in told and "WindowGroupLimit" not in told and told.count("TakeOrderedAndProject") == 7
+
+
+def test_ranges_are_numbered_where_they_are_sorted(spark):
+    from talus.operators import merge
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"))
+    got = merge.numbered(rows.repartition(7), [F.col("id")])
+    assert "hashpartitioning(_p" not in plan(got).split("Window")[0] and {(r.id, r.ord) for r in got.collect()} == {(i, i) for i in range(1000)}
