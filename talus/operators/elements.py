@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from talus.functions.sources import SCALE_GRADES, tag
 from talus.functions.text import lookup
-from talus.operators.lines import chain_paths, path_lengths, route_type, worst_gap
-from talus.operators.merge import vertex_bounds
+from talus.operators.lineage import cut
+from talus.operators.lines import chain_paths, route_type, steps, worst_gap
 
 STITCH_M = 35.0
 
@@ -35,14 +35,16 @@ def records(parts: DataFrame, tags: DataFrame, flat: list[str] | None = None) ->
     runs are a network. Tags of ``flat`` become columns, NULL where an element lacks them, and all tags tags_json.
     """
     flat = FLAT_TAGS if flat is None else flat
-    runs = chain_paths(parts, stitch_m=STITCH_M, snap=True)
-    miles = path_lengths(runs.withColumn("run", F.struct("path_id", "chain")), "run")
-    ends = runs.groupBy("path_id", "chain").agg(F.min_by(F.struct("lng", "lat"), "seq").alias("a"), F.max_by(F.struct("lng", "lat"), "seq").alias("b"))
-    gaps = ends.groupBy("path_id").agg(F.count(F.lit(1)).cast("int").alias("segments"), worst_gap(F.collect_list(F.struct("a", "b"))).alias("max_gap_m"))
-    long = miles.groupBy("run.path_id").agg(F.round(F.sum("miles"), 4).alias("length_mi"), F.round(F.sum("miles") * 1.609344, 4).alias("length_km"))
+    runs = cut(chain_paths(parts, stitch_m=STITCH_M, snap=True))  # read twice: by run, and whole for the kind of route
+    at, run = F.struct("lng", "lat"), ["path_id", "chain"]
+    each = steps(runs.repartition("path_id"), run).groupBy(*run).agg(F.sum("step_mi").alias("miles"), F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("lng", "lat") for f in (F.min, F.max, F.sum)])
+    rounded = lambda c, name: F.round(c, 6).alias(name)
+    long = each.groupBy("path_id").agg(
+        F.round(F.sum("miles"), 4).alias("length_mi"), F.round(F.sum("miles") * 1.609344, 4).alias("length_km"), F.count(F.lit(1)).cast("int").alias("segments"), worst_gap(F.collect_list(F.struct("a", "b"))).alias("max_gap_m"),
+        *[rounded(f(f"{f.__name__}_{c}"), f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lng", "lat")], *[rounded(F.sum(f"sum_{c}") / F.sum("n"), f"center_{c}") for c in ("lng", "lat")],
+    )
     kind = route_type(runs.withColumn("at", F.col("chain") * (1 << 32) + F.col("seq")), seq="at", run="chain")
-    box = vertex_bounds(runs, "path_id").withColumns({c: F.round(c, 6) for c in ("min_lng", "min_lat", "max_lng", "max_lat", "center_lng", "center_lat")})
-    out = long.join(gaps, "path_id").join(kind, "path_id").join(box, "path_id").join(tags.select("path_id", "tags"), "path_id", "left")
+    out = long.join(kind, "path_id").join(tags.select("path_id", "tags"), "path_id", "left")
     held = F.coalesce("tags", F.create_map().cast("map<string, string>"))
     out = out.withColumns({t: F.try_element_at("tags", F.lit(t)) for t in flat})
     return out.withColumn("scale_label", F.coalesce(lookup(SCALE_GRADES, tag(F.col("tags"), "sac_scale")), F.lit(""))).withColumn("tags_json", tags_json(held))

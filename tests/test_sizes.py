@@ -167,3 +167,12 @@ def test_ranges_are_numbered_where_they_are_sorted(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"))
     got = merge.numbered(rows.repartition(7), [F.col("id")])
     assert "hashpartitioning(_p" not in plan(got).split("Window")[0] and {(r.id, r.ord) for r in got.collect()} == {(i, i) for i in range(1000)}
+
+
+def test_elements_are_chained_once(spark, monkeypatch):
+    from talus.operators import elements
+
+    v = spark.createDataFrame([(1, 0, 0, 37.0, -120.0), (1, 0, 1, 37.01, -120.0), (1, 1, 0, 37.02, -120.0), (1, 1, 1, 37.03, -120.0)], "path_id long, part long, seq long, lat double, lng double")
+    out = elements.records(v, spark.createDataFrame([(1, {"name": "a"})], "path_id long, tags map<string,string>"), ["name"])
+    assert "MapInArrow" not in plan(out)
+    assert out.select("name", "segments", "route_type", "min_lat", "max_lat", "center_lat", "center_lng").first() == ("a", 2, "network", 37.0, 37.03, 37.015, -120.0)
