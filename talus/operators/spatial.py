@@ -366,10 +366,18 @@ def merge_points(primary: DataFrame, supplement: DataFrame, miles: float = 0.3,
     join. Within supplement a row is accepted if no accepted earlier row repeats it. Each
     round accepts the rows that no undecided earlier row repeats and drops their
     repeats, so rounds are few however many rows there are, and no group meets in one task.
+    Of rows of one place, kind and name only the first can be accepted, since what repeats it
+    repeats all of them, so only first ones meet others.
     """
+    alike = ["kind", F.lower("name").alias("_name"), "lat", "lng"]
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    least = supplement.filter(placed).groupBy(*alike).agg(F.min("ord").alias("_ord")).withColumnsRenamed({"kind": "_kind", "lat": "_lat", "lng": "_lng"})
+    of_one = F.col("kind").eqNullSafe(F.col("_kind")) & F.lower("name").eqNullSafe(F.col("_name")) & (F.col("lat") == F.col("_lat")) & (F.col("lng") == F.col("_lng")) & (F.col("ord") == F.col("_ord"))
+    supplement = supplement.join(least, of_one, "left_semi").unionByName(supplement.filter(~placed))
+    known = primary.select("kind", F.lower("name").alias("name"), "lat", "lng").distinct().withColumn("id", F.lit(None).cast("string"))
     same = F.col("a_kind").eqNullSafe(F.col("kind")) & (F.col("a_name").isNull() | F.col("name").isNull() | (F.lower("a_name") == F.lower("name")))
     probe = lambda df: df.select(F.col("id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "lat", "lng")
-    taken = radius_join(probe(supplement), primary.select("id", "kind", "name", "lat", "lng"), miles, size).filter(same).select(F.col("a_id").alias("id")).distinct()
+    taken = radius_join(probe(supplement), known, miles, size).filter(same).select(F.col("a_id").alias("id")).distinct()
     rest = cut(supplement.join(taken, "id", "left_anti"))
     later = radius_join(probe(rest), rest.select("id", "ord", "kind", "name", "lat", "lng"), miles, size).filter(same & (F.col("a_ord") > F.col("ord")))
     links = cut(later.select(F.col("a_id").alias("later"), F.col("id").alias("earlier")).distinct())

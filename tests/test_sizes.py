@@ -176,3 +176,13 @@ def test_elements_are_chained_once(spark, monkeypatch):
     out = elements.records(v, spark.createDataFrame([(1, {"name": "a"})], "path_id long, tags map<string,string>"), ["name"])
     assert "MapInArrow" not in plan(out)
     assert out.select("name", "segments", "route_type", "min_lat", "max_lat", "center_lat", "center_lng").first() == ("a", 2, "network", 37.0, 37.03, 37.015, -120.0)
+
+
+def test_first_ones_of_a_place_meet_others(spark, monkeypatch):
+    met, real = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda left, *a, **k: (met.append(left.count()), real(left, *a, **k))[1])
+    kind = "id string, kind string, name string, lat double, lng double, ord long"
+    rows = [(f"c{i}", "k", [None, "a", "A", "b"][i % 4], 37.0, -120.0 if i % 8 < 4 else -121.0, i) for i in range(1, 80)] + [("u1", "k", "a", None, None, 90), ("u2", "k", "a", None, None, 91)]
+    got = spatial.merge_points(spark.createDataFrame([("s", "k", "a", 37.0, -121.0, 0)], kind), spark.createDataFrame(rows, kind))
+    # west of it all but b repeat s; c7 is the first b there. At the other place c1 is first, c3 of another name, c8 without a name repeats both
+    assert sorted(r.id for r in got.collect()) == ["c1", "c3", "c7", "s", "u1", "u2"] and max(met) == 8
