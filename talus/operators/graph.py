@@ -135,8 +135,10 @@ def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_m
     up, so shuffles are as large as the frontier; no request's labels meet in one task, and
     edges are never copied for a request. Every eight rounds the labels become one table.
     Of equally long ways the one with the smallest nodes is told. Unreached targets are
-    "not_connected", never a tentative distance.
+    "not_connected", never a tentative distance. Requests of one source and target are
+    one until the end.
     """
+    every, requests = requests, requests.groupBy("source", "target").agg(F.min("request_id").alias("request_id"))
     at = nodes.select("node", "lat", "lng")
     s = at.select(F.col("node").alias("source"), F.lit(True).alias("starts"))
     t = at.select(F.col("node").alias("target"), F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
@@ -171,7 +173,9 @@ def shortest_paths(requests: DataFrame, edge: DataFrame, nodes: DataFrame, max_m
             labels = [cut(labels[0].groupBy("request_id", "node").agg(F.min("d").alias("d")))]
     status = F.when(F.col("starts").isNull(), "no_trail_near_start").when(F.col("t_lat").isNull(), "no_trail_near_end").when(F.col("source") == F.col("target"), "ok").when(F.col("found").isNull(), "not_connected").otherwise("ok")
     out = asked.join(goals.select("request_id", "found", "path"), "request_id", "left")
-    return out.select("request_id", status.alias("status"), F.when(F.col("starts") & (F.col("source") == F.col("target")), 0.0).otherwise(F.col("found")).alias("miles"), "path")
+    out = out.select("source", "target", status.alias("status"), F.when(F.col("starts") & (F.col("source") == F.col("target")), 0.0).otherwise(F.col("found")).alias("miles"), "path")
+    both = every.select("request_id", F.col("source").alias("_s"), F.col("target").alias("_t")).join(out, F.col("_s").eqNullSafe(F.col("source")) & F.col("_t").eqNullSafe(F.col("target")))
+    return both.select("request_id", "status", "miles", "path")
 
 
 def path_shapes(found: DataFrame, edge: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -186,3 +186,14 @@ def test_first_ones_of_a_place_meet_others(spark, monkeypatch):
     got = spatial.merge_points(spark.createDataFrame([("s", "k", "a", 37.0, -121.0, 0)], kind), spark.createDataFrame(rows, kind))
     # west of it all but b repeat s; c7 is the first b there. At the other place c1 is first, c3 of another name, c8 without a name repeats both
     assert sorted(r.id for r in got.collect()) == ["c1", "c3", "c7", "s", "u1", "u2"] and max(met) == 8
+
+
+def test_equal_requests_are_one(spark, monkeypatch):
+    asked, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (asked.append(df.count()) if not asked else None, real(df))[1])
+    nodes = spark.createDataFrame([(i, 37.0, -120.0 + 0.001 * i) for i in range(4)], "node long, lat double, lng double")
+    edge = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.1)], "src long, dst long, miles double")
+    ask = spark.createDataFrame([(i, *[(0, 2), (0, 3), (None, 2), (1, None), (2, 2)][i % 5]) for i in range(50)], "request_id long, source long, target long")
+    got = {r.request_id: (r.status, r.miles) for r in graph.shortest_paths(ask, edge, nodes, 1.0).collect()}
+    want = [("ok", 0.2), ("not_connected", None), ("no_trail_near_start", None), ("no_trail_near_end", None), ("ok", 0.0)]
+    assert asked == [5] and got == {i: want[i % 5] for i in range(50)}
