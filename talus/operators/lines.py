@@ -82,11 +82,13 @@ def turns(series: np.ndarray, threshold: float, before: list[float] = ()) -> lis
     """
     kept = list(before)
     if len(series):
-        heights = np.concatenate((kept[-1:], series))
-        way = np.sign(np.diff(heights))
-        ends = np.append(way[1:] != way[:-1], True) if len(way) else np.zeros(0, bool)
-        moved = heights[1:][ends & (way != 0)] if len(way) else heights[:0]
-        for x in ([] if kept else heights[:1].tolist()) + moved.tolist():
+        moved = series.tolist() if len(series) < 64 else None  # short ones don't repay arrays
+        if moved is None:
+            heights = np.concatenate((kept[-1:], series))
+            way = np.sign(np.diff(heights))
+            ends = np.append(way[1:] != way[:-1], True) if len(way) else np.zeros(0, bool)
+            moved = ([] if kept else heights[:1].tolist()) + (heights[1:][ends & (way != 0)] if len(way) else heights[:0]).tolist()
+        for x in moved:
             if kept and x == kept[-1]:
                 continue
             while len(kept) > 1 and (kept[-1] - kept[-2]) * (x - kept[-1]) > 0:

@@ -197,3 +197,15 @@ def test_equal_requests_are_one(spark, monkeypatch):
     got = {r.request_id: (r.status, r.miles) for r in graph.shortest_paths(ask, edge, nodes, 1.0).collect()}
     want = [("ok", 0.2), ("not_connected", None), ("no_trail_near_start", None), ("no_trail_near_end", None), ("ok", 0.0)]
     assert asked == [5] and got == {i: want[i % 5] for i in range(50)}
+
+
+def test_short_series_are_folded_without_arrays(monkeypatch):
+    import numpy as np
+
+    series = [3.0, 9.0, 9.0, 12.0, 40.0, 31.0, 35.0, 20.0, 60.0]
+    whole = lines.turns(np.array(series * 8), 15.0)
+    monkeypatch.setattr(np, "diff", None)
+    kept = []
+    for _ in range(8):
+        kept = lines.turns(np.array(series), 15.0, kept)
+    assert lines.folded(kept, 15.0) == lines.folded(whole, 15.0) == lines.folded(series * 8, 15.0)
