@@ -307,19 +307,33 @@ def merged_legs(names: list[str], miles: list[float], least: float = SHORT_LEG_M
 
 
 def absorb_legs(legs: DataFrame, least: float = SHORT_LEG_MI) -> DataFrame:
-    """merged_legs for each route of leg_runs; sequential by nature, so each route is one row of arrays."""
-    rows = legs.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("leg", "name", F.round("miles", 2).alias("miles")))).alias("v"))
-    rows = rows.select("route_id", "v.name", "v.miles")
-    done = pa.list_(pa.struct([("name", pa.string()), ("miles", pa.float64())]))
+    """merged_legs for each route of leg_runs; sequential by nature, so a task folds one route after another, whose rows a window brings together in order."""
+    by = Window.partitionBy("route_id").orderBy("leg", "name", "miles")
+    rows = legs.select("route_id", "leg", "name", F.round("miles", 2).alias("miles"))
+    rows = rows.withColumn("_n", F.row_number().over(by)).select("route_id", "name", "miles", "_n")
 
     def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[{"name": n, "miles": m} for n, m in merged_legs(names, miles, least)] for names, miles in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, done)], names=["route_id", "v"])
+        route, names, miles, out, kind = None, [], [], [], None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.string(), pa.float64()))], names=["route_id", "leg", "name", "miles"])
 
-    kind = dict(legs.dtypes)["route_id"]
-    out = rows.mapInArrow(absorb, f"route_id {kind}, v array<struct<name: string, miles: double>>")
-    return out.select("route_id", F.posexplode("v").alias("leg", "p")).select("route_id", F.col("leg").cast("long").alias("leg"), "p.name", "p.miles")
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for r, name, m, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if n == 1:
+                    out += [(route, i, *x) for i, x in enumerate(merged_legs(names, miles, least))]
+                    route, names, miles = r, [], []
+                    if len(out) > 10_000:
+                        yield told()
+                        out = []
+                names.append(name)
+                miles.append(m)
+        out += [(route, i, *x) for i, x in enumerate(merged_legs(names, miles, least))]
+        if out:
+            yield told()
+
+    return rows.mapInArrow(absorb, f"route_id {dict(legs.dtypes)['route_id']}, leg long, name string, miles double")
 
 
 def component_labels(edge: DataFrame) -> DataFrame:

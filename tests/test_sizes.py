@@ -209,3 +209,12 @@ def test_short_series_are_folded_without_arrays(monkeypatch):
     for _ in range(8):
         kept = lines.turns(np.array(series), 15.0, kept)
     assert lines.folded(kept, 15.0) == lines.folded(whole, 15.0) == lines.folded(series * 8, 15.0)
+
+
+def test_legs_are_read_in_order_without_arrays(spark):
+    from talus import plans
+
+    assert "collect_list" not in plan(plans.queries()["leg_absorb"](spark, "/root/testdata/sf0.001"))
+    rows = [(r, k, "ab"[k % 2], 0.05 if k == 1 else 1.0, 1) for r in range(9000) for k in range(3)]  # more than a batch of rows
+    got = graph.absorb_legs(spark.createDataFrame(rows, "route_id long, leg long, name string, miles double, edges long").repartition(1)).collect()
+    assert len(got) == 9000 and {(r.leg, r.name, r.miles) for r in got} == {(0, "a", 2.05)}
