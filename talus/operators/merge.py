@@ -48,17 +48,58 @@ def majorities(rows: DataFrame, key: str, values: list[str], order: str) -> Data
 
 
 TRAIL_TEXTS = ["name", "surface", "area", "trail_type", "org", "trail_no", "accessibility"]
+#: Trails of more segments than this are combined before they are shuffled.
+SHORT_TRAIL = 1000
 
 
-def build_trails(segments: DataFrame, uses: list[str] = ()) -> DataFrame:
+def _commonest(votes: Column) -> Column:
+    """The value of an array of struct(v, ord) that stands there most often, ties to the one seen first."""
+    state = lambda v, n, o, best: F.struct(v.alias("v"), n.alias("n"), o.alias("o"), best.alias("best"))
+
+    def on(s: Column, x: Column) -> Column:  # equal values are neighbours, and the first of them was seen first
+        n, o = F.when(s["v"] == x["v"], s["n"] + 1).otherwise(1), F.coalesce(F.when(s["v"] == x["v"], s["o"]), x["ord"])
+        return state(x["v"], n, o, F.greatest(s["best"], F.struct(n.alias("n"), (-o).alias("o"), x["v"].alias("v"))))
+
+    null = F.lit(None).cast
+    none = state(null("string"), F.lit(0), null("long"), null("struct<n: int, o: bigint, v: string>"))
+    return F.aggregate(F.sort_array(votes), none, on, lambda s: s["best"]["v"])
+
+
+def build_trails(segments: DataFrame, uses: list[str] = (), short: int = SHORT_TRAIL) -> DataFrame:
     """Whole records from segments (trail_id, ord, the TRAIL_TEXTS, trail_class, grade, miles, measured, box, one struct column a use).
 
     Texts by majority, the smallest class, the grade (a struct with max_pct) of the largest
     maximum, the sum of known lengths or else the measured one, the first known state of
     each use, and the union of boxes with its middle. A trail without a name is dropped.
+    Segments of a trail meet in one shuffle and vote there, up to ``short`` of them; those
+    of longer trails are combined before they are shuffled, so that none is in one task.
     """
+    segments = segments.filter("trail_id is not null")
+    long = cut(segments.groupBy("trail_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > short).select("trail_id"))
+    own = ["ord", *TRAIL_TEXTS, "trail_class", "grade", "miles", "measured", "min_lng", "min_lat", "max_lng", "max_lat", *uses]
+    none = long.isEmpty()
+    few = segments if none else segments.join(long, "trail_id", "left_anti")
+    votes = [F.collect_list(F.when(F.col(t).isNotNull(), F.struct(F.col(t).cast("string").alias("v"), F.col("ord").cast("long").alias("ord")))).alias(t) for t in TRAIL_TEXTS]
+    out = few.select("trail_id", *own).repartition("trail_id").groupBy("trail_id").agg(*_summed(uses), *votes).filter(F.size("name") > 0)
+    out = out.withColumns({t: _commonest(F.col(t)) for t in TRAIL_TEXTS})
+    if not none:
+        many = segments.join(long, "trail_id", "left_semi")
+        out = out.unionByName(many.groupBy("trail_id").agg(*_summed(uses)).join(majorities(many, "trail_id", TRAIL_TEXTS, "ord"), "trail_id"))
+    out = out.filter("name is not null and min_lng is not null").withColumns({
+        "grade": F.col("_grade.v"),
+        "length_miles": F.round(F.coalesce(F.nullif("_said", F.lit(0.0)), F.col("_measured")), 2),
+        "geometry_length_miles": F.round("_measured", 2),
+        "center_lng": F.round((F.col("min_lng") + F.col("max_lng")) / 2, 6),
+        "center_lat": F.round((F.col("min_lat") + F.col("max_lat")) / 2, 6),
+        **{u: F.col(f"{u}.v") for u in uses},
+    })
+    return out.drop("_grade", "_said", "_measured").withColumn("slug", slug(F.col("name"))).withColumn("name", title(F.col("name")))
+
+
+def _summed(uses: list[str]) -> list[Column]:
+    """Aggregates of a trail but for its texts."""
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("v")))
-    base = segments.groupBy("trail_id").agg(
+    return [
         F.min("trail_class").alias("trail_class"),
         F.max(F.when(F.col("grade").isNotNull(), F.struct(F.col("grade.max_pct").alias("pct"), (-F.col("ord")).alias("o"), F.col("grade").alias("v")))).alias("_grade"),
         F.sum("miles").alias("_said"),
@@ -66,17 +107,7 @@ def build_trails(segments: DataFrame, uses: list[str] = ()) -> DataFrame:
         *[F.min(known(u)).alias(u) for u in uses],
         *box_union(),
         F.count(F.lit(1)).alias("segment_count"),
-    )
-    base = base.withColumns({
-        "grade": F.col("_grade.v"),
-        "length_miles": F.round(F.coalesce(F.nullif("_said", F.lit(0.0)), F.col("_measured")), 2),
-        "geometry_length_miles": F.round("_measured", 2),
-        "center_lng": F.round((F.col("min_lng") + F.col("max_lng")) / 2, 6),
-        "center_lat": F.round((F.col("min_lat") + F.col("max_lat")) / 2, 6),
-        **{u: F.col(f"{u}.v") for u in uses},
-    })
-    out = base.drop("_grade", "_said", "_measured").join(majorities(segments, "trail_id", TRAIL_TEXTS, "ord"), "trail_id").filter("name is not null and min_lng is not null")
-    return out.withColumn("slug", slug(F.col("name"))).withColumn("name", title(F.col("name")))
+    ]
 
 
 def box_union() -> list[Column]:

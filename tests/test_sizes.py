@@ -1,9 +1,11 @@
 """Jobs on many copies: what many rows share is found once, and pairs are told without a shuffle of theirs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from talus.functions import text
-from talus.operators import graph, lines, spatial
+from talus.operators import graph, lines, merge, spatial
 
 PATH = [(0, 37.0, -120.0), (1, 37.001, -120.0)]
 
@@ -218,3 +220,23 @@ def test_legs_are_read_in_order_without_arrays(spark):
     rows = [(r, k, "ab"[k % 2], 0.05 if k == 1 else 1.0, 1) for r in range(9000) for k in range(3)]  # more than a batch of rows
     got = graph.absorb_legs(spark.createDataFrame(rows, "route_id long, leg long, name string, miles double, edges long").repartition(1)).collect()
     assert len(got) == 9000 and {(r.leg, r.name, r.miles) for r in got} == {(0, "a", 2.05)}
+
+
+def test_segments_of_a_trail_are_shuffled_once(spark):
+    """Rows go to their trail once, not a vote each; longer trails are combined first, with the same result."""
+    rd = random.Random(7)
+    one = lambda *of: rd.choice([None, *of])
+    rows = [(rd.choice([1, 2, 3, 3, 3, 3, 4, None]), i, *[one("a", "b", "c") for _ in range(7)], one(1, 2), None, one(1.0, 2.0), 0.5, *[1.0] * 4, one(("x",), ("y",))) for i in rd.sample(range(1000), 300)]
+    texts = ", ".join(f"{t} string" for t in merge.TRAIL_TEXTS)
+    s = spark.createDataFrame(rows, f"trail_id long, ord long, {texts}, trail_class int, grade struct<max_pct: int>, miles double, measured double, min_lng double, min_lat double, max_lng double, max_lat double, bike struct<v: string>").repartition(6)
+    out = merge.build_trails(s, ["bike"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    got = {r.trail_id: r.asDict(True) for r in out.collect()}
+    assert got == {r.trail_id: r.asDict(True) for r in merge.build_trails(s, ["bike"], short=60).collect()} and set(got) == {1, 2, 3, 4}
+    for key, r in got.items():
+        own = sorted((x for x in rows if x[0] == key), key=lambda x: x[1])
+        for k, t in enumerate(merge.TRAIL_TEXTS[1:], 3):
+            votes = [x[k] for x in own if x[k] is not None]
+            assert r[t] == max(dict.fromkeys(votes), key=votes.count)  # max() keeps the first of equals
+        assert r["segment_count"] == len(own) and r["bike"] == {"v": next(x[-1][0] for x in own if x[-1])}
