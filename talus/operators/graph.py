@@ -38,18 +38,23 @@ def junctions(vertices: DataFrame) -> DataFrame:
 SHAPE_POINTS = 60
 
 
+def _with_cuts(vertices: DataFrame) -> DataFrame:
+    """Adds cut: true at junctions, else NULL. They are told by the least and the largest path of a node, in one shuffle."""
+    of = vertices.groupBy("node").agg(F.min("path_id").alias("a"), F.max("path_id").alias("b")).filter("a <> b")
+    return vertices.join(of.select("node", F.lit(True).alias("cut")), "node", "left")
+
+
 def edges(vertices: DataFrame, shapes: bool = False) -> DataFrame:
     """(src, dst, path_id, edge_no, miles): paths cut at junctions and ends, as islands between cuts.
 
     An edge from a node to itself is dropped. Junctions join by node, whose partitioning
     the grouping above already has. With ``shapes`` an edge also has ``shape``, the vertices from
-    cut to cut as array<struct<lng, lat>>: a cut's vertex closes one island and opens the
-    next, and islands are grouped where their paths already are. Long shapes are thinned
+    cut to cut as array<struct<lng, lat>>: a vertex goes with the cut before it, the start of
+    its island, and islands are grouped where their paths already are. Long shapes are thinned
     to ``SHAPE_POINTS`` even picks and the last point.
     """
-    cut = junctions(vertices).select("node", F.lit(True).alias("cut"))
     by = Window.partitionBy("path_id").orderBy("seq")
-    run = steps(vertices).join(cut, "node", "left")
+    run = steps(_with_cuts(vertices))
     ends = F.row_number().over(by) == 1
     last = F.lead("seq").over(by).isNull()
     run = run.withColumn("stop", F.coalesce("cut", F.lit(False)) | ends | last)
@@ -58,12 +63,15 @@ def edges(vertices: DataFrame, shapes: bool = False) -> DataFrame:
         before = lambda c: F.lag(c).over(by)
         out = stops.select("path_id", before("node").alias("src"), F.col("node").alias("dst"), (F.col("run_mi") - before("run_mi")).alias("miles"), (F.row_number().over(by) - 1).cast("long").alias("edge_no"))
         return out.filter("src is not null and src <> dst")
-    so_far = F.sum(F.col("stop").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    own = run.withColumn("no", so_far).withColumn("edge_no", F.explode(F.when(F.col("stop"), F.array(F.col("no") - 1, F.col("no"))).otherwise(F.array("no"))))
+    behind = by.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.last(F.when(F.col("stop"), F.struct("node", "lng", "lat", "run_mi")), ignorenulls=True).over(behind)
+    own = run.select("path_id", "seq", "node", "lng", "lat", "run_mi", F.sum(F.col("stop").cast("long")).over(behind).alias("edge_no"), start.alias("start")).filter("start is not null")
     out = own.groupBy("path_id", "edge_no").agg(
-        F.min_by("node", "seq").alias("src"), F.max_by("node", "seq").alias("dst"), (F.max("run_mi") - F.min("run_mi")).alias("miles"), F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("v")
+        F.first("start").alias("start"), F.max_by("node", "seq").alias("dst"), F.max("run_mi").alias("run_mi"), F.sort_array(F.collect_list(F.struct("seq", "lng", "lat"))).alias("v")
     )
-    shape = F.transform("v", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat")))
+    out = out.select("path_id", "edge_no", "start", F.col("start.node").alias("src"), "dst", (F.col("run_mi") - F.col("start.run_mi")).alias("miles"), "v")
+    at = lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))
+    shape = F.concat(F.array(at(F.col("start"))), F.transform("v", at))
     picks = F.transform(F.sequence(F.lit(0), F.lit(SHAPE_POINTS - 1)), lambda k: F.get("shape", F.floor(k * (F.size("shape") / SHAPE_POINTS)).cast("int")))
     out = out.withColumn("shape", shape).withColumn("shape", F.when(F.size("shape") > SHAPE_POINTS, F.concat(picks, F.array(F.element_at("shape", -1)))).otherwise(F.col("shape")))
     return out.filter("src <> dst and miles > 0").select("path_id", "src", "dst", "miles", "edge_no", "shape")
@@ -188,10 +196,14 @@ def path_shapes(found: DataFrame, edge: DataFrame, nodes: DataFrame) -> DataFram
     either = edge.select("src", "dst", "shape", F.lit(0).alias("way")).unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.reverse("shape").alias("shape"), F.lit(1).alias("way")))
     either = either.filter(F.size("shape") > 0).groupBy("src", "dst").agg(F.min(F.struct("way", "shape")).alias("s")).select("src", "dst", "s.shape")
     point = lambda c: nodes.select(F.col("node").alias(c), F.struct("lng", "lat").alias(f"{c}_at"))
-    hops = hops.join(either, ["src", "dst"], "left").join(point("src"), "src", "left").join(point("dst"), "dst", "left")
+    hops = hops.join(either, ["src", "dst"], "left")
     straight = F.filter(F.array("src_at", "dst_at"), lambda p: p.isNotNull())
-    hops = hops.groupBy("request_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hop", F.coalesce("shape", straight).alias("piece")))), lambda h: h["piece"])).alias("all"))
-    return hops.select("request_id", F.filter("all", lambda p, i: (i == 0) | ~p.eqNullSafe(F.get("all", i - 1))).alias("shape"))
+    bare = hops.filter("shape is null").select("request_id", "hop", "src", "dst").join(point("src"), "src", "left").join(point("dst"), "dst", "left")
+    # hops aren't filtered by their shapes here, so that they are shuffled once for both
+    pieces = hops.select("request_id", "hop", F.col("shape").alias("piece")).unionByName(bare.select("request_id", "hop", straight.alias("piece")))
+    known = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("hop", "piece")))
+    pieces = pieces.groupBy("request_id").agg(F.flatten(F.sort_array(known).getField("piece")).alias("all"))
+    return pieces.select("request_id", F.filter("all", lambda p, i: (i == 0) | ~p.eqNullSafe(F.get("all", i - 1))).alias("shape"))
 
 
 def path_gains(found: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -240,3 +240,30 @@ def test_segments_of_a_trail_are_shuffled_once(spark):
             votes = [x[k] for x in own if x[k] is not None]
             assert r[t] == max(dict.fromkeys(votes), key=votes.count)  # max() keeps the first of equals
         assert r["segment_count"] == len(own) and r["bike"] == {"v": next(x[-1][0] for x in own if x[-1])}
+
+
+def test_edges_and_hops_are_shuffled_once(spark):
+    """Junctions are told in one grouping, vertices go to their nodes and back once, and hops with a shape look no points up."""
+    rd = random.Random(3)
+    v = spark.createDataFrame([(p, i, rd.choice([1, 2, 3, 100 * p + i]), 37.0 + p / 100, -120.0 + i / 100) for p in range(12) for i in range(rd.randrange(1, 9))], "path_id long, seq long, node long, lat double, lng double")
+    e = graph.edges(v, shapes=True)
+    assert e._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # nodes, vertices by node, vertices by path
+    rows = e.collect()
+    paths, own = {}, {}
+    for r in v.collect():
+        paths.setdefault(r.node, set()).add(r.path_id)
+        own.setdefault(r.path_id, []).append(r)
+    want = {}
+    for p, line in own.items():
+        line.sort(key=lambda r: r.seq)
+        cuts = [i for i, r in enumerate(line) if i in (0, len(line) - 1) or len(paths[r.node]) > 1]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
+            if line[a].node != line[b].node:
+                want[p, k, line[a].node, line[b].node] = [(r.lng, r.lat) for r in line[a : b + 1]]
+    assert {(r.path_id, r.edge_no, r.src, r.dst): [tuple(x) for x in r.shape] for r in rows} == want and len(want) > 10
+    assert {k[:4] for k in want} == {(r.path_id, r.edge_no, r.src, r.dst) for r in graph.edges(v).collect()}
+    found = spark.createDataFrame([(1, [k[2:] for k in want][0]), (2, [10_000, 10_001]), (3, [1])], "request_id long, path array<long>")
+    s = graph.path_shapes(found, graph.edge_shapes(e), v.groupBy("node").agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")))
+    got = {r.request_id: len(r.shape) for r in s.collect()}
+    assert set(got) == {1, 2} and got[1] >= 2 and got[2] == 0
+    assert "Union" in s._jdf.queryExecution().optimizedPlan().toString().split("\n")[2]  # only hops without a shape are joined with points
