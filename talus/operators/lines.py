@@ -501,14 +501,36 @@ def chain_networks(segments: DataFrame, near: float = JOIN_DEG, stitch_m: float
     network's parts have to be in one task. Chains are numbered by the part they start from.
     Paths of at most ``whole`` vertices are chained as one, without looking for their networks.
     """
-    large = segments.groupBy("path_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("path_id")
+    large = _large(segments, whole)
     if large.isEmpty():
         return chain_paths(segments, near, stitch_m, snap)
     small = chain_paths(segments.join(large, "path_id", "left_anti"), near, stitch_m, snap)
-    return small.unionByName(_chained_networks(segments.join(large, "path_id", "left_semi"), near, stitch_m, snap))
+    chains = _chained_networks(segments.join(large, "path_id", "left_semi"), near, stitch_m, snap)
+    order = Window.partitionBy("path_id").orderBy("start")
+    numbers = chains.filter("seq = 0").select("path_id", "start", (F.row_number().over(order) - 1).cast("long").alias("chain"))
+    return small.unionByName(chains.drop("chain").join(numbers, ["path_id", "start"]).select("path_id", "chain", "seq", "lng", "lat"))
+
 
+def chain_steps(segments: DataFrame, near: float = JOIN_DEG, whole: int = WHOLE_PATH) -> DataFrame:
+    """(path_id, start, seq, lng, lat, step_mi): chain_networks' points, their chains told by the part they start from, with the distance from the point before.
+
+    For what is summed up over chains: steps are taken where points are chained, so that these needn't meet in order again.
+    """
+    large = _large(segments, whole)
+    if large.isEmpty():
+        chains = _chained(segments, ["path_id"], near, 0.0, False, True)
+    else:
+        chains = _chained(segments.join(large, "path_id", "left_anti"), ["path_id"], near, 0.0, False, True)
+        chains = chains.unionByName(_chained_networks(segments.join(large, "path_id", "left_semi"), near, 0.0, False, True), allowMissingColumns=True)
+    step = F.coalesce(haversine(F.col("b_lat"), F.col("b_lng"), F.col("lat"), F.col("lng")), F.lit(0.0))
+    return chains.select("path_id", "start", "seq", "lng", "lat", step.alias("step_mi"))
 
-def _chained_networks(segments: DataFrame, near: float, stitch_m: float, snap: bool) -> DataFrame:
+
+def _large(segments: DataFrame, whole: int) -> DataFrame:
+    return segments.groupBy("path_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("path_id")
+
+
+def _chained_networks(segments: DataFrame, near: float, stitch_m: float, snap: bool, before: bool = False) -> DataFrame:
     at = F.struct("lng", "lat")
     ends = segments.groupBy("path_id", "part").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     reach = max(near, stitch_m / 111_000)
@@ -528,21 +550,19 @@ def _chained_networks(segments: DataFrame, near: float, stitch_m: float, snap: b
 
     label = component_labels(link).select(F.col("node").alias("_node"), F.col("label").alias("_network"))
     named = segments.withColumn("_node", number("part", "part")).join(label, "_node")
-    chains = _chained(named, ["path_id", "_network"], near, stitch_m, snap)
-    order = Window.partitionBy("path_id").orderBy("start")
-    numbers = chains.filter("seq = 0").select("path_id", "start", (F.row_number().over(order) - 1).cast("long").alias("chain"))
-    return chains.drop("chain").join(numbers, ["path_id", "start"]).select("path_id", "chain", "seq", "lng", "lat")
+    return _chained(named, ["path_id", "_network"], near, stitch_m, snap, before)
 
 
-def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float, snap: bool) -> DataFrame:
+def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float, snap: bool, before: bool = False) -> DataFrame:
     """(keys, chain, start, seq, lng, lat): for each group of segments its chains' points, chains numbered in order, start the part each began with.
 
     The window brings a group's rows together, in order, and numbers them; a task folds one group after another.
+    With ``before`` also (b_lng, b_lat), the point before, NULL at a chain's first.
     """
     kinds = dict(segments.dtypes)
     by = Window.partitionBy(*keys).orderBy("part", "seq", "lng", "lat")
     rows = segments.select(*keys, "part", "seq", "lng", "lat").withColumn("_n", F.row_number().over(by)).select(*keys, "part", "lng", "lat", "_n")
-    names = [*keys, "chain", "start", "seq", "lng", "lat"]
+    names = [*keys, "chain", "start", "seq", "lng", "lat", *(["b_lng", "b_lat"] if before else [])]
 
     def told(groups: list[tuple], types: list[pa.DataType], part: pa.DataType) -> pa.RecordBatch:
         """A batch of (key, chain, start, line)."""
@@ -550,7 +570,11 @@ def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float,
         of = np.repeat(np.arange(len(groups)), size)
         each = [pa.array([g[0][i] for g in groups], t) for i, t in enumerate(types)] + [pa.array([g[1] for g in groups], pa.int64()), pa.array([g[2] for g in groups], part)]
         seq = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        return pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in each), pa.array(seq, pa.int64()), *(pa.array([p[i] for *_, line in groups for p in line], pa.float64()) for i in (0, 1))], names=names)
+        at = [pa.array([p[i] for *_, line in groups for p in line], pa.float64()) for i in (0, 1)]
+        if before:
+            last = pa.array(np.arange(len(of)) - 1, mask=seq == 0)
+            at += [x.take(last) for x in at]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in each), pa.array(seq, pa.int64()), *at], names=names)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, begun, out, points, kind = None, [], [], [], 0, None
@@ -579,7 +603,7 @@ def _chained(segments: DataFrame, keys: list[str], near: float, stitch_m: float,
             yield told(out, *kind)
 
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return rows.mapInArrow(chain, f"{keyed}, chain long, start {kinds['part']}, seq long, lng double, lat double")
+    return rows.mapInArrow(chain, f"{keyed}, chain long, start {kinds['part']}, seq long, lng double, lat double" + (", b_lng double, b_lat double" if before else ""))
 
 
 def route_type(vertices: DataFrame, path: str = "path_id", seq: str = "seq", run: str | None = None, closed_m: float = 50.0) -> DataFrame:

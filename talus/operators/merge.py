@@ -10,7 +10,7 @@ from talus.functions.geo import haversine
 from talus.functions.sources import area_key
 from talus.functions.text import slug, title
 from talus.operators.lineage import cut
-from talus.operators.lines import chain_networks, path_lengths
+from talus.operators.lines import chain_networks, chain_steps, path_lengths
 
 
 def majority(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -115,18 +115,25 @@ def box_union() -> list[Column]:
     return [F.min("min_lng").alias("min_lng"), F.min("min_lat").alias("min_lat"), F.max("max_lng").alias("max_lng"), F.max("max_lat").alias("max_lat")]
 
 
+def _bounds() -> list[Column]:
+    """Aggregates for the box around vertices."""
+    return [F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat")]
+
+
 def vertex_bounds(vertices: DataFrame, key: str) -> DataFrame:
     """The box of each key's vertices, with the mean vertex for a centre."""
-    return vertices.groupBy(key).agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"), F.avg("lng").alias("center_lng"), F.avg("lat").alias("center_lat"))
+    return vertices.groupBy(key).agg(*_bounds(), F.avg("lng").alias("center_lng"), F.avg("lat").alias("center_lat"))
 
 
-def park_trails(segments: DataFrame, by_unit: bool = True, vertices: DataFrame | None = None) -> DataFrame:
+def park_trails(segments: DataFrame, by_unit: bool = True, vertices: DataFrame | None = None, parts: bool = True) -> DataFrame:
     """Trails of a park feed's segments (unit, unit_name, ord, name, surface, season, uses array<string>, miles), by unit and lower-case name.
 
     What the first segment says holds, uses are those of all; a trail without length is
     dropped. With by_unit=False (a feed of one park) the name alone decides. With ``vertices``
     (ord, part, seq, lng, lat) a trail's parts are chained, in the order of its segments: its length
-    is theirs, and it has a box, its middle, part_count and parts.
+    is theirs, and it has a box, its middle, part_count, point_count and, unless parts=False, parts.
+    Where vertices have a column ``line``, only parts of one line, which is of one trail, are chained
+    with each other; lines that happen to meet stay apart.
     """
     keys = [*(["unit"] if by_unit else []), "key_name"]
     first = F.min_by(F.struct("name", "surface", "season", "unit_name"), "ord").alias("f")
@@ -134,15 +141,23 @@ def park_trails(segments: DataFrame, by_unit: bool = True, vertices: DataFrame |
     g = own.groupBy(*keys).agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_set("uses")))).alias("uses"), F.round(F.sum("miles"), 2).alias("length_miles"), F.count(F.lit(1)).alias("segment_count"))
     shape = []
     if vertices is not None:
-        key = F.concat_ws("\n", *keys)
-        runs = cut(chain_networks(vertices.join(own.select("ord", key.alias("path_id")), "ord").select("path_id", (F.col("ord") * (1 << 20) + F.col("part")).alias("part"), "seq", "lng", "lat")))
-        lines = runs.groupBy("path_id", "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("line"))
-        lines = lines.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chain", "line"))), lambda r: r["line"]).alias("parts"), F.count(F.lit(1)).alias("part_count"))
-        miles = path_lengths(runs.withColumn("run", F.struct("path_id", "chain")), "run").groupBy("run.path_id").agg(F.round(F.sum("miles"), 2).alias("length_miles"))
-        box = runs.groupBy("path_id").agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"))
-        g = g.drop("length_miles").withColumn("path_id", key).join(miles, "path_id").join(box, "path_id").join(lines, "path_id")
+        trail = own.select("ord", F.concat_ws("\n", *keys).alias("_trail"))
+        if "line" not in vertices.columns:
+            vertices = vertices.join(trail.withColumnRenamed("_trail", "line"), "ord")
+        # a chain is its first part's segment's trail's: points are shuffled once, to be chained, and summed up where they are
+        runs = chain_steps(vertices.select(F.col("line").alias("path_id"), (F.col("ord") * (1 << 20) + F.col("part")).alias("part"), "seq", "lng", "lat"))
+        runs = runs.withColumn("ord", F.shiftright("start", 20))
+        if parts:
+            runs = cut(runs)
+        sums = runs.groupBy("ord").agg(F.sum("step_mi").alias("miles"), *_bounds(), F.count(F.when(F.col("seq") == 0, 1)).alias("part_count"), F.count(F.lit(1)).alias("point_count"))
+        sums = sums.join(trail, "ord").groupBy("_trail").agg(F.round(F.sum("miles"), 2).alias("length_miles"), *box_union(), F.sum("part_count").alias("part_count"), F.sum("point_count").alias("point_count"))
+        g = g.drop("length_miles").withColumn("_trail", F.concat_ws("\n", *keys)).join(sums, "_trail")
         middle = lambda c: F.round((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, 6).alias(f"center_{c}")
-        shape = ["min_lng", "min_lat", "max_lng", "max_lat", middle("lng"), middle("lat"), "part_count", "parts"]
+        shape = ["min_lng", "min_lat", "max_lng", "max_lat", middle("lng"), middle("lat"), "part_count", "point_count"]
+        if parts:
+            lines = runs.groupBy("ord", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("line"))
+            lines = lines.join(trail, "ord").groupBy("_trail").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "line"))), lambda r: r["line"]).alias("parts"))
+            g, shape = g.join(lines, "_trail"), [*shape, "parts"]
     g = g.filter("length_miles > 0").withColumn("slug", slug(F.col("f.name")))
     ident = F.concat_ws(":", F.lit("nps"), F.col("unit") if by_unit else F.lit("SEKI"), "slug")
     return g.select(ident.alias("id"), title(F.col("f.name")).alias("name"), "slug", title(F.col("f.surface")).alias("surface"), F.col("f.season").alias("season"), F.col("f.unit_name").alias("area"), "uses", "length_miles", F.lit("out-and-back").alias("route_type"), "segment_count", *shape)

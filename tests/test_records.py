@@ -10,10 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talus import plans
 from talus.functions import geo, requests, sources, text
 from talus.operators import elements, graph, lines, merge, search, spatial
 from talus.sources import readers, sinks
 from test_operators import hav
+from tests_compare import connect, difference
 
 
 def test_requests():
@@ -197,6 +199,18 @@ def test_records_of_ways_and_parks(spark):
     assert r[0].length_miles == round(4 * hav((37, -120), (37.01, -120)), 2) and r[0].center_lng == -120.5
 
 
+def test_lines_of_a_park_that_touch_stay_apart(spark, tmp_path):
+    """Two lines of a trail, the second from the first's end on; and paths of one name that meet, as their SQL has them."""
+    s = spark.createDataFrame([("U", "Unit", i, "Rim", None, None, ["a"], None) for i in range(3)], "unit string, unit_name string, ord long, name string, surface string, season string, uses array<string>, miles double")
+    pv = spark.createDataFrame([(n, n // 2, 0, i, -120.0, 37 + (n + i) * 1e-2) for n in range(3) for i in range(2)], "ord long, line long, part int, seq int, lng double, lat double")
+    whole, apart = merge.park_trails(s, vertices=pv.drop("line")).first(), merge.park_trails(s, vertices=pv).first()
+    assert (whole.part_count, whole.point_count, [len(p) for p in whole.parts]) == (1, 4, [4])
+    assert (apart.part_count, apart.point_count, [len(p) for p in apart.parts]) == (2, 5, [3, 2]) and apart.length_miles == whole.length_miles
+    spark.range(0, 900_000, 4812).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    why, rows = difference(spark, connect(tmp_path), str(tmp_path), plans.queries()["park_records"], plans.oracle_sql()["park_records"])
+    assert why is None and rows == 1
+
+
 def test_permits_along_paths(spark):
     v = spark.createDataFrame([(1, i, 37.0, -120.0 + i * 0.01) for i in range(25)] + [(2, 0, 37.0, -120.0)], "path_id long, seq long, lat double, lng double")
     places = [(1, "near", ["Blue Dome Trail"], True, 37.0, -119.88), (2, "near, no permit", None, False, 37.0, -120.0), (3, "far", ["Dome"], True, 37.2, -120.0), (4, "further", None, True, 37.3, -120.0), (5, "fourth", None, True, 37.4, -120.0), (6, "out", None, True, 39.0, -120.0)]
