@@ -108,6 +108,32 @@ def test_runs_of_a_cell_are_one_without_pairs(spark, monkeypatch):
     assert {r.trail for r in got.collect()} == {0} and linked[0] < 30
 
 
+def test_points_of_park_trails_are_shuffled_once(spark):
+    """To be chained; what is summed up is grouped where they are, and nothing is stored."""
+    s = spark.createDataFrame([("U", "Unit", i, f"n{i}", None, None, ["a"], None) for i in range(4)], "unit string, unit_name string, ord long, name string, surface string, season string, uses array<string>, miles double")
+    v = spark.createDataFrame([(n, n // 2, 0, i, -120.0, 37 + (n + i) * 1e-2) for n in range(4) for i in range(2)], "ord long, line long, part int, seq int, lng double, lat double")
+    of = plan(merge.park_trails(s, vertices=v, parts=False))
+    assert of.count("MapInArrow") == 1 and "ExistingRDD[path_id" not in of and "collect_list" not in of
+    below = of.split("MapInArrow")[1].split("Join")[0]
+    assert below.count("Exchange hashpartitioning(path_id") == 1
+    rows = [(p, k, i, -120.0 + 0.01 * (k * 3 % 7 + i), 37.0 + p) for p in (1, 2) for k in range(7) for i in (0, 1)]
+    some = spark.createDataFrame(rows, "path_id long, part long, seq long, lng double, lat double")
+    told = [sorted(map(tuple, lines.chain_steps(some, whole=n).collect())) for n in (0, 100)]
+    steps = lines.steps(lines.chain_paths(some).withColumn("run", F.struct("path_id", "chain")), "run").select("path_id", "seq", "lng", "lat", "step_mi")
+    assert told[0] == told[1] and sorted((a, *b) for a, _, *b in told[0]) == sorted(map(tuple, steps.collect()))
+
+
+def test_few_parts_chain_as_many(monkeypatch):
+    rd = random.Random(5)
+    for snap in (False, True):
+        for _ in range(300):
+            parts = [[(rd.randint(0, 3) * 1.0, rd.randint(0, 3) * 1.0) for _ in range(rd.randint(1, 4))] for _ in range(rd.randint(0, 4))]
+            monkeypatch.setattr(lines, "FEW_PARTS", 4)
+            few = lines.chains_of(parts, 1e-4, snap)
+            monkeypatch.setattr(lines, "FEW_PARTS", 0)
+            assert few == lines.chains_of(parts, 1e-4, snap)
+
+
 def test_small_paths_are_chained_without_networks(spark, monkeypatch):
     rows = [(p, k, s, -120.0 + 0.01 * (k * 3 % 7 + s), 37.0 + p) for p in (1, 2) for k in range(7) for s in (0, 1)]
     v = spark.createDataFrame(rows, "path_id long, part long, seq long, lng double, lat double")
