@@ -28,6 +28,17 @@ def test_near_path_pairs_are_not_grouped(spark):
     assert len(got) == 35 and {(r.seq, r.distance_mi) for r in got} == {(1, 0.007)}
 
 
+def test_near_path_deals_out_paths_and_tells_points_of_a_place_at_once(spark):
+    """What makes very many rows of few bytes goes to as many tasks as the session asks for, and its rows leave arrays."""
+    near = spatial.near_path(*copies(spark, 5, 1300), 0.5)
+    above = before_join(near)
+    assert "Generate inline" in above and "RepartitionByExpression [path_id" in near._jdf.queryExecution().optimizedPlan().toString()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {n}), REPARTITION_BY_NUM" in plan(near)
+    rows = sorted(map(tuple, near.select("path_id", "id", "name", "kind", "seq", "distance_mi", "lat", "lng").collect()))
+    assert rows == [(p, i, f"p{i}", "water", 1, 0.007, 37.0011, -120.0) for p in range(5) for i in range(1300)]
+
+
 def test_near_path_of_an_id_at_two_places(spark):
     v, p = copies(spark, 2, 2)
     p = p.unionByName(p.filter("id = 1").withColumn("lat", F.lit(37.0001)))
