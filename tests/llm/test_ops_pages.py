@@ -137,6 +137,25 @@ def test_streams_hold_every_word():
     assert [pages.unpacked(pages.packed(p)) for p in got] == got
 
 
+def test_pages_tell_all_their_anchors_at_once():
+    """Those of words outside the article and inside, each by itself; a page is read once for both."""
+    import pyarrow as pa
+
+    rows = make(random.Random(6))
+    hosts, sources = [url.split("/")[2] for _, url, _ in rows], [x for *_, x in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(hosts), pa.array(sources)], names=["row", "host", "html"])
+    got = collections.Counter((r["anchor"], r["page"], r["inside"]) for b in pages._anchors([batch], pages.LONG, pages.ANCHOR) for r in b.to_pylist())
+    want = set()
+    for i, (host, source) in enumerate(zip(hosts, sources)):
+        page = pages.read(source)
+        own = pages._page(np.array([pages._stream(page, host)], np.uint64), np.array([i]))[0]
+        for inside in (False, True):
+            kept = [(t, r) for t, r in zip(page.texts, page.roles) if (r == pages.MAIN) == inside]
+            h = pages.anchors(*pages.streams([pages.Page([t for t, _ in kept], [r for _, r in kept])], [host]), pages.LONG, pages.ANCHOR)[1]
+            want |= {(x, own, inside) for x in h.view(np.int64).tolist()}
+    assert set(got) == want and max(got.values()) == 1 and {x[2] for x in want} == {False, True}
+
+
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_articles_are_judged_by_the_same_strings(spark, limit):
     """Words of articles that are boilerplate of the host, against brute force over the whole streams."""
